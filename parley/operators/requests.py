@@ -87,7 +87,7 @@ def strict_responses(responses: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
     status_ok = F.col("status").between(200, 399)
     ok = status_ok & F.coalesce(F.length(content) > 0, F.lit(False))
     d = responses.select(*keys, "status", content.alias("content"), ok.alias("_ok"), status_ok.alias("_sok"))
-    accepted = d.where("_ok").select(*keys, "content")
+    accepted = d.where("_ok").select(*keys, "status", "content")
     failures = d.where(~F.col("_ok")).select(
         *keys, "status",
         F.when(~F.col("_sok"), "status").when(F.col("content").isNull(), "no content")
