@@ -84,7 +84,9 @@ FIXTURES: dict[str, str] = {
         FROM f_segments GROUP BY episode_id""",
     "f_synth": """
         SELECT episode_id, seg_idx, speaker, text, CAST(length(text) * 60 AS BIGINT) AS dur_ms,
-               (episode_id * 31 + seg_idx) % 7 <> 0 AS ok, CAST(24000 AS BIGINT) AS frame_rate
+               (episode_id * 31 + seg_idx) % 7 <> 0 AS ok, CAST(24000 AS BIGINT) AS frame_rate,
+               CASE WHEN (episode_id * 31 + seg_idx) % 7 <> 0 THEN NULL
+                    WHEN (episode_id + seg_idx) % 2 = 0 THEN 'no_reply' ELSE 'error' END AS fail_kind
         FROM f_segments""",
     "f_pause": """
         SELECT episode_id, seg_idx, CAST((episode_id * 17 + seg_idx * 13) % 600 + 200 AS BIGINT) AS pause_ms

@@ -105,12 +105,16 @@ def replies(spark, sf_dir) -> DataFrame:
 
 
 def synth(spark, sf_dir) -> DataFrame:
-    """Synthesis results: duration 60 ms per character, every 7th fails."""
+    """Synthesis results: duration 60 ms per character, every 7th fails;
+    a failure is a missing reply for even (episode_id + seg_idx), else an error."""
     seg = segments(spark, sf_dir)
     return seg.select("episode_id", "seg_idx", "speaker", "text",
                       (F.length("text") * 60).cast("long").alias("dur_ms"),
                       ((F.col("episode_id") * 31 + F.col("seg_idx")) % 7 != 0).alias("ok"),
-                      F.lit(24000).alias("frame_rate"))
+                      F.lit(24000).alias("frame_rate"),
+                      F.when((F.col("episode_id") * 31 + F.col("seg_idx")) % 7 != 0, F.lit(None).cast("string"))
+                      .when((F.col("episode_id") + F.col("seg_idx")) % 2 == 0, F.lit("no_reply"))
+                      .otherwise(F.lit("error")).alias("fail_kind"))
 
 
 def pauses(spark, sf_dir) -> DataFrame:
@@ -132,8 +136,9 @@ def voices(spark) -> DataFrame:
 def catalog(spark, sf_dir) -> DataFrame:
     """Voice-list JSON bodies, one per conversation, one voice per turn."""
     conv = table(spark, sf_dir, "conversations")
-    v = F.struct(F.concat(F.lit("Voice "), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("name"),
-                 F.concat(F.lit("v"), F.col("conv_id"), F.lit("_"), F.col("turn")).alias("voice_id"))
+    cid, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    v = F.struct(F.concat(F.lit("Voice "), cid, F.lit("-"), turn).alias("name"),
+                 F.concat(F.lit("v"), cid, F.lit("_"), turn).alias("voice_id"))
     return (conv.groupBy("conv_id")
             .agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("turn", v.alias("v")))),
                                                 lambda s: s["v"]).alias("voices"))).alias("body")))
@@ -142,7 +147,7 @@ def catalog(spark, sf_dir) -> DataFrame:
 def paths(spark, sf_dir) -> DataFrame:
     ext = F.element_at(F.array(F.lit(".pdf"), F.lit(".PDF"), F.lit(".txt"), F.lit("")),
                        (F.col("doc_id") % 4 + 1).cast("int"))
-    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("in/"), F.col("doc_id"), ext).alias("path"))
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("in/"), F.col("doc_id").cast("string"), ext).alias("path"))
 
 
 def encoded(spark, sf_dir) -> DataFrame:
