@@ -136,6 +136,8 @@ def with_fixtures(sql: str, extra: dict[str, str] | None = None) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({pool[n]})" for n in needed)
     body = sql.lstrip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{sql}"
