@@ -101,6 +101,15 @@ def render_replies(segments: DataFrame, key: str = "episode_id", order: str = "s
                  F.lit("]")).alias("reply"))
 
 
+def render_reply_lines(segments: DataFrame, key: str = "episode_id", order: str = "seg_idx") -> DataFrame:
+    """Segments -> a reply in the requested output format: ``[``, one
+    ``("Speaker N", "…"),`` line per turn, ``]``."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),
+                                                 render_tuple(F.col("speaker"), F.col("text")).alias("t"))))
+    lines = F.array_join(F.transform(parts, lambda s: F.concat(s["t"], F.lit(","))), "\n")
+    return segments.groupBy(key).agg(F.concat(F.lit("[\n"), lines, F.lit("\n]")).alias("reply"))
+
+
 def contract_violation(speaker: Column, text: Column) -> Column:
     """Speaker 1 must not use fillers or reactions; Speaker 2 may."""
     return (speaker == FX.SPEAKER_1) & text.rlike(FILLER_OR_REACTION)
