@@ -198,6 +198,21 @@ def compress_array(x: np.ndarray, threshold_db: float, ratio: float, attack_fram
     return x * 10 ** (-att / 20)
 
 
+def compress_samples(samples: Column, threshold_db: float, ratio: float, attack_ms: float,
+                     release_ms: float, frame_rate: float) -> Column:
+    """Compressor applied to each array (one segment) in an Arrow-batched
+    pandas UDF: no shuffle, the group is one row."""
+    att_f = attack_ms * frame_rate / 1000.0
+    rel_f = release_ms * frame_rate / 1000.0
+    look = max(int(round(att_f)), 1)
+
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else
+                          compress_array(np.asarray(x, dtype=float), threshold_db, ratio, att_f, rel_f, look)
+                          for x in s])
+    return pandas_udf(run, ArrayType(DoubleType()))(samples)
+
+
 def warmup_frames(attack_frames: float, release_frames: float) -> int:
     """Frames after which the attenuation forgets its start value: each step
     is a contraction with factor 1 - 1/max(attack, release), so after this

@@ -162,10 +162,11 @@ _THR, _RATIO, _ATT, _REL = FXV.SEGMENT_COMPRESSOR
                                      _ATT * COMP_RATE / 1000, _REL * COMP_RATE / 1000, LOOK))
 def aud_compress(spark, sf_dir):
     """Segment compressor (-20 dB, 2.5:1, 5 ms, 50 ms) at 1 frame = 1 ms,
-    blocked and parallel (``compress_frames``)."""
-    f = FX.frames(spark, sf_dir).select("episode_id", "seg_idx", "i", "amp")
-    c = A.compress_frames(f, ["episode_id", "seg_idx"], "i", _THR, _RATIO, _ATT, _REL, COMP_RATE)
-    return c.select("episode_id", "seg_idx", "i", F.round("amp", 6).alias("amp"))
+    applied per segment array (Arrow-batched, no shuffle)."""
+    w = FX.waves(spark, sf_dir)
+    c = w.select("episode_id", "seg_idx",
+                 A.compress_samples(F.col("samples"), _THR, _RATIO, _ATT, _REL, COMP_RATE).alias("samples"))
+    return A.to_frames(c).select("episode_id", "seg_idx", "i", F.round("amp", 6).alias("amp"))
 
 
 _PLACE_SQL = f"""
@@ -291,9 +292,10 @@ def aud_segment_chain(spark, sf_dir):
     w = FX.waves(spark, sf_dir)
     w = w.withColumn("samples", A.normalise(F.col("samples")))
     w = A.speaker_eq(w)
+    w = w.withColumn("samples", A.compress_samples(F.col("samples"), *FXV.SEGMENT_COMPRESSOR,
+                                                   float(FXV.SAMPLE_RATE)))
     f = A.to_frames(w.select("episode_id", "seg_idx", "samples"))
-    c = A.compress_frames(f, ["episode_id", "seg_idx"], "i", *FXV.SEGMENT_COMPRESSOR, float(FXV.SAMPLE_RATE))
-    return c.select("episode_id", "seg_idx", "i", F.round("amp", 6).alias("amp"))
+    return f.select("episode_id", "seg_idx", "i", F.round("amp", 6).alias("amp"))
 
 
 @query("aud_master_chain")

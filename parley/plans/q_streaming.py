@@ -12,7 +12,8 @@ from parley.streaming import ingest
 def stream_chunks(spark, sf_dir):
     """Documents ingested as a file stream (one file per trigger,
     ``availableNow``) and chunked; equals the batch chunks."""
-    return ingest.stream_chunks(spark, sf_dir, n=CHUNK_FIXTURE_WORDS, glob="documents.parquet")
+    return ingest.stream_chunks(spark, sf_dir, n=CHUNK_FIXTURE_WORDS, glob="documents.parquet",
+                                partitions=2 * spark.sparkContext.defaultParallelism)
 
 
 @query("stream_episode_state", f"""

@@ -13,6 +13,23 @@ CATALOG_SCHEMA = "struct<voices:array<struct<name:string,voice_id:string>>>"
 SUFFIX = r"\.[^./]+$"
 
 
+def spread(df: DataFrame, keys: list[str] | None = None, factor: int = 2) -> DataFrame:
+    """Hash-partition a scan that has fewer splits than the cluster has cores.
+
+    A file with a single row group is read by one task, and the per-row text
+    work after it (regex splitting, cleanup) would then run on one core.
+    When the scan already has at least ``defaultParallelism`` splits (any
+    large input) the DataFrame is returned unchanged, so no shuffle is
+    added at scale.  Hashing on a unique key keeps partitions even and lets
+    a later ``groupBy`` on a prefix of the key reuse the partitioning.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    n = par * factor
+    return df.repartition(n, *keys) if keys else df.repartition(n)
+
+
 def suffix(path: Column) -> Column:
     """``Path(p).suffix``: the last extension including the dot, or ''."""
     return F.regexp_extract(path, SUFFIX, 0)

@@ -30,8 +30,14 @@ MARK_SUFFIXES = [
 ]
 
 
+# Hash keys used to spread a table whose scan yields too few splits.
+SPREAD_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "embeddings": ["vec_id"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read a driver table; see :func:`parley.sources.files.spread`."""
+    from parley.sources.files import spread
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), SPREAD_KEYS.get(name))
 
 
 def documents(spark, sf_dir) -> DataFrame:
