@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from parley.functions import audio_math as M
 from parley.functions import fixed as FX
 from parley.operators.dims import bounded_broadcast
-from parley.operators.scan import running_sum
+from parley.operators.scan import blocked_scan
 
 KEY = "episode_id"
 IDX = "seg_idx"
@@ -269,13 +269,12 @@ def place_segments(waves: DataFrame, crossfade: int) -> DataFrame:
     ``crossfade``-frame overlap (prefix sum of ``n - crossfade``); adds
     n, start, has_prev, has_next."""
     d = waves.withColumn("n", F.size("samples").cast("long"))
-    d = running_sum(d, KEY, IDX, F.col("n") - crossfade, "_adv", inclusive=False)
-    last = d.groupBy(KEY).agg(F.max(IDX).alias("_last"))
-    return (d.join(last, KEY)
-            .withColumn("start", F.col("_adv"))
-            .withColumn("has_prev", F.col(IDX) > 0)
-            .withColumn("has_next", F.col(IDX) < F.col("_last"))
-            .drop("_adv", "_last"))
+    one = F.lit(1).cast("long")
+    d = blocked_scan(d, KEY, IDX, sums={"start": (F.col("n") - crossfade, False), "_pos": (one, True)},
+                     totals={"_cnt": one})
+    return (d.withColumn("has_prev", F.col("_pos") > 1)
+            .withColumn("has_next", F.col("_pos") < F.col("_cnt"))
+            .drop("_pos", "_cnt"))
 
 
 def crossfaded_frames(waves: DataFrame, crossfade: int) -> DataFrame:
@@ -368,3 +367,21 @@ def ambience_bed(base: DataFrame, tone: DataFrame, volume_db: float,
     d = part(d, "_s0", "0")
     return (d.withColumn("amp", F.col("amp") + F.col("_c1") + F.col("_c0"))
             .drop("_n", "_S", "_s1", "_s0", "_c1", "_c0"))
+
+
+def master_chain(mixed: DataFrame, frame_rate: float, materialize=None) -> DataFrame:
+    """Episode mastering: fade-out 2 s -> compressor (-15 dB, 1.5:1, 10 ms,
+    100 ms) -> peak normalisation, on ``(episode_id, t, amp)``.
+
+    Fade and normalisation read their input twice (a grouped length / peak
+    joined back) and the compressor is Python, so the inputs of those steps
+    are materialised with ``materialize`` (a reliable checkpoint into the
+    shared checkpoint folder by default) instead of being recomputed.
+    """
+    from parley.session import cut_lineage
+    materialize = materialize or cut_lineage
+    fade_frames = int(FX.OUTRO_FADE_OUT_MS * frame_rate / 1000)
+    m = materialize(mixed)
+    f = fade(m, 0, fade_frames)
+    c = materialize(compress_frames(f, KEY, "t", *FX.MASTER_COMPRESSOR, frame_rate))
+    return normalise_frames(c, KEY)

@@ -1,13 +1,15 @@
-"""Ordered scans per group (running sums, previous non-null value) that stay
-parallel when one group is huge.
+"""Ordered scans per group (running sums, previous non-null value, group
+totals) that stay parallel when one group is huge.
 
 A plain ``Window.partitionBy(key)`` puts a whole group into one task.  Here
-rows are cut into blocks of ``block_rows`` consecutive positions: the scan runs
-inside each (key, block) partition, block totals are aggregated map-side and
-scanned over blocks (``rows / block_rows`` values per key), and the block
-carry is joined back on (key, block).  The big input is shuffled once, on
-(key, block), so a key holding a third of all rows is spread over many
-tasks.  ``order`` must be a dense 0-based integer index within the key.
+rows are cut into blocks of ``block_rows`` consecutive positions.  One
+window pass over (key, block) gives the local scans and the block
+aggregates; the block aggregates (``rows / block_rows`` values per key) are
+scanned per key, and the carry is joined back on (key, block).  The input
+is shuffled once, on (key, block), and every later step reuses that
+partitioning, so a key holding a third of all rows is spread over many
+tasks.  ``order`` should be a dense 0-based integer index within the key
+(other integer orders are correct but may give uneven blocks).
 """
 
 from __future__ import annotations
@@ -23,44 +25,91 @@ def _keys(part) -> list[str]:
     return [part] if isinstance(part, str) else list(part)
 
 
+def _col(v) -> Column:
+    return F.col(v) if isinstance(v, str) else v
+
+
+def blocked_scan(df: DataFrame, part, order: str, *,
+                 sums: dict[str, tuple[Column | str, bool]] | None = None,
+                 prev_non_null: dict[str, Column | str] | None = None,
+                 totals: dict[str, Column | str] | None = None,
+                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Add scan columns to ``df``.
+
+    * ``sums[out] = (value, inclusive)``: sum of ``value`` over earlier rows
+      of the key (plus the current row when ``inclusive``); 0 when empty.
+    * ``prev_non_null[out] = value``: last non-null ``value`` on an earlier row.
+    * ``totals[out] = value``: sum of ``value`` over the whole key.
+    """
+    sums, prev_non_null, totals = sums or {}, prev_non_null or {}, totals or {}
+    keys = _keys(part)
+    d = df.withColumn(_B, F.floor(F.col(order) / F.lit(block_rows)))
+    vals: dict[str, Column] = {}
+    for i, (out, (v, _)) in enumerate(sums.items()):
+        vals[f"_sv{i}"] = _col(v)
+    for i, (out, v) in enumerate(prev_non_null.items()):
+        vals[f"_lv{i}"] = _col(v)
+    for i, (out, v) in enumerate(totals.items()):
+        vals[f"_tv{i}"] = _col(v)
+    for name, c in vals.items():
+        d = d.withColumn(name, c)
+
+    w_incl = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w_excl = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding,
+                                                                     Window.unboundedFollowing)
+    local, block_aggs = [], []
+    for i, (out, (_, inclusive)) in enumerate(sums.items()):
+        v = f"_sv{i}"
+        zero = F.lit(0).cast(d.schema[v].dataType)
+        local.append(F.coalesce(F.sum(v).over(w_incl if inclusive else w_excl), zero).alias(f"_sl{i}"))
+        block_aggs.append(F.coalesce(F.sum(v).over(w_all), zero).alias(f"_sb{i}"))
+    for i in range(len(prev_non_null)):
+        v = f"_lv{i}"
+        local.append(F.last(v, ignorenulls=True).over(w_excl).alias(f"_ll{i}"))
+        block_aggs.append(F.last(v, ignorenulls=True).over(w_all).alias(f"_lb{i}"))
+    for i in range(len(totals)):
+        v = f"_tv{i}"
+        zero = F.lit(0).cast(d.schema[v].dataType)
+        block_aggs.append(F.coalesce(F.sum(v).over(w_all), zero).alias(f"_tb{i}"))
+    # One Window operator over the single (key, block) exchange.
+    win = d.select("*", *local, *block_aggs)
+
+    # Block table: one row per (key, block); the aggregate reuses the
+    # (key, block) partitioning of the window output.
+    bcols = [c for c in win.columns if c.startswith(("_sb", "_lb", "_tb"))]
+    blocks = win.groupBy(*keys, _B).agg(*[F.first(c).alias(c) for c in bcols])
+    w_prev = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    w_key = Window.partitionBy(*keys)
+    carry = [*keys, _B]
+    for i in range(len(sums)):
+        carry.append(F.coalesce(F.sum(f"_sb{i}").over(w_prev),
+                                F.lit(0).cast(blocks.schema[f"_sb{i}"].dataType)).alias(f"_sc{i}"))
+    for i in range(len(prev_non_null)):
+        carry.append(F.last(f"_lb{i}", ignorenulls=True).over(w_prev).alias(f"_lc{i}"))
+    for i in range(len(totals)):
+        carry.append(F.sum(f"_tb{i}").over(w_key).alias(f"_tc{i}"))
+    carry_df = blocks.select(*carry)
+
+    j = win.join(carry_df, [*keys, _B], "inner")
+    outs = []
+    for i, out in enumerate(sums):
+        outs.append((F.col(f"_sl{i}") + F.col(f"_sc{i}")).alias(out))
+    for i, out in enumerate(prev_non_null):
+        outs.append(F.coalesce(F.col(f"_ll{i}"), F.col(f"_lc{i}")).alias(out))
+    for i, out in enumerate(totals):
+        outs.append(F.col(f"_tc{i}").alias(out))
+    return j.select(*[F.col(f"`{c}`") for c in df.columns], *outs)
+
+
 def running_sum(df: DataFrame, part, order: str, value: Column | str, out: str,
                 inclusive: bool = True, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same key with a smaller
     ``order`` (plus the current row when ``inclusive``)."""
-    keys = _keys(part)
-    v = F.col(value) if isinstance(value, str) else value
-    vname = "_scan_v"
-    d = df.withColumn(vname, v).withColumn(_B, F.floor(F.col(order) / F.lit(block_rows)))
-    w_local = (Window.partitionBy(*keys, _B).orderBy(order)
-               .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    local = F.coalesce(F.sum(vname).over(w_local), F.lit(0).cast(d.schema[vname].dataType))
-    totals = d.groupBy(*keys, _B).agg(F.sum(vname).alias("_scan_bt"))
-    w_blocks = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, _B, F.coalesce(F.sum("_scan_bt").over(w_blocks),
-                                                F.lit(0).cast(totals.schema["_scan_bt"].dataType))
-                          .alias("_scan_carry"))
-    return (d.withColumn("_scan_local", local)
-            .join(carry, [*keys, _B], "inner")
-            .withColumn(out, F.col("_scan_local") + F.col("_scan_carry"))
-            .drop(vname, _B, "_scan_local", "_scan_carry"))
+    return blocked_scan(df, part, order, sums={out: (value, inclusive)}, block_rows=block_rows)
 
 
 def previous_non_null(df: DataFrame, part, order: str, value: Column | str, out: str,
                       block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Add ``out`` = the last non-null ``value`` on an earlier row of the key."""
-    keys = _keys(part)
-    v = F.col(value) if isinstance(value, str) else value
-    vname = "_scan_v"
-    d = df.withColumn(vname, v).withColumn(_B, F.floor(F.col(order) / F.lit(block_rows)))
-    w_local = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = F.last(vname, ignorenulls=True).over(w_local)
-    # One aggregate per block: the value on the last row that has one (null
-    # orderings are ignored by max_by, so blocks without a value give null).
-    blocks = (d.groupBy(*keys, _B)
-              .agg(F.max_by(vname, F.when(F.col(vname).isNotNull(), F.col(order))).alias("_scan_bl")))
-    w_blocks = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = blocks.select(*keys, _B, F.last("_scan_bl", ignorenulls=True).over(w_blocks).alias("_scan_carry"))
-    return (d.withColumn("_scan_local", local)
-            .join(carry, [*keys, _B], "inner")
-            .withColumn(out, F.coalesce(F.col("_scan_local"), F.col("_scan_carry")))
-            .drop(vname, _B, "_scan_local", "_scan_carry"))
+    return blocked_scan(df, part, order, prev_non_null={out: value}, block_rows=block_rows)

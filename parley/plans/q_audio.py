@@ -302,10 +302,7 @@ def aud_segment_chain(spark, sf_dir):
 def aud_master_chain(spark, sf_dir):
     """Master chain on the mixed episode: fade-out 2 s -> compress (-15 dB,
     1.5:1, 10 ms, 100 ms) -> normalise (1 frame = 1 ms)."""
-    m = _mix(spark, sf_dir)
-    f = A.fade(m, 0, FXV.OUTRO_FADE_OUT_MS)
-    c = A.compress_frames(f, "episode_id", "t", *FXV.MASTER_COMPRESSOR, COMP_RATE)
-    n = A.normalise_frames(c, "episode_id")
+    n = A.master_chain(_mix(spark, sf_dir), COMP_RATE)
     return n.select("episode_id", "t", F.round("amp", 6).alias("amp"))
 
 

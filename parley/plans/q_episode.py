@@ -10,7 +10,7 @@ from parley.functions import audio_math as M
 from parley.functions import fixed as FXV
 from parley.functions import text as T
 from parley.operators import episode as E
-from parley.operators.scan import previous_non_null, running_sum
+from parley.operators.scan import blocked_scan, previous_non_null
 from parley.plans.q_requests import TRANSCRIPTS_CTE, transcripts
 from parley.plans.registry import query
 from parley.sources import fixtures as FX
@@ -103,13 +103,13 @@ def win_prev_speaker(spark, sf_dir):
     FROM f_synth""")
 def win_position(spark, sf_dir):
     """Enumeration positions (all segments and successes only) and the
-    ``i+1/n`` progress label; counts come from a grouped aggregate."""
+    ``i+1/n`` progress label, all from one blocked scan."""
     s = FX.synth(spark, sf_dir).select("episode_id", "seg_idx", "ok")
-    s = running_sum(s, "episode_id", "seg_idx", F.lit(1).cast("long"), "_n")
-    s = E.success_rank(s)
-    n = s.groupBy("episode_id").agg(F.count("*").alias("_total"))
-    s = s.join(n, "episode_id")
-    return s.select("episode_id", "seg_idx", (F.col("_n") - 1).alias("pos"), F.col("k").alias("ok_pos"),
+    one = F.lit(1).cast("long")
+    s = blocked_scan(s, "episode_id", "seg_idx", sums={"_n": (one, True), "_k": (F.col("ok").cast("long"), True)},
+                     totals={"_total": one})
+    return s.select("episode_id", "seg_idx", (F.col("_n") - 1).alias("pos"),
+                    F.when(F.col("ok"), F.col("_k") - 1).alias("ok_pos"),
                     F.concat(F.lit("Processing segment "), F.col("_n").cast("string"), F.lit("/"),
                              F.col("_total").cast("string")).alias("label"))
 

@@ -107,3 +107,23 @@ def test_resample_length(spark):
     r = df.select(A.resample(F.col("s"), F.lit(1.5)).alias("r")).first().r
     assert len(r) == math.floor(3 * 1.5) + 1
     assert np.allclose(r, [j / 1.5 for j in range(len(r))])
+
+
+def test_master_chain_equals_numpy(spark):
+    waves = [(e, k, [float(v) for v in RNG.normal(0, 0.3, 40)]) for e in (1, 2) for k in range(5)]
+    df = spark.createDataFrame(waves, "episode_id long, seg_idx long, samples array<double>")
+    got = {}
+    for r in A.master_chain(A.mix(df, 4), 1000.0).collect():
+        got.setdefault(r.episode_id, {})[r.t] = r.amp
+    for e in (1, 2):
+        segs = [np.array(s) for ee, k, s in waves if ee == e]
+        out = segs[0]
+        ramp = np.arange(1, 5) / 5
+        for s in segs[1:]:
+            out = np.concatenate([out[:-4], out[-4:] * ramp[::-1] + s[:4] * ramp, s[4:]])
+        n = len(out)
+        out = out * np.minimum(1.0, (n - np.arange(n)) / 2000.0)
+        out = loop_compress(out, -15, 1.5, 10, 100, 10)
+        out = out * (10 ** (-0.1 / 20)) / np.max(np.abs(out))
+        g = np.array([got[e][t] for t in range(n)])
+        assert np.allclose(g, out, atol=1e-12)
