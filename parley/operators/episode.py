@@ -169,24 +169,31 @@ def overlap_join(intervals: DataFrame, start: str = "start_ms", end: str = "end_
 
 
 def timeline_parts(synth: DataFrame, pauses: DataFrame) -> DataFrame:
-    """Typed parts of the jittered timeline (gap, audio, pause) as one
-    union, ordered by (segment, part) with offsets from a running sum.
+    """Typed parts of the jittered timeline (gap, audio, pause) ordered by
+    (segment, part), with their start offsets.
+
     ``advance_ms`` is how far a part moves the end of the episode (audio
-    advances by its duration minus the crossfade)."""
+    advances by its duration minus the crossfade).  The parts of a segment
+    are built from its row as an array of structs and exploded, a union per
+    row without a shuffle; offsets follow from the segment's start on the
+    timeline, so no second scan is needed.
+    """
     t = timeline_jitter(synth, pauses)
     later = F.col(IDX) > 0
-    gap = t.where(later).select(KEY, IDX, F.lit(0).alias("part_no"), F.lit("gap").alias("kind"),
-                                F.lit(FX.GAP_MS).cast("long").alias("advance_ms"))
-    audio = t.where("ok_eff").select(
-        KEY, IDX, F.lit(1).alias("part_no"), F.lit("audio").alias("kind"),
-        F.when(later, F.col("dur_ms") - FX.BASE_CROSSFADE_MS).otherwise(F.col("dur_ms")).cast("long")
-        .alias("advance_ms"))
-    pause = t.where(F.col("ok_eff") & later).select(KEY, IDX, F.lit(2).alias("part_no"),
-                                                    F.lit("pause").alias("kind"),
-                                                    F.col("pause_ms").cast("long").alias("advance_ms"))
-    parts = gap.unionByName(audio).unionByName(pause).withColumn("_ord", F.col(IDX) * 3 + F.col("part_no"))
-    d = running_sum(parts, KEY, "_ord", "advance_ms", "start_ms", inclusive=False)
-    return d.drop("_ord")
+    gap_adv = F.when(later, F.lit(FX.GAP_MS)).otherwise(F.lit(0)).cast("long")
+    audio_adv = F.when(later, F.col("dur_ms") - FX.BASE_CROSSFADE_MS).otherwise(F.col("dur_ms")).cast("long")
+    seg_start = F.col("start_ms")
+
+    def part(no: int, kind: str, adv: Column, start: Column, keep: Column) -> Column:
+        return F.when(keep, F.struct(F.lit(no).alias("part_no"), F.lit(kind).alias("kind"),
+                                     adv.alias("advance_ms"), start.alias("start_ms")))
+    parts = F.array(
+        part(0, "gap", gap_adv, seg_start, later),
+        part(1, "audio", audio_adv, seg_start + gap_adv, F.col("ok_eff")),
+        part(2, "pause", F.col("pause_ms").cast("long"), seg_start + gap_adv + audio_adv,
+             F.col("ok_eff") & later))
+    return (t.select(KEY, IDX, F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("p"))
+            .select(KEY, IDX, "p.part_no", "p.kind", "p.advance_ms", "p.start_ms"))
 
 
 def manifest(counts: DataFrame, provider: str, run_date: Column, ok_col: str = "n_ok") -> DataFrame:
