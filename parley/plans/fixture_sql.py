@@ -113,7 +113,6 @@ FIXTURES: dict[str, str] = {
         SELECT t, (t - 8) / 80.0::DOUBLE AS amp FROM range(16) r(t)""",
 }
 
-_DEPS = {name: set(re.findall(r"\bf_[a-z_]+\b", sql)) - {name} for name, sql in FIXTURES.items()}
 
 
 def with_fixtures(sql: str, extra: dict[str, str] | None = None) -> str:

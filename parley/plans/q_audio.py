@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from parley.functions import audio_math as M
@@ -285,10 +283,83 @@ def arr_second_slices(spark, sf_dir):
                     F.round(F.aggregate("sl", F.lit(0.0), lambda a, x: a + x), 6).alias("slice_sum"))
 
 
-@query("aud_segment_chain")
+
+
+# ---- oracles for the two chains (recursive CTEs, one per sequential stage)
+def _rec_filter(name: str, src: str, keys: str, kind: str, rate: float) -> str:
+    """CTE text for a first-order filter over ``src(keys, i, x, speaker)``."""
+    on = " AND ".join(f"c.{k} = r.{k}" for k in keys.split(", "))
+    rc = "(1.0 / (2 * pi() * fc))"
+    dt = f"(1.0 / {rate})"
+    if kind == "low":
+        fc = "CASE WHEN speaker = 'Speaker 1' THEN 4000.0 ELSE 5000.0 END"
+        coef, step = f"{dt} / ({rc} + {dt})", "r.y + c.a * (c.x - r.y)"
+    else:
+        fc = "CASE WHEN speaker = 'Speaker 1' THEN 100.0 ELSE 150.0 END"
+        coef, step = f"{rc} / ({rc} + {dt})", "c.a * (r.y + c.x - r.x)"
+    cols = ", ".join(f"c.{k}" for k in keys.split(", "))
+    return f"""{name}_c AS (SELECT *, {coef} AS a FROM (SELECT *, {fc} AS fc FROM {src})),
+    {name} AS (
+        SELECT {keys}, i, speaker, x, x AS y FROM {name}_c WHERE i = 0
+        UNION ALL
+        SELECT {cols}, c.i, c.speaker, c.x, {step}
+        FROM {name} r JOIN {name}_c c ON {on} AND c.i = r.i + 1)"""
+
+
+def _rec_compress(name: str, src: str, keys: str, thr_db: float, ratio: float, att: float, rel: float,
+                  look: int, order: str = "i") -> str:
+    """CTE text for the compressor over ``src(keys, order, x)``; output column ``y``."""
+    on = " AND ".join(f"l.{k} = r.{k}" for k in keys.split(", "))
+    cols = ", ".join(f"l.{k}" for k in keys.split(", "))
+    return f"""{name}_lv AS (
+        SELECT *, CASE WHEN lvl > 0 THEN (1 - 1 / {ratio}::DOUBLE)
+                       * greatest(0.0, 20 * log10(lvl / pow(10.0, {thr_db}::DOUBLE / 20))) ELSE 0.0 END AS m
+        FROM (SELECT {keys}, {order}, x,
+                     sqrt(avg(x * x) OVER (PARTITION BY {keys} ORDER BY {order}
+                          ROWS BETWEEN {look} PRECEDING AND 1 PRECEDING)) AS lvl
+              FROM {src})),
+    {name} AS (
+        SELECT {keys}, {order}, x, m / (CASE WHEN m > 0 THEN {att}::DOUBLE ELSE {rel}::DOUBLE END) AS att
+        FROM {name}_lv WHERE {order} = 0
+        UNION ALL
+        SELECT {cols}, l.{order}, l.x,
+               r.att + (l.m - r.att) / (CASE WHEN l.m > r.att THEN {att}::DOUBLE ELSE {rel}::DOUBLE END)
+        FROM {name} r JOIN {name}_lv l ON {on} AND l.{order} = r.{order} + 1)"""
+
+
+_SR = float(FXV.SAMPLE_RATE)
+_SEG_ATT, _SEG_REL = _ATT * _SR / 1000, _REL * _SR / 1000
+_SEG_CHAIN_SQL = f"""
+    WITH RECURSIVE nrm AS (
+        SELECT f.episode_id, f.seg_idx, f.i, f.speaker,
+               CASE WHEN p.peak > 0 THEN f.amp * ({H}::DOUBLE / p.peak) ELSE f.amp END AS x
+        FROM f_frames f JOIN (SELECT episode_id, seg_idx, max(abs(amp)) AS peak FROM f_frames GROUP BY ALL) p
+          ON f.episode_id = p.episode_id AND f.seg_idx = p.seg_idx),
+    {_rec_filter("lp", "nrm", "episode_id, seg_idx", "low", _SR)},
+    hp_in AS (SELECT episode_id, seg_idx, i, speaker, y AS x FROM lp),
+    {_rec_filter("hp", "hp_in", "episode_id, seg_idx", "high", _SR)},
+    cp_in AS (SELECT episode_id, seg_idx, i, y AS x FROM hp),
+    {_rec_compress("cp", "cp_in", "episode_id, seg_idx", _THR, _RATIO, _SEG_ATT, _SEG_REL, max(int(round(_SEG_ATT)), 1))}
+    SELECT episode_id, seg_idx, i, round(x * pow(10.0, -att / 20), 6) AS amp FROM cp"""
+
+_M_THR, _M_RATIO, _M_ATT, _M_REL = FXV.MASTER_COMPRESSOR
+_M_ATT_F, _M_REL_F = _M_ATT * COMP_RATE / 1000, _M_REL * COMP_RATE / 1000
+_MASTER_SQL = f"""
+    WITH RECURSIVE mx AS ({_MIX_SQL}),
+    fd AS (SELECT m.episode_id, m.t, m.amp * (1.0 * least(1.0, (n.total - m.t) / 2000.0::DOUBLE)) AS x
+           FROM mx m JOIN (SELECT episode_id, max(t) + 1 AS total FROM mx GROUP BY episode_id) n
+             ON m.episode_id = n.episode_id),
+    {_rec_compress("mc", "fd", "episode_id", _M_THR, _M_RATIO, _M_ATT_F, _M_REL_F, max(int(round(_M_ATT_F)), 1), "t")},
+    out AS (SELECT episode_id, t, x * pow(10.0, -att / 20) AS y FROM mc)
+    SELECT o.episode_id, o.t, round(CASE WHEN p.peak > 0 THEN o.y * ({H}::DOUBLE / p.peak) ELSE o.y END, 6) AS amp
+    FROM out o JOIN (SELECT episode_id, max(abs(y)) AS peak FROM out GROUP BY episode_id) p
+      ON o.episode_id = p.episode_id"""
+
+
+@query("aud_segment_chain", _SEG_CHAIN_SQL)
 def aud_segment_chain(spark, sf_dir):
     """Per-segment chain: normalise -> low-pass -> high-pass -> compress
-    (24 kHz frames, segment compressor).  Checked against plain NumPy in tests."""
+    (24 kHz frames, segment compressor)."""
     w = FX.waves(spark, sf_dir)
     w = w.withColumn("samples", A.normalise(F.col("samples")))
     w = A.speaker_eq(w)
@@ -298,12 +369,9 @@ def aud_segment_chain(spark, sf_dir):
     return f.select("episode_id", "seg_idx", "i", F.round("amp", 6).alias("amp"))
 
 
-@query("aud_master_chain")
+@query("aud_master_chain", _MASTER_SQL)
 def aud_master_chain(spark, sf_dir):
     """Master chain on the mixed episode: fade-out 2 s -> compress (-15 dB,
     1.5:1, 10 ms, 100 ms) -> normalise (1 frame = 1 ms)."""
     n = A.master_chain(_mix(spark, sf_dir), COMP_RATE)
     return n.select("episode_id", "t", F.round("amp", 6).alias("amp"))
-
-
-__all__ = ["math"]

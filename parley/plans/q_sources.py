@@ -23,11 +23,19 @@ def src_ext_filter(spark, sf_dir):
     return p.where(S.is_pdf(F.col("path")))
 
 
-@query("src_decode_fallback")
+@query("src_decode_fallback", r"""
+    SELECT doc_id, enc AS encoding_used, length(t) AS n_chars, t AS text FROM (
+        SELECT doc_id,
+               CASE WHEN doc_id % 2 = 0 OR NOT regexp_matches(l1, '[^\x{0}-\x{7f}]') THEN 'utf-8'
+                    ELSE 'latin-1' END AS enc,
+               regexp_replace(CASE WHEN doc_id % 2 = 0 THEN t0 ELSE l1 END, '\r\n?', chr(10), 'g') AS t
+        FROM (SELECT doc_id, t0, regexp_replace(t0, '[^\x{0}-\x{ff}]', '?', 'g') AS l1
+              FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, chr(10), chr(13) || chr(10))
+                                        ELSE text END AS t0 FROM documents)))""")
 def src_decode_fallback(spark, sf_dir):
-    """Document bytes (UTF-8 or Latin-1, some with CR LF) decoded with the
-    UTF-8 -> Latin-1 fallback; line ends normalised.  Checked against
-    Python's decoding in tests."""
+    """Document bytes (UTF-8 for even ids, Latin-1 with '?' for other
+    characters for odd ids, CR LF for ids divisible by 3) decoded with the
+    UTF-8 -> Latin-1 fallback; line ends normalised."""
     e = FX.encoded(spark, sf_dir)
     d = e.select("doc_id", S.decode_text(F.col("content")).alias("_d"))
     return d.select("doc_id", "_d.encoding_used", F.length("_d.text").alias("n_chars"), "_d.text")
