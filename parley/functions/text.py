@@ -26,8 +26,6 @@ AUTHOR_YEAR_CITATION = r"\([A-Z][a-z]+( et al\.)?,? \d{4}\)"
 REFERENCES_TAIL = r"(?s)\n(References|REFERENCES)\n.*"
 SPACE_RUN = r"[ \t]+"
 BLANK_LINES = r"\n{3,}"
-# A bullet or list number at the start of a line (the text start or after \n).
-LIST_MARKER = r"(^|\n)[ \t]*(•|\d+\.)[ \t]+"
 COMMENTARY_LINE = r"(?is)^[ \t]*(here('s| is) (the )?cleaned text|sure)([^a-z0-9].*)?$"
 # Fillers and stage reactions (checked per token / by literal).
 FILLER_TOKEN = r"(?i)^(u+m+|h+m+)$"

@@ -166,11 +166,23 @@ def to_frames(waves: DataFrame, samples: str = "samples", keys=(KEY, IDX)) -> Da
             .where(F.col("amp").isNotNull()))
 
 
-def rolling_rms(frames: DataFrame, keys, order: str, look: int, out: str = "level") -> DataFrame:
-    """RMS of the ``look`` previous frames of the same key (null on the first)."""
+def rolling_rms(frames: DataFrame, keys, order: str, look: int, out: str = "level",
+                block_frames: int = 65_536) -> DataFrame:
+    """RMS of the ``look`` previous frames of the same key (null on the first).
+
+    The window runs per (key, block of ``block_frames`` positions); the last
+    ``look`` frames of each block are copied into the next block as context,
+    so a long signal is spread over many tasks and every window is exact.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-look, -1)
-    return frames.withColumn(out, F.sqrt(F.avg(F.col("amp") * F.col("amp")).over(w)))
+    block_frames = max(block_frames, look)
+    blk = F.floor(F.col(order) / block_frames)
+    own = frames.withColumn("_blk", blk).withColumn("_own", F.lit(True))
+    ctx = (frames.where((F.col(order) % block_frames) >= block_frames - look)
+           .withColumn("_blk", blk + 1).withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(-look, -1)
+    both = own.unionByName(ctx).withColumn(out, F.sqrt(F.avg(F.col("amp") * F.col("amp")).over(w)))
+    return both.where("_own").drop("_blk", "_own")
 
 
 def compress_array(x: np.ndarray, threshold_db: float, ratio: float, attack_frames: float,

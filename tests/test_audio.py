@@ -127,3 +127,15 @@ def test_master_chain_equals_numpy(spark):
         out = out * (10 ** (-0.1 / 20)) / np.max(np.abs(out))
         g = np.array([got[e][t] for t in range(n)])
         assert np.allclose(g, out, atol=1e-12)
+
+
+def test_blocked_rolling_rms(spark):
+    x = RNG.normal(0, 0.4, 300)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "episode_id long, i long, amp double")
+    got = {r.i: r.level for r in A.rolling_rms(df, "episode_id", "i", 5, block_frames=16).collect()}
+    for i in range(300):
+        w = x[max(0, i - 5):i]
+        if len(w) == 0:
+            assert got[i] is None
+        else:
+            assert abs(got[i] - math.sqrt(float(np.mean(w * w)))) < 1e-12
