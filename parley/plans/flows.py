@@ -39,7 +39,10 @@ def flow_a(pages: DataFrame, complete: Completion, max_chars: int = FXV.MAX_CHAR
     """Pages -> cleaned documents (doc_id, text, n_chunks, n_fallback)."""
     docs = X.cap_document(pages, max_chars)
     chunks = materialize(X.word_chunks(docs, n=chunk_words), "chunks")
-    responses = R.complete_batches(R.clean_requests(chunks), complete, ["doc_id", "chunk_idx"])
+    # Model replies are stored right away: a retried task downstream must not
+    # call the model again and see a different answer.
+    responses = materialize(R.complete_batches(R.clean_requests(chunks), complete, ["doc_id", "chunk_idx"]),
+                            "clean_responses")
     cleaned = R.with_fallback(chunks, responses)
     return materialize(X.ordered_concat(cleaned, "doc_id", "chunk_idx", "text", FXV.CHUNK_SEPARATOR, "text",
                                         F.count("*").alias("n_chunks"),
@@ -51,7 +54,7 @@ def flow_b(transcripts: DataFrame, complete: Completion, key: str = "episode_id"
     """Transcripts -> (segments, failures): strict response handling, then the
     gated reply parser."""
     req = R.rewrite_requests(transcripts, keys=(key,))
-    responses = R.complete_batches(req, complete, [key])
+    responses = materialize(R.complete_batches(req, complete, [key]), "rewrite_responses")
     accepted, failures = R.strict_responses(responses, [key])
     segments = D.parse_replies(accepted.select(key, F.col("content").alias("reply")), key=key)
     return materialize(segments, "segments"), failures
