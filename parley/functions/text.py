@@ -41,9 +41,19 @@ def py_strip(c) -> Column:
     return F.btrim(col_(c), F.lit(PY_WHITESPACE))
 
 
+# Whitespace outside Java's ASCII ``\s`` class.
+_RARE_WS = "".join(ch for ch in PY_WHITESPACE if ch not in " \t\n\x0b\x0c\r")
+
+
 def words(c) -> Column:
-    """``str.split()``: array of words split on runs of Python whitespace."""
-    return F.filter(F.split(col_(c), WS_RUN), lambda w: w != F.lit(""))
+    r"""``str.split()``: array of words split on runs of Python whitespace.
+
+    The rare whitespace characters are first mapped to a space with
+    ``translate`` and the text is split on ASCII ``\s+``: same result as
+    splitting on the full class ``WS_RUN``, about twice as fast.
+    ``array_remove`` (code-generated) drops the empty edge strings."""
+    t = F.translate(col_(c), _RARE_WS, " " * len(_RARE_WS))
+    return F.array_remove(F.split(t, r"\s+"), "")
 
 
 def word_count(c) -> Column:
