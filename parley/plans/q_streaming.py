@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from parley.plans.q_episode import _DYN_SQL
 from parley.plans.registry import query
+from parley.sources import fixtures as FX
 from parley.sources.fixtures import CHUNK_FIXTURE_WORDS
 from parley.streaming import ingest
 
@@ -21,4 +22,5 @@ def stream_chunks(spark, sf_dir):
 def stream_episode_state(spark, sf_dir):
     """Per-episode carried state (previous successful speaker, running end)
     with applyInPandasWithState; equals the dynamic timeline."""
-    return ingest.stream_episode_state(spark, sf_dir, glob="conversations.parquet")
+    return ingest.stream_episode_state(spark, sf_dir, lambda c: FX.synth_from(FX.segments_from(c)),
+                                       glob="conversations.parquet")

@@ -22,9 +22,15 @@ def clean_file_name(path: Column) -> Column:
 def write_clean_docs(docs: DataFrame, out_dir: str, name_col: str = "file_name",
                      text_col: str = "text", mode: str = "overwrite") -> None:
     """One text output per document, partitioned by its file name
-    (``out_dir/file_name=clean_x.txt/part-*.txt``), UTF-8."""
-    (docs.select(name_col, text_col).repartition(name_col)
-     .write.mode(mode).partitionBy(name_col).option("lineSep", "").text(out_dir))
+    (``out_dir/file_name=clean_x.txt/part-*.txt``), UTF-8.
+
+    The text writer ends every row with a newline; cleaned documents end
+    with a blank line, so one trailing newline is left to the writer and
+    the file content equals the text."""
+    t = F.col(text_col)
+    body = F.when(t.endswith("\n"), F.expr(f"substring(`{text_col}`, 1, length(`{text_col}`) - 1)")).otherwise(t)
+    (docs.select(name_col, body.alias(text_col)).repartition(name_col)
+     .write.mode(mode).partitionBy(name_col).option("lineSep", "\n").text(out_dir))
 
 
 def write_segments(segments: DataFrame, out_dir: str, mode: str = "overwrite") -> None:

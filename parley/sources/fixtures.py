@@ -84,10 +84,14 @@ def responses(spark, sf_dir, chunk_df: DataFrame | None = None) -> DataFrame:
 
 
 def segments(spark, sf_dir) -> DataFrame:
-    """Dialogue segments from ``conversations``: assistant = Speaker 1,
-    user = Speaker 2, system = Speaker 3 (exercises the "anything else"
-    branch); every turn with ``turn % 5 = 2`` gains a quote and a backslash."""
-    conv = table(spark, sf_dir, "conversations")
+    return segments_from(table(spark, sf_dir, "conversations"))
+
+
+def segments_from(conv: DataFrame) -> DataFrame:
+    """Dialogue segments from conversation turns (batch or stream):
+    assistant = Speaker 1, user = Speaker 2, system = Speaker 3 (exercises
+    the "anything else" branch); every turn with ``turn % 5 = 2`` gains a
+    quote and a backslash."""
     speaker = (F.when(F.col("role") == "assistant", "Speaker 1")
                .when(F.col("role") == "user", "Speaker 2").otherwise("Speaker 3"))
     text = F.when(F.col("turn") % 5 == 2, F.concat(F.lit('He said "so\\far" '), F.col("text"))
@@ -111,9 +115,12 @@ def replies(spark, sf_dir) -> DataFrame:
 
 
 def synth(spark, sf_dir) -> DataFrame:
+    return synth_from(segments(spark, sf_dir))
+
+
+def synth_from(seg: DataFrame) -> DataFrame:
     """Synthesis results: duration 60 ms per character, every 7th fails;
     a failure is a missing reply for even (episode_id + seg_idx), else an error."""
-    seg = segments(spark, sf_dir)
     return seg.select("episode_id", "seg_idx", "speaker", "text",
                       (F.length("text") * 60).cast("long").alias("dur_ms"),
                       ((F.col("episode_id") * 31 + F.col("seg_idx")) % 7 != 0).alias("ok"),

@@ -14,7 +14,7 @@ Checkpoints and outputs live under the shared ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -76,32 +76,47 @@ def stream_text_chunks(spark: SparkSession, text_dir: str, n: int = FX.CHUNK_WOR
 # ------------------------------------------------------------ carried state
 EPISODE_OUT = ("episode_id long, seg_idx long, ok_eff boolean, prev_speaker string, "
                "xfade_ms long, end_ms long")
-EPISODE_STATE = "prev_speaker string, end_ms long, n_ok long, n_failed long"
+EPISODE_STATE = ("prev_speaker string, end_ms long, n_ok long, n_failed long, next_idx long, "
+                 "pend_idx array<long>, pend_speaker array<string>, pend_dur array<long>, pend_ok array<boolean>")
 
 
 def _episode_step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Dynamic-crossfade timeline with the state carried between batches."""
+    """Dynamic-crossfade timeline with the state carried between batches.
+
+    Turns are applied strictly in index order: a turn that arrives before
+    an earlier one waits in the state (``pend_*``) until the gap is filled,
+    so the result does not depend on how turns are split into batches.
+    """
     if state.exists:
-        prev, end, n_ok, n_failed = state.get
+        prev, end, n_ok, n_failed, nxt, p_idx, p_sp, p_dur, p_ok = state.get
+        pending = list(zip(p_idx or [], p_sp or [], p_dur or [], p_ok or []))
     else:
-        prev, end, n_ok, n_failed = None, FX.INTRO_MS, 0, 0
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seg_idx")
+        prev, end, n_ok, n_failed, nxt, pending = None, FX.INTRO_MS, 0, 0, 0, []
+    pdf = pd.concat(list(batches), ignore_index=True)
+    rows_in = {int(i): (int(i), sp, int(d), bool(o))
+               for i, sp, d, o in zip(pdf["seg_idx"], pdf["speaker"], pdf["dur_ms"], pdf["ok"])}
+    for r in pending:
+        rows_in.setdefault(int(r[0]), (int(r[0]), r[1], int(r[2]), bool(r[3])))
     same = int(min(FX.MAX_CROSSFADE_MS, FX.BASE_CROSSFADE_MS * FX.SAME_SPEAKER_FACTOR))
-    rows = []
-    for seg_idx, speaker, dur, ok in zip(pdf["seg_idx"], pdf["speaker"], pdf["dur_ms"], pdf["ok"]):
-        ok_eff = bool(ok) and dur >= FX.MIN_AMBIENCE_MS
+    out = []
+    while nxt in rows_in:
+        seg_idx, speaker, dur, ok = rows_in.pop(nxt)
+        ok_eff = ok and dur >= FX.MIN_AMBIENCE_MS
         before = prev
         if ok_eff:
             xf = FX.FIRST_CROSSFADE_MS if prev is None else (same if prev == speaker else FX.BASE_CROSSFADE_MS)
-            end = end + int(dur) - xf
+            end = end + dur - xf
             prev = speaker
             n_ok += 1
         else:
             xf = 0
             n_failed += 1
-        rows.append((int(key[0]), int(seg_idx), ok_eff, before, int(xf), int(end)))
-    state.update((prev, int(end), int(n_ok), int(n_failed)))
-    yield pd.DataFrame(rows, columns=["episode_id", "seg_idx", "ok_eff", "prev_speaker", "xfade_ms", "end_ms"])
+        out.append((int(key[0]), seg_idx, ok_eff, before, int(xf), int(end)))
+        nxt += 1
+    rest = sorted(rows_in.values())
+    state.update((prev, int(end), int(n_ok), int(n_failed), int(nxt),
+                  [r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], [r[3] for r in rest]))
+    yield pd.DataFrame(out, columns=["episode_id", "seg_idx", "ok_eff", "prev_speaker", "xfade_ms", "end_ms"])
 
 
 def episode_state_stream(synth_stream: DataFrame) -> DataFrame:
@@ -110,16 +125,16 @@ def episode_state_stream(synth_stream: DataFrame) -> DataFrame:
                                     GroupStateTimeout.NoTimeout))
 
 
-def stream_episode_state(spark: SparkSession, conversations_dir: str, glob: str = "*.parquet") -> DataFrame:
-    """Conversations arriving as Parquet -> synthesis plan -> stateful
+def stream_episode_state(spark: SparkSession, conversations_dir: str,
+                         to_synth: Callable[[DataFrame], DataFrame], glob: str = "*.parquet",
+                         max_files_per_trigger: int | None = None) -> DataFrame:
+    """Conversation turns arriving as Parquet -> ``to_synth`` (a stateless
+    mapping to episode_id, seg_idx, speaker, dur_ms, ok) -> stateful
     per-episode timeline; returns the sink contents."""
     base = _run_dir(spark, "stream-episode")
-    conv = spark.readStream.schema(CONV_SCHEMA).option("pathGlobFilter", glob).parquet(conversations_dir)
-    speaker = (F.when(F.col("role") == "assistant", "Speaker 1")
-               .when(F.col("role") == "user", "Speaker 2").otherwise("Speaker 3"))
-    text = F.when(F.col("turn") % 5 == 2, F.concat(F.lit('He said "so\\far" '), F.col("text"))).otherwise(F.col("text"))
-    synth = conv.select(F.col("conv_id").alias("episode_id"), F.col("turn").alias("seg_idx"),
-                        speaker.alias("speaker"), (F.length(text) * 60).cast("long").alias("dur_ms"),
-                        ((F.col("conv_id") * 31 + F.col("turn")) % 7 != 0).alias("ok"))
+    reader = spark.readStream.schema(CONV_SCHEMA).option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    synth = to_synth(reader.parquet(conversations_dir)).select("episode_id", "seg_idx", "speaker", "dur_ms", "ok")
     run_available(episode_state_stream(synth), f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")

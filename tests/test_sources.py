@@ -50,3 +50,53 @@ def test_stream_text_equals_batch(spark):
     batch = spark.createDataFrame(list(texts.items()), "path string, text string")
     exp = sorted((r.path, r.chunk_idx, r.text) for r in X.word_chunks(batch, n=3, key="path").collect())
     assert got == exp
+
+
+def test_episode_state_out_of_order_batches(spark):
+    """Turns split over several files (one per trigger) in scrambled order
+    give the same timeline as the batch operator."""
+    from parley.operators import episode as E
+    rows = [(e, t, "assistant" if t % 2 else "user", "w" * (15 + (e * 7 + t * 11) % 40)) for e in range(4) for t in range(7)]
+    d = tempfile.mkdtemp(prefix="parley-state-in-")
+    groups = [[r for r in rows if r[1] % 3 == k] for k in (2, 0, 1)]   # later turns first
+    for k, g in enumerate(groups):
+        spark.createDataFrame(g, "conv_id long, turn long, role string, text string") \
+            .coalesce(1).write.parquet(os.path.join(d, f"part{k}"))
+        # move the single file up so that one file is one trigger
+    files = []
+    for k in range(3):
+        sub = os.path.join(d, f"part{k}")
+        for name in os.listdir(sub):
+            if name.endswith(".parquet"):
+                files.append(os.path.join(sub, name))
+    flat = tempfile.mkdtemp(prefix="parley-state-flat-")
+    for k, f in enumerate(files):
+        os.link(f, os.path.join(flat, f"{k:02d}.parquet"))
+        os.utime(os.path.join(flat, f"{k:02d}.parquet"), (1_000_000 + k, 1_000_000 + k))
+    from parley.sources import fixtures as FX
+    to_synth = lambda c: FX.synth_from(FX.segments_from(c))
+    got = ingest.stream_episode_state(spark, flat, to_synth, max_files_per_trigger=1)
+    got = {(r.episode_id, r.seg_idx): (r.ok_eff, r.prev_speaker, r.xfade_ms, r.end_ms) for r in got.collect()}
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    synth = to_synth(conv)
+    exp = {(r.episode_id, r.seg_idx): (r.ok_eff, r.prev_speaker, r.xfade_ms, r.end_ms)
+           for r in E.timeline_dynamic(synth).collect()}
+    assert got == exp
+
+
+def test_writers(spark):
+    from parley.sinks import writers as W
+    out = tempfile.mkdtemp(prefix="parley-sink-")
+    docs = spark.createDataFrame([("in/a.pdf", "first\n\n"), ("in/b.PDF", "second\n\n")], "path string, text string")
+    W.write_clean_docs(docs.select(W.clean_file_name(F.col("path")).alias("file_name"), "text"), out + "/clean")
+    names = sorted(os.listdir(out + "/clean"))
+    assert "file_name=clean_a.txt" in names and "file_name=clean_b.txt" in names
+    import glob
+    files = glob.glob(out + "/clean/file_name=clean_a.txt/*.txt")
+    assert len(files) == 1
+    with open(files[0], encoding="utf-8") as f:
+        assert f.read() == "first\n\n"
+    seg = spark.createDataFrame([(1, 0, "Speaker 1", ""), (1, 1, "Speaker 2", "x")],
+                                "episode_id long, seg_idx long, speaker string, text string")
+    W.write_segments(seg, out + "/seg")
+    assert spark.read.parquet(out + "/seg").count() == 1
