@@ -103,28 +103,40 @@ def complete_batches(requests: DataFrame, fn: Callable[[pd.DataFrame], pd.Series
     """Apply ``fn`` to Arrow batches of requests and return (keys, status, body).
 
     ``fn`` gets a pandas frame with the request columns and returns the
-    reply contents as a Series (None for no reply).  A batch that raises is
-    turned into status-599 rows carrying the error text, so one bad batch
-    never fails the job.  Parallelism is the partition count of ``requests``.
+    reply contents as a Series (None for no reply).  When a batch raises,
+    its rows are retried one by one and the rows that still raise become
+    status-599 rows carrying the error text, so one bad request never fails
+    the job or its neighbours.  Parallelism is the partition count of
+    ``requests``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                            for f in requests.schema.fields if f.name in keys)
     schema = out_schema or f"{key_schema}, {RESPONSE_SCHEMA}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replies(pdf: pd.DataFrame) -> tuple[list, list]:
         import json
+        try:
+            content = list(fn(pdf))
+            return ([200 if c is not None else 204 for c in content],
+                    [json.dumps({"choices": [{"message": {"content": c}}]}) if c is not None else ""
+                     for c in content])
+        except Exception as exc:
+            if len(pdf) == 1:
+                return [599], [json.dumps({"error": str(exc)[:1000]})]
+            status, body = [], []
+            for i in range(len(pdf)):        # isolate the failing requests
+                s, b = replies(pdf.iloc[i:i + 1])
+                status += s
+                body += b
+            return status, body
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf[keys].copy()
-            try:
-                content = pd.Series(fn(pdf), index=pdf.index)
-                out["status"] = content.map(lambda c: 200 if c is not None else 204).astype("int32")
-                out["body"] = content.map(
-                    lambda c: json.dumps({"choices": [{"message": {"content": c}}]}) if c is not None else "")
-            except Exception as exc:   # error rows instead of a failed task
-                out["status"] = 599
-                out["status"] = out["status"].astype("int32")
-                out["body"] = json.dumps({"error": str(exc)[:1000]})
+            status, body = replies(pdf)
+            out["status"] = pd.Series(status, index=pdf.index, dtype="int32")
+            out["body"] = pd.Series(body, index=pdf.index, dtype="object")
             yield out
 
     return requests.mapInPandas(run, schema)

@@ -128,3 +128,25 @@ def test_overlap_join_equals_all_pairs(spark):
     exp = sorted((1, a[1], b[1], min(a[3], b[3]) - max(a[2], b[2])) for a in iv for b in iv
                  if a[1] < b[1] and a[2] < b[3] and b[2] < a[3])
     assert got == exp
+
+
+def test_hot_episode_default_blocks(spark):
+    """One episode far larger than a block (default block size) next to
+    small ones: the blocked timeline equals the loop."""
+    n = 10_000
+    rows = [(0, i, "Speaker 1" if (i // 3) % 2 else "Speaker 2", 900 + (i * 37) % 400, i % 5 != 0, None)
+            for i in range(n)]
+    rows += [(e, i, "Speaker 1", 1200, True, None) for e in (1, 2) for i in range(3)]
+    df = spark.createDataFrame(rows, "episode_id long, seg_idx long, speaker string, dur_ms long, "
+                                     "ok boolean, fail_kind string")
+    got = {(r.episode_id, r.seg_idx): r.end_ms for r in E.timeline_dynamic(df).collect()}
+    exp, prev, total, last_e = {}, None, 2000, None
+    for e, i, sp, dur, ok, _ in rows:
+        if e != last_e:
+            prev, total, last_e = None, 2000, e
+        if ok and dur >= 1000:
+            xf = 500 if prev is None else (450 if prev == sp else 300)
+            total += dur - xf
+            prev = sp
+        exp[(e, i)] = total
+    assert got == exp
