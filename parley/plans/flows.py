@@ -82,7 +82,7 @@ _PLAN_CTES = {
 
 
 @query("flow_episode_plan", f"""
-    SELECT episode_id, count(*) AS n_segments, count_if(ok_eff) AS n_ok, max(end_ms) AS duration_ms
+    SELECT episode_id, count(*) AS n_segments, CAST(count_if(ok_eff) AS BIGINT) AS n_ok, max(end_ms) AS duration_ms
     FROM ({_DYN_SQL.replace("FROM f_synth", "FROM q_plan_synth")})
     GROUP BY episode_id""", _PLAN_CTES)
 def flow_episode_plan(spark, sf_dir):

@@ -169,7 +169,8 @@ def aud_compress(spark, sf_dir):
 
 _PLACE_SQL = f"""
     SELECT episode_id, seg_idx, len(samples) AS n,
-           coalesce(sum(len(samples) - {XF}) OVER (PARTITION BY episode_id ORDER BY seg_idx {W_BEFORE}), 0) AS start,
+           CAST(coalesce(sum(len(samples) - {XF}) OVER (PARTITION BY episode_id ORDER BY seg_idx {W_BEFORE}), 0)
+               AS BIGINT) AS start,
            seg_idx > 0 AS has_prev, seg_idx < max(seg_idx) OVER (PARTITION BY episode_id) AS has_next
     FROM f_wave"""
 _XF_SQL = f"""

@@ -179,9 +179,9 @@ def flt_dialogue_lines(spark, sf_dir):
 
 @query("win_speaker_runs", """
     SELECT episode_id, seg_idx, speaker, coalesce(prev = speaker, false) AS is_repeat,
-           sum(CASE WHEN coalesce(prev = speaker, false) THEN 0 ELSE 1 END)
+           CAST(sum(CASE WHEN coalesce(prev = speaker, false) THEN 0 ELSE 1 END)
                OVER (PARTITION BY episode_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-               - 1 AS run_id
+               - 1 AS BIGINT) AS run_id
     FROM (SELECT *, lag(speaker) OVER (PARTITION BY episode_id ORDER BY seg_idx) AS prev
           FROM (SELECT episode_id, seg_idx, CASE WHEN speaker = 'Speaker 1' THEN speaker ELSE 'Speaker 2' END AS speaker
                 FROM f_segments))""")

@@ -96,8 +96,8 @@ def win_prev_speaker(spark, sf_dir):
 @query("win_position", f"""
     SELECT episode_id, seg_idx,
            row_number() OVER (PARTITION BY episode_id ORDER BY seg_idx) - 1 AS pos,
-           CASE WHEN ok THEN sum(CASE WHEN ok THEN 1 ELSE 0 END)
-                OVER (PARTITION BY episode_id ORDER BY seg_idx {W_UPTO}) - 1 END AS ok_pos,
+           CAST(CASE WHEN ok THEN sum(CASE WHEN ok THEN 1 ELSE 0 END)
+                OVER (PARTITION BY episode_id ORDER BY seg_idx {W_UPTO}) - 1 END AS BIGINT) AS ok_pos,
            'Processing segment ' || CAST(row_number() OVER (PARTITION BY episode_id ORDER BY seg_idx) AS VARCHAR)
                || '/' || CAST(count(*) OVER (PARTITION BY episode_id) AS VARCHAR) AS label
     FROM f_synth""")
@@ -115,7 +115,7 @@ def win_position(spark, sf_dir):
 
 
 @query("agg_cardinality", """
-    SELECT episode_id, count(*) AS n_segments, count_if(speaker = 'Speaker 1') AS n_speaker1,
+    SELECT episode_id, count(*) AS n_segments, CAST(count_if(speaker = 'Speaker 1') AS BIGINT) AS n_speaker1,
            CAST(sum(length(text)) AS BIGINT) AS n_chars
     FROM f_segments GROUP BY episode_id""")
 def agg_cardinality(spark, sf_dir):
@@ -128,9 +128,10 @@ def agg_cardinality(spark, sf_dir):
 @query("agg_run_counts", """
     SELECT episode_id, n_total, n_ok, n_failed, n_ok_openai, n_failed_openai,
            n_total - n_ok_openai - n_failed_openai AS n_uncounted_openai
-    FROM (SELECT episode_id, count(*) AS n_total, count_if(ok) AS n_ok, count_if(NOT ok) AS n_failed,
-                 count_if(ok AND dur_ms >= 1000) AS n_ok_openai,
-                 count_if((NOT ok AND fail_kind = 'error') OR (ok AND dur_ms < 1000)) AS n_failed_openai
+    FROM (SELECT episode_id, count(*) AS n_total, CAST(count_if(ok) AS BIGINT) AS n_ok,
+                 CAST(count_if(NOT ok) AS BIGINT) AS n_failed,
+                 CAST(count_if(ok AND dur_ms >= 1000) AS BIGINT) AS n_ok_openai,
+                 CAST(count_if((NOT ok AND fail_kind = 'error') OR (ok AND dur_ms < 1000)) AS BIGINT) AS n_failed_openai
           FROM f_synth GROUP BY episode_id)""")
 def agg_run_counts(spark, sf_dir):
     return E.run_counts(FX.synth(spark, sf_dir))
@@ -287,12 +288,12 @@ def math_clip(spark, sf_dir):
 @query("sink_manifest", f"""
     SELECT episode_id, 'openai' AS provider, '_podcast.mp3' AS file_name, 'mp3' AS format, '192k' AS bitrate,
            'AI Generated Podcast' AS title, 'OpenAI TTS' AS artist, 'AI Podcasts' AS album,
-           '{RUN_DATE}' AS date, n_ok FROM (SELECT episode_id, count_if(ok AND dur_ms >= 1000) AS n_ok
+           '{RUN_DATE}' AS date, n_ok FROM (SELECT episode_id, CAST(count_if(ok AND dur_ms >= 1000) AS BIGINT) AS n_ok
                                             FROM f_synth GROUP BY episode_id) WHERE n_ok > 0
     UNION ALL
     SELECT episode_id, provider, CASE provider WHEN 'eleven' THEN 'final_podcast.mp3' ELSE '_podcast.mp3' END,
            'mp3', '192k', NULL, NULL, NULL, NULL, n_ok
-    FROM (SELECT episode_id, count_if(ok) AS n_ok FROM f_synth GROUP BY episode_id)
+    FROM (SELECT episode_id, CAST(count_if(ok) AS BIGINT) AS n_ok FROM f_synth GROUP BY episode_id)
          CROSS JOIN (VALUES ('bark'), ('eleven')) p(provider)
     WHERE n_ok > 0""")
 def sink_manifest(spark, sf_dir):

@@ -86,7 +86,7 @@ def str_prompt_render(spark, sf_dir):
            CAST(json_extract_string(p, '$.temperature') AS DOUBLE) AS temperature,
            CAST(json_extract_string(p, '$.max_tokens') AS BIGINT) AS max_tokens,
            json_exists(p, '$.stream') AS has_stream,
-           json_array_length(p, '$.messages') AS n_messages,
+           CAST(json_array_length(p, '$.messages') AS BIGINT) AS n_messages,
            json_extract_string(p, '$.messages[1].content') AS user_content
     FROM (SELECT doc_id, chunk_idx,
                  json_object('messages', json_array(json_object('role', 'system', 'content', {lit(FXV.CLEAN_SYSTEM_PROMPT)}),

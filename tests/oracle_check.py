@@ -18,6 +18,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "int": "INTEGER", "date": "DATE", "binary": "BLOB"}
+
+
 def duck(sf_dir: str):
     import duckdb
     con = duckdb.connect()
@@ -65,12 +69,18 @@ def compare(spark, con, name: str, sf_dir: str) -> dict:
         return res
     rel = con.sql(sql)
     d_cols = list(rel.columns)
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in sdf.schema.fields}
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     d_rows_raw = rel.fetchall()
     idx = {c: i for i, c in enumerate(d_cols)}
     res["duck_rows"] = len(d_rows_raw)
     if sorted(d_cols) != s_cols:
         res["status"] = f"COLUMNS spark={s_cols} duck={sorted(d_cols)}"
         return res
+    if s_types != d_types:
+        res["status"] = f"TYPES spark={s_types} duck={d_types}"
+        return res
     d_rows = [tuple(r[idx[c]] for c in s_cols) for r in d_rows_raw]
     ok = len(d_rows) == len(s_rows) and digest(d_rows) == digest(s_rows)
     res["status"] = "match" if ok else "MISMATCH"
