@@ -49,9 +49,10 @@ def apply_gain(samples: Column, gain: Column) -> Column:
 
 
 def normalise(samples: Column) -> Column:
-    """Scale to a peak of -0.1 dBFS; silent input is returned unchanged."""
+    """Scale to a peak of -0.1 dBFS; silent input is returned unchanged.
+    ``(x / peak) * headroom`` stays finite even for a subnormal peak."""
     p = peak(samples)
-    return F.when(p > 0, apply_gain(samples, F.lit(HEADROOM) / p)).otherwise(samples)
+    return F.when(p > 0, F.transform(samples, lambda x: (x / p) * F.lit(HEADROOM))).otherwise(samples)
 
 
 def quantise(x: Column) -> Column:
@@ -327,7 +328,7 @@ def normalise_frames(frames: DataFrame, keys) -> DataFrame:
     keys = [keys] if isinstance(keys, str) else list(keys)
     pk = frames.groupBy(*keys).agg(F.max(F.abs("amp")).alias("_peak"))
     d = frames.join(pk, keys)
-    return d.withColumn("amp", F.when(F.col("_peak") > 0, F.col("amp") * F.lit(HEADROOM) / F.col("_peak"))
+    return d.withColumn("amp", F.when(F.col("_peak") > 0, (F.col("amp") / F.col("_peak")) * F.lit(HEADROOM))
                         .otherwise(F.col("amp"))).drop("_peak")
 
 

@@ -71,7 +71,7 @@ def agg_peak(spark, sf_dir):
 
 @query("aud_normalise", f"""
     SELECT f.episode_id, f.seg_idx, f.i,
-           round(CASE WHEN p.peak > 0 THEN f.amp * ({H}::DOUBLE / p.peak) ELSE f.amp END, 6) AS amp
+           round(CASE WHEN p.peak > 0 THEN (f.amp / p.peak) * {H}::DOUBLE ELSE f.amp END, 6) AS amp
     FROM f_frames f JOIN (SELECT episode_id, seg_idx, max(abs(amp)) AS peak FROM f_frames GROUP BY ALL) p
       ON f.episode_id = p.episode_id AND f.seg_idx = p.seg_idx""")
 def aud_normalise(spark, sf_dir):
@@ -333,7 +333,7 @@ _SEG_ATT, _SEG_REL = _ATT * _SR / 1000, _REL * _SR / 1000
 _SEG_CHAIN_SQL = f"""
     WITH RECURSIVE nrm AS (
         SELECT f.episode_id, f.seg_idx, f.i, f.speaker,
-               CASE WHEN p.peak > 0 THEN f.amp * ({H}::DOUBLE / p.peak) ELSE f.amp END AS x
+               CASE WHEN p.peak > 0 THEN (f.amp / p.peak) * {H}::DOUBLE ELSE f.amp END AS x
         FROM f_frames f JOIN (SELECT episode_id, seg_idx, max(abs(amp)) AS peak FROM f_frames GROUP BY ALL) p
           ON f.episode_id = p.episode_id AND f.seg_idx = p.seg_idx),
     {_rec_filter("lp", "nrm", "episode_id, seg_idx", "low", _SR)},
@@ -352,7 +352,7 @@ _MASTER_SQL = f"""
              ON m.episode_id = n.episode_id),
     {_rec_compress("mc", "fd", "episode_id", _M_THR, _M_RATIO, _M_ATT_F, _M_REL_F, max(int(round(_M_ATT_F)), 1), "t")},
     out AS (SELECT episode_id, t, x * pow(10.0, -att / 20) AS y FROM mc)
-    SELECT o.episode_id, o.t, round(CASE WHEN p.peak > 0 THEN o.y * ({H}::DOUBLE / p.peak) ELSE o.y END, 6) AS amp
+    SELECT o.episode_id, o.t, round(CASE WHEN p.peak > 0 THEN (o.y / p.peak) * {H}::DOUBLE ELSE o.y END, 6) AS amp
     FROM out o JOIN (SELECT episode_id, max(abs(y)) AS peak FROM out GROUP BY episode_id) p
       ON o.episode_id = p.episode_id"""
 
