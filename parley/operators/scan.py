@@ -2,14 +2,15 @@
 totals) that stay parallel when one group is huge.
 
 A plain ``Window.partitionBy(key)`` puts a whole group into one task.  Here
-rows are cut into blocks of ``block_rows`` consecutive positions.  One
-window pass over (key, block) gives the local scans and the block
-aggregates; the block aggregates (``rows / block_rows`` values per key) are
-scanned per key, and the carry is joined back on (key, block).  The input
-is shuffled once, on (key, block), and every later step reuses that
-partitioning, so a key holding a third of all rows is spread over many
-tasks.  ``order`` should be a dense 0-based integer index within the key
-(other integer orders are correct but may give uneven blocks).
+rows are cut into blocks of ``block_rows`` consecutive positions.  A window
+over (key, block) gives the local scans; block aggregates are computed from
+the input with map-side partial aggregation; the block aggregates
+(``rows / block_rows`` values per key) are scanned per key, and the carry
+is joined back on (key, block), reusing the partitioning of the window
+output.  The full rows are shuffled once, so a key holding a third of all
+rows is spread over many tasks.  ``order`` should be a dense 0-based
+integer index within the key (other integer orders are correct but may
+give uneven blocks).
 """
 
 from __future__ import annotations
@@ -56,29 +57,25 @@ def blocked_scan(df: DataFrame, part, order: str, *,
 
     w_incl = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     w_excl = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding,
-                                                                     Window.unboundedFollowing)
     local, block_aggs = [], []
     for i, (out, (_, inclusive)) in enumerate(sums.items()):
         v = f"_sv{i}"
         zero = F.lit(0).cast(d.schema[v].dataType)
         local.append(F.coalesce(F.sum(v).over(w_incl if inclusive else w_excl), zero).alias(f"_sl{i}"))
-        block_aggs.append(F.coalesce(F.sum(v).over(w_all), zero).alias(f"_sb{i}"))
+        block_aggs.append(F.coalesce(F.sum(v), zero).alias(f"_sb{i}"))
     for i in range(len(prev_non_null)):
         v = f"_lv{i}"
         local.append(F.last(v, ignorenulls=True).over(w_excl).alias(f"_ll{i}"))
-        block_aggs.append(F.last(v, ignorenulls=True).over(w_all).alias(f"_lb{i}"))
+        # value of the last row that has one; max_by ignores null orderings
+        block_aggs.append(F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_lb{i}"))
     for i in range(len(totals)):
         v = f"_tv{i}"
-        zero = F.lit(0).cast(d.schema[v].dataType)
-        block_aggs.append(F.coalesce(F.sum(v).over(w_all), zero).alias(f"_tb{i}"))
-    # One Window operator over the single (key, block) exchange.
-    win = d.select("*", *local, *block_aggs)
-
-    # Block table: one row per (key, block); the aggregate reuses the
-    # (key, block) partitioning of the window output.
-    bcols = [c for c in win.columns if c.startswith(("_sb", "_lb", "_tb"))]
-    blocks = win.groupBy(*keys, _B).agg(*[F.first(c).alias(c) for c in bcols])
+        block_aggs.append(F.coalesce(F.sum(v), F.lit(0).cast(d.schema[v].dataType)).alias(f"_tb{i}"))
+    # The full rows are shuffled once, on (key, block), for the local window.
+    win = d.select("*", *local)
+    # Block aggregates come straight from the input with map-side partial
+    # aggregation, so their shuffle carries about one row per block and task.
+    blocks = d.groupBy(*keys, _B).agg(*block_aggs)
     w_prev = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     w_key = Window.partitionBy(*keys)
     carry = [*keys, _B]

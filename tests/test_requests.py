@@ -3,7 +3,6 @@
 import json
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from parley.functions import fixed as FXV
 from parley.operators import requests as R
