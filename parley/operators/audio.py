@@ -280,14 +280,18 @@ def crossfade_gain(i: Column, n: Column, c: int, has_prev: Column, has_next: Col
 def place_segments(waves: DataFrame, crossfade: int) -> DataFrame:
     """Episode start frame of each segment when appended in order with a
     ``crossfade``-frame overlap (prefix sum of ``n - crossfade``); adds
-    n, start, has_prev, has_next."""
-    d = waves.withColumn("n", F.size("samples").cast("long"))
+    n, start, has_prev, has_next.
+
+    The scan runs on (episode, segment, length) only and is joined back by
+    (episode, segment); when that table is small at run time AQE broadcasts
+    it, so the sample arrays are not shuffled for the placement."""
+    meta = waves.select(KEY, IDX, F.size("samples").cast("long").alias("n"))
     one = F.lit(1).cast("long")
-    d = blocked_scan(d, KEY, IDX, sums={"start": (F.col("n") - crossfade, False), "_pos": (one, True)},
-                     totals={"_cnt": one})
-    return (d.withColumn("has_prev", F.col("_pos") > 1)
-            .withColumn("has_next", F.col("_pos") < F.col("_cnt"))
-            .drop("_pos", "_cnt"))
+    meta = blocked_scan(meta, KEY, IDX, sums={"start": (F.col("n") - crossfade, False), "_pos": (one, True)},
+                        totals={"_cnt": one})
+    meta = meta.select(KEY, IDX, "n", "start", (F.col("_pos") > 1).alias("has_prev"),
+                       (F.col("_pos") < F.col("_cnt")).alias("has_next"))
+    return waves.join(meta, [KEY, IDX])
 
 
 def crossfaded_frames(waves: DataFrame, crossfade: int) -> DataFrame:
