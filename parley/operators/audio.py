@@ -64,6 +64,22 @@ def silence(n_frames: Column) -> Column:
     return F.array_repeat(F.lit(0.0), n_frames)
 
 
+def silence_frames(episodes: DataFrame, n_frames: int, rows_per_partition: int = 4_000_000) -> DataFrame:
+    """``(episode_id, t, amp=0.0, n)`` for ``n_frames`` frames of silence per episode.
+
+    The explode multiplies rows by ``n_frames`` after whatever small shuffle
+    produced ``episodes`` (where AQE may have coalesced to a single
+    partition), so the episode keys are first spread over enough partitions
+    for the frames they will produce (one count of the keys)."""
+    eps = episodes.select(KEY)
+    n_eps = eps.count()
+    parts = max(1, -(-n_eps * n_frames // rows_per_partition),
+                episodes.sparkSession.sparkContext.defaultParallelism)
+    return (eps.repartition(parts, KEY)
+            .select(KEY, F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))).alias("t"),
+                    F.lit(0.0).alias("amp"), F.lit(n_frames).alias("n")))
+
+
 def slices(samples: Column, frames: int) -> Column:
     """Consecutive slices of ``frames`` samples (the last may be short)."""
     n = F.size(samples)
@@ -347,7 +363,8 @@ def looped_overlay(frames: DataFrame, tone: DataFrame, gain: Column, order: str
 
 def ambience_bed(base: DataFrame, tone: DataFrame, volume_db: float,
                  slice_frames: int = FX.ROOM_SLICE_MS, xfade: int = FX.ROOM_SLICE_CROSSFADE_MS,
-                 jitter_db: float = FX.ROOM_JITTER_DB, order: str = "t") -> DataFrame:
+                 jitter_db: float = FX.ROOM_JITTER_DB, order: str = "t",
+                 length_col: str | None = None) -> DataFrame:
     """Room ambience over ``base(episode_id, t, amp)``.
 
     The tone is looped over the base length and cut into whole slices of
@@ -356,12 +373,18 @@ def ambience_bed(base: DataFrame, tone: DataFrame, volume_db: float,
     are joined with ``xfade``-frame crossfades, so the bed is
     ``S*slice - (S-1)*xfade`` frames long and the end of the base gets
     none.  Each base frame takes at most two slice contributions, looked up
-    with two broadcast joins (no shuffle).
+    with two broadcast joins (no shuffle).  The base length per episode is
+    read from ``length_col`` when the caller knows it (e.g. the timeline
+    end); otherwise it is a grouped max joined back.
     """
     n_tone = tone.count()
     tb = bounded_broadcast(tone)
-    total = base.groupBy(KEY).agg((F.max(order) + 1).alias("_n"))
-    d = base.join(total, KEY).withColumn("_S", F.floor(F.col("_n") / slice_frames))
+    if length_col:
+        d = base.withColumn("_n", F.col(length_col))
+    else:
+        total = base.groupBy(KEY).agg((F.max(order) + 1).alias("_n"))
+        d = base.join(total, KEY)
+    d = d.withColumn("_S", F.floor(F.col("_n") / slice_frames))
     step = slice_frames - xfade
     d = d.withColumn("_s1", F.floor(F.col(order) / step))
 

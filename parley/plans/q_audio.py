@@ -244,9 +244,8 @@ def aud_ambience(spark, sf_dir):
     """Room-tone intro: 2,000 ms of silence with ambience at -45 dB (two
     1-second slices, per-slice keyed jitter, 50 ms crossfade)."""
     eps = FX.segments(spark, sf_dir).select("episode_id").distinct()
-    base = eps.select("episode_id", F.explode(F.sequence(F.lit(0), F.lit(FXV.INTRO_MS - 1))).alias("t"),
-                      F.lit(0.0).alias("amp"))
-    o = A.ambience_bed(base, FX.tone(spark), FXV.INTRO_ROOM_VOLUME_DB)
+    base = A.silence_frames(eps, FXV.INTRO_MS)
+    o = A.ambience_bed(base, FX.tone(spark), FXV.INTRO_ROOM_VOLUME_DB, length_col="n").drop("n")
     return o.select("episode_id", "t", F.round("amp", 9).alias("amp"))
 
 
