@@ -204,8 +204,10 @@ def win_speaker_runs(spark, sf_dir):
 def udtf_parse_reply(spark, sf_dir):
     """The reply parser as a Python table function used with LATERAL; it
     validates every line before yielding, so it gates like the column form."""
+    import uuid
     from parley.operators.udtf import register_parse_reply
     register_parse_reply(spark)
-    FX.replies(spark, sf_dir).createOrReplaceTempView("parley_replies")
-    return spark.sql("SELECT r.episode_id, p.seg_idx, p.speaker, p.text "
-                     "FROM parley_replies r, LATERAL parse_reply(r.reply) p")
+    view = f"parley_replies_{uuid.uuid4().hex}"
+    FX.replies(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT r.episode_id, p.seg_idx, p.speaker, p.text "
+                     f"FROM {view} r, LATERAL parse_reply(r.reply) p")

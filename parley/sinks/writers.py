@@ -20,13 +20,20 @@ def clean_file_name(path: Column) -> Column:
 
 
 def write_clean_docs(docs: DataFrame, out_dir: str, name_col: str = "file_name",
-                     text_col: str = "text", mode: str = "overwrite") -> None:
-    """One text output per document, partitioned by its file name
-    (``out_dir/file_name=clean_x.txt/part-*.txt``), UTF-8.
-
-    The text writer ends every row with a newline; cleaned documents end
-    with a blank line, so one trailing newline is left to the writer and
-    the file content equals the text."""
+                     text_col: str = "text", mode: str = "overwrite", per_file: bool = False) -> None:
+    """Cleaned documents.
+
+    By default one Parquet table ``(file_name, text)``: millions of
+    documents must not become millions of directories.  With
+    ``per_file=True`` (small sets) every document becomes its own UTF-8
+    text output, partitioned by file name
+    (``out_dir/file_name=clean_x.txt/part-*.txt``).  The text writer ends
+    every row with a newline; cleaned documents end with a blank line, so
+    one trailing newline is left to the writer and the file content equals
+    the text."""
+    if not per_file:
+        docs.select(name_col, text_col).write.mode(mode).parquet(out_dir)
+        return
     t = F.col(text_col)
     body = F.when(t.endswith("\n"), F.expr(f"substring(`{text_col}`, 1, length(`{text_col}`) - 1)")).otherwise(t)
     (docs.select(name_col, body.alias(text_col)).repartition(name_col)

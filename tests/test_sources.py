@@ -88,7 +88,10 @@ def test_writers(spark):
     from parley.sinks import writers as W
     out = tempfile.mkdtemp(prefix="parley-sink-")
     docs = spark.createDataFrame([("in/a.pdf", "first\n\n"), ("in/b.PDF", "second\n\n")], "path string, text string")
-    W.write_clean_docs(docs.select(W.clean_file_name(F.col("path")).alias("file_name"), "text"), out + "/clean")
+    named = docs.select(W.clean_file_name(F.col("path")).alias("file_name"), "text")
+    W.write_clean_docs(named, out + "/table")
+    assert sorted(r.file_name for r in spark.read.parquet(out + "/table").collect()) == ["clean_a.txt", "clean_b.txt"]
+    W.write_clean_docs(named, out + "/clean", per_file=True)
     names = sorted(os.listdir(out + "/clean"))
     assert "file_name=clean_a.txt" in names and "file_name=clean_b.txt" in names
     import glob
