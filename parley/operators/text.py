@@ -27,7 +27,10 @@ def ordered_concat(df: DataFrame, keys, order: str, value: str, suffix: str, out
     """Per key: ``''.join(v + suffix for v in values ordered by order)``.
 
     ``collect_list`` order is not defined, so the (order, value) structs are
-    sorted before joining.
+    sorted before joining.  Lists are built map-side (partial aggregation)
+    and merged per key.  The result is one string per key, so a group can
+    never hold more than fits in one row: the group is bounded by its output,
+    which is the document or reply being rebuilt.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
