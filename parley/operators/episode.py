@@ -107,6 +107,13 @@ def pacing(segments: DataFrame) -> DataFrame:
             .withColumn("fixed_start_s", F.col(IDX).cast("double") * F.lit(FX.SEGMENT_PACE_S)).drop("_w"))
 
 
+def chunk_pacing(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_idx") -> DataFrame:
+    """Earliest cleaning request time of each chunk under the 0.1 s wait
+    after every call (model time excluded); adds clean_start_s."""
+    n = running_sum(chunks, key, order, F.lit(1).cast("long"), "_n", inclusive=False)
+    return n.withColumn("clean_start_s", F.col("_n") * F.lit(FX.CLEAN_PACE_S)).drop("_n")
+
+
 def run_counts(synth: DataFrame) -> DataFrame:
     """Success / failure counters per episode and provider variant.
 

@@ -206,6 +206,17 @@ def win_pacing(spark, sf_dir):
     return E.pacing(s).select("episode_id", "seg_idx", "openai_start_s", "fixed_start_s")
 
 
+@query("win_pacing_chunks", f"""
+    SELECT doc_id, chunk_idx,
+           CAST(coalesce(count(*) OVER (PARTITION BY doc_id ORDER BY chunk_idx {W_BEFORE}), 0) AS DOUBLE)
+               * 0.1::DOUBLE AS clean_start_s
+    FROM f_chunks""")
+def win_pacing_chunks(spark, sf_dir):
+    """Pacing of the cleaning calls: 0.1 s after every chunk, in order."""
+    c = FX.chunks(spark, sf_dir).select("doc_id", "chunk_idx")
+    return E.chunk_pacing(c).select("doc_id", "chunk_idx", "clean_start_s")
+
+
 @query("join_overlap_intervals", f"""
     WITH t AS (SELECT episode_id, seg_idx, start_ms, end_ms FROM ({_DYN_SQL}) WHERE end_ms > start_ms)
     SELECT a.episode_id, a.seg_idx AS a_seg_idx, b.seg_idx AS b_seg_idx,
