@@ -26,9 +26,11 @@ def _messages(system_prompt: str, user: Column) -> Column:
         F.struct(F.lit("user").alias("role"), user.alias("content")))
 
 
-def clean_requests(chunks: DataFrame, keys=("doc_id", "chunk_idx"), text: str = "text") -> DataFrame:
-    """One cleaning request per chunk (temperature 0.3, 2,000 tokens, no stream key)."""
-    return chunks.select(*keys,
+def clean_requests(chunks: DataFrame, keys=("doc_id", "chunk_idx"), text: str = "text",
+                   keep=()) -> DataFrame:
+    """One cleaning request per chunk (temperature 0.3, 2,000 tokens, no
+    stream key); ``keep`` lists extra chunk columns to carry along."""
+    return chunks.select(*keys, *keep,
                          _messages(FX.CLEAN_SYSTEM_PROMPT,
                                    F.concat(F.lit(FX.CLEAN_USER_PREFIX), F.col(text))).alias("messages"),
                          F.lit(FX.CLEAN_TEMPERATURE).alias("temperature"),
@@ -67,16 +69,24 @@ def response_content(body: Column | str) -> Column:
     return F.get_json_object(b, CONTENT_PATH)
 
 
+def apply_fallback(df: DataFrame, keys=("doc_id", "chunk_idx"), text: str = "text") -> DataFrame:
+    """Row-wise fallback on a table holding the chunk text and its response
+    (status, body; null when there is none).  Status 200 with content gives
+    the stripped content; anything else keeps the chunk text.
+    Output: keys, text, used_fallback."""
+    content = F.when(F.col("status") == FX.OK_STATUS, T.py_strip(response_content("body")))
+    return df.select(*keys, F.coalesce(content, F.col(text)).alias(text),
+                     content.isNull().alias("used_fallback"))
+
+
 def with_fallback(chunks: DataFrame, responses: DataFrame, keys=("doc_id", "chunk_idx"),
                   text: str = "text") -> DataFrame:
-    """Chunk joined to its response (left join, one to one).  Status 200 with
-    content gives the stripped content; anything else keeps the chunk text.
-    Output: keys, text, used_fallback."""
+    """Chunk joined to its response (left join, one to one), then
+    :func:`apply_fallback`.  For responses produced by
+    :func:`complete_batches` with the text passed through, call
+    ``apply_fallback`` directly and skip the join."""
     keys = list(keys)
-    j = chunks.join(responses, keys, "left")
-    content = F.when(F.col("status") == FX.OK_STATUS, T.py_strip(response_content("body")))
-    return j.select(*keys, F.coalesce(content, F.col(text)).alias(text),
-                    content.isNull().alias("used_fallback"))
+    return apply_fallback(chunks.join(responses, keys, "left"), keys, text)
 
 
 def strict_responses(responses: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
@@ -99,19 +109,22 @@ RESPONSE_SCHEMA = "status int, body string"
 
 
 def complete_batches(requests: DataFrame, fn: Callable[[pd.DataFrame], pd.Series],
-                     keys, *, out_schema: str | None = None) -> DataFrame:
+                     keys, *, passthrough=(), out_schema: str | None = None) -> DataFrame:
     """Apply ``fn`` to Arrow batches of requests and return (keys, status, body).
 
     ``fn`` gets a pandas frame with the request columns and returns the
-    reply contents as a Series (None for no reply).  When a batch raises,
+    reply contents as a Series (None for no reply).  ``passthrough``
+    columns are copied to the output, so a caller can keep e.g. the chunk
+    text next to its reply instead of joining it back later.  When a batch raises,
     its rows are retried one by one and the rows that still raise become
     status-599 rows carrying the error text, so one bad request never fails
     the job or its neighbours.  Parallelism is the partition count of
     ``requests``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
-                           for f in requests.schema.fields if f.name in keys)
+    keep = keys + [c for c in passthrough if c not in keys]
+    by_name = {f.name: f for f in requests.schema.fields}
+    key_schema = ", ".join(f"{c} {by_name[c].dataType.simpleString()}" for c in keep)
     schema = out_schema or f"{key_schema}, {RESPONSE_SCHEMA}"
 
     def replies(pdf: pd.DataFrame) -> tuple[list, list]:
@@ -133,7 +146,7 @@ def complete_batches(requests: DataFrame, fn: Callable[[pd.DataFrame], pd.Series
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pdf[keys].copy()
+            out = pdf[keep].copy()
             status, body = replies(pdf)
             out["status"] = pd.Series(status, index=pdf.index, dtype="int32")
             out["body"] = pd.Series(body, index=pdf.index, dtype="object")

@@ -39,11 +39,14 @@ def flow_a(pages: DataFrame, complete: Completion, max_chars: int = FXV.MAX_CHAR
     """Pages -> cleaned documents (doc_id, text, n_chunks, n_fallback)."""
     docs = X.cap_document(pages, max_chars)
     chunks = materialize(X.word_chunks(docs, n=chunk_words), "chunks")
-    # Model replies are stored right away: a retried task downstream must not
-    # call the model again and see a different answer.
-    responses = materialize(R.complete_batches(R.clean_requests(chunks), complete, ["doc_id", "chunk_idx"]),
+    # The chunk text travels with its request and reply, so the fallback is
+    # a per-row projection instead of a join of two large tables.  Replies
+    # are stored right away: a retried task downstream must not call the
+    # model again and see a different answer.
+    requests = R.clean_requests(chunks, keep=["text"])
+    responses = materialize(R.complete_batches(requests, complete, ["doc_id", "chunk_idx"], passthrough=["text"]),
                             "clean_responses")
-    cleaned = R.with_fallback(chunks, responses)
+    cleaned = R.apply_fallback(responses)
     return materialize(X.ordered_concat(cleaned, "doc_id", "chunk_idx", "text", FXV.CHUNK_SEPARATOR, "text",
                                         F.count("*").alias("n_chunks"),
                                         F.count_if("used_fallback").alias("n_fallback")), "clean_docs")
