@@ -11,6 +11,8 @@ import re
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from parley.functions import fixed as FX
+
 _HEAD = re.compile(r'^\("(Speaker[^"\\]*)"[ \t]*,[ \t]*"')
 _PAIR = re.compile(r"\\[\s\S]")
 _PARK = "\ue000"
@@ -23,17 +25,16 @@ def _unescape(body: str) -> str:
     return t.replace(_PARK, "\\")
 
 
+def _is_candidate(line: str) -> bool:
+    return line.startswith(FX.CANDIDATE_PREFIX) and line.endswith((FX.CANDIDATE_SUFFIX_COMMA, FX.CANDIDATE_SUFFIX))
+
+
 def parse_reply_rows(reply: str | None):
     """List of (seg_idx, speaker, text), or [] when any candidate is invalid."""
     if reply is None:
         return []
-    cands = []
-    for line in reply.split("\n"):
-        line = line.strip()
-        if line.startswith('("Speaker') and line.endswith('"),'):
-            cands.append(line[:-1])
-        elif line.startswith('("Speaker') and line.endswith(")"):
-            cands.append(line)
+    stripped = (ln.strip() for ln in reply.split("\n"))
+    cands = [ln[:-1] if ln.endswith(FX.CANDIDATE_SUFFIX_COMMA) else ln for ln in stripped if _is_candidate(ln)]
     rows = []
     for i, line in enumerate(cands):
         m = _HEAD.match(line)

@@ -17,17 +17,12 @@ EXAMPLE = """[
 
 
 def reference_parse(reply):
-    """The original selection of lines followed by a safe literal evaluation."""
-    lines = []
-    for line in reply.split("\n"):
-        line = line.strip()
-        if line.startswith('("Speaker') and line.endswith('"),'):
-            lines.append(line[:-1])
-        elif line.startswith('("Speaker') and line.endswith(")"):
-            lines.append(line)
+    """Expected result: the selected tuple lines evaluated as a Python
+    literal list (all or nothing)."""
+    picked = [ln[:-1] if ln.endswith('"),') else ln for ln in map(str.strip, reply.split("\n"))
+              if ln.startswith('("Speaker') and ln.endswith(('"),', ")"))]
     try:
-        items = ast.literal_eval(f"[{', '.join(lines)}]")
-        return [(i, s, t) for i, (s, t) in enumerate(items)]
+        return [(i, s, t) for i, (s, t) in enumerate(ast.literal_eval("[" + ", ".join(picked) + "]"))]
     except Exception:
         return []
 

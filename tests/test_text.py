@@ -1,5 +1,7 @@
 """Text operators against plain-Python loops and hand cases."""
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
@@ -8,24 +10,16 @@ from parley.operators import text as X
 
 def py_chunks(text, n):
     words = text.split()
-    out, cur = [], []
-    for w in words:
-        cur.append(w)
-        if len(cur) >= n:
-            out.append(" ".join(cur))
-            cur = []
-    if cur:
-        out.append(" ".join(cur))
-    return out
+    return [" ".join(words[i:i + n]) for i in range(0, len(words), n)]
 
 
 def py_cap(pages, max_chars):
-    text = ""
-    for p in pages:
-        text += p + "\n"
-        if len(text) > max_chars:
-            return text[:max_chars], True
-    return text, False
+    """Expected capped text: whole pages (each with a newline) while the
+    running length has not passed the cap, then cut at the cap."""
+    ends = list(itertools.accumulate(len(p) + 1 for p in pages))
+    kept = [p + "\n" for p, start in zip(pages, [0] + ends[:-1]) if start <= max_chars]
+    text = "".join(kept)
+    return text[:max_chars], len(text) > max_chars
 
 
 CASES = ["", "one", "a b c", "  lead and trail  ", "a b　c\u001cd\te\nf", "w " * 5, "w " * 6,
