@@ -51,14 +51,17 @@ def run_available(query_df: DataFrame, out: str, ckpt: str, fmt: str = "parquet"
 
 
 def stream_chunks(spark: SparkSession, source_dir: str, n: int = FX.CHUNK_WORDS,
-                  glob: str = "*.parquet", max_files_per_trigger: int = 1,
+                  glob: str = "*.parquet", max_files_per_trigger: int | None = None,
                   partitions: int | None = None) -> DataFrame:
     """Documents arriving as Parquet files (matching ``glob``) under
-    ``source_dir`` -> chunks.  Returns the sink contents after all available
-    input was processed."""
+    ``source_dir`` -> chunks.  ``max_files_per_trigger`` bounds the size of
+    a micro-batch.  Returns the sink contents after all available input was
+    processed."""
     base = _run_dir(spark, "stream-chunks")
-    src = (spark.readStream.schema(DOCS_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-           .option("pathGlobFilter", glob).parquet(source_dir))
+    reader = spark.readStream.schema(DOCS_SCHEMA).option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.parquet(source_dir)
     run_available(chunk_stream(src, n, partitions), f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")
 
