@@ -27,6 +27,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Arrow batches to Python UDFs carry whole waveforms per row: cap by bytes too.
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PARLEY_DRIVER_MEMORY", "8g"))
