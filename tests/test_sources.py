@@ -103,3 +103,15 @@ def test_writers(spark):
                                 "episode_id long, seg_idx long, speaker string, text string")
     W.write_segments(seg, out + "/seg")
     assert spark.read.parquet(out + "/seg").count() == 1
+
+
+def test_read_pdfs_and_text_files(spark):
+    d = tempfile.mkdtemp(prefix="parley-files-")
+    for name, data in {"a.pdf": b"%PDF-1", "b.PDF": b"%PDF-2", "c.txt": "café\r\nx".encode("latin-1"),
+                       "d.txt": "naïve\nline".encode("utf-8"), "e": b"none"}.items():
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+    pdfs = sorted(os.path.basename(r.path) for r in S.read_pdfs(spark, d).select("path").collect())
+    assert pdfs == ["a.pdf", "b.PDF"]
+    txt = {os.path.basename(r.path): (r.text, r.encoding_used) for r in S.read_text_files(spark, d).collect()}
+    assert txt == {"c.txt": ("café\nx", "latin-1"), "d.txt": ("naïve\nline", "utf-8")}
