@@ -203,18 +203,25 @@ def timeline_parts(synth: DataFrame, pauses: DataFrame) -> DataFrame:
             .select(KEY, IDX, "p.part_no", "p.kind", "p.advance_ms", "p.start_ms"))
 
 
-def manifest(counts: DataFrame, provider: str, run_date: Column, ok_col: str = "n_ok") -> DataFrame:
-    """Export manifest per episode with at least one successful segment.
-    Only the OpenAI variant writes tags (title, artist, album, date)."""
-    tagged = provider == "openai"
+def _manifest_entry(provider: str, run_date: Column, ok_col: str) -> Column:
+    tagged = provider == "openai"      # only the OpenAI variant writes tags
 
     def tag(v):
         return F.lit(v) if tagged else F.lit(None).cast("string")
-    return counts.where(F.col(ok_col) > 0).select(
-        KEY, F.lit(provider).alias("provider"),
-        F.lit(FX.EXPORT_FILES[provider]).alias("file_name"),
+    return F.struct(
+        F.lit(provider).alias("provider"), F.lit(FX.EXPORT_FILES[provider]).alias("file_name"),
         F.lit(FX.EXPORT_FORMAT).alias("format"), F.lit(FX.EXPORT_BITRATE).alias("bitrate"),
         tag(FX.EXPORT_TAGS["title"]).alias("title"), tag(FX.EXPORT_TAGS["artist"]).alias("artist"),
         tag(FX.EXPORT_TAGS["album"]).alias("album"),
         (F.date_format(run_date, FX.DATE_FORMAT) if tagged else F.lit(None).cast("string")).alias("date"),
         F.col(ok_col).alias("n_ok"))
+
+
+def manifests(counts: DataFrame, run_date: Column, providers=("openai", "bark", "eleven")) -> DataFrame:
+    """Export manifest rows per episode and provider variant, for variants
+    with at least one successful segment (the OpenAI variant counts its own
+    successes).  One counters row per episode feeds all variants (no union
+    of re-aggregations)."""
+    entries = [_manifest_entry(p, run_date, "n_ok_openai" if p == "openai" else "n_ok") for p in providers]
+    m = counts.select(KEY, F.explode(F.array(*entries)).alias("m")).select(KEY, "m.*")
+    return m.where(F.col("n_ok") > 0)

@@ -311,11 +311,7 @@ def sink_manifest(spark, sf_dir):
     """Export manifest rows per provider variant (episodes with at least one
     success); the run date is a parameter."""
     counts = E.run_counts(FX.synth(spark, sf_dir))
-    d = F.to_date(F.lit(RUN_DATE))
-    out = E.manifest(counts, "openai", d, "n_ok_openai")
-    for p in ("bark", "eleven"):
-        out = out.unionByName(E.manifest(counts, p, d))
-    return out
+    return E.manifests(counts, F.to_date(F.lit(RUN_DATE)))
 
 
 @query("sink_preview", """
