@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import fixed as FX
 from parley.operators.dims import bounded_broadcast
-from parley.operators.scan import previous_non_null, running_sum
+from parley.operators.scan import drop_block, previous_non_null, running_sum
 
 KEY = "episode_id"
 IDX = "seg_idx"
@@ -83,7 +83,9 @@ def timeline_dynamic(synth: DataFrame) -> DataFrame:
     tone cannot be built).  Adds ok_eff, prev_speaker, xfade_ms, start_ms,
     end_ms."""
     d = synth.withColumn("ok_eff", F.col("ok") & (F.col("dur_ms") >= FX.MIN_AMBIENCE_MS))
-    d = previous_non_null(d, KEY, IDX, F.when(F.col("ok_eff"), F.col("speaker")), "prev_speaker")
+    # The second scan reuses the block column and partitioning of the first.
+    d = previous_non_null(d, KEY, IDX, F.when(F.col("ok_eff"), F.col("speaker")), "prev_speaker",
+                          keep_block=True)
     same = int(min(FX.MAX_CROSSFADE_MS, FX.BASE_CROSSFADE_MS * FX.SAME_SPEAKER_FACTOR))
     xfade = (F.when(~F.col("ok_eff"), F.lit(0))
              .when(F.col("prev_speaker").isNull(), F.lit(FX.FIRST_CROSSFADE_MS))
@@ -91,7 +93,7 @@ def timeline_dynamic(synth: DataFrame) -> DataFrame:
              .otherwise(F.lit(FX.BASE_CROSSFADE_MS)))
     d = d.withColumn("xfade_ms", xfade.cast("long"))
     adv = F.when(F.col("ok_eff"), F.col("dur_ms") - F.col("xfade_ms")).otherwise(F.lit(0)).cast("long")
-    d = running_sum(d, KEY, IDX, adv, "_adv")
+    d = drop_block(running_sum(d, KEY, IDX, adv, "_adv"))
     d = d.withColumn("end_ms", F.col("_adv") + F.lit(FX.INTRO_MS))
     start = F.when(F.col("ok_eff"), F.col("end_ms") - F.col("dur_ms")).otherwise(F.col("end_ms"))
     return d.withColumn("start_ms", start).drop("_adv")

@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 4096
-_B = "_scan_block"
+
+
+def block_column(block_rows: int) -> str:
+    return f"_scan_block_{block_rows}"
 
 
 def _keys(part) -> list[str]:
@@ -34,17 +37,22 @@ def blocked_scan(df: DataFrame, part, order: str, *,
                  sums: dict[str, tuple[Column | str, bool]] | None = None,
                  prev_non_null: dict[str, Column | str] | None = None,
                  totals: dict[str, Column | str] | None = None,
-                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                 block_rows: int = DEFAULT_BLOCK_ROWS, keep_block: bool = False) -> DataFrame:
     """Add scan columns to ``df``.
 
     * ``sums[out] = (value, inclusive)``: sum of ``value`` over earlier rows
       of the key (plus the current row when ``inclusive``); 0 when empty.
     * ``prev_non_null[out] = value``: last non-null ``value`` on an earlier row.
     * ``totals[out] = value``: sum of ``value`` over the whole key.
+
+    With ``keep_block`` the block column stays in the output; a following
+    scan with the same block size reuses it, and with it the (key, block)
+    partitioning, so it needs no second shuffle of the rows.
     """
     sums, prev_non_null, totals = sums or {}, prev_non_null or {}, totals or {}
     keys = _keys(part)
-    d = df.withColumn(_B, F.floor(F.col(order) / F.lit(block_rows)))
+    _B = block_column(block_rows)
+    d = df if _B in df.columns else df.withColumn(_B, F.floor(F.col(order) / F.lit(block_rows)))
     vals: dict[str, Column] = {}
     for i, (out, (v, _)) in enumerate(sums.items()):
         vals[f"_sv{i}"] = _col(v)
@@ -96,17 +104,25 @@ def blocked_scan(df: DataFrame, part, order: str, *,
         outs.append(F.coalesce(F.col(f"_ll{i}"), F.col(f"_lc{i}")).alias(out))
     for i, out in enumerate(totals):
         outs.append(F.col(f"_tc{i}").alias(out))
-    return j.select(*[F.col(f"`{c}`") for c in df.columns], *outs)
+    keep = [c for c in df.columns if c != _B] + ([_B] if keep_block or _B in df.columns else [])
+    return j.select(*[F.col(f"`{c}`") for c in keep], *outs)
 
 
 def running_sum(df: DataFrame, part, order: str, value: Column | str, out: str,
-                inclusive: bool = True, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                inclusive: bool = True, block_rows: int = DEFAULT_BLOCK_ROWS,
+                keep_block: bool = False) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same key with a smaller
     ``order`` (plus the current row when ``inclusive``)."""
-    return blocked_scan(df, part, order, sums={out: (value, inclusive)}, block_rows=block_rows)
+    return blocked_scan(df, part, order, sums={out: (value, inclusive)}, block_rows=block_rows,
+                        keep_block=keep_block)
 
 
 def previous_non_null(df: DataFrame, part, order: str, value: Column | str, out: str,
-                      block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                      block_rows: int = DEFAULT_BLOCK_ROWS, keep_block: bool = False) -> DataFrame:
     """Add ``out`` = the last non-null ``value`` on an earlier row of the key."""
-    return blocked_scan(df, part, order, prev_non_null={out: value}, block_rows=block_rows)
+    return blocked_scan(df, part, order, prev_non_null={out: value}, block_rows=block_rows,
+                        keep_block=keep_block)
+
+
+def drop_block(df: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    return df.drop(block_column(block_rows))
