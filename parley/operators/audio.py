@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from parley.functions import audio_math as M
 from parley.functions import fixed as FX
-from parley.operators.dims import bounded_broadcast
+from parley.operators.dims import bounded_broadcast, join_small
 from parley.operators.scan import blocked_scan
 
 KEY = "episode_id"
@@ -298,16 +298,17 @@ def place_segments(waves: DataFrame, crossfade: int) -> DataFrame:
     ``crossfade``-frame overlap (prefix sum of ``n - crossfade``); adds
     n, start, has_prev, has_next.
 
-    The scan runs on (episode, segment, length) only and is joined back by
-    (episode, segment); when that table is small at run time AQE broadcasts
-    it, so the sample arrays are not shuffled for the placement."""
+    The scan runs on (episode, segment, length) only; that table is joined
+    back by (episode, segment) with a size-checked broadcast
+    (:func:`join_small`), so the sample arrays are not shuffled for the
+    placement."""
     meta = waves.select(KEY, IDX, F.size("samples").cast("long").alias("n"))
     one = F.lit(1).cast("long")
     meta = blocked_scan(meta, KEY, IDX, sums={"start": (F.col("n") - crossfade, False), "_pos": (one, True)},
                         totals={"_cnt": one})
     meta = meta.select(KEY, IDX, "n", "start", (F.col("_pos") > 1).alias("has_prev"),
                        (F.col("_pos") < F.col("_cnt")).alias("has_next"))
-    return waves.join(meta, [KEY, IDX])
+    return join_small(waves, meta, [KEY, IDX])
 
 
 def crossfaded_frames(waves: DataFrame, crossfade: int) -> DataFrame:
@@ -335,19 +336,21 @@ def mix(waves: DataFrame, crossfade: int) -> DataFrame:
 
 def fade(frames: DataFrame, fade_in: int, fade_out: int, order: str = "t") -> DataFrame:
     """Linear fade-in over the first and fade-out over the last frames of
-    each episode (the length comes from a grouped max, joined back)."""
+    each episode (the length comes from a grouped max, joined back with a
+    size-checked broadcast)."""
     total = frames.groupBy(KEY).agg((F.max(order) + 1).alias("_total"))
-    d = frames.join(total, KEY)
+    d = join_small(frames, total, KEY)
     g = F.least(F.lit(1.0), (F.col(order) + 1) / F.lit(float(fade_in))) if fade_in > 0 else F.lit(1.0)
     g = g * F.least(F.lit(1.0), (F.col("_total") - F.col(order)) / F.lit(float(fade_out)))
     return d.withColumn("amp", F.col("amp") * g).drop("_total")
 
 
 def normalise_frames(frames: DataFrame, keys) -> DataFrame:
-    """Peak normalisation in long form: grouped peak joined back."""
+    """Peak normalisation in long form: grouped peak (partial aggregation)
+    joined back with a size-checked broadcast."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     pk = frames.groupBy(*keys).agg(F.max(F.abs("amp")).alias("_peak"))
-    d = frames.join(pk, keys)
+    d = join_small(frames, pk, keys)
     return d.withColumn("amp", F.when(F.col("_peak") > 0, (F.col("amp") / F.col("_peak")) * F.lit(HEADROOM))
                         .otherwise(F.col("amp"))).drop("_peak")
 
@@ -383,7 +386,7 @@ def ambience_bed(base: DataFrame, tone: DataFrame, volume_db: float,
         d = base.withColumn("_n", F.col(length_col))
     else:
         total = base.groupBy(KEY).agg((F.max(order) + 1).alias("_n"))
-        d = base.join(total, KEY)
+        d = join_small(base, total, KEY)
     d = d.withColumn("_S", F.floor(F.col("_n") / slice_frames))
     step = slice_frames - xfade
     d = d.withColumn("_s1", F.floor(F.col(order) / step))

@@ -16,3 +16,20 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
+               max_rows: int = 2_000_000) -> DataFrame:
+    """Join a large table with a derived per-key table (one row per episode
+    or segment, e.g. a length or a peak).
+
+    The small side is written once to the shared checkpoint folder (so the
+    aggregate over the large table is not computed twice), its size is
+    checked, and within ``max_rows`` it is broadcast: the large side is then
+    joined where it lies, with no shuffle.  Above the bound the planner's
+    shuffle join (with AQE skew handling) is used.
+    """
+    from parley.session import cut_lineage
+    s = cut_lineage(small, "keyed")
+    n = s.limit(max_rows + 1).count()
+    return big.join(F.broadcast(s) if n <= max_rows else s, on, how)
