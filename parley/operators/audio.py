@@ -218,13 +218,14 @@ def compress_array(x: np.ndarray, threshold_db: float, ratio: float, attack_fram
         thr = 10 ** (threshold_db / 20)
         over = np.where(level > 0, 20 * np.log10(np.where(level > 0, level, 1.0) / thr), 0.0)
     target = (1 - 1 / ratio) * np.maximum(0.0, over)
-    att = np.empty(n)
-    a = 0.0
-    for i in range(n):
-        m = target[i]
+    # The attenuation update is sequential; iterate over Python floats (same
+    # arithmetic as numpy scalars, several times faster per step).
+    att, a = [], 0.0
+    append = att.append
+    for m in target.tolist():
         a = a + (m - a) / (attack_frames if m > a else release_frames)
-        att[i] = a
-    return x * 10 ** (-att / 20)
+        append(a)
+    return x * 10 ** (-np.asarray(att) / 20)
 
 
 def compress_samples(samples: Column, threshold_db: float, ratio: float, attack_ms: float,
