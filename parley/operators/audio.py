@@ -102,8 +102,12 @@ def resample(samples: Column, rate: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), m), at))
 
 
-def _solve_first_order(p: float, q: np.ndarray, y0: float, block: int = 32) -> np.ndarray:
-    """y_0 = y0, y_i = p * y_{i-1} + q_i (i >= 1), vectorised per block."""
+def _solve_first_order(p: float, q: np.ndarray, y0: float, block: int | None = None) -> np.ndarray:
+    """y_0 = y0, y_i = p * y_{i-1} + q_i (i >= 1), vectorised per block.
+
+    Within a block of length L the solution is a cumulative sum scaled by
+    powers of p; L is chosen so that p^-(L-1) stays far inside the double
+    range (at most 256)."""
     n = q.shape[0]
     y = np.empty(n)
     if n == 0:
@@ -113,6 +117,8 @@ def _solve_first_order(p: float, q: np.ndarray, y0: float, block: int = 32) -> n
         for i in range(1, n):
             y[i] = p * y[i - 1] + q[i]
         return y
+    if block is None:
+        block = 256 if p >= 1.0 else max(1, min(256, int(200 / math.log10(1 / p))))
     pw = p ** np.arange(1, block + 1)  # p^1 .. p^L
     inv = p ** -np.arange(0, block)    # p^0 .. p^-(L-1)
     carry = y0

@@ -41,7 +41,7 @@ def loop_compress(x, thr_db, ratio, att, rel, look):
     return np.array(out)
 
 
-@pytest.mark.parametrize("n", [1, 2, 33, 64, 257])
+@pytest.mark.parametrize("n", [1, 2, 33, 64, 257, 5000])
 def test_filters_equal_loops(n):
     x = RNG.normal(0, 0.3, n)
     assert np.allclose(A.low_pass_array(x, 4000, 24000), loop_low(x, 4000, 24000), atol=1e-12)
@@ -139,3 +139,10 @@ def test_blocked_rolling_rms(spark):
             assert got[i] is None
         else:
             assert abs(got[i] - math.sqrt(float(np.mean(w * w)))) < 1e-12
+
+
+@pytest.mark.parametrize("fc", [20.0, 150.0, 4000.0, 11000.0])
+def test_low_pass_long_signal_any_cutoff(fc):
+    x = RNG.normal(0, 0.3, 20_000)
+    assert np.allclose(A.low_pass_array(x, fc, 24000), loop_low(x, fc, 24000), atol=1e-10)
+    assert np.allclose(A.high_pass_array(x, fc, 24000), loop_high(x, fc, 24000), atol=1e-10)
