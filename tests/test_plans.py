@@ -39,3 +39,16 @@ def test_scans_are_pruned(spark):
     p = plan(spark, "str_word_chunks")
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", p)
     assert schemas and all("lang" not in s and "n_chars" not in s for s in schemas), schemas
+
+
+@pytest.mark.parametrize("name", ["win_timeline_dynamic", "win_timeline_plain", "win_timeline_jitter",
+                                  "win_char_offset", "win_prev_speaker", "win_pacing", "win_position",
+                                  "win_speaker_runs", "set_timeline_parts", "flt_char_cap"])
+def test_row_windows_are_blocked(spark, name):
+    """Windows over the row index are partitioned by (key, block), never by
+    the key alone, so one huge episode or document is split across tasks."""
+    p = re.sub(r"#\d+L?", "", plan(spark, name))
+    specs = re.findall(r"windowspecdefinition\(([^)]*?)(?:, specifiedwindowframe|\))", p)
+    row_level = [s for s in specs if re.search(r"\b(seg_idx|page_no|chunk_idx|t|i) ASC", s)]
+    assert row_level, (name, specs)
+    assert all("_scan_block" in s or "_blk" in s for s in row_level), (name, row_level)
