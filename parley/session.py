@@ -65,4 +65,5 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/parley-{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    # The schema is passed so that an empty result reads back as well.
+    return spark.read.schema(df.schema).parquet(path)
