@@ -366,6 +366,8 @@ def looped_overlay(frames: DataFrame, tone: DataFrame, gain: Column, order: str
     """Add a looped tone under the whole signal: broadcast equi-join on
     ``t % tone_length``; the output keeps the base length."""
     n_tone = tone.count()
+    if n_tone == 0:                       # no room tone: nothing to add
+        return frames
     tb = bounded_broadcast(tone.select(F.col("t").alias("_tt"), F.col("amp").alias("_ta")))
     d = frames.join(tb, (F.col(order) % n_tone) == F.col("_tt"))
     return d.withColumn("amp", F.col("amp") + F.col("_ta") * gain).drop("_tt", "_ta")
@@ -388,6 +390,8 @@ def ambience_bed(base: DataFrame, tone: DataFrame, volume_db: float,
     end); otherwise it is a grouped max joined back.
     """
     n_tone = tone.count()
+    if n_tone == 0:                       # no room tone: nothing to add
+        return base
     tb = bounded_broadcast(tone)
     if length_col:
         d = base.withColumn("_n", F.col(length_col))
