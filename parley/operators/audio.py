@@ -237,9 +237,10 @@ def compress_array(x: np.ndarray, threshold_db: float, ratio: float, attack_fram
 def compress_samples(samples: Column, threshold_db: float, ratio: float, attack_ms: float,
                      release_ms: float, frame_rate: float) -> Column:
     """Compressor applied to each array (one segment) in an Arrow-batched
-    pandas UDF: no shuffle, the group is one row."""
-    att_f = attack_ms * frame_rate / 1000.0
-    rel_f = release_ms * frame_rate / 1000.0
+    pandas UDF: no shuffle, the group is one row.  Attack and release are at
+    least one frame (shorter times would make the update overshoot)."""
+    att_f = max(attack_ms * frame_rate / 1000.0, 1.0)
+    rel_f = max(release_ms * frame_rate / 1000.0, 1.0)
     look = max(int(round(att_f)), 1)
 
     def run(s: pd.Series) -> pd.Series:
@@ -270,8 +271,8 @@ def compress_frames(frames: DataFrame, keys, order: str, threshold_db: float, ra
     its warm-up.  ``order`` must be a dense 0-based index within the key.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    att_f = attack_ms * frame_rate / 1000.0
-    rel_f = release_ms * frame_rate / 1000.0
+    att_f = max(attack_ms * frame_rate / 1000.0, 1.0)
+    rel_f = max(release_ms * frame_rate / 1000.0, 1.0)
     look = max(int(round(att_f)), 1)
     warm = warmup_frames(att_f, rel_f) + look
     block_frames = max(block_frames, 4 * warm)

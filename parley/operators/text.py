@@ -60,6 +60,8 @@ def cap_document(pages: DataFrame, max_chars: int = MAX_CHARS, key: str = "doc_i
     after the cap are never concatenated, so the group stays bounded.
     Output: key, text, n_chars, truncated.
     """
+    if max_chars < 0:
+        raise ValueError("max_chars must not be negative")
     off = char_offsets(pages, key)
     kept = off.where(F.col("start_char") <= max_chars)
     doc = kept.groupBy(key).agg(
@@ -78,6 +80,8 @@ def word_chunks(docs: DataFrame, n: int = CHUNK_WORDS, key: str = "doc_id",
     """Word-bounded chunks: exactly ``n`` words each (the last may be shorter),
     words split on runs of Unicode whitespace and joined by single spaces.
     Empty texts give no chunk.  Output: key, chunk_idx, n_words, text."""
+    if n < 1:
+        raise ValueError("chunk size must be at least one word")
     # The word array is projected once and referenced by name: inlined into
     # the slicing lambda it would be re-split for every chunk.
     ws = docs.select(key, T.words(F.col(text)).alias("_ws"))
