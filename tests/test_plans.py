@@ -52,3 +52,13 @@ def test_row_windows_are_blocked(spark, name):
     row_level = [s for s in specs if re.search(r"\b(seg_idx|page_no|chunk_idx|t|i) ASC", s)]
     assert row_level, (name, specs)
     assert all("_scan_block" in s or "_blk" in s for s in row_level), (name, row_level)
+
+
+def test_spread_only_when_few_splits(spark):
+    from parley.sources.files import spread
+    many = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 3)
+    assert spread(many, ["id"]) is many                  # enough splits: unchanged, no shuffle
+    few = spark.range(0, 1000, numPartitions=1)
+    spread_few = spread(few, ["id"])
+    assert spread_few.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in spread_few.collect()) == list(range(1000))
