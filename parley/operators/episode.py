@@ -60,12 +60,16 @@ def timeline_plain(synth: DataFrame) -> DataFrame:
     return d.withColumn("start_ms", F.col("end_ms") - F.col("inc_ms"))
 
 
-def timeline_jitter(synth: DataFrame, pauses: DataFrame) -> DataFrame:
+def timeline_jitter(synth: DataFrame, pauses: DataFrame | Column) -> DataFrame:
     """Gap of 500 ms before every segment after the first; the segment is
     then appended with a 300 ms crossfade and followed by its pause.  A
-    segment shorter than the crossfade fails.  Adds ok_eff, inc_ms,
-    start_ms, end_ms."""
-    d = synth.join(pauses, [KEY, IDX], "left")
+    segment shorter than the crossfade fails.  ``pauses`` is a table
+    (episode_id, seg_idx, pause_ms) or a column expression such as a keyed
+    value (then no join is needed).  Adds ok_eff, inc_ms, start_ms, end_ms."""
+    if isinstance(pauses, Column):
+        d = synth.withColumn("pause_ms", pauses.cast("long"))
+    else:
+        d = synth.join(pauses, [KEY, IDX], "left")
     later = F.col(IDX) > 0
     ok_eff = F.col("ok") & (~later | (F.col("dur_ms") >= FX.BASE_CROSSFADE_MS))
     inc = (F.when(later, F.lit(FX.GAP_MS)).otherwise(F.lit(0))
@@ -177,7 +181,7 @@ def overlap_join(intervals: DataFrame, start: str = "start_ms", end: str = "end_
                     (F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).alias("overlap_ms"))
 
 
-def timeline_parts(synth: DataFrame, pauses: DataFrame) -> DataFrame:
+def timeline_parts(synth: DataFrame, pauses: DataFrame | Column) -> DataFrame:
     """Typed parts of the jittered timeline (gap, audio, pause) ordered by
     (segment, part), with their start offsets.
 

@@ -150,3 +150,12 @@ def test_hot_episode_default_blocks(spark):
             prev = sp
         exp[(e, i)] = total
     assert got == exp
+
+
+def test_jitter_with_keyed_pause_column(spark, synth):
+    from parley.functions.audio_math import keyed_uniform
+    pause = F.floor(keyed_uniform(200.0, 800.0, F.col("episode_id"), F.col("seg_idx"), 17, 13))
+    by_col = {(r.episode_id, r.seg_idx): r.end_ms for r in E.timeline_jitter(synth, pause).collect()}
+    table = synth.select("episode_id", "seg_idx", pause.cast("long").alias("pause_ms"))
+    by_table = {(r.episode_id, r.seg_idx): r.end_ms for r in E.timeline_jitter(synth, table).collect()}
+    assert by_col == by_table
