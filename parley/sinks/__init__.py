@@ -1,0 +1 @@
+"""Writers for cleaned documents, segment tables and manifests (``writers``)."""
