@@ -115,3 +115,16 @@ def test_read_pdfs_and_text_files(spark):
     assert pdfs == ["a.pdf", "b.PDF"]
     txt = {os.path.basename(r.path): (r.text, r.encoding_used) for r in S.read_text_files(spark, d).collect()}
     assert txt == {"c.txt": ("café\nx", "latin-1"), "d.txt": ("naïve\nline", "utf-8")}
+
+
+def test_manifest_writer(spark):
+    from parley.operators import episode as E
+    from parley.sinks import writers as W
+    counts = spark.createDataFrame([(1, 3, 2), (2, 0, 0), (3, 1, 0)], "episode_id long, n_ok long, n_ok_openai long")
+    m = E.manifests(counts, F.to_date(F.lit("2024-05-17")))
+    out = tempfile.mkdtemp(prefix="parley-manifest-")
+    W.write_manifest(m, out + "/m")
+    back = {(r.episode_id, r.provider): (r.file_name, r.date) for r in spark.read.parquet(out + "/m").collect()}
+    assert back[(1, "openai")] == ("_podcast.mp3", "2024-05-17")
+    assert back[(3, "eleven")] == ("final_podcast.mp3", None)
+    assert (2, "bark") not in back and (3, "openai") not in back
