@@ -82,7 +82,7 @@ LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 # Words are split in DuckDB as in the contract; windows are compared as lists.
 OP2_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (
   SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
@@ -139,15 +139,15 @@ WITH words AS (
   SELECT 'i' AS kind, item_id AS id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark
   UNION ALL
   SELECT 'd', doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') FROM documents),
-some AS (SELECT kind, id, w, len(w) AS n FROM words WHERE w <> ['']),
+filled AS (SELECT kind, id, w, len(w) AS n FROM words WHERE w <> ['']),
 sh AS (
-  SELECT kind, id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(n - 4, 1) + 1)) AS i FROM some)),
-item AS (SELECT min(id) AS item, w, n FROM some WHERE kind = 'i' GROUP BY w, n),
+  SELECT kind, id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(n - 4, 1) + 1)) AS i FROM filled)),
+item AS (SELECT min(id) AS item, w, n FROM filled WHERE kind = 'i' GROUP BY w, n),
 places AS (SELECT DISTINCT item, n, i, s FROM sh JOIN item ON sh.kind = 'i' AND sh.id = item.item),
 starts AS (
   SELECT DISTINCT sh.id AS doc_id, item, places.n, sh.i - places.i AS b FROM sh JOIN places USING (s) WHERE sh.kind = 'd'),
 win AS (
-  SELECT doc_id, item, b, w[greatest(b, 0) + 1:b + starts.n] AS w FROM starts JOIN some ON some.kind = 'd' AND some.id = doc_id),
+  SELECT doc_id, item, b, w[greatest(b, 0) + 1:b + starts.n] AS w FROM starts JOIN filled ON filled.kind = 'd' AND filled.id = doc_id),
 ws AS (
   SELECT doc_id, item, b, array_to_string(w[i:i + 4], ' ') AS s, count(*) AS c
   FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM win) GROUP BY ALL),
