@@ -154,8 +154,8 @@ ws AS (
 wt AS (SELECT doc_id, item, b, sum(c) AS t FROM ws GROUP BY ALL),
 its AS (SELECT item, s, count(*) AS c FROM places JOIN item USING (item) GROUP BY ALL),
 it AS (SELECT item, sum(c) AS t FROM its GROUP BY ALL),
-both AS (SELECT doc_id, item, b, sum(least(ws.c, its.c)) AS m FROM ws JOIN its USING (item, s) GROUP BY ALL),
-sim AS (SELECT doc_id, item, max(m / (wt.t + it.t - m)) AS sim FROM both JOIN wt USING (doc_id, item, b) JOIN it USING (item) GROUP BY ALL),
+meet AS (SELECT doc_id, item, b, sum(least(ws.c, its.c)) AS m FROM ws JOIN its USING (item, s) GROUP BY ALL),
+sim AS (SELECT doc_id, item, max(m / (wt.t + it.t - m)) AS sim FROM meet JOIN wt USING (doc_id, item, b) JOIN it USING (item) GROUP BY ALL),
 hit AS (
   SELECT doc_id, count(*) AS n_items, max(sim) AS best, arg_min(item, (-sim, item)) AS best_item FROM sim WHERE sim >= 0.8 GROUP BY 1)
 SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, best_item, round(best, 6) AS best_similarity
