@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from parley.llm.anchors import multikey_order, runs, strung, Sums, window_hashes
 from parley.llm.common import as_bytes, pieces, stored
 
-HOT = 4096       # different runs of a mark beyond which it is split
+HOT = 512       # different runs of a mark beyond which it is split
 SLICE = 16       # windows of a slice of such a mark
 BUCKET = 200_000  # windows sorted at a time, at least a whole mark
 COUNT_BITS, FLAG_BITS = 9, 3
