@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import as_bytes, lower_ascii, pieces
@@ -197,25 +197,25 @@ def classes_by_owner(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return entries.repartition("n", "h").select("text", "best", "rows").mapInArrow(own, "text_sha256 string, keep_id long, group_size long")
 
 
-def mark_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_keep_id, _group_size, _kept, _sha``."""
-    rows = docs.withColumn("_sha", F.sha2(F.coalesce(lower_ascii(F.col(text_col)), F.lit("")), 256))
-    owners = classes_by_owner(docs, id_col, text_col).toDF("_sha", "_keep_id", "_group_size")
-    rows = rows.join(owners, "_sha").withColumn("_kept", F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")))
-    # Rows that share text and id: one stays.  Groups are the rows of one id.
-    one = Window.partitionBy("_sha", id_col).orderBy(F.lit(1))
-    return rows.withColumn("_kept", F.col("_kept") & (F.row_number().over(one) == 1))
+def sha(text_col: str) -> Column:
+    return F.sha2(F.coalesce(lower_ascii(F.col(text_col)), F.lit("")), 256)
 
 
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` of every row."""
-    slim = docs.select(F.col(id_col).cast("long").alias(id_col), F.sha2(F.coalesce(lower_ascii(F.col(text_col)), F.lit("")), 256).alias("text_sha256"))
-    owners = classes_by_owner(docs, id_col, text_col)
-    rows = slim.join(owners, "text_sha256")
-    one = Window.partitionBy("text_sha256", id_col).orderBy(F.lit(1))
-    return rows.select(id_col, "keep_id", "group_size", (F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.row_number().over(one) == 1)).alias("kept"), "text_sha256")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), sha(text_col).alias("text_sha256"))
+    # Rows that share text and id are told apart before the join, on both keys:
+    # so the join by text is the last step, and a hot text can be split there.
+    one = Window.partitionBy("text_sha256", "id").orderBy(F.lit(1))
+    rows = rows.withColumn("first", F.row_number().over(one) == 1)
+    out = rows.join(classes_by_owner(docs, id_col, text_col), "text_sha256")
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & F.col("first")).alias("kept"), "text_sha256")
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    return mark_exact(docs, id_col, text_col).where("_kept").select(*docs.columns)
+    names = docs.columns
+    rows = docs.withColumns({"_exact_sha": sha(text_col), "_exact_id": F.col(id_col).cast("long")})
+    stay = classes_by_owner(docs, id_col, text_col).select(F.col("text_sha256").alias("_stay_sha"), F.col("keep_id").alias("_stay_id"))
+    rows = rows.join(stay, (F.col("_exact_sha") == F.col("_stay_sha")) & F.col("_exact_id").eqNullSafe(F.col("_stay_id")), "left_semi")
+    return rows.dropDuplicates(["_exact_sha", "_exact_id"]).select(*names)
