@@ -96,7 +96,10 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, similarity: float = SI
     # Which stretches of which texts: start may lie before the text.
     starts = hits.groupBy("text_key", "n", (F.col("pos") - F.col("at")).alias("start")).count().drop("count")
     starts = stored(starts, "starts")
-    found = texts.join(starts.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+    # The texts that are hit grow with the documents, so they are never broadcast.
+    hit = starts.select("text_key").distinct().hint("shuffle_hash")
+    found = (docs.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).join(hit, "text_key", "left_semi")
+             .dropDuplicates(["text_key"]).select("text_key", words_of(F.col("text")).alias("words")))
     window = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("n") + F.least(F.col("start"), F.lit(0)))
     windows = stored(starts.join(found, "text_key").select("text_key", "n", "start", window.alias("win")).withColumn("win_key", F.md5(F.array_join("win", " "))), "windows")
 
