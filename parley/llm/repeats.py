@@ -148,10 +148,11 @@ def suffixes(joined: DataFrame, units: Units) -> DataFrame:
 def leads(units: Units, bodies: list[bytes]) -> list[tuple[bytes, int, int]]:
     """Leading units at the anchor of the first window, its mark and place."""
     out = []
-    for body in bodies:
-        seq = units.parse([body])[0]
-        at, mark = units.anchor(seq[:units.length])
-        out.append((units.piecer(body)(int(at[0]), int(at[0]) + units.lead), int(mark[:1].view(np.int64)[0]), int(at[0])))
+    for seqs, doc, place in strung([x[:units.length] for x in units.parse(bodies)], units.length):
+        at, mark = units.anchor(seqs)
+        first = np.flatnonzero((doc >= 0) & (place == 0))
+        for i, offset, m in zip(doc[first].tolist(), (at[first] - first).tolist(), mark[first].view(np.int64).tolist()):
+            out.append((units.piecer(bodies[i])(offset, offset + units.lead), m, offset))
     return out
 
 
