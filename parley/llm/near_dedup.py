@@ -11,14 +11,14 @@ registers give candidates; these are verified by the exact probability Jaccard
 similarity of the whole texts; documents linked at ``similarity`` or more,
 directly or through others, form a class.
 
-Texts of equal words are folded first.  No bucket is expanded to pairs: its
-members are compared with a leader; those it does not cover elect the next
-leader, round by round, until each is a leader or covered by one.  Linked
-texts of two leaders would be lost only if the leaders are at middle distance
-(twice the least distance of a link more): members of such clusters that are
-still apart are compared with each other.  Components are found by alternating
-large and small stars.  All of it are joins and sums on keys; joins that a hot
-key would slow are split by Spark (skewed joins) and sums start in the tasks.
+Texts of equal words are folded first.  No bucket is expanded to pairs: buckets
+that share texts form a cluster, found on ids alone.  A task takes whole
+clusters of bounded size and spreads out from one text: what it is linked to
+is taken out and looks for others in turn, so classes are exact and a group
+around one original costs about two comparisons a text.  A cluster beyond the
+bound does the same by joins, in all its buckets at once, round by round.
+Components are found by alternating large and small stars.  Joins that a hot
+key would slow are split by Spark (skewed joins), and sums start in the tasks.
 
 Defined results: a text without words (null, empty) is a class of its own; the
 class id is the smallest id in the class (null ids come first); repeated rows
@@ -40,6 +40,8 @@ from parley.llm.common import mix64, pieces, stored
 from parley.llm.words import OTHER, shingles, words
 
 BANDS, ROWS = 16, 4
+CLUSTER_BYTES = 24 << 20  # of text that one task compares
+NODE_BYTES = 1000
 SIMILARITY = 0.8
 _STEP, _SIDE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -158,50 +160,116 @@ def components(links: DataFrame) -> DataFrame:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
+class Cluster:
+    """Texts that may be similar, in one task: their classes, exactly."""
+
+    def __init__(self, texts: list[str]):
+        found = [elements(t)[1:] for t in texts]
+        self.s, self.w = [f[0] for f in found], [f[1] for f in found]
+        self.size = np.array([len(x) for x in self.s])
+        self.plain = np.array([bool((w == 1).all()) for w in self.w])
+        self.first = np.cumsum(self.size) - self.size
+        ids, self.flat = np.unique(np.concatenate(self.s), return_inverse=True)
+        self.mark = np.zeros(len(ids), np.int64)
+
+    def similar(self, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of ``others`` are linked to ``i``: the common elements of all
+        texts are counted in one pass."""
+        own = self.flat[self.first[i]:self.first[i] + self.size[i]]
+        self.mark[own] = 1
+        common = np.add.reduceat(self.mark[self.flat], self.first)[others]
+        self.mark[own] = 0
+        yes = common >= similarity * (self.size[others] + self.size[i] - common) - 1e-9
+        for k in np.flatnonzero((common > 0) & ~(self.plain[others] & self.plain[i])):
+            j = others[k]
+            yes[k] = probability_jaccard((self.s[i], self.w[i]), (self.s[j], self.w[j])) >= similarity
+        return others[yes]
+
+    def classes(self, similarity: float) -> np.ndarray:
+        """For each text the number of the first text of its class: what is
+        reached is taken out and looks for others in turn."""
+        label, open_ = np.full(len(self.s), -1), np.ones(len(self.s), bool)
+        for i in range(len(self.s)):
+            if not open_[i]:
+                continue
+            open_[i], label[i], reached = False, i, [i]
+            while reached and open_.any():
+                got = self.similar(reached.pop(), np.flatnonzero(open_), similarity)
+                open_[got], label[got] = False, i
+                reached += got.tolist()
+        return label
+
+
+def small_clusters(rows: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links that connect the classes within each ``root`` of
+    ``rows`` (``root, node, text``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(nodes: list[bytes], texts: list[str]) -> pa.RecordBatch:
+            order = sorted(range(len(nodes)), key=nodes.__getitem__)
+            label = Cluster([texts[i] for i in order]).classes(similarity)
+            names = [nodes[i] for i in order]
+            return pa.RecordBatch.from_arrays([pa.array([names[j] for j in label], pa.binary()), pa.array(names, pa.binary())], names=["a", "b"])
+
+        last, nodes, texts = None, [], []
+        for batch in pieces(batches):
+            for root, node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if root != last and nodes:
+                    yield solve(nodes, texts)
+                    nodes, texts = [], []
+                last = root
+                nodes.append(node)
+                texts.append(text)
+        if nodes:
+            yield solve(nodes, texts)
+
+    dealt = rows.select("root", "node", "text").repartition("root").sortWithinPartitions("root")
+    return dealt.mapInArrow(run, "a binary, b binary").where("a <> b")
+
+
+def large_clusters(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: the same for clusters that are too large for a task.  In all
+    buckets at once, a leader is compared with the members still open; those
+    reached are compared with the rest in the next round, and a bucket whose
+    reached members are used up elects its next leader."""
+    open_, reached, links = members, None, None
+    while True:
+        lead = open_.groupBy("band", "key").agg(F.min("node").alias("a"))
+        if reached is not None:
+            lead = lead.join(reached.select("band", "key").distinct(), ["band", "key"], "left_anti").unionByName(reached)
+        front = stored(lead.select("band", "key", "a"), "front")
+        rest = stored(open_.join(front.withColumnRenamed("a", "node"), ["band", "key", "node"], "left_anti"), "open")
+        todo = stored(rest.join(front, ["band", "key"]), "todo")
+        if todo.isEmpty():
+            return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        new = verify(todo.select("a", F.col("node").alias("b")).distinct(), texts).where(F.col("sim") >= similarity).select("a", "b")
+        new = stored(new if links is None else new.unionByName(links).distinct(), "links")
+        links = new
+        got = todo.withColumnRenamed("node", "b").join(new, ["a", "b"]).select("band", "key", F.col("b").alias("a")).distinct()
+        reached = stored(got, "reached")
+        open_ = stored(rest.join(reached.withColumnRenamed("a", "node"), ["band", "key", "node"], "left_anti"), "open")
+
+
 def linked(docs: DataFrame, rows: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Verified links ``a, b`` that connect every class of nodes."""
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct("id", "text_key")).alias("row"))
+    nodes = stored(nodes, "nodes")
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1").drop("n")
     members = stored(members.join(shared, ["band", "key"]), "members")
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("row.id").alias("_id"), F.col("row.text_key").alias("_key"))
+    root = components(members.select("a", F.col("node").alias("b")))
+    root = stored(root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()).distinct(), "roots")
+    wanted = nodes.join(root, "node").select("node", "root", F.col("row.id").alias("_id"), F.col("row.text_key").alias("_key"))
     texts = (docs.select(F.col(id_col).cast("long").alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
-             .join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "text").dropDuplicates(["node"]))
+             .join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "root", "text").dropDuplicates(["node"]))
     texts = stored(texts, "texts")
-
-    open_, checked, led = members, None, None
-    while True:
-        lead = open_.groupBy("band", "key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        todo = stored(open_.join(lead, ["band", "key"]).where("node <> a").withColumnRenamed("node", "b"), "todo")
-        if todo.isEmpty():
-            break
-        new = todo.select("a", "b").distinct()
-        if checked is not None:
-            new = new.join(checked, ["a", "b"], "left_anti")
-        new = stored(verify(new, texts), "verified")
-        checked = new if checked is None else checked.unionByName(new)
-        judged = todo.join(checked, ["a", "b"])
-        covered = judged.where(F.col("sim") >= similarity).select("band", "key", "a", F.col("b").alias("node"))
-        led = covered if led is None else led.unionByName(covered)
-        open_ = stored(judged.where(F.col("sim") < similarity).select("band", "key", F.col("b").alias("node")), "open")
-    if checked is None:
-        return members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    links = checked.where(F.col("sim") >= similarity).select("a", "b")
-
-    # Leaders of a bucket at middle distance whose clusters are still apart.
-    middle = checked.where((F.col("sim") < similarity) & (F.col("sim") >= 1 - 3 * (1 - similarity))).select("a", "b")
-    root = stored(components(links), "roots")
-    named = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = (middle.join(named("a"), "a", "left").join(named("b"), "b", "left")
-             .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    cluster = led.unionByName(members.join(led.select("band", "key", "a").distinct(), ["band", "key"]).where("node = a").select("band", "key", "a", "node"))
-    alone = members.join(led, ["band", "key", "node"], "left_anti").withColumn("a", F.col("node"))
-    cluster = cluster.unionByName(alone.select("band", "key", "a", "node")).distinct()
-    left, right = cluster.toDF("band", "key", "a", "x"), cluster.toDF("band", "key", "b", "y")
-    pairs = apart.join(left, "a").join(right, ["band", "key", "b"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti").join(checked.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    bridges = stored(verify(pairs, texts), "bridges").where(F.col("sim") >= similarity).select("a", "b")
-    return links.unionByName(bridges)
+    sizes = texts.groupBy("root").agg(F.sum(F.octet_length("text") + NODE_BYTES).alias("bytes"))
+    large = stored(sizes.where(F.col("bytes") > CLUSTER_BYTES).select("root"), "large")
+    links = small_clusters(texts.join(large, "root", "left_anti"), similarity)
+    if not large.isEmpty():
+        big = texts.join(large, "root", "left_semi")
+        links = links.unionByName(large_clusters(members.drop("a").join(big.select("node"), "node", "left_semi"), big.select("node", "text"), similarity))
+    return links
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
