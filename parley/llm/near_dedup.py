@@ -250,6 +250,18 @@ def large_clusters(members: DataFrame, texts: DataFrame, similarity: float) -> D
         open_ = stored(rest.join(reached.withColumnRenamed("a", "node"), ["band", "key", "node"], "left_anti"), "open")
 
 
+def cluster_roots(members: DataFrame) -> DataFrame:
+    """``node, root``: the clusters of nodes that share buckets (``band, key,
+    node`` and ``a``, the least node of the bucket).  Components are sought
+    among these least nodes alone, of which even a very large group has few;
+    a node meets at most one for each band."""
+    own = stored(members.groupBy("node").agg(F.min("a").alias("m"), F.collect_set("a").alias("as")), "leaders")
+    meet = own.select(F.explode("as").alias("a"), "m").where("a <> m").distinct()
+    chain = own.where("node <> m").select(F.col("node").alias("a"), "m").join(members.select("a").distinct(), "a", "left_semi")
+    root = stored(components(meet.unionByName(chain).select("a", F.col("m").alias("b"))), "leaderroots")
+    return stored(own.select("node", "m").join(root.toDF("m", "root"), "m", "left").select("node", F.coalesce("root", "m").alias("root")), "roots")
+
+
 def linked(docs: DataFrame, rows: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Verified links ``a, b`` that connect every class of nodes."""
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct("id", "text_key")).alias("row"))
@@ -257,8 +269,7 @@ def linked(docs: DataFrame, rows: DataFrame, similarity: float, id_col: str, tex
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1").drop("n")
     members = stored(members.join(shared, ["band", "key"]), "members")
-    root = components(members.select("a", F.col("node").alias("b")))
-    root = stored(root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()).distinct(), "roots")
+    root = cluster_roots(members)
     wanted = nodes.join(root, "node").select("node", "root", F.col("row.id").alias("_id"), F.col("row.text_key").alias("_key"))
     texts = (docs.select(F.col(id_col).cast("long").alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
              .join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "root", "text").dropDuplicates(["node"]))
