@@ -31,6 +31,11 @@ from parley.llm.common import stored
 DIMS = ("source", "lang", "topic")
 
 
+def over_all(value: Column) -> Column:
+    """Over all rows: for the cell table and smaller ones only."""
+    return value.over(Window.partitionBy())
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
@@ -44,15 +49,15 @@ def topic_of(text: Column) -> Column:
 def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     """Target shares of the values of ``dim``: their token shares to ``power``,
     made to sum to 1."""
-    sums = cells.groupBy(dim).agg(F.sum("tokens").alias("_t")).where("_t > 0")
-    return sums.crossJoin(sums.agg(F.sum(F.pow("_t", F.lit(power))).alias("_all"))).select(dim, (F.pow("_t", F.lit(power)) / F.col("_all")).alias("share"))  # _all is one row
+    sums = cells.groupBy(dim).agg(F.sum("tokens").alias("_t")).where("_t > 0").withColumn("_w", F.pow("_t", F.lit(power)))
+    return sums.select(dim, (F.col("_w") / over_all(F.sum("_w"))).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], max_sweeps: int = 40, tolerance: float = 1e-9) -> DataFrame:
     """``cells`` (the keys of ``targets`` and ``tokens``) with ``weight``, whose
     sums by each key are the target shares of the whole.  ``targets``: for each
     key a table of its values and their ``share``."""
-    out = cells.where("tokens > 0").withColumn("weight", F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(0))))
+    out = cells.where("tokens > 0").withColumn("weight", F.col("tokens") / over_all(F.sum("tokens")))
     for dim, target in targets.items():
         t = target.toDF(f"_v_{dim}", f"_share_{dim}")
         out = out.join(t, F.col(dim).eqNullSafe(F.col(f"_v_{dim}")), "left").drop(f"_v_{dim}").fillna(0.0, [f"_share_{dim}"])
@@ -90,8 +95,7 @@ def mixing_probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None =
     cells = stored(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "sums")
     raked = rake(cells, targets or {d: tempered(cells, d, power) for d in DIMS})
     factor = raked.withColumn("_g", F.col("weight") / F.col("tokens"))
-    top = factor.agg(F.max("_g").alias("_top"))  # one row
-    factor = factor.crossJoin(top).select(*[F.col(d).alias(f"_c_{d}") for d in DIMS], (F.col("_g") / F.col("_top")).alias("_p"))
+    factor = factor.select(*[F.col(d).alias(f"_c_{d}") for d in DIMS], (F.col("_g") / over_all(F.max("_g"))).alias("_p"))
     same = [F.col(d).eqNullSafe(F.col(f"_c_{d}")) for d in DIMS]
     out = rows.join(stored(factor, "factors"), same, "left").drop(*[f"_c_{d}" for d in DIMS])
     return out.withColumn("p", F.coalesce("_p", F.lit(0.0))).drop("_p").withColumn("selected", draw(F.col(id_col), F.col(text_col), seed) < F.col("p"))
