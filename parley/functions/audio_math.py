@@ -13,7 +13,9 @@ def keyed_uniform(lo: float, hi: float, key: Column, idx: Column, a: int, b: int
     """Deterministic value in [lo, hi) from (key, idx): ``pmod(a*key + b*idx, m) / m``
     scaled.  Replaces unseeded random draws so results do not depend on
     partitioning or retries."""
-    u = F.pmod(key.cast("long") * a + idx.cast("long") * b, F.lit(m)) / F.lit(float(m))
+    # Reduced before the products, which then cannot overflow for any 64-bit key.
+    small = lambda c: F.pmod(c.cast("long"), F.lit(m))
+    u = F.pmod(small(key) * a + small(idx) * b, F.lit(m)) / F.lit(float(m))
     return F.lit(lo) + F.lit(hi - lo) * u
 
 

@@ -26,7 +26,9 @@ AUTHOR_YEAR_CITATION = r"\([A-Z][a-z]+( et al\.)?,? \d{4}\)"
 REFERENCES_TAIL = r"(?s)\n(References|REFERENCES)\n.*"
 SPACE_RUN = r"[ \t]+"
 BLANK_LINES = r"\n{3,}"
-COMMENTARY_LINE = r"(?is)^[ \t]*(here('s| is) (the )?cleaned text|sure)([^a-z0-9].*)?$"
+# Short lines that announce the text and end in a colon, and a bare "Sure!";
+# a sentence that begins with "Sure" is content.
+COMMENTARY_LINE = r"(?is)^[ \t]*((here('s| is) (the )?cleaned text[^:]{0,60}|sure[^a-z0-9:][^:]{0,60}):|sure[!.,]?)[ \t]*$"
 # Fillers and stage reactions (checked per token / by literal).
 FILLER_TOKEN = r"(?i)^(u+m+|h+m+)$"
 NON_WORD_RUN = r"[^\p{L}\p{N}_]+"
@@ -133,14 +135,15 @@ def literal_count(c, needle: str) -> Column:
 def unescape(c) -> Column:
     """Undo string-literal escapes: ``\\\\``, ``\\"``, ``\\'``, ``\\n``, ``\\t``, ``\\r``.
 
-    The escaped backslash is parked on a private-use character first so that
-    ``\\\\n`` stays a backslash followed by ``n``.
+    The text is split at escaped backslashes first, so that ``\\\\n`` stays a
+    backslash followed by ``n``.
     """
-    park = "\ue000"
-    t = F.replace(col_(c), F.lit("\\\\"), F.lit(park))
-    for esc, val in (('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
-        t = F.replace(t, F.lit(esc), F.lit(val))
-    return F.replace(t, F.lit(park), F.lit("\\"))
+    def plain(part: Column) -> Column:
+        for esc, val in (('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
+            part = F.replace(part, F.lit(esc), F.lit(val))
+        return part
+
+    return F.array_join(F.transform(F.split(col_(c), r"\\\\"), plain), "\\")
 
 
 def escape(c) -> Column:

@@ -115,8 +115,9 @@ def complete_batches(requests: DataFrame, fn: Callable[[pd.DataFrame], pd.Series
     ``fn`` gets a pandas frame with the request columns and returns the
     reply contents as a Series (None for no reply).  ``passthrough``
     columns are copied to the output, so a caller can keep e.g. the chunk
-    text next to its reply instead of joining it back later.  When a batch raises,
-    its rows are retried one by one and the rows that still raise become
+    text next to its reply instead of joining it back later.  When a batch raises
+    or gets a wrong number of replies, its halves are tried again, down to single
+    rows; those that still raise become
     status-599 rows carrying the error text, so one bad request never fails
     the job or its neighbours.  Parallelism is the partition count of
     ``requests``.
@@ -131,18 +132,17 @@ def complete_batches(requests: DataFrame, fn: Callable[[pd.DataFrame], pd.Series
         import json
         try:
             content = list(fn(pdf))
+            if len(content) != len(pdf):
+                raise ValueError(f"{len(content)} replies to {len(pdf)} requests")
             return ([200 if c is not None else 204 for c in content],
                     [json.dumps({"choices": [{"message": {"content": c}}]}) if c is not None else ""
                      for c in content])
         except Exception as exc:
             if len(pdf) == 1:
-                return [599], [json.dumps({"error": str(exc)[:1000]})]
-            status, body = [], []
-            for i in range(len(pdf)):        # isolate the failing requests
-                s, b = replies(pdf.iloc[i:i + 1])
-                status += s
-                body += b
-            return status, body
+                return [599], [json.dumps({"error": str(exc)})]
+            # Halves isolate the failing requests without calling for every row again.
+            (s, b), (s2, b2) = replies(pdf.iloc[:len(pdf) // 2]), replies(pdf.iloc[len(pdf) // 2:])
+            return s + s2, b + b2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -15,14 +15,11 @@ from parley.functions import fixed as FX
 
 _HEAD = re.compile(r'^\("(Speaker[^"\\]*)"[ \t]*,[ \t]*"')
 _PAIR = re.compile(r"\\[\s\S]")
-_PARK = "\ue000"
+_VALUES = {"\\\\": "\\", '\\"': '"', "\\'": "'", "\\n": "\n", "\\t": "\t", "\\r": "\r"}
 
 
 def _unescape(body: str) -> str:
-    t = body.replace("\\\\", _PARK)
-    for esc, val in (('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
-        t = t.replace(esc, val)
-    return t.replace(_PARK, "\\")
+    return _PAIR.sub(lambda m: _VALUES.get(m.group(), m.group()), body)
 
 
 def _is_candidate(line: str) -> bool:

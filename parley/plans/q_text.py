@@ -132,7 +132,7 @@ def str_speech_text(spark, sf_dir):
                     T.word_count(T.speech_text("text")).alias("words_after"))
 
 
-_COMMENT_RE = r"(?is)^[ \t]*(here('s| is) (the )?cleaned text|sure)([^a-z0-9].*)?$".replace("'", "''")
+_COMMENT_RE = r"(?is)^[ \t]*((here('s| is) (the )?cleaned text[^:]{0,60}|sure[^a-z0-9:][^:]{0,60}):|sure[!.,]?)[ \t]*$".replace("'", "''")
 
 
 @query("str_drop_commentary", f"""

@@ -41,9 +41,8 @@ def write_clean_docs(docs: DataFrame, out_dir: str, name_col: str = "file_name",
 
 
 def write_segments(segments: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
-    """Segment table as Parquet; rows with empty text are not written."""
-    (segments.where(F.coalesce(F.length("text"), F.lit(0)) > 0)
-     .write.mode(mode).parquet(out_dir))
+    """Segment table as Parquet, every row of it."""
+    segments.write.mode(mode).parquet(out_dir)
 
 
 def write_manifest(manifest: DataFrame, out_dir: str, mode: str = "overwrite") -> None:

@@ -61,3 +61,24 @@ def test_complete_batches_turns_errors_into_rows(spark):
     assert got[3][0] == 599 and "service unavailable" in got[3][1]
     assert got[1] == (204, "")
     assert got[0][0] == 200 and json.loads(got[0][1])["choices"][0]["message"]["content"] == "c0"
+
+
+def test_wrong_number_of_replies_is_isolated(spark):
+    import pandas as pd
+    from parley.operators import requests as R
+    req = spark.createDataFrame([(i, [{"role": "user", "content": f"t{i}"}]) for i in range(8)], "k long, messages array<struct<role:string,content:string>>").coalesce(1)
+
+    def short(pdf):
+        out = pdf["k"].astype(str)
+        return out if 5 not in set(pdf["k"]) else out[:-1]
+
+    got = {r.k: r.status for r in R.complete_batches(req, short, "k").collect()}
+    assert got == {i: 599 if i == 5 else 200 for i in range(8)}
+
+
+def test_keyed_uniform_takes_any_key(spark):
+    from pyspark.sql import functions as F
+    from parley.functions.audio_math import keyed_uniform
+    top = (1 << 63) - 1
+    u = spark.range(1).select(keyed_uniform(0.0, 1.0, F.lit(top), F.lit(-top), 7919, 104729).alias("u")).first().u
+    assert u == ((top * 7919 - top * 104729) % 10007) / 10007

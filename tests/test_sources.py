@@ -102,7 +102,7 @@ def test_writers(spark):
     seg = spark.createDataFrame([(1, 0, "Speaker 1", ""), (1, 1, "Speaker 2", "x")],
                                 "episode_id long, seg_idx long, speaker string, text string")
     W.write_segments(seg, out + "/seg")
-    assert spark.read.parquet(out + "/seg").count() == 1
+    assert spark.read.parquet(out + "/seg").count() == seg.count() == 2
 
 
 def test_read_pdfs_and_text_files(spark):

@@ -86,3 +86,19 @@ def test_fillers_and_unescape(spark):
     r = df.select(T.filler_count("t").alias("n"), T.unescape("t").alias("u")).collect()
     assert r[0].n == 3
     assert r[1].u == 'a\\n "q" \n'
+
+
+def test_commentary_keeps_content(spark):
+    from pyspark.sql import functions as F
+    from parley.functions import text as T
+    text = "Sure!\nSure, here is the text:\nHere's the cleaned text:\nSure enough, the pump failed in May.\nSure thing"
+    row = spark.range(1).select(T.drop_commentary(F.lit(text)).alias("t")).first()
+    assert row.t == "Sure enough, the pump failed in May.\nSure thing"
+
+
+def test_unescape_by_hand(spark):
+    from pyspark.sql import functions as F
+    from parley.functions import text as T
+    from parley.operators.udtf import _unescape
+    for given, want in ((r"a\nb", "a\nb"), (r"a\\nb", r"a\nb"), (r"\\\"x", r'\"x'), ("\\'", "'"), (r"\\", "\\"), (r"\q", r"\q"), ("", "")):
+        assert spark.range(1).select(T.unescape(F.lit(given)).alias("t")).first().t == want == _unescape(given)
