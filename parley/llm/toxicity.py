@@ -22,6 +22,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nsmallest
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +46,13 @@ def features_of(word: str) -> list[str]:
 
 
 def word_counts(text: str | None) -> Counter:
-    """Counts of the words and beginnings of words of the whole text."""
+    return Counter(WORDS(text.lower())) if text else Counter()
+
+
+def expanded(words: Counter) -> Counter:
+    """Counts of the words and beginnings of words."""
     out: Counter = Counter()
-    for word, n in (Counter(WORDS(text.lower())) if text else {}).items():
+    for word, n in words.items():
         for f in features_of(word):
             out[f] += n
     return out
@@ -76,27 +82,26 @@ class ToxicityModel:
         return float(p.sum()), int(np.argmax(grades))
 
 
-def grades_of(rows: list[tuple[Counter, int]], n_grades: int, markers: set[str]) -> np.ndarray:
-    hits = np.array([sum(np.log1p(n) for w, n in c.items() if w in markers) for c, _ in rows])
-    toxic = np.array([y for _, y in rows])
+def grades_of(hits: np.ndarray, toxic: np.ndarray, n_grades: int) -> np.ndarray:
     cuts = np.quantile(hits[toxic == 1], np.linspace(0, 1, n_grades)[1:-1]) if n_grades > 2 else []
     return np.where(toxic == 1, 1 + np.searchsorted(cuts, hits, side="left"), 0)
 
 
 def fit(rows: list[tuple[Counter, int]], n_grades: int = 3, max_words: int = 400) -> ToxicityModel:
+    # The least word hashes and the length put the rows in an order of their own.
+    named = [((y, tuple(nsmallest(3, map(xxhash.xxh64_intdigest, c)))), sum(c.values()), len(c), i) for i, (c, y) in enumerate(rows) if c]
     once, seen = [], set()
-    for c, y in sorted(rows, key=lambda r: (r[1], sorted(r[0].items()))):
-        low = (y, tuple(sorted(xxhash.xxh64_intdigest(w) for w in c if w[-1] != "*")[:3]))
-        if c and low not in seen:
+    for low, _, _, i in sorted(named):
+        if low not in seen:
             seen.add(low)
-            once.append((c, y))
+            once.append(rows[i])
     n1 = sum(y for _, y in once)
     n0 = len(once) - n1
     if not n1 or not n0:
         return ToxicityModel({}, np.zeros(0))
     df = [Counter(), Counter()]
     for c, y in once:
-        df[y].update(c.keys())
+        df[y].update(expanded(c).keys())
     least = max(4, n1 // 100)
     odds = {w: np.log((k + 0.5) / (n1 - k + 0.5)) - np.log((df[0][w] + 0.5) / (n0 - df[0][w] + 0.5)) for w, k in df[1].items() if k >= least}
     z = {w: o / np.sqrt(1 / (df[1][w] + 0.5) + 1 / (df[0][w] + 0.5)) for w, o in odds.items()}
@@ -109,9 +114,11 @@ def fit(rows: list[tuple[Counter, int]], n_grades: int = 3, max_words: int = 400
     place = {w: i for i, w in enumerate(vocab)}
     x = np.zeros((len(once), len(vocab)))
     for i, (c, _) in enumerate(once):
-        for w in c.keys() & place.keys():
-            x[i, place[w]] = np.log1p(c[w])
-    grade = grades_of(once, n_grades, {w for w in vocab if odds[w] > 2})
+        e = expanded(c)
+        for w in e.keys() & place.keys():
+            x[i, place[w]] = np.log1p(e[w])
+    markers = [place[w] for w in vocab if odds[w] > 2]
+    grade = grades_of(x[:, markers].sum(axis=1), np.array([y for _, y in once]), n_grades)
     w, cuts = cumulative_link(x, grade, int(grade.max()) + 1)
     return ToxicityModel({v: float(w[i]) for v, i in place.items() if w[i]}, cuts)
 
@@ -131,8 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 2500, n_grades:
             out = [word_counts(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(c) for c in out], pa.list_(pa.string())), pa.array([list(c.values()) for c in out], pa.list_(pa.int32()))], names=["y", "w", "n"])
 
-    got = rows.mapInArrow(words, "y int, w array<string>, n array<int>").toArrow().to_pydict()
-    return fit([(Counter(dict(zip(w, k))), y) for y, w, k in zip(got["y"], got["w"], got["n"])], n_grades)
+    got = rows.mapInArrow(words, "y int, w array<string>, n array<int>").toArrow()
+    learn = []
+    for batch in got.to_batches(max_chunksize=256):  # the words are shared between rows
+        for y, w, k in zip(*(c.to_pylist() for c in batch.columns)):
+            learn.append((Counter(dict(zip(map(intern, w), k))), y))
+    return fit(learn, n_grades)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
