@@ -12,9 +12,10 @@ own (full scale is 1.0):
   high-pass ``y0 = x0, y_i = a (y_{i-1} + x_i - x_{i-1})``, ``a = RC/(RC+dt)``,
   ``RC = 1/(2 pi f_c)``;
 * compressor: level ``L_i`` = RMS of the ``look`` previous frames, target
-  ``m_i = (1 - 1/ratio) * max(0, 20 log10(L_i / thr))`` dB, attenuation
-  ``att_i = att_{i-1} + (m_i - att_{i-1}) / (attack if m_i > att_{i-1} else release)``
-  (frames), output ``x_i * 10^(-att_i/20)``.
+  ``m_i = (1 - 1/ratio) * max(0, 20 log10(L_i / thr))`` dB; the attenuation
+  rises to ``min(att + m_i/attack, m_i)`` where ``L_i > thr`` and
+  ``att <= m_i``, else falls to ``max(att - m_i/release, 0)`` (attack and
+  release in frames), output ``x_i * 10^(-att_i/20)``.
 """
 
 from __future__ import annotations
@@ -208,39 +209,60 @@ def rolling_rms(frames: DataFrame, keys, order: str, look: int, out: str = "leve
     return both.where("_own").drop("_blk", "_own")
 
 
-def compress_array(x: np.ndarray, threshold_db: float, ratio: float, attack_frames: float,
-                   release_frames: float, look: int) -> np.ndarray:
-    """Sequential compressor over one array (definition in the module doc)."""
+def window_sums(v: np.ndarray, look: int) -> np.ndarray:
+    """Sums of all ``look`` consecutive values, from prefix and suffix sums of
+    blocks of ``look``.  Nothing is subtracted, so quiet passages after loud
+    ones keep their precision."""
+    m = -(-v.shape[0] // look) + 1
+    b = np.zeros(m * look)
+    b[:v.shape[0]] = v
+    b = b.reshape(m, look)
+    head = np.zeros_like(b)
+    head[:, 1:] = np.cumsum(b, axis=1)[:, :-1]
+    rest = np.cumsum(b[:, ::-1], axis=1)[:, ::-1]
+    return (rest[:-1] + head[1:]).ravel()[:v.shape[0] - look + 1]
+
+
+def compress_block(x: np.ndarray, tail: np.ndarray, att: float, threshold_db: float, ratio: float,
+                   attack_frames: float, release_frames: float, look: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Compressor over one stretch of a signal (definition in the module doc).
+
+    ``tail`` holds the squares of up to ``look`` frames before the stretch and
+    ``att`` the attenuation reached there; returns the output and both values
+    at its end.  An attack or release of 0 frames moves at once."""
     n = x.shape[0]
     if n == 0:
-        return x
-    # Windowed sums (not differences of a running sum, which lose precision
-    # on quiet passages after loud ones).
-    padded = np.concatenate([np.zeros(look), x * x])
-    sums = np.lib.stride_tricks.sliding_window_view(padded, look)[:n].sum(axis=1)
-    cnt = np.minimum(np.arange(n), look)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        level = np.where(cnt > 0, np.sqrt(sums / np.maximum(cnt, 1)), 0.0)
-        thr = 10 ** (threshold_db / 20)
-        over = np.where(level > 0, 20 * np.log10(np.where(level > 0, level, 1.0) / thr), 0.0)
-    target = (1 - 1 / ratio) * np.maximum(0.0, over)
-    # The attenuation update is sequential; iterate over Python floats (same
-    # arithmetic as numpy scalars, several times faster per step).
-    att, a = [], 0.0
-    append = att.append
+        return x, tail, att
+    sq = np.concatenate([tail, x * x])
+    sums = window_sums(np.concatenate([np.zeros(look - tail.shape[0]), sq]), look)[:n]
+    cnt = np.minimum(np.arange(n) + tail.shape[0], look)
+    level = np.sqrt(sums / np.maximum(cnt, 1))
+    over = 20 * np.log10(np.where(level > 0, level, 1.0) / 10 ** (threshold_db / 20))
+    target = (1 - 1 / ratio) * np.maximum(0.0, np.where(level > 0, over, 0.0))
+    # The update is sequential; iterate over Python floats (several times
+    # faster per step than numpy scalars).
+    out = []
+    append = out.append
     for m in target.tolist():
-        a = a + (m - a) / (attack_frames if m > a else release_frames)
-        append(a)
-    return x * 10 ** (-np.asarray(att) / 20)
+        if m > 0 and att <= m:
+            att = min(att + m / attack_frames, m) if attack_frames > 0 else m
+        elif m > 0:
+            att = max(att - m / release_frames, 0.0) if release_frames > 0 else 0.0
+        append(att)
+    return x * 10 ** (-np.asarray(out) / 20), sq[-look:], att
+
+
+def compress_array(x: np.ndarray, threshold_db: float, ratio: float, attack_frames: float,
+                   release_frames: float, look: int) -> np.ndarray:
+    """Sequential compressor over one array."""
+    return compress_block(x, np.zeros(0), 0.0, threshold_db, ratio, attack_frames, release_frames, look)[0]
 
 
 def compress_samples(samples: Column, threshold_db: float, ratio: float, attack_ms: float,
                      release_ms: float, frame_rate: float) -> Column:
     """Compressor applied to each array (one segment) in an Arrow-batched
-    pandas UDF: no shuffle, the group is one row.  Attack and release are at
-    least one frame (shorter times would make the update overshoot)."""
-    att_f = max(attack_ms * frame_rate / 1000.0, 1.0)
-    rel_f = max(release_ms * frame_rate / 1000.0, 1.0)
+    pandas UDF: no shuffle, the group is one row."""
+    att_f, rel_f = attack_ms * frame_rate / 1000.0, release_ms * frame_rate / 1000.0
     look = max(int(round(att_f)), 1)
 
     def run(s: pd.Series) -> pd.Series:
@@ -250,48 +272,43 @@ def compress_samples(samples: Column, threshold_db: float, ratio: float, attack_
     return pandas_udf(run, ArrayType(DoubleType()))(samples)
 
 
-def warmup_frames(attack_frames: float, release_frames: float) -> int:
-    """Frames after which the attenuation forgets its start value: each step
-    is a contraction with factor 1 - 1/max(attack, release), so after this
-    many steps a start error of 100 dB is below 1e-12 dB."""
-    slow = max(attack_frames, release_frames, 1.0)
-    return int(math.ceil(math.log(1e-14) / math.log(1 - 1 / slow))) if slow > 1 else 1
-
-
 def compress_frames(frames: DataFrame, keys, order: str, threshold_db: float, ratio: float,
                     attack_ms: float, release_ms: float, frame_rate: float,
-                    block_frames: int = 262_144) -> DataFrame:
-    """Compressor over long-form frames, parallel in blocks.
-
-    Frames are cut into blocks of ``block_frames`` consecutive positions; each
-    block also receives the preceding warm-up frames (see
-    :func:`warmup_frames`) and starts from zero attenuation.  Because the
-    attenuation update is a contraction, the result equals the sequential
-    one to double precision, while no group is larger than one block plus
-    its warm-up.  ``order`` must be a dense 0-based index within the key.
+                    block_frames: int = 1024) -> DataFrame:
+    """Compressor over long-form frames ``(*keys, order, amp)``.
+
+    The attenuation depends on every frame before it, so each key is one
+    ordered pass.  Frames are packed into arrays of ``block_frames`` in
+    parallel, sorted by (key, block), and streamed with the level window and
+    the attenuation as the only state: memory does not grow with the length
+    of a signal, and different keys run in parallel.  ``order`` must be a
+    dense 0-based index within the key.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    att_f = max(attack_ms * frame_rate / 1000.0, 1.0)
-    rel_f = max(release_ms * frame_rate / 1000.0, 1.0)
+    att_f, rel_f = attack_ms * frame_rate / 1000.0, release_ms * frame_rate / 1000.0
     look = max(int(round(att_f)), 1)
-    warm = warmup_frames(att_f, rel_f) + look
-    block_frames = max(block_frames, 4 * warm)
-    blk = F.floor(F.col(order) / block_frames)
-    own = frames.withColumn("_blk", blk).withColumn("_own", F.lit(True))
-    # Warm-up copies: frames in the last `warm` positions of a block feed the next block.
-    nxt = (frames.where((F.col(order) % block_frames) >= block_frames - warm)
-           .withColumn("_blk", blk + 1).withColumn("_own", F.lit(False)))
-    both = own.unionByName(nxt)
-    schema = frames.schema
-    out_cols = [f.name for f in schema.fields]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        y = compress_array(pdf["amp"].to_numpy(dtype=float), threshold_db, ratio, att_f, rel_f, look)
-        pdf = pdf.assign(amp=y)
-        return pdf[pdf["_own"]][out_cols]
-
-    return both.groupBy(*keys, "_blk").applyInPandas(run, schema)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("amp").alias("a"))))
+    packed = (frames.groupBy(*keys, F.floor(F.col(order) / block_frames).alias("_blk"))
+              .agg(F.min(order).alias("_first"), ordered.alias("_f"))
+              .select(*keys, "_blk", "_first", F.transform("_f", lambda f: f["a"]).alias("_a"))
+              .repartition(*keys).sortWithinPartitions(*keys, "_blk"))
+
+    def run(batches):
+        last, tail, att = None, np.zeros(0), 0.0
+        for pdf in batches:
+            out = []
+            for key, x in zip(pdf[keys].itertuples(index=False, name=None), pdf["_a"]):
+                key = tuple(None if pd.isna(v) else v for v in key)
+                if key != last:
+                    last, tail, att = key, np.zeros(0), 0.0
+                y, tail, att = compress_block(np.asarray(x, dtype=float), tail, att, threshold_db, ratio,
+                                              att_f, rel_f, look)
+                out.append(y)
+            yield pdf.assign(_a=out)
+
+    done = packed.mapInPandas(run, packed.schema)
+    return (done.select(*keys, "_first", F.posexplode("_a").alias("_pos", "amp"))
+            .withColumn(order, F.col("_first") + F.col("_pos")).select(*keys, order, "amp"))
 
 
 def crossfade_gain(i: Column, n: Column, c: int, has_prev: Column, has_next: Column) -> Column:
@@ -304,12 +321,14 @@ def crossfade_gain(i: Column, n: Column, c: int, has_prev: Column, has_next: Col
 def place_segments(waves: DataFrame, crossfade: int) -> DataFrame:
     """Episode start frame of each segment when appended in order with a
     ``crossfade``-frame overlap (prefix sum of ``n - crossfade``); adds
-    n, start, has_prev, has_next.
+    n, start, has_prev, has_next.  A segment shorter than the crossfade cannot
+    be appended: it fails and is left out (:func:`too_short` lists them).
 
     The scan runs on (episode, segment, length) only; that table is joined
     back by (episode, segment) with a size-checked broadcast
     (:func:`join_small`), so the sample arrays are not shuffled for the
     placement."""
+    waves = waves.where(F.size("samples") >= crossfade)
     meta = waves.select(KEY, IDX, F.size("samples").cast("long").alias("n"))
     one = F.lit(1).cast("long")
     meta = blocked_scan(meta, KEY, IDX, sums={"start": (F.col("n") - crossfade, False), "_pos": (one, True)},
@@ -319,6 +338,11 @@ def place_segments(waves: DataFrame, crossfade: int) -> DataFrame:
     return join_small(waves, meta, [KEY, IDX])
 
 
+def too_short(waves: DataFrame, crossfade: int) -> DataFrame:
+    """Segments that the mix leaves out: no samples, or fewer than the crossfade."""
+    return waves.where(F.coalesce(F.size("samples") < crossfade, F.lit(True))).select(KEY, IDX)
+
+
 def crossfaded_frames(waves: DataFrame, crossfade: int) -> DataFrame:
     """Per-segment frames with their episode position ``t`` and ramp gain applied."""
     p = place_segments(waves, crossfade)
@@ -348,7 +372,7 @@ def fade(frames: DataFrame, fade_in: int, fade_out: int, order: str = "t") -> Da
     size-checked broadcast)."""
     total = frames.groupBy(KEY).agg((F.max(order) + 1).alias("_total"))
     d = join_small(frames, total, KEY)
-    g = F.least(F.lit(1.0), (F.col(order) + 1) / F.lit(float(fade_in))) if fade_in > 0 else F.lit(1.0)
+    g = F.least(F.lit(1.0), F.col(order) / F.lit(float(fade_in))) if fade_in > 0 else F.lit(1.0)
     g = g * F.least(F.lit(1.0), (F.col("_total") - F.col(order)) / F.lit(float(fade_out)))
     return d.withColumn("amp", F.col("amp") * g).drop("_total")
 

@@ -144,11 +144,12 @@ def _compress_sql(src: str, keys: str, thr_db: float, ratio: float, att: float,
                           ROWS BETWEEN {look} PRECEDING AND 1 PRECEDING)) AS lvl
               FROM {src})),
     r AS (
-        SELECT {keys}, i, amp, m / (CASE WHEN m > 0 THEN {att}::DOUBLE ELSE {rel}::DOUBLE END) AS att
+        SELECT {keys}, i, amp, 0.0::DOUBLE AS att
         FROM lv WHERE i = 0
         UNION ALL
         SELECT {', '.join('l.' + k for k in keys.split(', '))}, l.i, l.amp,
-               r.att + (l.m - r.att) / (CASE WHEN l.m > r.att THEN {att}::DOUBLE ELSE {rel}::DOUBLE END)
+               CASE WHEN l.m > 0 AND r.att <= l.m THEN least(r.att + l.m / {att}::DOUBLE, l.m)
+                    ELSE greatest(r.att - l.m / {rel}::DOUBLE, 0.0) END
         FROM r JOIN lv l ON {join_keys} AND l.i = r.i + 1)
     SELECT {keys}, i, round(amp * pow(10.0, -att / 20), 6) AS amp FROM r"""
 
@@ -202,7 +203,7 @@ def agg_mix_frames(spark, sf_dir):
 
 @query("aud_fade", f"""
     SELECT m.episode_id, m.t,
-           round(m.amp * (least(1.0, (m.t + 1) / 1000.0::DOUBLE) * least(1.0, (n.total - m.t) / 2000.0::DOUBLE)), 6)
+           round(m.amp * (least(1.0, m.t / 1000.0::DOUBLE) * least(1.0, (n.total - m.t) / 2000.0::DOUBLE)), 6)
                AS amp
     FROM ({_MIX_SQL}) m JOIN (SELECT episode_id, max(t) + 1 AS total FROM ({_MIX_SQL}) GROUP BY episode_id) n
       ON m.episode_id = n.episode_id""")
@@ -319,11 +320,12 @@ def _rec_compress(name: str, src: str, keys: str, thr_db: float, ratio: float, a
                           ROWS BETWEEN {look} PRECEDING AND 1 PRECEDING)) AS lvl
               FROM {src})),
     {name} AS (
-        SELECT {keys}, {order}, x, m / (CASE WHEN m > 0 THEN {att}::DOUBLE ELSE {rel}::DOUBLE END) AS att
+        SELECT {keys}, {order}, x, 0.0::DOUBLE AS att
         FROM {name}_lv WHERE {order} = 0
         UNION ALL
         SELECT {cols}, l.{order}, l.x,
-               r.att + (l.m - r.att) / (CASE WHEN l.m > r.att THEN {att}::DOUBLE ELSE {rel}::DOUBLE END)
+               CASE WHEN l.m > 0 AND r.att <= l.m THEN least(r.att + l.m / {att}::DOUBLE, l.m)
+                    ELSE greatest(r.att - l.m / {rel}::DOUBLE, 0.0) END
         FROM {name} r JOIN {name}_lv l ON {on} AND l.{order} = r.{order} + 1)"""
 
 

@@ -36,7 +36,7 @@ def loop_compress(x, thr_db, ratio, att, rel, look):
         w = x[max(0, i - look):i]
         lvl = math.sqrt(sum(v * v for v in w) / len(w)) if len(w) else 0.0
         m = (1 - 1 / ratio) * max(0.0, 20 * math.log10(lvl / thr)) if lvl > 0 else 0.0
-        a = a + (m - a) / (att if m > a else rel)
+        a = min(a + m / att, m) if lvl > thr and a <= m else max(a - m / rel, 0.0)
         out.append(x[i] * 10 ** (-a / 20))
     return np.array(out)
 
@@ -57,8 +57,6 @@ def test_blocked_compressor_equals_sequential(spark):
     n = 6000
     x = np.concatenate([RNG.normal(0, 0.6, n // 2), RNG.normal(0, 0.02, n // 2)])
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "episode_id long, t long, amp double")
-    # 10 ms / 100 ms at 1 kHz: warm-up ~3,300 frames, so blocks of 2,048 are widened to
-    # 4 x warm-up; use a long signal split into several blocks.
     got = A.compress_frames(df, "episode_id", "t", -15, 1.5, 2, 6, 1000.0, block_frames=64)
     got = np.array([r.amp for r in got.orderBy("t").collect()])
     exp = loop_compress(x, -15, 1.5, 2, 6, 2)
@@ -80,6 +78,21 @@ def test_mix_equals_sequential_append(spark):
     assert np.allclose(got, out, atol=1e-12)
 
 
+def test_mix_leaves_out_short_segments(spark):
+    waves = [(1, 0, [0.1] * 20), (1, 1, [0.2] * 3), (1, 2, None), (1, 3, [0.3] * 20)]
+    df = spark.createDataFrame(waves, "episode_id long, seg_idx long, samples array<double>")
+    t = [r.t for r in A.mix(df, 8).orderBy("t").collect()]
+    assert t == list(range(20 + 20 - 8))
+    assert sorted(r.seg_idx for r in A.too_short(df, 8).collect()) == [1, 2]
+
+
+def test_window_sums():
+    for n, look in [(1, 1), (5, 1), (7, 3), (240, 240), (1000, 24)]:
+        x = RNG.normal(0, 1, n)
+        exp = [x[i:i + look].sum() for i in range(n - look + 1)]
+        assert np.allclose(A.window_sums(x, look), exp, atol=1e-12)
+
+
 def test_quantise_and_normalise(spark):
     df = spark.createDataFrame([(1.0,), (-1.0,), (1.3,), (-0.5,), (-2.0,)], "x double")
     assert [r.q for r in df.select(A.quantise(F.col("x")).alias("q")).collect()] == [32767, -32767, 32767, -16383, -32768]
