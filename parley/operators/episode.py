@@ -52,12 +52,14 @@ def failed(segments: DataFrame, results: DataFrame) -> DataFrame:
 
 def timeline_plain(synth: DataFrame) -> DataFrame:
     """Concatenation with a 500 ms gap before every segment after the first
-    (also before failed ones).  Adds inc_ms, start_ms, end_ms."""
+    (also before failed ones).  Adds inc_ms, start_ms, end_ms and
+    audio_start_ms (where the audio begins; null for failed segments)."""
     gap = F.when(F.col(IDX) > 0, F.lit(FX.GAP_MS)).otherwise(F.lit(0))
     audio = F.when(F.col("ok"), F.col("dur_ms")).otherwise(F.lit(0))
     d = synth.withColumn("inc_ms", (gap + audio).cast("long"))
     d = running_sum(d, KEY, IDX, "inc_ms", "end_ms")
-    return d.withColumn("start_ms", F.col("end_ms") - F.col("inc_ms"))
+    return (d.withColumn("start_ms", F.col("end_ms") - F.col("inc_ms"))
+            .withColumn("audio_start_ms", F.when(F.col("ok"), F.col("end_ms") - F.col("dur_ms"))))
 
 
 def timeline_jitter(synth: DataFrame, pauses: DataFrame | Column) -> DataFrame:
@@ -65,7 +67,9 @@ def timeline_jitter(synth: DataFrame, pauses: DataFrame | Column) -> DataFrame:
     then appended with a 300 ms crossfade and followed by its pause.  A
     segment shorter than the crossfade fails.  ``pauses`` is a table
     (episode_id, seg_idx, pause_ms) or a column expression such as a keyed
-    value (then no join is needed).  Adds ok_eff, inc_ms, start_ms, end_ms."""
+    value (then no join is needed).  Adds ok_eff, inc_ms, start_ms, end_ms,
+    xfade_ms and audio_start_ms: the audio begins ``xfade_ms`` before the end
+    of its gap (null for failed segments)."""
     if isinstance(pauses, Column):
         d = synth.withColumn("pause_ms", pauses.cast("long"))
     else:
@@ -77,7 +81,10 @@ def timeline_jitter(synth: DataFrame, pauses: DataFrame | Column) -> DataFrame:
            .when(ok_eff, F.col("dur_ms")).otherwise(F.lit(0)))
     d = d.withColumn("ok_eff", ok_eff).withColumn("inc_ms", inc.cast("long"))
     d = running_sum(d, KEY, IDX, "inc_ms", "end_ms")
-    return d.withColumn("start_ms", F.col("end_ms") - F.col("inc_ms"))
+    xfade = F.when(ok_eff & later, F.lit(FX.BASE_CROSSFADE_MS)).otherwise(F.lit(0)).cast("long")
+    gap = F.when(later, F.lit(FX.GAP_MS)).otherwise(F.lit(0))
+    return (d.withColumn("start_ms", F.col("end_ms") - F.col("inc_ms")).withColumn("xfade_ms", xfade)
+            .withColumn("audio_start_ms", F.when(F.col("ok_eff"), F.col("start_ms") + gap - F.col("xfade_ms"))))
 
 
 def timeline_dynamic(synth: DataFrame) -> DataFrame:
@@ -186,7 +193,8 @@ def timeline_parts(synth: DataFrame, pauses: DataFrame | Column) -> DataFrame:
     (segment, part), with their start offsets.
 
     ``advance_ms`` is how far a part moves the end of the episode (audio
-    advances by its duration minus the crossfade).  The parts of a segment
+    advances by its duration minus the crossfade, and starts that much before
+    the end of its gap).  The parts of a segment
     are built from its row as an array of structs and exploded, a union per
     row without a shuffle; offsets follow from the segment's start on the
     timeline, so no second scan is needed.
@@ -202,7 +210,7 @@ def timeline_parts(synth: DataFrame, pauses: DataFrame | Column) -> DataFrame:
                                      adv.alias("advance_ms"), start.alias("start_ms")))
     parts = F.array(
         part(0, "gap", gap_adv, seg_start, later),
-        part(1, "audio", audio_adv, seg_start + gap_adv, F.col("ok_eff")),
+        part(1, "audio", audio_adv, F.col("audio_start_ms"), F.col("ok_eff")),
         part(2, "pause", F.col("pause_ms").cast("long"), seg_start + gap_adv + audio_adv,
              F.col("ok_eff") & later))
     return (t.select(KEY, IDX, F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("p"))

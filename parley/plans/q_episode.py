@@ -138,20 +138,25 @@ def agg_run_counts(spark, sf_dir):
 
 
 _PLAIN_SQL = f"""
-    SELECT episode_id, seg_idx, ok, inc_ms,
+    SELECT episode_id, seg_idx, ok, dur_ms, inc_ms,
            CAST(sum(inc_ms) OVER (PARTITION BY episode_id ORDER BY seg_idx {W_UPTO}) AS BIGINT) AS end_ms
     FROM (SELECT *, CAST(CASE WHEN seg_idx > 0 THEN 500 ELSE 0 END + CASE WHEN ok THEN dur_ms ELSE 0 END AS BIGINT)
                     AS inc_ms FROM f_synth)"""
 
 
-@query("win_timeline_plain", f"SELECT *, end_ms - inc_ms AS start_ms FROM ({_PLAIN_SQL})")
+@query("win_timeline_plain", f"""
+    SELECT episode_id, seg_idx, ok, inc_ms, end_ms, end_ms - inc_ms AS start_ms,
+           CASE WHEN ok THEN end_ms - dur_ms END AS audio_start_ms FROM ({_PLAIN_SQL})""")
 def win_timeline_plain(spark, sf_dir):
     t = E.timeline_plain(FX.synth(spark, sf_dir))
-    return t.select("episode_id", "seg_idx", "ok", "inc_ms", "start_ms", "end_ms")
+    return t.select("episode_id", "seg_idx", "ok", "inc_ms", "start_ms", "end_ms", "audio_start_ms")
 
 
 @query("win_timeline_jitter", f"""
-    SELECT episode_id, seg_idx, ok_eff, inc_ms, end_ms - inc_ms AS start_ms, end_ms FROM (
+    SELECT episode_id, seg_idx, ok_eff, inc_ms, end_ms - inc_ms AS start_ms, end_ms,
+           CAST(CASE WHEN ok_eff AND seg_idx > 0 THEN 300 ELSE 0 END AS BIGINT) AS xfade_ms,
+           CASE WHEN ok_eff THEN end_ms - inc_ms + CASE WHEN seg_idx > 0 THEN 200 ELSE 0 END END AS audio_start_ms
+    FROM (
       SELECT *, CAST(sum(inc_ms) OVER (PARTITION BY episode_id ORDER BY seg_idx {W_UPTO}) AS BIGINT) AS end_ms FROM (
         SELECT *, CAST(CASE WHEN seg_idx > 0 THEN 500 ELSE 0 END
                        + CASE WHEN ok_eff AND seg_idx > 0 THEN dur_ms - 300 + pause_ms
@@ -160,7 +165,8 @@ def win_timeline_plain(spark, sf_dir):
               FROM f_synth s LEFT JOIN f_pause p ON s.episode_id = p.episode_id AND s.seg_idx = p.seg_idx)))""")
 def win_timeline_jitter(spark, sf_dir):
     t = E.timeline_jitter(FX.synth(spark, sf_dir), FX.pauses(spark, sf_dir))
-    return t.select("episode_id", "seg_idx", "ok_eff", "inc_ms", "start_ms", "end_ms")
+    return t.select("episode_id", "seg_idx", "ok_eff", "inc_ms", "start_ms", "end_ms", "xfade_ms",
+                    "audio_start_ms")
 
 
 _DYN_SQL = f"""
@@ -243,7 +249,7 @@ def join_overlap_intervals(spark, sf_dir):
         SELECT episode_id, seg_idx, 2, 'pause', pause_ms FROM t WHERE ok_eff AND seg_idx > 0)
     SELECT episode_id, seg_idx, CAST(part_no AS BIGINT) AS part_no, kind, advance_ms,
            CAST(coalesce(sum(advance_ms) OVER (PARTITION BY episode_id ORDER BY seg_idx, part_no {W_BEFORE}), 0)
-                AS BIGINT) AS start_ms
+                - CASE WHEN kind = 'audio' AND seg_idx > 0 THEN 300 ELSE 0 END AS BIGINT) AS start_ms
     FROM parts""")
 def set_timeline_parts(spark, sf_dir):
     return E.timeline_parts(FX.synth(spark, sf_dir), FX.pauses(spark, sf_dir))

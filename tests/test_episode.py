@@ -85,6 +85,20 @@ def test_jitter(spark, synth):
     assert got == loop_jitter()
 
 
+def test_audio_positions(spark):
+    """Two segments of 5,000 and 4,000 ms: the second is appended with a 300 ms
+    crossfade after a gap of 500 ms, so it lies at 5,200 to 9,200."""
+    s = spark.createDataFrame([(1, 0, "Speaker 1", 5000, True), (1, 1, "Speaker 2", 4000, True),
+                               (1, 2, "Speaker 1", 100, True)],
+                              "episode_id long, seg_idx long, speaker string, dur_ms long, ok boolean")
+    t = E.timeline_jitter(s, F.lit(200)).orderBy("seg_idx").collect()
+    assert [(r.audio_start_ms, r.xfade_ms) for r in t] == [(0, 0), (5200, 300), (None, 0)]
+    parts = {(r.seg_idx, r.kind): r.start_ms for r in E.timeline_parts(s, F.lit(200)).collect()}
+    assert parts == {(0, "audio"): 0, (1, "gap"): 5000, (1, "audio"): 5200, (1, "pause"): 9200, (2, "gap"): 9400}
+    plain = E.timeline_plain(s).orderBy("seg_idx").collect()
+    assert [r.audio_start_ms for r in plain] == [0, 5500, 10000]
+
+
 def test_dynamic(synth):
     got = {(r.episode_id, r.seg_idx): r.end_ms for r in E.timeline_dynamic(synth).collect()}
     assert got == loop_dynamic()
