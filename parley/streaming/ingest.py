@@ -8,11 +8,15 @@
   ``applyInPandasWithState``; turns are ordered inside each micro-batch and
   the state carries across batches.
 
-Checkpoints and outputs live under the shared ``spark.checkpoint.dir``.
+Checkpoints and outputs live under ``run_dir`` if the caller names one: a later
+run with the same folder reads only what arrived since and appends to the same
+sink.  Otherwise each call takes a new folder under the shared
+``spark.checkpoint.dir`` and reads all input.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,19 +49,27 @@ def chunk_stream(stream: DataFrame, n: int, partitions: int | None = None) -> Da
 
 def run_available(query_df: DataFrame, out: str, ckpt: str, fmt: str = "parquet",
                   mode: str = "append") -> None:
-    q = (query_df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start(out))
-    q.awaitTermination()
+    """Process what arrived and stop.  Batches without data are off while it
+    runs: a state with a processing-time timeout would ask for them for ever."""
+    conf, key = query_df.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        q = (query_df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", ckpt)
+             .trigger(availableNow=True).start(out))
+        q.awaitTermination()
+    finally:
+        conf.set(key, before)
 
 
 def stream_chunks(spark: SparkSession, source_dir: str, n: int = FX.CHUNK_WORDS,
                   glob: str = "*.parquet", max_files_per_trigger: int | None = None,
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, run_dir: str | None = None) -> DataFrame:
     """Documents arriving as Parquet files (matching ``glob``) under
     ``source_dir`` -> chunks.  ``max_files_per_trigger`` bounds the size of
     a micro-batch.  Returns the sink contents after all available input was
     processed."""
-    base = _run_dir(spark, "stream-chunks")
+    base = run_dir or _run_dir(spark, "stream-chunks")
     reader = spark.readStream.schema(DOCS_SCHEMA).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -66,9 +78,10 @@ def stream_chunks(spark: SparkSession, source_dir: str, n: int = FX.CHUNK_WORDS,
     return spark.read.parquet(f"{base}/out")
 
 
-def stream_text_chunks(spark: SparkSession, text_dir: str, n: int = FX.CHUNK_WORDS) -> DataFrame:
+def stream_text_chunks(spark: SparkSession, text_dir: str, n: int = FX.CHUNK_WORDS,
+                       run_dir: str | None = None) -> DataFrame:
     """Whole text files arriving under ``text_dir`` -> chunks keyed by path."""
-    base = _run_dir(spark, "stream-text")
+    base = run_dir or _run_dir(spark, "stream-text")
     src = (spark.readStream.format("text").option("wholetext", True).load(text_dir)
            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
     chunks = X.word_chunks(src, n=n, key="path")
@@ -83,26 +96,32 @@ EPISODE_STATE = ("prev_speaker string, end_ms long, n_ok long, n_failed long, ne
                  "pend_idx array<long>, pend_speaker array<string>, pend_dur array<long>, pend_ok array<boolean>")
 
 
-def _episode_step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _episode_step(key, batches: Iterator[pd.DataFrame], state: GroupState, max_waiting: int,
+                  wait_ms: int) -> Iterator[pd.DataFrame]:
     """Dynamic-crossfade timeline with the state carried between batches.
 
     Turns are applied strictly in index order: a turn that arrives before
     an earlier one waits in the state (``pend_*``) until the gap is filled,
-    so the result does not depend on how turns are split into batches.
+    so the result does not depend on how turns are split into batches.  The
+    gap is given up, and the turns behind it are written, when more than
+    ``max_waiting`` turns wait or none arrived for ``wait_ms``.  Turns at or
+    before the last one written (replays) are ignored.
     """
     if state.exists:
         prev, end, n_ok, n_failed, nxt, p_idx, p_sp, p_dur, p_ok = state.get
         pending = list(zip(p_idx or [], p_sp or [], p_dur or [], p_ok or []))
     else:
         prev, end, n_ok, n_failed, nxt, pending = None, FX.INTRO_MS, 0, 0, 0, []
-    pdf = pd.concat(list(batches), ignore_index=True)
-    rows_in = {int(i): (int(i), sp, int(d), bool(o))
-               for i, sp, d, o in zip(pdf["seg_idx"], pdf["speaker"], pdf["dur_ms"], pdf["ok"])}
-    for r in pending:
-        rows_in.setdefault(int(r[0]), (int(r[0]), r[1], int(r[2]), bool(r[3])))
+    waiting = 0 if state.hasTimedOut else max_waiting
+    rows_in = {int(r[0]): (int(r[0]), r[1], int(r[2]), bool(r[3])) for r in pending}
+    for pdf in batches:
+        for i, sp, d, o in zip(pdf["seg_idx"], pdf["speaker"], pdf["dur_ms"], pdf["ok"]):
+            if i >= nxt:
+                rows_in.setdefault(int(i), (int(i), sp, int(d), bool(o)))
     same = int(min(FX.MAX_CROSSFADE_MS, FX.BASE_CROSSFADE_MS * FX.SAME_SPEAKER_FACTOR))
     out = []
-    while nxt in rows_in:
+    while nxt in rows_in or len(rows_in) > waiting:
+        nxt = nxt if nxt in rows_in else min(rows_in)
         seg_idx, speaker, dur, ok = rows_in.pop(nxt)
         ok_eff = ok and dur >= FX.MIN_AMBIENCE_MS
         before = prev
@@ -119,25 +138,31 @@ def _episode_step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     rest = sorted(rows_in.values())
     state.update((prev, int(end), int(n_ok), int(n_failed), int(nxt),
                   [r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], [r[3] for r in rest]))
+    if rest:
+        state.setTimeoutDuration(wait_ms)
     yield pd.DataFrame(out, columns=["episode_id", "seg_idx", "ok_eff", "prev_speaker", "xfade_ms", "end_ms"])
 
 
-def episode_state_stream(synth_stream: DataFrame) -> DataFrame:
+def episode_state_stream(synth_stream: DataFrame, max_waiting: int = 10_000,
+                         wait_ms: int = 3_600_000) -> DataFrame:
+    step = functools.partial(_episode_step, max_waiting=max_waiting, wait_ms=wait_ms)
     return (synth_stream.groupBy("episode_id")
-            .applyInPandasWithState(_episode_step, EPISODE_OUT, EPISODE_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(step, EPISODE_OUT, EPISODE_STATE, "append",
+                                    GroupStateTimeout.ProcessingTimeTimeout))
 
 
 def stream_episode_state(spark: SparkSession, conversations_dir: str,
                          to_synth: Callable[[DataFrame], DataFrame], glob: str = "*.parquet",
-                         max_files_per_trigger: int | None = None) -> DataFrame:
+                         max_files_per_trigger: int | None = None, run_dir: str | None = None,
+                         max_waiting: int = 10_000, wait_ms: int = 3_600_000) -> DataFrame:
     """Conversation turns arriving as Parquet -> ``to_synth`` (a stateless
     mapping to episode_id, seg_idx, speaker, dur_ms, ok) -> stateful
-    per-episode timeline; returns the sink contents."""
-    base = _run_dir(spark, "stream-episode")
+    per-episode timeline; returns the sink contents.  Timeouts fire in the
+    first batch after ``wait_ms``."""
+    base = run_dir or _run_dir(spark, "stream-episode")
     reader = spark.readStream.schema(CONV_SCHEMA).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     synth = to_synth(reader.parquet(conversations_dir)).select("episode_id", "seg_idx", "speaker", "dur_ms", "ok")
-    run_available(episode_state_stream(synth), f"{base}/out", f"{base}/ckpt")
+    run_available(episode_state_stream(synth, max_waiting, wait_ms), f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")

@@ -84,6 +84,41 @@ def test_episode_state_out_of_order_batches(spark):
     assert got == exp
 
 
+def _turns(spark, folder, no, rows):
+    """One Parquet file ``no`` of conversation turns in ``folder``."""
+    import glob
+    d = tempfile.mkdtemp(prefix="parley-turns-")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string") \
+        .coalesce(1).write.mode("overwrite").parquet(d)
+    os.link(glob.glob(d + "/*.parquet")[0], os.path.join(folder, f"{no:02d}.parquet"))
+
+
+def test_stream_resumes_and_gives_up_gaps(spark):
+    """A second run reads only new files and ignores replays; a turn behind a
+    gap waits and is written after the wait has passed."""
+    import time
+    src, run_dir = tempfile.mkdtemp(prefix="parley-resume-in-"), tempfile.mkdtemp(prefix="parley-resume-")
+    to_synth = lambda c: c.select(F.col("conv_id").alias("episode_id"), F.col("turn").alias("seg_idx"),
+                                  F.col("role").alias("speaker"), F.lit(2000).cast("long").alias("dur_ms"),
+                                  F.lit(True).alias("ok"))
+
+    def run():
+        out = ingest.stream_episode_state(spark, src, to_synth, run_dir=run_dir, wait_ms=1000)
+        return sorted((r.episode_id, r.seg_idx, r.end_ms) for r in out.collect())
+    _turns(spark, src, 0, [(1, t, "a" if t % 2 else "b", "x") for t in (0, 1, 3)])
+    first = [(1, 0, 3500), (1, 1, 5200)]
+    assert run() == first
+    time.sleep(1.5)
+    _turns(spark, src, 1, [(1, 0, "b", "x"), (2, 0, "a", "x")])
+    _turns(spark, src, 2, [(3, 0, "a", "x")])
+    assert [r for r in run() if r[1] < 2] == first + [(2, 0, 3500), (3, 0, 3500)]
+    time.sleep(1.5)
+    _turns(spark, src, 3, [(4, 0, "a", "x")])
+    got = run()
+    assert [r for r in got if r[0] == 1] == first + [(1, 3, 6750)]
+    assert len(got) == len(set(got)) == 6
+
+
 def test_writers(spark):
     from parley.sinks import writers as W
     out = tempfile.mkdtemp(prefix="parley-sink-")
