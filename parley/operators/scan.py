@@ -10,11 +10,14 @@ is joined back on (key, block), reusing the partitioning of the window
 output.  The full rows are shuffled once, so a key holding a third of all
 rows is spread over many tasks.  ``order`` should be a dense 0-based
 integer index within the key (other integer orders are correct but may
-give uneven blocks).
+give uneven blocks).  Rows without a key or order have no place in a scan:
+they stay, with nulls in the added columns, and count in no other row.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,7 +86,7 @@ def blocked_scan(df: DataFrame, part, order: str, *,
     win = d.select("*", *local)
     # Block aggregates come straight from the input with map-side partial
     # aggregation, so their shuffle carries about one row per block and task.
-    blocks = d.groupBy(*keys, _B).agg(*block_aggs)
+    blocks = d.where(F.col(_B).isNotNull()).groupBy(*keys, _B).agg(*block_aggs)
     w_prev = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     w_key = Window.partitionBy(*keys)
     carry = [*keys, _B]
@@ -96,12 +99,13 @@ def blocked_scan(df: DataFrame, part, order: str, *,
         carry.append(F.sum(f"_tb{i}").over(w_key).alias(f"_tc{i}"))
     carry_df = blocks.select(*carry)
 
-    j = win.join(carry_df, [*keys, _B], "inner")
+    j = win.join(carry_df, [*keys, _B], "left")
+    placed = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, _B]])
     outs = []
     for i, out in enumerate(sums):
         outs.append((F.col(f"_sl{i}") + F.col(f"_sc{i}")).alias(out))
     for i, out in enumerate(prev_non_null):
-        outs.append(F.coalesce(F.col(f"_ll{i}"), F.col(f"_lc{i}")).alias(out))
+        outs.append(F.when(placed, F.coalesce(F.col(f"_ll{i}"), F.col(f"_lc{i}"))).alias(out))
     for i, out in enumerate(totals):
         outs.append(F.col(f"_tc{i}").alias(out))
     keep = [c for c in df.columns if c != _B] + ([_B] if keep_block or _B in df.columns else [])

@@ -85,6 +85,15 @@ def test_jitter(spark, synth):
     assert got == loop_jitter()
 
 
+def test_scan_keeps_rows_without_a_place(spark):
+    rows = [(None, 0, 5), (None, 5000, 6), (1, None, 7), (1, 0, 1), (1, 1, 2)]
+    s = spark.createDataFrame(rows, "episode_id long, seg_idx long, v long")
+    got = {(r.episode_id, r.seg_idx, r.v): r.total for r in running_sum(s, "episode_id", "seg_idx", "v", "total").collect()}
+    assert got == {(None, 0, 5): None, (None, 5000, 6): None, (1, None, 7): None, (1, 0, 1): 1, (1, 1, 2): 3}
+    prev = previous_non_null(s, "episode_id", "seg_idx", "v", "p").collect()
+    assert {(r.episode_id, r.seg_idx): r.p for r in prev if r.p is not None} == {(1, 1): 1}
+
+
 def test_audio_positions(spark):
     """Two segments of 5,000 and 4,000 ms: the second is appended with a 300 ms
     crossfade after a gap of 500 ms, so it lies at 5,200 to 9,200."""
