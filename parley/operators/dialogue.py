@@ -80,11 +80,12 @@ def parse_replies(replies: DataFrame, key: str = "episode_id", reply: str = "rep
                     tuple_text(F.col("_l")).alias("text")))
 
 
-def parse_gate(replies: DataFrame, key: str = "episode_id", reply: str = "reply") -> DataFrame:
-    """Per reply: candidate count, valid count, accepted (all valid, >= 1)."""
-    c = replies.select(key, candidate_lines(F.col(reply)).alias("_c"))
+def parse_gate(replies: DataFrame, key: str = "episode_id", reply: str = "reply", keep=()) -> DataFrame:
+    """Per reply: candidate count, valid count, accepted (all valid, >= 1);
+    ``keep`` names columns to carry along."""
+    c = replies.select(key, *keep, candidate_lines(F.col(reply)).alias("_c"))
     n_ok = F.size(F.filter("_c", tuple_ok))
-    return c.select(key, F.size("_c").alias("n_candidates"), n_ok.alias("n_ok"),
+    return c.select(key, *keep, F.size("_c").alias("n_candidates"), n_ok.alias("n_ok"),
                     ((F.size("_c") > 0) & (n_ok == F.size("_c"))).alias("accepted"))
 
 

@@ -55,11 +55,15 @@ def flow_a(pages: DataFrame, complete: Completion, max_chars: int = FXV.MAX_CHAR
 def flow_b(transcripts: DataFrame, complete: Completion, key: str = "episode_id",
            materialize=cut_lineage) -> tuple[DataFrame, DataFrame]:
     """Transcripts -> (segments, failures): strict response handling, then the
-    gated reply parser."""
+    gated reply parser.  A reply that the gate voids is a failure
+    (``unparsed``), so every transcript is in one of the two."""
     req = R.rewrite_requests(transcripts, keys=(key,))
     responses = materialize(R.complete_batches(req, complete, [key]), "rewrite_responses")
     accepted, failures = R.strict_responses(responses, [key])
-    segments = D.parse_replies(accepted.select(key, F.col("content").alias("reply")), key=key)
+    replies = accepted.withColumnRenamed("content", "reply")
+    segments = D.parse_replies(replies, key=key)
+    voided = D.parse_gate(replies, key=key, keep=("status",)).where(~F.col("accepted"))
+    failures = failures.unionByName(voided.select(key, "status", F.lit("unparsed").alias("reason")))
     return materialize(segments, "segments"), failures
 
 

@@ -30,6 +30,19 @@ def test_flow_a_equals_python_loop(spark):
         assert got.get(d, "") == exp, d
 
 
+def test_flow_b_keeps_every_transcript(spark):
+    t = spark.createDataFrame([(k, f"Speaker 1: number {k}") for k in range(4)], "episode_id long, text string")
+
+    def model(pdf: pd.DataFrame) -> pd.Series:
+        replies = {0: '[\n("Speaker 1", "fine"),\n]', 1: '("Speaker 1", broken),', 2: "no tuples", 3: None}
+        return pdf["messages"].map(lambda m: replies[int(m[-1]["content"].rsplit(" ", 1)[1])])
+
+    segments, failures = flows.flow_b(t, model)
+    assert [(r.episode_id, r.speaker, r.text) for r in segments.collect()] == [(0, "Speaker 1", "fine")]
+    assert sorted((r.episode_id, r.reason) for r in failures.collect()) == [
+        (1, "unparsed"), (2, "unparsed"), (3, "no content")]
+
+
 def test_flow_b_parses_model_output(spark):
     from parley.operators import dialogue as D
     seg = FX.segments(spark, SMOKE).where(F.col("speaker") != "Speaker 3")
