@@ -311,49 +311,63 @@ def compress_frames(frames: DataFrame, keys, order: str, threshold_db: float, ra
             .withColumn(order, F.col("_first") + F.col("_pos")).select(*keys, order, "amp"))
 
 
-def crossfade_gain(i: Column, n: Column, c: int, has_prev: Column, has_next: Column) -> Column:
-    """Linear complementary ramps over a ``c``-frame overlap."""
-    fade_in = F.when(has_prev & (i < c), (i + 1) / F.lit(c + 1.0)).otherwise(F.lit(1.0))
-    fade_out = F.when(has_next & (i >= n - c), (n - i) / F.lit(c + 1.0)).otherwise(F.lit(1.0))
+def crossfade_gain(i: Column, n: Column, own: Column, following: Column) -> Column:
+    """Linear complementary ramps over the ``own`` frames shared with the
+    segment before and the ``following`` frames shared with the one after
+    (0 for none)."""
+    fade_in = F.when(i < own, (i + 1) / (own + 1.0)).otherwise(F.lit(1.0))
+    fade_out = F.when(i >= n - following, (n - i) / (following + 1.0)).otherwise(F.lit(1.0))
     return fade_in * fade_out
 
 
-def place_segments(waves: DataFrame, crossfade: int) -> DataFrame:
-    """Episode start frame of each segment when appended in order with a
-    ``crossfade``-frame overlap (prefix sum of ``n - crossfade``); adds
-    n, start, has_prev, has_next.  A segment shorter than the crossfade cannot
-    be appended: it fails and is left out (:func:`too_short` lists them).
+def _own_crossfade(crossfade: int | str) -> Column:
+    return (F.col(crossfade) if isinstance(crossfade, str) else F.lit(crossfade)).cast("long")
 
-    The scan runs on (episode, segment, length) only; that table is joined
+
+def place_segments(waves: DataFrame, crossfade: int | str) -> DataFrame:
+    """Episode start frame of each segment when appended in order, overlapping
+    the one before by ``crossfade`` frames: a number, or the column that holds
+    each segment's own crossfade (that of an episode's first segment does not
+    count).  Adds n, start, and the overlaps ``own`` (with the segment before)
+    and ``following`` (with the one after), 0 for none.  A segment shorter
+    than its crossfade cannot be appended: it fails and is left out
+    (:func:`too_short` lists them).
+
+    The scans run on (episode, segment, length) only; that table is joined
     back by (episode, segment) with a size-checked broadcast
     (:func:`join_small`), so the sample arrays are not shuffled for the
     placement."""
-    waves = waves.where(F.size("samples") >= crossfade)
-    meta = waves.select(KEY, IDX, F.size("samples").cast("long").alias("n"))
+    waves = waves.where(F.size("samples") >= _own_crossfade(crossfade))
+    meta = waves.select(KEY, IDX, F.size("samples").cast("long").alias("n"), _own_crossfade(crossfade).alias("_x"))
     one = F.lit(1).cast("long")
-    meta = blocked_scan(meta, KEY, IDX, sums={"start": (F.col("n") - crossfade, False), "_pos": (one, True)},
-                        totals={"_cnt": one})
-    meta = meta.select(KEY, IDX, "n", "start", (F.col("_pos") > 1).alias("has_prev"),
-                       (F.col("_pos") < F.col("_cnt")).alias("has_next"))
+    meta = blocked_scan(meta, KEY, IDX, sums={"_pos": (one, True)})
+    meta = meta.withColumn("own", F.when(F.col("_pos") > 1, F.col("_x")).otherwise(F.lit(0))).drop("_pos", "_x")
+    meta = blocked_scan(meta, KEY, IDX, sums={"_before": (F.col("n") - F.col("own"), False)})
+    if isinstance(crossfade, str):   # the next segment's overlap: a scan from the end
+        meta = blocked_scan(meta.withColumn("_back", -F.col(IDX)), KEY, "_back", prev_non_null={"_next": F.col("own")})
+    else:
+        meta = blocked_scan(meta, KEY, IDX, sums={"_pos": (one, True)}, totals={"_cnt": one})
+        meta = meta.withColumn("_next", F.when(F.col("_pos") < F.col("_cnt"), F.lit(crossfade)))
+    meta = meta.select(KEY, IDX, "n", (F.col("_before") - F.col("own")).alias("start"), "own",
+                       F.coalesce("_next", F.lit(0)).cast("long").alias("following"))
     return join_small(waves, meta, [KEY, IDX])
 
 
-def too_short(waves: DataFrame, crossfade: int) -> DataFrame:
+def too_short(waves: DataFrame, crossfade: int | str) -> DataFrame:
     """Segments that the mix leaves out: no samples, or fewer than the crossfade."""
-    return waves.where(F.coalesce(F.size("samples") < crossfade, F.lit(True))).select(KEY, IDX)
+    return waves.where(F.coalesce(F.size("samples") < _own_crossfade(crossfade), F.lit(True))).select(KEY, IDX)
 
 
-def crossfaded_frames(waves: DataFrame, crossfade: int) -> DataFrame:
+def crossfaded_frames(waves: DataFrame, crossfade: int | str) -> DataFrame:
     """Per-segment frames with their episode position ``t`` and ramp gain applied."""
     p = place_segments(waves, crossfade)
-    f = to_frames(p.select(KEY, IDX, "samples", "n", "start", "has_prev", "has_next"))
-    g = crossfade_gain(F.col("i"), F.col("n"), crossfade, F.col("has_prev"), F.col("has_next"))
+    f = to_frames(p.select(KEY, IDX, "samples", "n", "start", "own", "following"))
+    g = crossfade_gain(F.col("i"), F.col("n"), F.col("own"), F.col("following"))
     return f.select(KEY, IDX, "i", (F.col("start") + F.col("i")).alias("t"), (F.col("amp") * g).alias("amp"),
-                    ((F.col("has_prev") & (F.col("i") < crossfade))
-                     | (F.col("has_next") & (F.col("i") >= F.col("n") - crossfade))).alias("_overlap"))
+                    ((F.col("i") < F.col("own")) | (F.col("i") >= F.col("n") - F.col("following"))).alias("_overlap"))
 
 
-def mix(waves: DataFrame, crossfade: int) -> DataFrame:
+def mix(waves: DataFrame, crossfade: int | str) -> DataFrame:
     """Episode signal ``(episode_id, t, amp)``: overlapping frames summed.
 
     Only frames inside a crossfade overlap go through the (episode_id, t)
@@ -398,6 +412,41 @@ def looped_overlay(frames: DataFrame, tone: DataFrame, gain: Column, order: str
     return d.withColumn("amp", F.col("amp") + F.col("_ta") * gain).drop("_tt", "_ta")
 
 
+def segment_ambience(samples: Column, tone: list[float], volume_db: float, key: Column, idx: Column, frame_rate: float,
+                     jitter_db: float = FX.ROOM_JITTER_DB) -> Column:
+    """Room ambience under one segment (array form): the tone, looped over the
+    segment, is cut into whole slices of a second (a shorter tail is dropped);
+    each gets ``volume_db`` and a jitter keyed by (``key``, ``idx``, slice), and
+    they are joined with crossfades of 50 ms.  The bed is laid under the start
+    of the segment, whose length stays.  ``tone`` is one short recording and
+    travels with the function."""
+    size = int(FX.ROOM_SLICE_MS * frame_rate / 1000)
+    step = size - int(FX.ROOM_SLICE_CROSSFADE_MS * frame_rate / 1000)
+    wave = np.asarray(tone, dtype=float)
+    count = F.floor(F.size(samples) / F.lit(size)).cast("int")
+    draw = lambda s: M.keyed_uniform(-jitter_db, jitter_db, key, idx * 97 + s, 7, 29)
+    gains = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1),
+                                          lambda s: M.db_to_gain(F.lit(volume_db) + draw(s))))
+
+    def run(xs: pd.Series, gs: pd.Series) -> pd.Series:
+        out = []
+        over = size - step
+        ramp = np.arange(1, over + 1) / (over + 1)
+        for x, g in zip(xs, gs):
+            if x is not None and g is not None and wave.size:
+                x = np.array(x, dtype=float)
+                for s, gain in enumerate(g):
+                    part = wave[(s * size + np.arange(size)) % wave.size] * gain
+                    if s > 0:
+                        part[:over] *= ramp
+                    if s < len(g) - 1:
+                        part[step:] *= ramp[::-1]
+                    x[s * step:s * step + size] += part
+            out.append(x)
+        return pd.Series(out)
+    return pandas_udf(run, ArrayType(DoubleType()))(samples, gains)
+
+
 def ambience_bed(base: DataFrame, tone: DataFrame, volume_db: float,
                  slice_frames: int = FX.ROOM_SLICE_MS, xfade: int = FX.ROOM_SLICE_CROSSFADE_MS,
                  jitter_db: float = FX.ROOM_JITTER_DB, order: str = "t",

@@ -6,6 +6,8 @@ Flow B: transcripts -> rewrite requests -> completion -> strict responses ->
 parsed segments.
 Flow C: segments + synthesis results -> dynamic timeline -> counters ->
 manifest.
+Flow D: synthesised segments -> voice chain -> room ambience -> dynamic mix
+onto the intro -> master.
 
 Flows end in a written table in the shared checkpoint folder
 (``materialize``), so the next flow starts from stored data, not from the
@@ -21,12 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import fixed as FXV
+from parley.operators import audio as A
 from parley.operators import dialogue as D
 from parley.operators import episode as E
 from parley.operators import requests as R
 from parley.operators import text as X
+from parley.operators.dims import join_small
 from parley.plans.q_dialogue import _HEAD, CANDIDATES_CTE, _ok
 from parley.plans.q_episode import _DYN_SQL
+from parley.plans.fixture_sql import words
 from parley.plans.registry import query
 from parley.session import cut_lineage
 from parley.sources import fixtures as FX
@@ -76,6 +81,31 @@ def flow_c(synth: DataFrame) -> tuple[DataFrame, DataFrame]:
     return t, summary
 
 
+def flow_d(waves: DataFrame, tone: list[float], frame_rate: float, materialize=cut_lineage) -> DataFrame:
+    """Synthesised segments (episode_id, seg_idx, speaker, samples, ok) -> the
+    mastered episode (episode_id, t, amp): voice chain and room ambience of
+    every segment, appended onto the intro with the crossfades of the dynamic
+    timeline, then the master chain.  Failed segments and audio too short for
+    room ambience are left out; an episode without a segment has no audio."""
+    ms = F.floor(F.size("samples") * F.lit(1000.0) / frame_rate).cast("long")
+    synth = waves.select("episode_id", "seg_idx", "speaker", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce(ms, F.lit(0)).alias("dur_ms"))
+    frames = lambda c: F.floor(c * F.lit(frame_rate) / 1000).cast("long")
+    placed = E.timeline_dynamic(synth).where("ok_eff").select("episode_id", "seg_idx", frames(F.col("xfade_ms")).alias("xfade"))
+    seg = join_small(waves.select("episode_id", "seg_idx", "speaker", "samples"), placed, ["episode_id", "seg_idx"])
+    seg = A.speaker_eq(seg.withColumn("samples", A.normalise(F.col("samples"))), rate=F.lit(frame_rate))
+    seg = seg.withColumn("samples", A.compress_samples(F.col("samples"), *FXV.SEGMENT_COMPRESSOR, frame_rate))
+    seg = seg.withColumn("samples", A.segment_ambience(F.col("samples"), tone, FXV.ROOM_VOLUME_DB, F.col("episode_id"), F.col("seg_idx"), frame_rate))
+    seg = materialize(seg.select("episode_id", "seg_idx", "samples", "xfade"), "voiced")
+
+    first = int(FXV.INTRO_FADE_IN_MS * frame_rate / 1000)
+    silence = F.array_repeat(F.lit(0.0), int(FXV.INTRO_MS * frame_rate / 1000))
+    intro = seg.groupBy("episode_id").agg(F.min("seg_idx").alias("_first")).select("episode_id", (F.col("_first") - 1).alias("seg_idx"))
+    intro = intro.withColumn("samples", A.segment_ambience(silence, tone, FXV.INTRO_ROOM_VOLUME_DB, F.col("episode_id"), F.lit(-1), frame_rate))
+    intro = intro.withColumn("samples", F.transform("samples", lambda x, i: x * F.least(F.lit(1.0), i / F.lit(float(max(first, 1))))))
+    whole = seg.unionByName(intro.withColumn("xfade", F.lit(0).cast("long")))
+    return A.master_chain(A.mix(whole, "xfade"), frame_rate)
+
+
 _PLAN_CTES = {
     **CANDIDATES_CTE,
     "q_parsed": f"""
@@ -99,3 +129,59 @@ def flow_episode_plan(spark, sf_dir):
     res = FX.synth(spark, sf_dir).select("episode_id", "seg_idx", "dur_ms", "ok")
     synth = seg.join(res, ["episode_id", "seg_idx"])
     return flow_c(synth)[1]
+
+
+def _stand_in_cleaner(pdf: pd.DataFrame) -> pd.Series:
+    """Offline stand-in for the cleaning model: no reply where
+    ``(doc_id*7 + chunk_idx*3) % 10 < 4``, else the text with a prefix."""
+    r = (pdf["doc_id"] * 7 + pdf["chunk_idx"] * 3) % 10
+    return pd.Series([None if k < 4 else f"  [ok] {t} " for k, t in zip(r, pdf["text"])], index=pdf.index, dtype=object)
+
+
+@query("flow_clean_docs", f"""
+    SELECT doc_id,
+           string_agg(CASE WHEN (doc_id * 7 + chunk_idx * 3) % 10 < 4 THEN text ELSE '[ok] ' || text END || chr(10) || chr(10),
+                      '' ORDER BY chunk_idx) AS text,
+           count(*) AS n_chunks, CAST(count_if((doc_id * 7 + chunk_idx * 3) % 10 < 4) AS BIGINT) AS n_fallback
+    FROM q_capped_chunks GROUP BY doc_id""", {
+    "q_capped": f"SELECT doc_id, {words(f'substring(text || chr(10), 1, {FXV.MAX_CHARS})')} AS w FROM documents",
+    "q_capped_chunks": f"""
+        SELECT doc_id, i AS chunk_idx, array_to_string(w[i * {FXV.CHUNK_WORDS} + 1 : (i + 1) * {FXV.CHUNK_WORDS}], ' ') AS text
+        FROM (SELECT doc_id, w, unnest(range(CAST(ceil(len(w) / {FXV.CHUNK_WORDS}.0) AS BIGINT))) AS i FROM q_capped)"""})
+def flow_clean_docs(spark, sf_dir):
+    """Flow A: pages -> character cap -> chunks -> requests -> batch completion
+    -> fallback -> cleaned documents (each chunk + blank line)."""
+    return flow_a(FX.pages(spark, sf_dir), _stand_in_cleaner)
+
+
+def _stand_in_rewriter(pdf: pd.DataFrame) -> pd.Series:
+    """Offline stand-in for the rewriting model, by ``episode_id % 10``: no
+    reply (0), a broken tuple (1), else two turns that count the transcript's."""
+    def one(k: int, messages) -> str | None:
+        if k % 10 == 0:
+            return None
+        if k % 10 == 1:
+            return '[\n("Speaker 1", "fine"),\n("Speaker 2", broken)\n]'
+        transcript = messages[-1]["content"].removeprefix(FXV.REWRITE_USER_PREFIX)
+        turns = sum(line.startswith("Speaker ") for line in transcript.split("\n"))
+        return f'[\n("Speaker 1", "Episode {k}"),\n("Speaker 2", "{turns} turns"),\n]'
+    return pd.Series([one(k, m) for k, m in zip(pdf["episode_id"], pdf["messages"])], index=pdf.index, dtype=object)
+
+
+@query("flow_rewrite", """
+    SELECT episode_id, seg_idx, speaker, text, reason
+    FROM (SELECT episode_id, count(*) AS n FROM (
+              SELECT episode_id, unnest(string_split(speaker || ': ' || text, chr(10))) AS line FROM f_segments)
+          WHERE starts_with(line, 'Speaker ') GROUP BY episode_id),
+         LATERAL (SELECT * FROM (VALUES
+             (CAST(0 AS BIGINT), 'Speaker 1', 'Episode ' || episode_id, CAST(NULL AS VARCHAR)),
+             (1, 'Speaker 2', n || ' turns', NULL)) v(seg_idx, speaker, text, reason) WHERE episode_id % 10 > 1
+         UNION ALL SELECT NULL, NULL, NULL, CASE WHEN episode_id % 10 = 0 THEN 'no content' ELSE 'unparsed' END
+         WHERE episode_id % 10 <= 1)""")
+def flow_rewrite(spark, sf_dir):
+    """Flow B: transcripts -> rewrite requests -> batch completion -> strict
+    responses -> parsed segments, and the failed episodes with their reason."""
+    segments, failures = flow_b(D.render_transcripts(FX.segments(spark, sf_dir)), _stand_in_rewriter)
+    failed = failures.select("episode_id", F.lit(None).cast("long").alias("seg_idx"), F.lit(None).cast("string").alias("speaker"),
+                             F.lit(None).cast("string").alias("text"), "reason")
+    return segments.select("episode_id", "seg_idx", "speaker", "text", F.lit(None).cast("string").alias("reason")).unionByName(failed)

@@ -377,3 +377,84 @@ def aud_master_chain(spark, sf_dir):
     1.5:1, 10 ms, 100 ms) -> normalise (1 frame = 1 ms)."""
     n = A.master_chain(_mix(spark, sf_dir), COMP_RATE)
     return n.select("episode_id", "t", F.round("amp", 6).alias("amp"))
+
+
+# ---- the whole episode at 100 frames a second; the waves are repeated so that they last 0.6 to 2.6 seconds.
+# Each repeat is quieter: an exactly recurring level meets the jump of the compressor's rule (att <= m), where
+# the last bit of a double decides.
+EP_RATE = 100
+_EP_SLICE, _EP_STEP = 100, 95
+
+
+def _bed_sql(s: str, count: str, seg: str, volume: float) -> str:
+    j = f"(i - {s} * {_EP_STEP})"
+    over = _EP_SLICE - _EP_STEP
+    gain = f"pow(10.0, ({volume}::DOUBLE + (-3.0::DOUBLE + 6.0::DOUBLE * (((7 * episode_id + 29 * ({seg} * 97 + {s})) % 10007 + 10007) % 10007 / 10007.0::DOUBLE))) / 20.0)"
+    ramp = (f"(CASE WHEN {s} > 0 AND {j} < {over} THEN ({j} + 1) / {over + 1}.0::DOUBLE ELSE 1.0 END) * "
+            f"(CASE WHEN {s} < {count} - 1 AND {j} >= {_EP_STEP} THEN ({_EP_SLICE} - {j}) / {over + 1}.0::DOUBLE ELSE 1.0 END)")
+    tone = f"((({s} * {_EP_SLICE} + {j}) % 16 - 8) / 80.0::DOUBLE)"
+    return f"CASE WHEN {s} >= 0 AND {s} < {count} AND {j} < {_EP_SLICE} THEN {tone} * {gain} * {ramp} ELSE 0.0 END"
+
+
+def _with_bed(x: str, count: str, seg: str, volume: float) -> str:
+    return f"{x} + {_bed_sql(f'(i // {_EP_STEP})', count, seg, volume)} + {_bed_sql(f'(i // {_EP_STEP} - 1)', count, seg, volume)}"
+
+
+def _rate(ms: float) -> float:
+    return ms * EP_RATE / 1000
+
+
+_EPISODE_SQL = f"""
+    WITH RECURSIVE src AS (
+        SELECT episode_id, seg_idx, speaker, flatten([[x * (1 - z / 10.0::DOUBLE) for x in samples] for z in range(1 + (seg_idx * 3) % 4)]) AS samples
+        FROM f_wave WHERE (episode_id * 31 + seg_idx) % 11 <> 0),
+    okd AS (
+        SELECT *, len(samples) AS n, lag(speaker) OVER (PARTITION BY episode_id ORDER BY seg_idx) AS prev
+        FROM src WHERE len(samples) * 1000 // {EP_RATE} >= {FXV.MIN_AMBIENCE_MS}),
+    seg AS (SELECT *, CASE WHEN prev IS NULL THEN 50 WHEN prev = speaker THEN 45 ELSE 30 END AS xf FROM okd),
+    ex AS (SELECT episode_id, seg_idx, speaker, k AS i, samples[k + 1] AS amp FROM (SELECT *, unnest(range(len(samples))) AS k FROM seg)),
+    nrm AS (
+        SELECT f.episode_id, f.seg_idx, f.i, f.speaker, CASE WHEN p.peak > 0 THEN (f.amp / p.peak) * {H}::DOUBLE ELSE f.amp END AS x
+        FROM ex f JOIN (SELECT episode_id, seg_idx, max(abs(amp)) AS peak FROM ex GROUP BY ALL) p
+          ON f.episode_id = p.episode_id AND f.seg_idx = p.seg_idx),
+    {_rec_filter("lp", "nrm", "episode_id, seg_idx", "low", float(EP_RATE))},
+    hp_in AS (SELECT episode_id, seg_idx, i, speaker, y AS x FROM lp),
+    {_rec_filter("hp", "hp_in", "episode_id, seg_idx", "high", float(EP_RATE))},
+    cp_in AS (SELECT episode_id, seg_idx, i, y AS x FROM hp),
+    {_rec_compress("cp", "cp_in", "episode_id, seg_idx", _THR, _RATIO, _rate(_ATT), _rate(_REL), max(int(round(_rate(_ATT))), 1))},
+    voiced AS (SELECT episode_id, seg_idx, i, x * pow(10.0, -att / 20) AS x FROM cp),
+    parts AS (
+        SELECT v.episode_id, v.seg_idx, v.i, {_with_bed('x', '(n // 100)', 'v.seg_idx', FXV.ROOM_VOLUME_DB).replace('episode_id', 'v.episode_id')} AS x, n, xf
+        FROM voiced v JOIN seg ON v.episode_id = seg.episode_id AND v.seg_idx = seg.seg_idx
+        UNION ALL
+        SELECT episode_id, -1, i, ({_with_bed('0.0', '2', '(-1)', FXV.INTRO_ROOM_VOLUME_DB)}) * least(1.0, i / 100.0::DOUBLE), 200, 0
+        FROM (SELECT DISTINCT episode_id FROM seg), range(200) r(i)),
+    lens AS (SELECT DISTINCT episode_id, seg_idx, n, xf FROM parts),
+    place AS (
+        SELECT *, sum(n - xf) OVER w - n AS start, coalesce(lead(xf) OVER (PARTITION BY episode_id ORDER BY seg_idx), 0) AS nxt
+        FROM lens WINDOW w AS (PARTITION BY episode_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    mx AS (
+        SELECT p.episode_id, CAST(q.start + p.i AS BIGINT) AS t,
+               sum(p.x * (CASE WHEN p.i < q.xf THEN (p.i + 1) / (q.xf + 1.0::DOUBLE) ELSE 1.0 END)
+                   * (CASE WHEN p.i >= q.n - q.nxt THEN (q.n - p.i) / (q.nxt + 1.0::DOUBLE) ELSE 1.0 END)) AS amp
+        FROM parts p JOIN place q ON p.episode_id = q.episode_id AND p.seg_idx = q.seg_idx GROUP BY ALL),
+    fd AS (
+        SELECT m.episode_id, m.t, m.amp * least(1.0, (n.total - m.t) / 200.0::DOUBLE) AS x
+        FROM mx m JOIN (SELECT episode_id, max(t) + 1 AS total FROM mx GROUP BY episode_id) n ON m.episode_id = n.episode_id),
+    {_rec_compress("mc", "fd", "episode_id", _M_THR, _M_RATIO, _rate(_M_ATT), _rate(_M_REL), max(int(round(_rate(_M_ATT))), 1), "t")},
+    out AS (SELECT episode_id, t, x * pow(10.0, -att / 20) AS y FROM mc)
+    SELECT o.episode_id, o.t, round(CASE WHEN p.peak > 0 THEN (o.y / p.peak) * {H}::DOUBLE ELSE o.y END, 6) AS amp
+    FROM out o JOIN (SELECT episode_id, max(abs(y)) AS peak FROM out GROUP BY episode_id) p ON o.episode_id = p.episode_id"""
+
+
+@query("flow_episode_audio", _EPISODE_SQL)
+def flow_episode_audio(spark, sf_dir):
+    """Flow D: voice chain, room ambience, dynamic crossfades onto the intro,
+    master, at 100 frames a second (segments repeated to last 0.6 to 2.6 s)."""
+    from parley.plans.flows import flow_d
+    w = FX.waves(spark, sf_dir)
+    repeat = lambda z: F.transform("samples", lambda x: x * (F.lit(1.0) - z / F.lit(10.0)))
+    w = w.withColumn("samples", F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("seg_idx") * 3 % 4), repeat)))
+    w = w.withColumn("ok", (F.col("episode_id") * 31 + F.col("seg_idx")) % 11 != 0)
+    tone = [(t - 8) / 80.0 for t in range(16)]
+    return flow_d(w, tone, float(EP_RATE)).select("episode_id", "t", F.round("amp", 6).alias("amp"))

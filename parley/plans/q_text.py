@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators import text as X
-from parley.operators.requests import with_fallback
 from parley.plans.fixture_sql import NL, strip, words
 from parley.plans.registry import query
 from parley.sources import fixtures as FX
@@ -14,27 +13,6 @@ from parley.sources import fixtures as FX
 CAP_CHARS = 4000        # cap used by flt_char_cap so that truncation occurs at sf0.01
 
 
-@query("flow_clean_docs", f"""
-    SELECT c.doc_id,
-           string_agg(coalesce(CASE WHEN r.status = 200 AND json_valid(r.body)
-                                    THEN {strip("json_extract_string(r.body, '$.choices[0].message.content')")} END,
-                               c.text) || chr(10) || chr(10), '' ORDER BY c.chunk_idx) AS text,
-           count(*) AS n_chunks,
-           CAST(count_if(CASE WHEN r.status = 200 AND json_valid(r.body)
-                              THEN json_extract_string(r.body, '$.choices[0].message.content') END IS NULL)
-                AS BIGINT) AS n_fallback
-    FROM f_chunks c LEFT JOIN f_responses r ON c.doc_id = r.doc_id AND c.chunk_idx = r.chunk_idx
-    GROUP BY c.doc_id""")
-def flow_clean_docs(spark, sf_dir):
-    """Flow A: documents -> 100-word chunks -> stand-in responses -> fallback
-    -> cleaned document (each chunk + blank line)."""
-    chunks = FX.chunks(spark, sf_dir)
-    cleaned = with_fallback(chunks, FX.responses(spark, sf_dir, chunks))
-    return X.ordered_concat(cleaned, "doc_id", "chunk_idx", "text", "\n\n", "text",
-                            F.count("*").alias("n_chunks"),
-                            F.count_if("used_fallback").alias("n_fallback"))
-
-
 @query("src_pages", "SELECT doc_id, page_no, page_text FROM f_pages")
 def src_pages(spark, sf_dir):
     return FX.pages(spark, sf_dir)

@@ -86,6 +86,36 @@ def test_mix_leaves_out_short_segments(spark):
     assert sorted(r.seg_idx for r in A.too_short(df, 8).collect()) == [1, 2]
 
 
+def test_mix_with_a_crossfade_for_each_segment(spark):
+    own = {3: 9, 4: 0, 7: 6, 8: 2}      # indexes with gaps; the first crossfade does not count
+    waves = [(1, k, [float(v) for v in RNG.normal(0, 0.2, 20 + k)], c) for k, c in own.items()]
+    waves += [(1, 5, [0.5] * 3, 4), (2, 0, [0.1, 0.2], 0)]   # shorter than its crossfade; alone
+    df = spark.createDataFrame(waves, "episode_id long, seg_idx long, samples array<double>, c int")
+    out = np.array(waves[0][2])
+    for _, k, s, c in waves[1:4]:
+        s = np.array(s)
+        ramp = np.arange(1, c + 1) / (c + 1)
+        out = np.concatenate([out[:len(out) - c], out[len(out) - c:] * ramp[::-1] + s[:c] * ramp, s[c:]])
+    rows = A.mix(df, "c").orderBy("episode_id", "t").collect()
+    assert [r.t for r in rows if r.episode_id == 1] == list(range(len(out)))
+    assert np.allclose([r.amp for r in rows if r.episode_id == 1], out, atol=1e-12)
+    assert [r.amp for r in rows if r.episode_id == 2] == [0.1, 0.2]
+    assert [r.seg_idx for r in A.too_short(df, "c").collect()] == [5]
+
+
+def test_segment_ambience(spark):
+    tone, rate = [0.1, -0.2, 0.3], 20.0     # slices of 20 frames, crossfades of 1
+    df = spark.createDataFrame([(1, 0, [0.0] * 47), (1, 1, [0.0] * 19), (1, 2, None), (1, 3, [])], "e long, k long, samples array<double>")
+    amb = A.segment_ambience(F.col("samples"), tone, -6.0, F.col("e"), F.col("k"), rate, jitter_db=0.0)
+    got = {r.k: r.x for r in df.select("k", amb.alias("x")).collect()}
+    g = 10 ** (-6 / 20)
+    bed = [tone[i % 3] * g for i in range(20)]
+    second = [tone[(20 + i) % 3] * g for i in range(20)]
+    exp = bed[:19] + [bed[19] * 0.5 + second[0] * 0.5] + second[1:] + [0.0] * 8
+    assert np.allclose(got[0], exp, atol=1e-12)
+    assert got[1] == [0.0] * 19 and got[2] is None and got[3] == []
+
+
 def test_window_sums():
     for n, look in [(1, 1), (5, 1), (7, 3), (240, 240), (1000, 24)]:
         x = RNG.normal(0, 1, n)
