@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from parley.functions import audio_math as M
 from parley.functions import fixed as FX
 from parley.operators.dims import bounded_broadcast, join_small
-from parley.operators.scan import blocked_scan
+from parley.operators.scan import blocked_scan, drop_block
 
 KEY = "episode_id"
 IDX = "seg_idx"
@@ -339,17 +339,19 @@ def place_segments(waves: DataFrame, crossfade: int | str) -> DataFrame:
     placement."""
     waves = waves.where(F.size("samples") >= _own_crossfade(crossfade))
     meta = waves.select(KEY, IDX, F.size("samples").cast("long").alias("n"), _own_crossfade(crossfade).alias("_x"))
-    one = F.lit(1).cast("long")
-    meta = blocked_scan(meta, KEY, IDX, sums={"_pos": (one, True)})
-    meta = meta.withColumn("own", F.when(F.col("_pos") > 1, F.col("_x")).otherwise(F.lit(0))).drop("_pos", "_x")
-    meta = blocked_scan(meta, KEY, IDX, sums={"_before": (F.col("n") - F.col("own"), False)})
-    if isinstance(crossfade, str):   # the next segment's overlap: a scan from the end
-        meta = blocked_scan(meta.withColumn("_back", -F.col(IDX)), KEY, "_back", prev_non_null={"_next": F.col("own")})
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    # With the first crossfade counted as well, every start lies that much too early.
+    meta = blocked_scan(meta, KEY, IDX, sums={"_before": (F.col("n") - F.col("_x"), False), "_pos": (one, True)}, totals={"_cnt": one},
+                        keep_block=True)
+    if isinstance(crossfade, str):   # an overlap belongs to the later segment: known before and after it
+        meta = blocked_scan(meta, KEY, IDX, totals={"_first": F.when(F.col("_pos") == 1, F.col("_x"))})
+        back = drop_block(meta).withColumn("_back", -F.col(IDX))
+        meta = blocked_scan(back, KEY, "_back", prev_non_null={"_next": F.col("_x")})
     else:
-        meta = blocked_scan(meta, KEY, IDX, sums={"_pos": (one, True)}, totals={"_cnt": one})
-        meta = meta.withColumn("_next", F.when(F.col("_pos") < F.col("_cnt"), F.lit(crossfade)))
-    meta = meta.select(KEY, IDX, "n", (F.col("_before") - F.col("own")).alias("start"), "own",
-                       F.coalesce("_next", F.lit(0)).cast("long").alias("following"))
+        meta = drop_block(meta).withColumns({"_first": F.col("_x"), "_next": F.col("_x")})
+    meta = meta.select(KEY, IDX, "n", (F.col("_before") - F.col("_x") + F.col("_first")).alias("start"),
+                       F.when(F.col("_pos") > 1, F.col("_x")).otherwise(none).alias("own"),
+                       F.when(F.col("_pos") < F.col("_cnt"), F.col("_next")).otherwise(none).alias("following"))
     return join_small(waves, meta, [KEY, IDX])
 
 
