@@ -2,9 +2,10 @@
 
 Words are the lower-cased runs of letters and digits; shingles are five words
 (all words of a shorter item).  A window is as many words of a document as a
-benchmark item has.  Windows are built where a shingle of the item occurs in
-the document, in line with its place in the item: a window that shares no
-shingle has similarity 0, so none is lost.  The SimHash fingerprints (64 bits,
+benchmark item has, at every place; a text with fewer words is one window.
+Where an item in line with a shared shingle would stick out of the text, there
+is a window cut at the end of the text as well.  Only windows that no other
+beats are built, see ``best_starts``.  The SimHash fingerprints (64 bits,
 shingles weighted by their counts) of the distinct windows are compared with
 those of the items of that size through multi-index Hamming blocks: two
 fingerprints within ``radius`` bits agree in at least one of ``radius + 1``
@@ -80,10 +81,44 @@ def blocks(fp: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), part(i).alias("value")) for i in range(n)])
 
 
+def best_starts(hits: DataFrame, similarity: float) -> DataFrame:
+    """``text_key, n, start`` of the windows to build.  ``hits``: the places
+    ``pos`` of a text of ``size`` words with a shingle that an item of ``n``
+    words has at its place ``at``.  For no item is the best window lost:
+
+    - a window that begins with another shingle shares no less if it begins at
+      the next hit, or at the last place;
+    - ``m`` shared shingles of ``a`` and ``b`` give at most m / (a + b - m), so
+      at least s / (1 + s) * (a + b) hits must lie in the window;
+    - a whole window whose hits all lie in that of the hit before is no better.
+    """
+    start = F.col("pos") - F.col("at")
+    rows = (hits.withColumn("edge", F.when((start < 0) | (start + F.col("n") > F.col("size")), start))
+            .groupBy("text_key", "n", "size").agg(F.sort_array(F.collect_set("pos")).alias("ps"), F.collect_set("edge").alias("edges"))  # of one text
+            .withColumn("own", F.greatest(F.col("n") - SHINGLE + 1, F.lit(1))).withColumn("all", F.greatest(F.col("size") - SHINGLE + 1, F.lit(1))))
+    ps, own, whole = F.col("ps"), F.col("own"), F.least("own", "all")
+    last = F.col("all") - whole
+    least = lambda total: F.greatest(F.ceil(F.lit(similarity / (1 + similarity)) * (total + own) - F.lit(1e-9)).cast("int"), F.lit(1))
+    from_left = lambda need, i, end: F.coalesce(F.get(ps, i + need - 1) <= end, F.lit(False))
+    to_right = lambda need, begin: F.coalesce(F.get(ps, F.size(ps) - need) >= begin, F.lit(False))
+
+    def inside(p: Column, i: Column) -> Column:
+        need = least(own)
+        gains = F.exists(F.slice(ps, i + need, own - need + 1), lambda q: (q >= F.get(ps, i - 1) + own) & (q < p + own))
+        return (p <= last) & from_left(need, i, p + own - 1) & ((i == 0) | gains)
+
+    def cut(s: Column) -> Column:
+        return F.when(s < 0, from_left(least(F.least(own + s, F.col("all"))), F.lit(0), s + own - 1)).otherwise(to_right(least(F.col("all") - s), s))
+
+    at_end = F.when(to_right(least(whole), last), F.array(last)).otherwise(F.array().cast("array<int>"))
+    starts = F.array_distinct(F.concat(F.when(own <= F.col("all"), F.filter(ps, inside)).otherwise(F.array().cast("array<int>")), at_end, F.filter("edges", cut)))
+    return rows.select("text_key", "n", F.explode(starts).alias("start"))
+
+
 def contaminated_texts(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, text_col: str = "text",
                        item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``text_key, item_id, start, similarity``: every window of a distinct
-    text (by its MD5) that matches an item."""
+    """``text_key, item_id, start, similarity``: the windows of a distinct text
+    (by its MD5) that match an item, with the best one of each item."""
     bench = items.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     # Items of equal words are compared once, under their smallest id.
     bench = bench.groupBy("words").agg(F.min("item_id").alias("item_id")).withColumn("n", F.size("words"))
@@ -92,10 +127,9 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, similarity: float = SI
     lookup = F.broadcast(places) if places.count() <= BROADCAST_SHINGLES else places
 
     texts = docs.select(text_key(F.col(text_col)).alias("text_key"), words_of(F.col(text_col)).alias("words"))
-    hits = texts.select("text_key", F.posexplode(shingle_hashes(F.col("words"))).alias("pos", "h")).join(lookup, "h")
+    hits = texts.select("text_key", F.size("words").alias("size"), F.posexplode(shingle_hashes(F.col("words"))).alias("pos", "h")).join(lookup, "h")
     # Which stretches of which texts: start may lie before the text.
-    starts = hits.groupBy("text_key", "n", (F.col("pos") - F.col("at")).alias("start")).count().drop("count")
-    starts = stored(starts, "starts")
+    starts = stored(best_starts(hits, similarity), "starts")
     # The texts that are hit grow with the documents, so they are never broadcast.
     hit = starts.select("text_key").distinct().hint("shuffle_hash")
     found = (docs.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).join(hit, "text_key", "left_semi")

@@ -226,6 +226,43 @@ def test_decontamination(spark):
     assert not decontaminate.decontamination(frame(spark, rows), items.limit(0)).where("contaminated").count()
 
 
+def shares(a, b):
+    """Brute force: the similarity of two lists of words."""
+    a, b = (Counter(tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))) for w in (a, b))
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+def test_decontamination_at_every_place(spark):
+    """Against every whole window of every text, and those in line cut at its ends."""
+    one = [f"w{i}" for i in range(100)]
+    shifted = ["a", "b", "c", *one[3:50], "i", "j", "k", "l", *one[50:97], "x", "y", "z"]
+    items = {10: one, 11: one[:40] + ["and"] + one[41:100], 12: (prose(40, 6) + " ").split() * 6, 13: prose(41, 24).split()}
+    r, rows = random.Random(9), [(0, shifted), (1, ["s"] * 30 + shifted + ["t"] * 30), (2, one[8:]), (3, one[:-8]), (4, one[6:-6])]
+    for d in range(5, 150):
+        w = list(items[r.choice(list(items))])
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(w))
+            w[at:at + r.randint(0, 3)] = [f"e{r.randrange(50)}"] * r.randint(0, 3)
+        w = w[r.choice([0, 0, 2, 5]):len(w) - r.choice([0, 0, 2, 5])]
+        rows.append((d, prose(d, r.choice([0, 3, 40])).split() + w + prose(d + 500, r.choice([0, 3, 40])).split()))
+    want = {}
+    for d, w in rows:
+        best = []
+        for i, it in items.items():
+            n, at = len(it), {}
+            for k in range(n - 4):
+                at.setdefault(tuple(it[k:k + 5]), []).append(k)
+            line = {p - k for p in range(len(w) - 4) for k in at.get(tuple(w[p:p + 5]), ())}
+            best.append((max([shares(w[s:s + n], it) for s in range(max(len(w) - n, 0) + 1)] + [shares(w[max(s, 0):s + n], it) for s in line]), i))
+        best = [(-s, i) for s, i in best if s >= 0.8]
+        want[d] = (len(best), *((min(best)[1], pytest.approx(-min(best)[0])) if best else (None, None)))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    docs = frame(spark, [(d, " ".join(w)) for d, w in rows])
+    got = {x.doc_id: (x.n_items, x.best_item, x.best_similarity) for x in decontaminate.decontamination(docs, table).collect()}
+    assert got[0][1:] == (10, pytest.approx(86 / 106)) and got[1][1:] == got[0][1:]
+    assert {d: x for d, x in got.items() if x != want[d]} == {} and 20 < sum(n > 0 for n, *_ in got.values()) < 150
+
+
 def test_mixing_meets_the_targets(spark):
     r = random.Random(7)
     rows = [(i, prose(i, r.randint(1, 30)), r.choice(["en", "de", None]), r.choice("abc")) for i in range(600)] + [(None, "w w", "en", "a"), (601, None, "en", "a")]
