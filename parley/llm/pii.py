@@ -7,10 +7,17 @@ same entity gets the same surrogate everywhere (coreference).  It keeps script
 and format: every digit or letter is replaced by one of its kind by a keyed
 permutation of all strings of that format, punctuation stays, a card number
 keeps its check digit, an address stays an address, and a name after a title
-of a man or woman is replaced by a name of that gender in that script.
+of a man or woman is replaced by a name of that gender in that script (of any
+gender after a title such as Dr).
+
+A name that stands after a title anywhere in a text is replaced in that text
+without a title too: the full name by its surrogate, the surname alone by the
+last word of it.  "Mr Smith" beside "Mr John Smith" is the same person.  Names
+that no title introduces in their text and first names alone are not found;
+whole surrogates are distinct, their last words need not be.
 
 Distinct entities get distinct surrogates: permutations give that by
-themselves, names are drawn from a large but finite set.  So all distinct
+themselves, names are drawn, and grow with each further draw.  So all distinct
 entities are gathered with their surrogates; where two of a type share a
 surrogate, or a surrogate is itself an entity of the corpus, all but the
 smallest are drawn again with the next attempt number until none collide.
@@ -37,15 +44,17 @@ from parley.llm.common import pieces, stored
 KEY = b"parley surrogate key"  # a parameter: give your own
 MAX_ATTEMPTS = 64
 
-# Titles that tell the gender, and syllables of the names made up.
-TITLES = {"m": "Mr Mister Sir Herr Monsieur Señor Signor Senhor Господин Κύριος", "f": "Mrs Ms Miss Madam Frau Madame Mademoiselle Señora Señorita Signora Senhora Госпожа Κυρία"}
+# Titles by the gender they tell (n: none), and syllables of the names made up.
+TITLES = {"m": "Mr Mister Sir Herr Monsieur Señor Signor Senhor Господин Κύριος", "f": "Mrs Ms Miss Madam Frau Madame Mademoiselle Señora Señorita Signora Senhora Госпожа Κυρία",
+          "n": "Dr Doctor Prof Professor Mx Доктор Профессор Δρ Καθηγητής"}
 SYLLABLES = {
     "latin": ("ba be bo da de do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te ti to va ve vi za zo", "n r s l d", "a ia"),
     "cyrillic": ("ба бе бо да де до ва ве га го ка ки ко ла ле ли ло ма ми мо на не ни но па ра ре ри ро са се та те ти то", "н р с л м", "а ия"),
     "greek": ("βα βε γα γο δα δε κα κε κι κο λα λε λι μα με μι να νε νι νο πα πε ρα ρε ρι σα σε τα τε τι", "ς ν ρ", "α η"),
 }
 GENDER = {t: g for g, names in TITLES.items() for t in names.split()}
-NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
+TITLE = r"(?:" + "|".join(GENDER) + r")"
+NAME = r"(?!" + TITLE + r"\b)[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?:(?<=[\"'=:\s])|\b)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,64}|[0-9A-F]{32,64})\b",
@@ -53,7 +62,7 @@ PATTERNS = {
     "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){3}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "name": r"(?:(?<=\b)(?:" + "|".join(GENDER) + r")\.? )(?P<person>" + NAME + r"(?: " + NAME + r")?)",
+    "name": r"\b(?:" + TITLE + r"\.? )+(?P<person>" + NAME + r"(?: " + NAME + r")?)",
 }
 FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 MAYBE = re.compile(r"[0-9@]|\b(?:" + "|".join(GENDER) + r")\b|[0-9A-Fa-f]{32}")
@@ -61,17 +70,51 @@ Entity = tuple[str, str]  # type, canonical form
 
 
 def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Start, end, type and canonical form."""
+    """Start, end, type and canonical form (of a surname: the full name)."""
     if not MAYBE.search(text):
         return
+    found = []
     for m in FIND.finditer(text):
         kind = m.lastgroup if m.lastgroup != "person" else "name"
         kind = next(k for k in PATTERNS if m.group(k) is not None) if kind not in PATTERNS else kind
         if kind == "name":
-            title = re.match(r"\w+", m.group()).group()
-            yield m.start("person"), m.end("person"), "name " + GENDER[title], m.group("person")
+            genders = [GENDER[t] for t in re.findall(r"\w+", text[m.start():m.start("person")])]
+            found.append((m.start("person"), m.end("person"), "name " + next((g for g in genders if g != "n"), "n"), m.group("person")))
         else:
-            yield m.start(), m.end(), kind, m.group()
+            found.append((m.start(), m.end(), kind, m.group()))
+    yield from with_mentions(text, found) if any(k.startswith("name") for _, _, k, _ in found) else found
+
+
+def with_mentions(text: str, found: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, int, str, str]]:
+    """``found`` with the names brought to one form for each person, and the
+    mentions of these persons without a title."""
+    kinds: dict[str, list[str]] = {}
+    for _, _, kind, e in found:
+        if kind.startswith("name") and kind not in kinds.setdefault(e, []):
+            kinds[e].append(kind)
+
+    def person(kind: str, e: str) -> Entity:
+        told = [k for k in kinds[e] if k != "name n"]
+        if " " not in e:
+            for full, own in kinds.items():
+                if " " in full and full.split()[-1] == e and (kind in own or "name n" in (kind, *own)):
+                    return person(kind if kind in own else own[0], full)
+        return (told[0] if told and kind == "name n" else kind), e
+
+    bare: dict[str, Entity] = {}
+    for e, own in kinds.items():
+        bare.setdefault(e, person(own[0], e))
+    for e, own in kinds.items():
+        bare.setdefault(e.split()[-1], person(own[0], e))
+    words = sorted(bare, key=len, reverse=True)
+    mention = re.compile(r"(?<!\w)(?:" + "|".join(r"\s+".join(map(re.escape, w.split())) for w in words) + r")(?!\w)")
+    at = 0
+    for start, end, kind, e in [*found, (len(text), len(text), "", "")]:
+        for m in mention.finditer(text, at, start):
+            yield m.start(), m.end(), *bare[" ".join(m.group().split())]
+        if kind:
+            yield start, end, *(person(kind, e) if kind.startswith("name") else (kind, e))
+        at = end
 
 
 def permuted(x: int, size: int, key: bytes, tweak: bytes) -> int:
@@ -117,7 +160,7 @@ def script(name: str) -> str:
     return "cyrillic" if "а" <= c <= "я" or c == "ё" else "greek" if "α" <= c <= "ω" else "latin"
 
 
-def made_name(name: str, gender: str, key: bytes, tweak: bytes) -> str:
+def made_name(name: str, gender: str, key: bytes, tweak: bytes, syllables_each: int = 3) -> str:
     """As many words as ``name`` has, from syllables of its script; the last
     letters of the first word follow the gender."""
     syllables, male, female = (s.split() for s in SYLLABLES[script(name)])
@@ -125,10 +168,10 @@ def made_name(name: str, gender: str, key: bytes, tweak: bytes) -> str:
     words = []
     for k in range(len(name.split())):
         word = ""
-        for _ in range(3):
+        for _ in range(syllables_each):
             h, d = divmod(h, len(syllables))
             word += syllables[d]
-        ends = (male if gender == "m" else female) if k == 0 else male + female
+        ends = {"m": male, "f": female}.get(gender, male + female) if k == 0 else male + female
         h, d = divmod(h, len(ends))
         words.append((word + ends[d]).capitalize())
     return " ".join(words)
@@ -137,7 +180,7 @@ def made_name(name: str, gender: str, key: bytes, tweak: bytes) -> str:
 def surrogate(kind: str, text: str, key: bytes = KEY, attempt: int = 0) -> str:
     tweak = f"{kind}/{attempt}/".encode()
     if kind.startswith("name"):
-        return made_name(text, kind[-1], key, tweak)
+        return made_name(text, kind[-1], key, tweak, max(3, 2 + attempt))  # each later draw is from a set many times larger
     if kind == "ip":
         return str(ipaddress.IPv4Address(permuted(int(ipaddress.IPv4Address(".".join(str(int(p)) for p in text.split(".")))), 1 << 32, key, tweak)))
     if kind == "email":
@@ -209,7 +252,8 @@ def replace_entities(text: str | None, key: bytes, again: dict[Entity, int], mad
             if len(made) > 100_000:
                 made.clear()
             made[kind, e] = surrogate(kind, e, key, again.get((kind, e), 0))
-        out += [text[at:start], made[kind, e]]
+        whole = not kind.startswith("name") or " ".join(text[start:end].split()) == e
+        out += [text[at:start], made[kind, e] if whole else made[kind, e].split()[-1]]
         at = end
         found.append((kind, e))
     return ("".join([*out, text[at:]]) if found else text), found

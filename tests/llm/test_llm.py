@@ -208,6 +208,37 @@ def test_surrogates(spark, monkeypatch):
     assert sorted((r.entity, r.attempt) for r in moved) == [("Bert Roe", 1), ("Carl Zoe", 1)]
 
 
+def test_mentions_without_a_title(spark):
+    text = ("Smith came. Mr John Smith met Mrs Lee and Frau Dr. Eva Roth. John\nSmith left; Smith's dog, Mr Smith, Lee, Dr Smith wrote. "
+            "Prof. Jane Doe, Doe; Smithson, Mr Poe Mr Coe; Smith@x.com")
+    got = pii.pseudonymise(frame(spark, [(1, text), (2, "Mr John Smith"), (3, "Smith and Lee")])).collect()
+    new = {r.doc_id: r.text for r in got}
+    full, lee, roth, doe = (pii.surrogate(*x) for x in (("name m", "John Smith"), ("name f", "Lee"), ("name f", "Eva Roth"), ("name n", "Jane Doe")))
+    last, poe, coe = full.split()[-1], pii.surrogate("name m", "Poe"), pii.surrogate("name m", "Coe")
+    assert new[1].rpartition(" ")[0] == (f"{last} came. Mr {full} met Mrs {lee} and Frau Dr. {roth}. {full} left; {last}'s dog, Mr {last}, {lee}, Dr {last} wrote. "
+                                         f"Prof. {doe}, {doe.split()[-1]}; Smithson, Mr {poe} Mr {coe};")
+    assert new[2] == f"Mr {full}" and new[3] == "Smith and Lee"
+    assert (got[0].n_entities, got[0].n_distinct, got[0].kinds) == (14, 7, "email,name f,name m,name n")
+
+
+def test_more_names_than_short_surrogates(spark, monkeypatch):
+    def scarce(kind, entity, key=pii.KEY, attempt=0):
+        from parley.llm import pii as real  # as the tasks see it
+        before = real.SYLLABLES["latin"]
+        real.SYLLABLES["latin"] = ("ba be", "n", "a")  # eight short names
+        try:
+            return real.surrogate(kind, entity, key, attempt)
+        finally:
+            real.SYLLABLES["latin"] = before
+
+    names = [f"{a}{b}" for a in "ABCDEFGHIJ" for b in "xyzw"]
+    monkeypatch.setattr(pii, "surrogate", scarce)
+    moved = pii.attempts(frame(spark, [(1, ", ".join(f"Mrs {n}" for n in names))])).collect()
+    monkeypatch.undo()
+    drawn = {r.entity: r.attempt for r in moved}
+    assert max(drawn.values()) > 1 and len({scarce("name f", n, attempt=drawn.get(n, 0)) for n in names}) == len(names)
+
+
 def test_all_permutation_values_differ():
     assert sorted(pii.permuted(x, 1000, b"k", b"t") for x in range(1000)) == list(range(1000))
 
