@@ -92,8 +92,11 @@ def stream_text_chunks(spark: SparkSession, text_dir: str, n: int = FX.CHUNK_WOR
 # ------------------------------------------------------------ carried state
 EPISODE_OUT = ("episode_id long, seg_idx long, ok_eff boolean, prev_speaker string, "
                "xfade_ms long, end_ms long")
+EPISODE_SINK = f"{EPISODE_OUT}, late boolean, speaker string, dur_ms long, ok boolean"
+TURN = ["episode_id", "seg_idx", "speaker", "dur_ms", "ok"]
 EPISODE_STATE = ("prev_speaker string, end_ms long, n_ok long, n_failed long, next_idx long, "
-                 "pend_idx array<long>, pend_speaker array<string>, pend_dur array<long>, pend_ok array<boolean>")
+                 "pend_idx array<long>, pend_speaker array<string>, pend_dur array<long>, pend_ok array<boolean>, "
+                 "skip_from array<long>, skip_to array<long>")
 
 
 def _episode_step(key, batches: Iterator[pd.DataFrame], state: GroupState, max_waiting: int,
@@ -104,24 +107,35 @@ def _episode_step(key, batches: Iterator[pd.DataFrame], state: GroupState, max_w
     an earlier one waits in the state (``pend_*``) until the gap is filled,
     so the result does not depend on how turns are split into batches.  The
     gap is given up, and the turns behind it are written, when more than
-    ``max_waiting`` turns wait or none arrived for ``wait_ms``.  Turns at or
-    before the last one written (replays) are ignored.
+    ``max_waiting`` turns wait or none arrived for ``wait_ms``.  Turns that
+    were written already (replays) are ignored.  A turn of a gap that was given
+    up (``skip_*``: its ranges) cannot enter the timeline any more; it is
+    written once as a ``late`` row, with its own values and no place in time.
     """
     if state.exists:
-        prev, end, n_ok, n_failed, nxt, p_idx, p_sp, p_dur, p_ok = state.get
+        prev, end, n_ok, n_failed, nxt, p_idx, p_sp, p_dur, p_ok, s_from, s_to = state.get
         pending = list(zip(p_idx or [], p_sp or [], p_dur or [], p_ok or []))
+        skipped = [(int(a), int(b)) for a, b in zip(s_from or [], s_to or [])]
     else:
-        prev, end, n_ok, n_failed, nxt, pending = None, FX.INTRO_MS, 0, 0, 0, []
+        prev, end, n_ok, n_failed, nxt, pending, skipped = None, FX.INTRO_MS, 0, 0, 0, [], []
     waiting = 0 if state.hasTimedOut else max_waiting
     rows_in = {int(r[0]): (int(r[0]), r[1], int(r[2]), bool(r[3])) for r in pending}
+    out = []
     for pdf in batches:
         for i, sp, d, o in zip(pdf["seg_idx"], pdf["speaker"], pdf["dur_ms"], pdf["ok"]):
             if i >= nxt:
                 rows_in.setdefault(int(i), (int(i), sp, int(d), bool(o)))
+                continue
+            gap = next((g for g in skipped if g[0] <= i < g[1]), None)
+            if gap:
+                at = skipped.index(gap)
+                skipped[at:at + 1] = [g for g in ((gap[0], int(i)), (int(i) + 1, gap[1])) if g[0] < g[1]]
+                out.append((int(key[0]), int(i), None, None, None, None, True, sp, int(d), bool(o)))
     same = int(min(FX.MAX_CROSSFADE_MS, FX.BASE_CROSSFADE_MS * FX.SAME_SPEAKER_FACTOR))
-    out = []
     while nxt in rows_in or len(rows_in) > waiting:
-        nxt = nxt if nxt in rows_in else min(rows_in)
+        if nxt not in rows_in:
+            skipped.append((int(nxt), min(rows_in)))
+            nxt = min(rows_in)
         seg_idx, speaker, dur, ok = rows_in.pop(nxt)
         ok_eff = ok and dur >= FX.MIN_AMBIENCE_MS
         before = prev
@@ -133,21 +147,23 @@ def _episode_step(key, batches: Iterator[pd.DataFrame], state: GroupState, max_w
         else:
             xf = 0
             n_failed += 1
-        out.append((int(key[0]), seg_idx, ok_eff, before, int(xf), int(end)))
+        out.append((int(key[0]), seg_idx, ok_eff, before, int(xf), int(end), False, None, None, None))
         nxt += 1
     rest = sorted(rows_in.values())
     state.update((prev, int(end), int(n_ok), int(n_failed), int(nxt),
-                  [r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], [r[3] for r in rest]))
+                  [r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], [r[3] for r in rest],
+                  [g[0] for g in skipped], [g[1] for g in skipped]))
     if rest:
         state.setTimeoutDuration(wait_ms)
-    yield pd.DataFrame(out, columns=["episode_id", "seg_idx", "ok_eff", "prev_speaker", "xfade_ms", "end_ms"])
+    made = pd.DataFrame(out, columns=["episode_id", "seg_idx", "ok_eff", "prev_speaker", "xfade_ms", "end_ms", "late", "speaker", "dur_ms", "ok"])
+    yield made.astype({"ok_eff": "boolean", "xfade_ms": "Int64", "end_ms": "Int64", "late": "boolean", "dur_ms": "Int64", "ok": "boolean"})
 
 
 def episode_state_stream(synth_stream: DataFrame, max_waiting: int = 10_000,
                          wait_ms: int = 3_600_000) -> DataFrame:
     step = functools.partial(_episode_step, max_waiting=max_waiting, wait_ms=wait_ms)
     return (synth_stream.groupBy("episode_id")
-            .applyInPandasWithState(step, EPISODE_OUT, EPISODE_STATE, "append",
+            .applyInPandasWithState(step, EPISODE_SINK, EPISODE_STATE, "append",
                                     GroupStateTimeout.ProcessingTimeTimeout))
 
 
@@ -158,11 +174,30 @@ def stream_episode_state(spark: SparkSession, conversations_dir: str,
     """Conversation turns arriving as Parquet -> ``to_synth`` (a stateless
     mapping to episode_id, seg_idx, speaker, dur_ms, ok) -> stateful
     per-episode timeline; returns the sink contents.  Timeouts fire in the
-    first batch after ``wait_ms``."""
+    first batch after ``wait_ms``.  What is not in the timeline after a run is
+    in ``waiting_turns`` and ``late_turns`` of the same ``run_dir``."""
     base = run_dir or _run_dir(spark, "stream-episode")
     reader = spark.readStream.schema(CONV_SCHEMA).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     synth = to_synth(reader.parquet(conversations_dir)).select("episode_id", "seg_idx", "speaker", "dur_ms", "ok")
     run_available(episode_state_stream(synth, max_waiting, wait_ms), f"{base}/out", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/out")
+    return _episode_sink(spark, base).where("not late").select("episode_id", "seg_idx", "ok_eff", "prev_speaker", "xfade_ms", "end_ms")
+
+
+def _episode_sink(spark: SparkSession, run_dir: str) -> DataFrame:
+    return spark.read.schema(EPISODE_SINK).parquet(f"{run_dir}/out").fillna(False, ["late"])
+
+
+def late_turns(spark: SparkSession, run_dir: str) -> DataFrame:
+    """The turns that arrived after their gap was given up, each once."""
+    return _episode_sink(spark, run_dir).where("late").select(*TURN)
+
+
+def waiting_turns(spark: SparkSession, run_dir: str) -> DataFrame:
+    """The turns that still wait behind a gap, read from the state that the
+    last run left in ``run_dir``."""
+    state = spark.read.format("statestore").load(f"{run_dir}/ckpt").select("key.*", "value.groupState.*")
+    pend = F.explode(F.arrays_zip("pend_idx", "pend_speaker", "pend_dur", "pend_ok")).alias("t")
+    return state.select(F.col(state.columns[0]).alias("episode_id"), pend).select(
+        "episode_id", F.col("t.pend_idx").alias("seg_idx"), F.col("t.pend_speaker").alias("speaker"), F.col("t.pend_dur").alias("dur_ms"), F.col("t.pend_ok").alias("ok"))

@@ -119,6 +119,28 @@ def test_stream_resumes_and_gives_up_gaps(spark):
     assert len(got) == len(set(got)) == 6
 
 
+def test_stream_loses_no_turn(spark):
+    """Every turn is in the timeline, waits, or is late; replays count once."""
+    src, run_dir = tempfile.mkdtemp(prefix="parley-gap-in-"), tempfile.mkdtemp(prefix="parley-gap-")
+    to_synth = lambda c: c.select(F.col("conv_id").alias("episode_id"), F.col("turn").alias("seg_idx"),
+                                  F.col("role").alias("speaker"), F.lit(2000).cast("long").alias("dur_ms"),
+                                  F.lit(True).alias("ok"))
+
+    def run():
+        out = ingest.stream_episode_state(spark, src, to_synth, run_dir=run_dir, max_waiting=2)
+        return [sorted((r.episode_id, r.seg_idx) for r in t.collect())
+                for t in (out, ingest.waiting_turns(spark, run_dir), ingest.late_turns(spark, run_dir))]
+    _turns(spark, src, 0, [(1, t, "a", "x") for t in (0, 1, 3)] + [(2, t, "b", "x") for t in (1, 2)])
+    assert run() == [[(1, 0), (1, 1)], [(1, 3), (2, 1), (2, 2)], []]
+    _turns(spark, src, 1, [(1, t, "a", "x") for t in (6, 7)] + [(2, 3, "b", "x")])  # more than two wait
+    assert run() == [[(1, 0), (1, 1), (1, 3), (2, 1), (2, 2), (2, 3)], [(1, 6), (1, 7)], []]
+    _turns(spark, src, 2, [(1, 2, "a", "x"), (1, 3, "a", "x"), (2, 0, "b", "x"), (2, 0, "b", "x"), (1, 4, "a", "x")])
+    want = [[(1, 0), (1, 1), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3)], [(1, 6), (1, 7)], [(1, 2), (2, 0)]]
+    assert run() == want
+    _turns(spark, src, 3, [(1, 2, "a", "x"), (2, 0, "b", "x")])
+    assert run() == want
+
+
 def test_writers(spark):
     from parley.sinks import writers as W
     out = tempfile.mkdtemp(prefix="parley-sink-")
