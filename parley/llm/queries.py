@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from parley.llm.common import table
 from parley.llm.decontaminate import decontamination
 from parley.llm.exact_dedup import exact_classes
+from parley.llm.host_rules import quality
 from parley.llm.language_id import language_id
 from parley.llm.mixing import mixing_probabilities
 from parley.llm.near_dedup import near_classes
 from parley.llm.pii import pseudonymise
+from parley.llm.reversed_search import search
 from parley.llm.substring_dedup import remove_repeated_passages
 from parley.llm.suffix_dedup import remove_repeated_bytes
 from parley.llm.token_count import token_counts
 from parley.llm.toxicity import toxicity
+from parley.llm.whitening import whitened_embeddings
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -71,10 +74,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("best_similarity", F.round("best_similarity", 6))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitened_embeddings(table(spark, sf_dir, "embeddings"))
+    out = out.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return out.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "whitened",
+                      F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host of a document is its source."""
+    out = quality(table(spark, sf_dir, "documents"), F.col("source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_docs",
+                      F.round("host_rate", 6).alias("host_rate"), "host_bad")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1, "op2_substring_dedup": op2, "op3_language_id": op3, "op4_exact_dedup": op4,
     "op5_toxicity": op5, "op6_pii": op6, "op7_near_dedup": op7, "op8_mixing": op8, "op9_token_counts": op9,
-    "op10_decontamination": op10,
+    "op10_decontamination": op10, "op11_whitening": op11, "op12_host_rules": op12, "op13_reversed_search": op13,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -162,4 +183,56 @@ SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGI
 FROM documents d LEFT JOIN hit USING (doc_id)
 """
 
-ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL, "op10_decontamination": OP10_SQL}
+# Ties of the shrunken rates with the limit do not occur; the prior is the method of moments over the hosts.
+_RULES = {"few_words": "n_words < 50", "repeats": "100 * n_repeat_words > 50 * n_words", "symbols": "100 * n_symbols > 10 * n_words",
+          "dup_lines": "100 * n_dup_lines > 30 * n_lines", "word_length": "word_chars < 3 * n_words OR word_chars > 10 * n_words"}
+
+
+def _shrunk(rule: str) -> str:
+    mean = f"(sum(k_{rule}) OVER () / sum(n) OVER ())"
+    within, hosts = f"({mean} * (1 - {mean}))", "count(*) OVER ()"
+    spread = f"(sum(k_{rule}::DOUBLE * k_{rule} / n) OVER () - (sum(k_{rule}) OVER ())::DOUBLE ^ 2 / sum(n) OVER ())"
+    room = f"(sum(n) OVER () - (sum(n::DOUBLE * n) OVER ()) / sum(n) OVER () - ({hosts} - 1))"
+    alike = f"CASE WHEN {within} > 0 AND {room} > 0 THEN ({spread} - {within} * ({hosts} - 1)) / ({within} * {room}) ELSE 0 END"
+    strength = f"greatest(CASE WHEN {alike} > 0 THEN least((1 - {alike}) / {alike}, 1e6) ELSE 1e6 END, 1e-6)"
+    return f"(k_{rule} + {mean} * {strength}) / (n + {strength})"
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+e AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+win AS (SELECT r, i, w[i:i + 2] AS k FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM e)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM twice) GROUP BY 1),
+m AS (
+  SELECT doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM e LEFT JOIN rep USING (r)),
+h AS (SELECT host, count(*) AS n, {", ".join(f"count_if({c}) AS k_{r}" for r, c in _RULES.items())} FROM m GROUP BY 1),
+v AS (SELECT host, n, greatest({", ".join(_shrunk(r) for r in _RULES)}) AS rate FROM h)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_RULES["few_words"]} OR {_RULES["repeats"]} AS base_failed,
+       NOT ({_RULES["few_words"]} OR {_RULES["repeats"]}) AND rate <= 0.5 AS kept, m.host, v.n::BIGINT AS host_docs, round(rate, 6) AS host_rate, rate > 0.5 AS host_bad
+FROM m JOIN v ON m.host IS NOT DISTINCT FROM v.host
+"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark),
+q AS (SELECT DISTINCT i, unnest(w) AS t FROM b),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2),
+corpus AS (SELECT count(*) AS big_n, sum(len(w))::HUGEINT AS big_l FROM d WHERE len(w) > 0),
+wt AS (SELECT t, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY 1),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * len(w)::HUGEINT * big_n) // big_l)::BIGINT AS m FROM d, corpus WHERE len(w) > 0),
+s AS (
+  SELECT i, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (t) JOIN wt USING (t) JOIN m USING (r) GROUP BY 1, 2),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM s JOIN m USING (r) JOIN b USING (i) WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL, "op10_decontamination": OP10_SQL, "op12_host_rules": OP12_SQL,
+           "op13_reversed_search": OP13_SQL}
