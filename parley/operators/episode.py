@@ -9,12 +9,13 @@ blocks instead of landing in one task.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import fixed as FX
 from parley.operators.dims import bounded_broadcast
-from parley.operators.scan import drop_block, previous_non_null, running_sum
+from parley.operators.scan import Linked, running_sum
 
 KEY = "episode_id"
 IDX = "seg_idx"
@@ -54,9 +55,7 @@ def timeline_plain(synth: DataFrame) -> DataFrame:
     """Concatenation with a 500 ms gap before every segment after the first
     (also before failed ones).  Adds inc_ms, start_ms, end_ms and
     audio_start_ms (where the audio begins; null for failed segments)."""
-    gap = F.when(F.col(IDX) > 0, F.lit(FX.GAP_MS)).otherwise(F.lit(0))
-    audio = F.when(F.col("ok"), F.col("dur_ms")).otherwise(F.lit(0))
-    d = synth.withColumn("inc_ms", (gap + audio).cast("long"))
+    d = synth.withColumn("inc_ms", _plain_advance())
     d = running_sum(d, KEY, IDX, "inc_ms", "end_ms")
     return (d.withColumn("start_ms", F.col("end_ms") - F.col("inc_ms"))
             .withColumn("audio_start_ms", F.when(F.col("ok"), F.col("end_ms") - F.col("dur_ms"))))
@@ -87,27 +86,57 @@ def timeline_jitter(synth: DataFrame, pauses: DataFrame | Column) -> DataFrame:
             .withColumn("audio_start_ms", F.when(F.col("ok_eff"), F.col("start_ms") + gap - F.col("xfade_ms"))))
 
 
+def dynamic_crossfade(prev: Column, speaker: Column) -> Column:
+    """Crossfade of a successful segment, by the previous successful one
+    (``prev``: a struct of its speaker, null if there is none)."""
+    same = int(min(FX.MAX_CROSSFADE_MS, FX.BASE_CROSSFADE_MS * FX.SAME_SPEAKER_FACTOR))
+    return (F.when(prev.isNull(), F.lit(FX.FIRST_CROSSFADE_MS)).when(prev["speaker"] == speaker, F.lit(same))
+            .otherwise(F.lit(FX.BASE_CROSSFADE_MS)).cast("long"))
+
+
+def _dynamic(synth: DataFrame) -> tuple[DataFrame, Linked]:
+    """Segments with ``ok_eff``, and the scan of their advances."""
+    d = synth.withColumn("ok_eff", F.coalesce(F.col("ok") & (F.col("dur_ms") >= FX.MIN_AMBIENCE_MS), F.lit(False)))
+    advance = lambda prev, of: F.when(of("ok_eff"), of("dur_ms") - dynamic_crossfade(prev, of("speaker"))).otherwise(0).cast("long")
+    spoken = F.when(F.col("ok_eff"), F.struct("speaker"))
+    return d, Linked(KEY, IDX, spoken, {"_adv": advance}, ["speaker", "dur_ms", "ok_eff"])
+
+
 def timeline_dynamic(synth: DataFrame) -> DataFrame:
     """2,000 ms intro, then every successful segment appended with a crossfade:
     500 ms for the first success, 450 ms when the previous success had the
     same speaker, 300 ms otherwise.  Audio under 1,000 ms fails (its room
-    tone cannot be built).  Adds ok_eff, prev_speaker, xfade_ms, start_ms,
-    end_ms."""
-    d = synth.withColumn("ok_eff", F.col("ok") & (F.col("dur_ms") >= FX.MIN_AMBIENCE_MS))
-    # The second scan reuses the block column and partitioning of the first.
-    d = previous_non_null(d, KEY, IDX, F.when(F.col("ok_eff"), F.col("speaker")), "prev_speaker",
-                          keep_block=True)
-    same = int(min(FX.MAX_CROSSFADE_MS, FX.BASE_CROSSFADE_MS * FX.SAME_SPEAKER_FACTOR))
-    xfade = (F.when(~F.col("ok_eff"), F.lit(0))
-             .when(F.col("prev_speaker").isNull(), F.lit(FX.FIRST_CROSSFADE_MS))
-             .when(F.col("prev_speaker") == F.col("speaker"), F.lit(same))
-             .otherwise(F.lit(FX.BASE_CROSSFADE_MS)))
-    d = d.withColumn("xfade_ms", xfade.cast("long"))
-    adv = F.when(F.col("ok_eff"), F.col("dur_ms") - F.col("xfade_ms")).otherwise(F.lit(0)).cast("long")
-    d = drop_block(running_sum(d, KEY, IDX, adv, "_adv"))
+    tone cannot be built), as does a segment without a result or duration.  A
+    success without a speaker differs from all others.  Adds ok_eff,
+    prev_speaker, xfade_ms, start_ms, end_ms.
+
+    The previous speaker and the offsets, which depend on it, come from one
+    composite scan."""
+    d, scan = _dynamic(synth)
+    d = scan.scan(d, "_prev")
+    xfade = F.when(F.col("ok_eff"), dynamic_crossfade(F.col("_prev"), F.col("speaker"))).otherwise(0).cast("long")
+    d = d.withColumn("prev_speaker", F.col("_prev.speaker")).withColumn("xfade_ms", xfade)
     d = d.withColumn("end_ms", F.col("_adv") + F.lit(FX.INTRO_MS))
     start = F.when(F.col("ok_eff"), F.col("end_ms") - F.col("dur_ms")).otherwise(F.col("end_ms"))
-    return d.withColumn("start_ms", start).drop("_adv")
+    return d.withColumn("start_ms", start).drop("_adv", "_prev")
+
+
+def _plain_advance() -> Column:
+    gap = F.when(F.col(IDX) > 0, F.lit(FX.GAP_MS)).otherwise(F.lit(0))
+    return (gap + F.when(F.col("ok"), F.col("dur_ms")).otherwise(F.lit(0))).cast("long")
+
+
+def episode_totals(synth: DataFrame) -> DataFrame:
+    """Per episode: n_segments, n_ok (of the dynamic timeline), the length of
+    the plain timeline (duration_ms) and of the dynamic one
+    (duration_dynamic_ms); null lengths for rows without an episode or index.
+    The lengths are sums of block totals; no timeline is built."""
+    d, scan = _dynamic(synth)
+    t = scan.totals(d, n_segments=F.count(F.lit(1)), n_ok=F.count_if("ok_eff"), duration_ms=F.sum(F.when(F.col(IDX).isNotNull(), _plain_advance())),
+                    _placed=F.count(IDX))
+    length = lambda c: F.when((F.col("_placed") > 0) & F.col(KEY).isNotNull(), c)
+    return t.select(KEY, "n_segments", "n_ok", length(F.col("duration_ms")).alias("duration_ms"),
+                    length(F.col("_adv") + FX.INTRO_MS).alias("duration_dynamic_ms"))
 
 
 def pacing(segments: DataFrame) -> DataFrame:
@@ -165,27 +194,42 @@ def adjacent_pairs(synth: DataFrame, ok_col: str = "ok") -> DataFrame:
 def overlap_join(intervals: DataFrame, start: str = "start_ms", end: str = "end_ms",
                  bucket_ms: int = 60_000) -> DataFrame:
     """Pairs (a, b), a before b in index order, whose [start, end) intervals
-    overlap, within an episode.
-
-    Range join by time buckets: each interval is replicated into the buckets
-    it covers, pairs are equi-joined on (episode, bucket), and a pair is
-    kept only in the bucket where its overlap begins.  Candidates are
-    limited to intervals sharing a bucket instead of all pairs of an
-    episode.
+    overlap, within an episode, by a sweep over their starts.
+
+    An interval goes to each time bucket that it covers; the buckets are dealt
+    to the tasks and swept in order of the starts with the set of intervals
+    that have not ended.  A bucket begins with those that reach into it from
+    the one before, and a pair is written in the bucket where its overlap
+    begins.  The intervals are computed and shuffled once; a task holds the
+    intervals open at one time.  Rows without an episode, index, start or end,
+    and empty intervals, are in no pair.
     """
-    iv = intervals.where(F.col(end) > F.col(start)).select(KEY, IDX, start, end)
-    b = iv.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / bucket_ms),
-                                                 F.floor((F.col(end) - 1) / bucket_ms))))
-    a = b.select(KEY, "_b", F.col(IDX).alias("a_seg_idx"), F.col(start).alias("a_start"),
-                 F.col(end).alias("a_end"))
-    c = b.select(KEY, "_b", F.col(IDX).alias("b_seg_idx"), F.col(start).alias("b_start"),
-                 F.col(end).alias("b_end"))
-    j = a.join(c, [KEY, "_b"]).where(
-        (F.col("a_seg_idx") < F.col("b_seg_idx")) & (F.col("a_start") < F.col("b_end"))
-        & (F.col("b_start") < F.col("a_end"))
-        & (F.floor(F.greatest("a_start", "b_start") / bucket_ms) == F.col("_b")))
-    return j.select(KEY, "a_seg_idx", "b_seg_idx",
-                    (F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).alias("overlap_ms"))
+    # Rows without an episode or index are passed over below: a filter here would move into one
+    # branch of the timeline's scan, which could then not share its shuffle with the other.
+    iv = intervals.where(F.col(end) > F.col(start))
+    iv = iv.select(KEY, F.col(IDX).cast("long").alias(IDX), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
+    b = iv.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / bucket_ms), F.floor((F.col("_e") - 1) / bucket_ms))))
+    dealt = b.repartition(KEY, "_b").sortWithinPartitions(KEY, "_b", "_s", IDX)
+
+    def sweep(batches):
+        at, open_ = None, []
+        for batch in batches:
+            keys = batch.column(0)
+            rows = []
+            for r, (k, i, s, e, bucket) in enumerate(zip(keys.to_pylist(), *(batch.column(c).to_pylist() for c in range(1, 5)))):
+                if k is None or i is None:
+                    continue
+                if (k, bucket) != at:
+                    at, open_ = (k, bucket), []
+                open_ = [o for o in open_ if o[2] > s]
+                if s // bucket_ms == bucket:  # the overlap with each open one begins here
+                    rows += [(r, min(i, j), max(i, j), min(e, f) - s) for j, _, f in open_]
+                open_.append((i, s, e))
+            cols = [pa.array([x[c] for x in rows], pa.int64()) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([keys.take(cols[0]), *cols[1:]], names=[KEY, "a_seg_idx", "b_seg_idx", "overlap_ms"])
+
+    kind = iv.schema[KEY].dataType.simpleString()
+    return dealt.mapInArrow(sweep, f"{KEY} {kind}, a_seg_idx long, b_seg_idx long, overlap_ms long")
 
 
 def timeline_parts(synth: DataFrame, pauses: DataFrame | Column) -> DataFrame:

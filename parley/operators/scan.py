@@ -12,13 +12,20 @@ rows is spread over many tasks.  ``order`` should be a dense 0-based
 integer index within the key (other integer orders are correct but may
 give uneven blocks).  Rows without a key or order have no place in a scan:
 they stay, with nulls in the added columns, and count in no other row.
+
+A scan whose increments depend on the previous value (a crossfade that depends
+on the previous speaker) needs no second scan: :func:`linked_scan` closes the
+rows of a block but for its first value, whose increment is settled in the scan
+of the block summaries (the boundary correction).
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 4096
@@ -130,3 +137,131 @@ def previous_non_null(df: DataFrame, part, order: str, value: Column | str, out:
 
 def drop_block(df: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     return df.drop(block_column(block_rows))
+
+
+# ------------------------------------------------------------ composite scans
+NO_PLACE = -(1 << 40)  # blocks below hold the rows without a place
+Stage = Callable[["Spans"], dict[str, Column]]
+
+
+@dataclass
+class Spans:
+    """Windows over the ordered rows of a group."""
+    before: WindowSpec
+    upto: WindowSpec
+    ordered: WindowSpec
+    whole: WindowSpec
+
+
+def _spans(keys: list[str], order: str) -> Spans:
+    whole = Window.partitionBy(*keys)
+    ordered = whole.orderBy(order)
+    return Spans(ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(Window.unboundedPreceding, 0), ordered, whole)
+
+
+def placed(block_rows: int = DEFAULT_BLOCK_ROWS) -> Column:
+    """Whether a row has a key and an order, in the rows of a composite scan."""
+    return F.coalesce(F.col(block_column(block_rows)) > NO_PLACE, F.lit(False))
+
+
+def in_blocks(df: DataFrame, part, order: str, block_rows: int = DEFAULT_BLOCK_ROWS, uses: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the block column.  Rows without a key or order are dealt to blocks
+    of their own by a hash of these and ``uses``, so that many of them do not
+    meet in one task."""
+    place = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*_keys(part), order]])
+    apart = F.lit(NO_PLACE) - F.pmod(F.xxhash64(*_keys(part), order, *uses), F.lit(1024))
+    return df.withColumn(block_column(block_rows), F.when(place, F.floor(F.col(order) / F.lit(block_rows))).otherwise(apart))
+
+
+def local_rows(df: DataFrame, part, order: str, local: list[Stage], block_rows: int = DEFAULT_BLOCK_ROWS, uses: tuple[str, ...] = ()) -> DataFrame:
+    """The rows in blocks with the columns of the ``local`` stages, over the
+    rows of a block; a stage may use the columns of the ones before."""
+    d = in_blocks(df, part, order, block_rows, uses)
+    spans = _spans([*_keys(part), block_column(block_rows)], order)
+    for stage in local:
+        d = d.withColumns(stage(spans))
+    return d
+
+
+def block_carries(rows: DataFrame, part, summary: dict[str, Column], carry: list[Stage], block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """A row for each block: its ``summary`` (aggregates over its rows, which
+    lie together already) and the columns of the ``carry`` stages, over the
+    blocks of a key in order."""
+    block = block_column(block_rows)
+    d = rows.groupBy(*_keys(part), block).agg(*[c.alias(n) for n, c in summary.items()])
+    spans = _spans(_keys(part), block)
+    for stage in carry:
+        d = d.withColumns(stage(spans))
+    return d
+
+
+def composite_scan(df: DataFrame, part, order: str, local: list[Stage], summary: dict[str, Column], carry: list[Stage], give: list[str],
+                   block_rows: int = DEFAULT_BLOCK_ROWS, uses: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with the local columns and the columns ``give`` of their block.
+
+    Two things are shuffled: the rows, on (key, block), and the block
+    summaries, on the key and back.  The rows of the two branches (scan and
+    summary) are the same shuffle if they use the same columns; columns that
+    only travel along are left out of the summary's."""
+    block = block_column(block_rows)
+    rows = local_rows(df, part, order, local, block_rows, uses)
+    # The join goes by copies of the grouping columns: a filter for nulls that Spark derives from a
+    # join column would move below the shuffle, which the two branches then could not share.
+    copies = {f"_same_{c}": F.max(c) for c in [*_keys(part), block]}
+    carries = block_carries(rows, part, summary | copies, carry, block_rows)
+    carries = carries.select(*[F.col(f"_same_{c}").alias(c) for c in [*_keys(part), block]], *give)
+    return rows.join(carries, [*_keys(part), block], "left")
+
+
+class Linked:
+    """Running sums whose steps depend on the last value of an earlier row.
+
+    ``value`` is null on rows that leave the last value as it is.  ``steps``:
+    for each sum a function of that last value (null if there is none) and of a
+    function that gives the row's columns named in ``uses``; on rows without a
+    value the step must not depend on the last value."""
+
+    def __init__(self, part, order: str, value: Column, steps: dict[str, Callable[[Column, Callable[[str], Column]], Column]], uses: list[str],
+                 block_rows: int = DEFAULT_BLOCK_ROWS):
+        self.part, self.order, self.value, self.steps, self.uses, self.block_rows = part, order, value, steps, uses, block_rows
+        self.n = range(len(steps))
+
+    def _local(self) -> list[Stage]:
+        place = placed(self.block_rows)
+        zero = F.lit(0).cast("long")
+        known = F.col("_v").isNull() | F.col("_lp").isNotNull()   # all but the first value of a block
+        step = [F.when(place & known, s(F.col("_lp"), F.col)).otherwise(zero) for s in self.steps.values()]
+        return [lambda w: {"_v": F.when(place, self.value)},
+                lambda w: {"_lp": F.last("_v", ignorenulls=True).over(w.before)},
+                lambda w: {f"_li{i}": F.coalesce(step[i], zero) for i in self.n},
+                lambda w: {f"_ls{i}": F.sum(f"_li{i}").over(w.upto) for i in self.n}]
+
+    def _summary(self) -> dict[str, Column]:
+        at = F.when(F.col("_v").isNotNull(), F.col(self.order))
+        return {"_last": F.max_by("_v", at), "_first": F.min_by(F.struct(*self.uses), at)} | {f"_bs{i}": F.sum(f"_li{i}") for i in self.n}
+
+    def _carry(self) -> list[Stage]:
+        zero = F.lit(0).cast("long")
+        first = [F.when(F.col("_first").isNotNull(), s(F.col("_cp"), lambda c: F.col("_first")[c])) for s in self.steps.values()]
+        return [lambda w: {"_cp": F.last("_last", ignorenulls=True).over(w.before)},
+                lambda w: {f"_fi{i}": F.coalesce(first[i], zero) for i in self.n},
+                lambda w: {f"_cs{i}": F.coalesce(F.sum(F.col(f"_bs{i}") + F.col(f"_fi{i}")).over(w.before), zero) for i in self.n}]
+
+    def scan(self, df: DataFrame, prev: str) -> DataFrame:
+        """``df`` with ``prev``, the last value of an earlier row, and the running
+        sums, the row's own step included (null on rows without a place)."""
+        give = ["_cp", *[f"_fi{i}" for i in self.n], *[f"_cs{i}" for i in self.n]]
+        rows = composite_scan(df, self.part, self.order, self._local(), self._summary(), self._carry(), give, self.block_rows, tuple(self.uses))
+        place = placed(self.block_rows)
+        behind = F.col("_v").isNotNull() | F.col("_lp").isNotNull()
+        sums = [F.when(place, F.col(f"_ls{i}") + F.col(f"_cs{i}") + F.when(behind, F.col(f"_fi{i}")).otherwise(0)).alias(out) for i, out in enumerate(self.steps)]
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.when(place, F.coalesce("_lp", "_cp")).alias(prev), *sums)
+
+    def totals(self, df: DataFrame, **more: Column) -> DataFrame:
+        """A row for each key: the sums over all its rows, and the sums of the
+        aggregates ``more`` over its blocks.  The carries are not taken back to
+        the rows, so the rows are shuffled once and the summaries once."""
+        rows = local_rows(df, self.part, self.order, self._local()[:3], self.block_rows, tuple(self.uses))
+        blocks = block_carries(rows, self.part, self._summary() | {f"_more_{n}": c for n, c in more.items()}, self._carry()[:2], self.block_rows)
+        return blocks.groupBy(*_keys(self.part)).agg(*[F.sum(F.col(f"_bs{i}") + F.col(f"_fi{i}")).alias(out) for i, out in enumerate(self.steps)],
+                                                     *[F.sum(f"_more_{n}").alias(n) for n in more])

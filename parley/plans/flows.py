@@ -74,11 +74,8 @@ def flow_b(transcripts: DataFrame, complete: Completion, key: str = "episode_id"
 
 def flow_c(synth: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Synthesis results per segment -> (dynamic timeline, per-episode summary)."""
-    t = E.timeline_dynamic(synth)
-    summary = t.groupBy("episode_id").agg(F.count("*").alias("n_segments"),
-                                          F.count_if("ok_eff").alias("n_ok"),
-                                          F.max("end_ms").alias("duration_ms"))
-    return t, summary
+    totals = E.episode_totals(synth)
+    return E.timeline_dynamic(synth), totals.select("episode_id", "n_segments", "n_ok", F.col("duration_dynamic_ms").alias("duration_ms"))
 
 
 def flow_d(waves: DataFrame, tone: list[float], frame_rate: float, materialize=cut_lineage) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators import dialogue as D
-from parley.operators.scan import drop_block, previous_non_null, running_sum
+from parley.operators.scan import Linked
 from parley.plans.fixture_sql import WS_CHARS_SQL, escape, unescape
 from parley.plans.q_requests import TRANSCRIPTS_CTE, transcripts
 from parley.plans.registry import query
@@ -191,11 +191,11 @@ def win_speaker_runs(spark, sf_dir):
     s = FX.segments(spark, sf_dir).select(
         "episode_id", "seg_idx",
         F.when(F.col("speaker") == "Speaker 1", F.col("speaker")).otherwise(F.lit("Speaker 2")).alias("speaker"))
-    s = previous_non_null(s, "episode_id", "seg_idx", "speaker", "_prev", keep_block=True)
-    s = s.withColumn("is_repeat", F.coalesce(F.col("_prev") == F.col("speaker"), F.lit(False))).drop("_prev")
-    s = drop_block(running_sum(s, "episode_id", "seg_idx",
-                               F.when(F.col("is_repeat"), 0).otherwise(1).cast("long"), "run_id"))
-    return s.withColumn("run_id", F.col("run_id") - 1)
+    repeat = lambda prev, speaker: F.coalesce(prev == speaker, F.lit(False))
+    change = lambda prev, of: F.when(repeat(prev, of("speaker")), 0).otherwise(1).cast("long")
+    s = Linked("episode_id", "seg_idx", F.col("speaker"), {"_changes": change}, ["speaker"]).scan(s, "_prev")
+    return s.select("episode_id", "seg_idx", "speaker", repeat(F.col("_prev"), F.col("speaker")).alias("is_repeat"),
+                    (F.col("_changes") - 1).alias("run_id"))
 
 
 @query("udtf_parse_reply", f"""

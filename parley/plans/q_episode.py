@@ -152,17 +152,20 @@ def win_timeline_plain(spark, sf_dir):
     return t.select("episode_id", "seg_idx", "ok", "inc_ms", "start_ms", "end_ms", "audio_start_ms")
 
 
-@query("win_timeline_jitter", f"""
-    SELECT episode_id, seg_idx, ok_eff, inc_ms, end_ms - inc_ms AS start_ms, end_ms,
-           CAST(CASE WHEN ok_eff AND seg_idx > 0 THEN 300 ELSE 0 END AS BIGINT) AS xfade_ms,
-           CASE WHEN ok_eff THEN end_ms - inc_ms + CASE WHEN seg_idx > 0 THEN 200 ELSE 0 END END AS audio_start_ms
-    FROM (
-      SELECT *, CAST(sum(inc_ms) OVER (PARTITION BY episode_id ORDER BY seg_idx {W_UPTO}) AS BIGINT) AS end_ms FROM (
+_JITTER_SQL = f"""
+    SELECT *, CAST(sum(inc_ms) OVER (PARTITION BY episode_id ORDER BY seg_idx {W_UPTO}) AS BIGINT) AS end_ms FROM (
         SELECT *, CAST(CASE WHEN seg_idx > 0 THEN 500 ELSE 0 END
                        + CASE WHEN ok_eff AND seg_idx > 0 THEN dur_ms - 300 + pause_ms
                               WHEN ok_eff THEN dur_ms ELSE 0 END AS BIGINT) AS inc_ms
         FROM (SELECT s.*, p.pause_ms, s.ok AND (s.seg_idx = 0 OR s.dur_ms >= 300) AS ok_eff
-              FROM f_synth s LEFT JOIN f_pause p ON s.episode_id = p.episode_id AND s.seg_idx = p.seg_idx)))""")
+              FROM f_synth s LEFT JOIN f_pause p ON s.episode_id = p.episode_id AND s.seg_idx = p.seg_idx))"""
+
+
+@query("win_timeline_jitter", f"""
+    SELECT episode_id, seg_idx, ok_eff, inc_ms, end_ms - inc_ms AS start_ms, end_ms,
+           CAST(CASE WHEN ok_eff AND seg_idx > 0 THEN 300 ELSE 0 END AS BIGINT) AS xfade_ms,
+           CASE WHEN ok_eff THEN end_ms - inc_ms + CASE WHEN seg_idx > 0 THEN 200 ELSE 0 END END AS audio_start_ms
+    FROM ({_JITTER_SQL})""")
 def win_timeline_jitter(spark, sf_dir):
     t = E.timeline_jitter(FX.synth(spark, sf_dir), FX.pauses(spark, sf_dir))
     return t.select("episode_id", "seg_idx", "ok_eff", "inc_ms", "start_ms", "end_ms", "xfade_ms",
@@ -194,11 +197,8 @@ def win_timeline_dynamic(spark, sf_dir):
       ON a.episode_id = b.episode_id""")
 def agg_episode_duration(spark, sf_dir):
     """Episode length in ms (``len(audio)``): last end of the plain and of
-    the dynamic timeline."""
-    synth = FX.synth(spark, sf_dir)
-    a = E.timeline_plain(synth).groupBy("episode_id").agg(F.max("end_ms").alias("duration_ms"))
-    b = E.timeline_dynamic(synth).groupBy("episode_id").agg(F.max("end_ms").alias("duration_dynamic_ms"))
-    return a.join(b, "episode_id")
+    the dynamic timeline, from block totals."""
+    return E.episode_totals(FX.synth(spark, sf_dir)).select("episode_id", "duration_ms", "duration_dynamic_ms")
 
 
 @query("win_pacing", f"""
@@ -230,11 +230,26 @@ def win_pacing_chunks(spark, sf_dir):
     FROM t a JOIN t b ON a.episode_id = b.episode_id AND a.seg_idx < b.seg_idx
                      AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms""")
 def join_overlap_intervals(spark, sf_dir):
-    """Crossfade overlaps on the dynamic timeline via the bucketed range join."""
+    """Crossfade overlaps on the dynamic timeline by a sweep over its starts."""
     t = E.timeline_dynamic(FX.synth(spark, sf_dir))
     return E.overlap_join(t, bucket_ms=10_000)
 
 
+@query("join_overlap_parts", f"""
+    WITH t AS (
+        SELECT episode_id, seg_idx, end_ms - inc_ms + CASE WHEN seg_idx > 0 THEN 200 ELSE 0 END AS s,
+               end_ms - inc_ms + CASE WHEN seg_idx > 0 THEN 200 ELSE 0 END + dur_ms + 3 * pause_ms AS e
+        FROM ({_JITTER_SQL}) WHERE ok_eff)
+    SELECT a.episode_id, a.seg_idx AS a_seg_idx, b.seg_idx AS b_seg_idx, least(a.e, b.e) - greatest(a.s, b.s) AS overlap_ms
+    FROM t a JOIN t b ON a.episode_id = b.episode_id AND a.seg_idx < b.seg_idx AND a.s < b.e AND b.s < a.e""")
+def join_overlap_parts(spark, sf_dir):
+    """Overlaps on the jittered timeline when each segment rings on for three
+    pauses, so that several lie over each other."""
+    t = E.timeline_jitter(FX.synth(spark, sf_dir), FX.pauses(spark, sf_dir)).where("ok_eff")
+    t = t.withColumn("end_ms", F.col("audio_start_ms") + F.col("dur_ms") + 3 * F.col("pause_ms"))
+    return E.overlap_join(t, start="audio_start_ms", bucket_ms=10_000)
+
+
 @query("set_timeline_parts", f"""
     WITH t AS (
         SELECT s.*, p.pause_ms, s.ok AND (s.seg_idx = 0 OR s.dur_ms >= 300) AS ok_eff

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import episode as E
-from parley.operators.scan import previous_non_null, running_sum
+from parley.operators.scan import Linked, previous_non_null, running_sum
 
 SEGS = [  # episode, idx, speaker, dur_ms, ok, fail_kind
     (1, 0, "Speaker 1", 1200, True, None), (1, 1, "Speaker 2", 250, True, None),
@@ -153,6 +153,64 @@ def test_overlap_join_equals_all_pairs(spark):
     assert got == exp
 
 
+def test_overlap_sweep_of_many_intervals(spark):
+    """Many-fold overlaps, equal starts, several episodes, rows without a place."""
+    import random
+    r = random.Random(4)
+    iv = [(e, i, s, s + r.randrange(1, 400)) for e in ("a", "b") for i in range(60) for s in [r.randrange(0, 900)]]
+    odd = [(None, 1, 0, 500), ("a", None, 0, 500), ("a", 99, None, 500), ("a", 98, 700, 700)]
+    df = spark.createDataFrame(iv + odd, "episode_id string, seg_idx int, start_ms long, end_ms long").repartition(5)
+    got = sorted(tuple(x) for x in E.overlap_join(df, bucket_ms=100).collect())
+    assert got == sorted((a[0], a[1], b[1], min(a[3], b[3]) - max(a[2], b[2])) for a in iv for b in iv
+                         if a[0] == b[0] and a[1] < b[1] and a[2] < b[3] and b[2] < a[3]) and len(got) > 500
+
+
+def linked_loop(rows, step):
+    """Last value before and running sum, by key, in a plain loop."""
+    out, state = {}, {}
+    for k, i, v, x in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[:2]):
+        prev, total = state.get(k, (None, 0))
+        total += step(prev, v, x)
+        out[k, i] = (prev, total)
+        state[k] = (v if v is not None else prev, total)
+    return out, state
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 4096])
+def test_linked_scan_equals_loop(spark, block):
+    """Steps that depend on the last value, over blocks without a value, blocks
+    that begin without one, gaps in the index and rows without a place."""
+    import random
+    r = random.Random(block)
+    rows = [(k, i * (1 + k), None if r.random() < 0.6 or 10 < i < 30 else r.choice("xyz"), r.randrange(100)) for k in range(3) for i in range(60)]
+    odd = [(None, 3, "x", 5), (1, None, "y", 7), (None, None, None, 1)]
+    df = spark.createDataFrame(rows + odd, "k int, i long, v string, x long").repartition(4)
+    same = lambda p, v: 0 if p is None else (3 if p == v else 5)
+    step = lambda prev, of: F.when(of("v").isNull(), of("x")).otherwise(
+        of("x") - F.when(prev.isNull(), 0).when(prev == of("v"), 3).otherwise(5)).cast("long")
+    scan = Linked("k", "i", F.col("v"), {"s": step}, ["v", "x"], block)
+    want, last = linked_loop(rows, lambda p, v, x: x if v is None else x - same(p, v))
+    got = scan.scan(df, "p").collect()
+    assert {(a.k, a.i): (a.p, a.s) for a in got if a.k is not None and a.i is not None} == want
+    assert len(got) == len(rows) + 3 and all(a.p is None and a.s is None for a in got if a.k is None or a.i is None)
+    totals = {a.k: (a.s, a.n) for a in scan.totals(df, n=F.count(F.lit(1))).collect()}
+    assert totals == {k: (last[k][1], 60 + (k == 1)) for k in range(3)} | {None: (0, 2)}
+
+
+def test_episode_totals_equal_timelines(spark, synth):
+    odd = spark.createDataFrame([(1, None, "Speaker 1", 5000, True, None), (None, 2, "Speaker 1", 5000, True, None), (5, 0, None, 2000, True, None),
+                                 (5, 1, None, 2000, True, None), (5, 2, "Speaker 1", None, None, None)], synth.schema)
+    both = synth.unionByName(odd)
+    got = {r.episode_id: (r.n_segments, r.n_ok, r.duration_ms, r.duration_dynamic_ms) for r in E.episode_totals(both).collect()}
+    plain, dynamic = loop_plain(), loop_dynamic()
+    for e, segs in by_episode().items():
+        n_ok = sum(s[4] and s[3] >= 1000 for s in segs)
+        assert got[e] == (len(segs) + (e == 1), n_ok + (e == 1), max(plain[e, s[1]] for s in segs), max(dynamic[e, s[1]] for s in segs))
+    assert got[None] == (1, 1, None, None) and got[5] == (3, 2, 2000 + 2500 + 500, 2000 + 1500 + 1700)
+    t = {(r.episode_id, r.seg_idx): (r.xfade_ms, r.start_ms, r.end_ms) for r in E.timeline_dynamic(both).collect()}
+    assert t[5, 0] == (500, 1500, 3500) and t[5, 1] == (300, 3200, 5200) and t[5, 2] == (0, 5200, 5200) and t[1, None][1:] == (None, None)
+
+
 def test_hot_episode_default_blocks(spark):
     """One episode far larger than a block (default block size) next to
     small ones: the blocked timeline equals the loop."""

@@ -62,3 +62,31 @@ def test_spread_only_when_few_splits(spark):
     spread_few = spread(few, ["id"])
     assert spread_few.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(r.id for r in spread_few.collect()) == list(range(1000))
+
+
+# Shuffles of the final plan, the spread of the single-split input (one for each scan) left out: the rows,
+# the block summaries on their way to the key and back; the sweep deals its intervals once more.
+@pytest.mark.parametrize("name,most", [("win_timeline_dynamic", 3), ("win_speaker_runs", 3), ("agg_episode_duration", 2), ("flow_episode_plan", 2),
+                                       ("join_overlap_intervals", 4)])
+def test_composite_scans_shuffle_little(spark, name, most):
+    df = E.queries()[name](spark, SMOKE)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    stages = len(re.findall(r"\bShuffleQueryStage\b", final)) - len(re.findall(r"Exchange .*REPARTITION_BY_NUM", final))
+    assert stages <= most, (name, stages)
+    if most > 2:
+        assert "ReusedExchange" in final, name
+
+
+def test_timelines_share_a_shuffle_with_columns_that_travel(spark):
+    """Without broadcasts and with a column that only travels: four shuffles."""
+    from parley.operators import episode as EP
+    s = spark.range(1000).selectExpr("id div 100 as episode_id", "id % 100 as seg_idx", "'Speaker 1' as speaker", "id + 900 as dur_ms", "true as ok",
+                                     "repeat('x', 10) as text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = EP.timeline_dynamic(s)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(r"Exchange hashpartitioning", p)) <= 4
