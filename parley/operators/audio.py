@@ -1,9 +1,8 @@
-"""Audio assembly as frame-table jobs.
+"""Audio of segments: waveforms as arrays (``array<double>`` per segment).
 
-Waveforms stay in array form (``array<double>`` per segment) for per-segment
-work: gain, peak, normalisation and filters are narrow.  Mixing and
-mastering use the long form ``(episode_id, t, amp)``.  Definitions are our
-own (full scale is 1.0):
+Per-segment work (gain, peak, normalisation, filters, compressor, ambience) is
+narrow.  Whole episodes are blocks of samples, see
+:mod:`parley.operators.blocks`.  Definitions are our own (full scale is 1.0):
 
 * crossfade of ``c`` frames: the incoming head frame ``i < c`` is scaled by
   ``(i+1)/(c+1)``, the outgoing tail frame ``i >= n-c`` by ``(n-i)/(c+1)``;
@@ -32,7 +31,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from parley.functions import audio_math as M
 from parley.functions import fixed as FX
 from parley.operators.dims import bounded_broadcast, join_small
-from parley.operators.scan import blocked_scan, drop_block
+from parley.operators.scan import composite_scan
 
 KEY = "episode_id"
 IDX = "seg_idx"
@@ -65,22 +64,6 @@ def silence(n_frames: Column) -> Column:
     return F.array_repeat(F.lit(0.0), n_frames)
 
 
-def silence_frames(episodes: DataFrame, n_frames: int, rows_per_partition: int = 4_000_000) -> DataFrame:
-    """``(episode_id, t, amp=0.0, n)`` for ``n_frames`` frames of silence per episode.
-
-    The explode multiplies rows by ``n_frames`` after whatever small shuffle
-    produced ``episodes`` (where AQE may have coalesced to a single
-    partition), so the episode keys are first spread over enough partitions
-    for the frames they will produce (one count of the keys)."""
-    eps = episodes.select(KEY)
-    n_eps = eps.count()
-    parts = max(1, -(-n_eps * n_frames // rows_per_partition),
-                episodes.sparkSession.sparkContext.defaultParallelism)
-    return (eps.repartition(parts, KEY)
-            .select(KEY, F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))).alias("t"),
-                    F.lit(0.0).alias("amp"), F.lit(n_frames).alias("n")))
-
-
 def slices(samples: Column, frames: int) -> Column:
     """Consecutive slices of ``frames`` samples (the last may be short)."""
     n = F.size(samples)
@@ -223,39 +206,42 @@ def window_sums(v: np.ndarray, look: int) -> np.ndarray:
     return (rest[:-1] + head[1:]).ravel()[:v.shape[0] - look + 1]
 
 
-def compress_block(x: np.ndarray, tail: np.ndarray, att: float, threshold_db: float, ratio: float,
-                   attack_frames: float, release_frames: float, look: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Compressor over one stretch of a signal (definition in the module doc).
-
-    ``tail`` holds the squares of up to ``look`` frames before the stretch and
-    ``att`` the attenuation reached there; returns the output and both values
-    at its end.  An attack or release of 0 frames moves at once."""
+def attenuation_targets(x: np.ndarray, tail: np.ndarray, threshold_db: float, ratio: float, look: int) -> tuple[np.ndarray, np.ndarray]:
+    """Target attenuation of each frame of a stretch, from the level of the
+    ``look`` frames before it; ``tail`` holds the squares of up to ``look`` frames
+    before the stretch.  Returns the targets and the squares at the end."""
     n = x.shape[0]
-    if n == 0:
-        return x, tail, att
     sq = np.concatenate([tail, x * x])
     sums = window_sums(np.concatenate([np.zeros(look - tail.shape[0]), sq]), look)[:n]
     cnt = np.minimum(np.arange(n) + tail.shape[0], look)
     level = np.sqrt(sums / np.maximum(cnt, 1))
     over = 20 * np.log10(np.where(level > 0, level, 1.0) / 10 ** (threshold_db / 20))
-    target = (1 - 1 / ratio) * np.maximum(0.0, np.where(level > 0, over, 0.0))
+    return (1 - 1 / ratio) * np.maximum(0.0, np.where(level > 0, over, 0.0)), sq[-look:]
+
+
+def attenuations(targets: np.ndarray, att: float, attack_frames: float, release_frames: float) -> list[float]:
+    """The attenuation behind each frame, from ``att`` before the first.  An
+    attack or release of 0 frames moves at once."""
     # The update is sequential; iterate over Python floats (several times
     # faster per step than numpy scalars).
     out = []
     append = out.append
-    for m in target.tolist():
+    for m in targets.tolist():
         if m > 0 and att <= m:
             att = min(att + m / attack_frames, m) if attack_frames > 0 else m
         elif m > 0:
             att = max(att - m / release_frames, 0.0) if release_frames > 0 else 0.0
         append(att)
-    return x * 10 ** (-np.asarray(out) / 20), sq[-look:], att
+    return out
 
 
 def compress_array(x: np.ndarray, threshold_db: float, ratio: float, attack_frames: float,
                    release_frames: float, look: int) -> np.ndarray:
     """Sequential compressor over one array."""
-    return compress_block(x, np.zeros(0), 0.0, threshold_db, ratio, attack_frames, release_frames, look)[0]
+    if not x.shape[0]:
+        return x
+    targets = attenuation_targets(x, np.zeros(0), threshold_db, ratio, look)[0]
+    return x * 10 ** (-np.asarray(attenuations(targets, 0.0, attack_frames, release_frames)) / 20)
 
 
 def compress_samples(samples: Column, threshold_db: float, ratio: float, attack_ms: float,
@@ -272,45 +258,6 @@ def compress_samples(samples: Column, threshold_db: float, ratio: float, attack_
     return pandas_udf(run, ArrayType(DoubleType()))(samples)
 
 
-def compress_frames(frames: DataFrame, keys, order: str, threshold_db: float, ratio: float,
-                    attack_ms: float, release_ms: float, frame_rate: float,
-                    block_frames: int = 1024) -> DataFrame:
-    """Compressor over long-form frames ``(*keys, order, amp)``.
-
-    The attenuation depends on every frame before it, so each key is one
-    ordered pass.  Frames are packed into arrays of ``block_frames`` in
-    parallel, sorted by (key, block), and streamed with the level window and
-    the attenuation as the only state: memory does not grow with the length
-    of a signal, and different keys run in parallel.  ``order`` must be a
-    dense 0-based index within the key.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    att_f, rel_f = attack_ms * frame_rate / 1000.0, release_ms * frame_rate / 1000.0
-    look = max(int(round(att_f)), 1)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("amp").alias("a"))))
-    packed = (frames.groupBy(*keys, F.floor(F.col(order) / block_frames).alias("_blk"))
-              .agg(F.min(order).alias("_first"), ordered.alias("_f"))
-              .select(*keys, "_blk", "_first", F.transform("_f", lambda f: f["a"]).alias("_a"))
-              .repartition(*keys).sortWithinPartitions(*keys, "_blk"))
-
-    def run(batches):
-        last, tail, att = None, np.zeros(0), 0.0
-        for pdf in batches:
-            out = []
-            for key, x in zip(pdf[keys].itertuples(index=False, name=None), pdf["_a"]):
-                key = tuple(None if pd.isna(v) else v for v in key)
-                if key != last:
-                    last, tail, att = key, np.zeros(0), 0.0
-                y, tail, att = compress_block(np.asarray(x, dtype=float), tail, att, threshold_db, ratio,
-                                              att_f, rel_f, look)
-                out.append(y)
-            yield pdf.assign(_a=out)
-
-    done = packed.mapInPandas(run, packed.schema)
-    return (done.select(*keys, "_first", F.posexplode("_a").alias("_pos", "amp"))
-            .withColumn(order, F.col("_first") + F.col("_pos")).select(*keys, order, "amp"))
-
-
 def crossfade_gain(i: Column, n: Column, own: Column, following: Column) -> Column:
     """Linear complementary ramps over the ``own`` frames shared with the
     segment before and the ``following`` frames shared with the one after
@@ -328,33 +275,54 @@ def place_segments(waves: DataFrame, crossfade: int | str) -> DataFrame:
     """Episode start frame of each segment when appended in order, overlapping
     the one before by ``crossfade`` frames: a number, or the column that holds
     each segment's own crossfade (that of an episode's first segment does not
-    count).  Adds n, start, and the overlaps ``own`` (with the segment before)
+    count).  Adds n, start, total, and the overlaps ``own`` (with the segment before)
     and ``following`` (with the one after), 0 for none.  A segment shorter
     than its crossfade cannot be appended: it fails and is left out
     (:func:`too_short` lists them).
 
-    The scans run on (episode, segment, length) only; that table is joined
+    The placement is one composite scan over (episode, segment, length), which
+    also gives the ``total`` length of the episode; that table is joined
     back by (episode, segment) with a size-checked broadcast
     (:func:`join_small`), so the sample arrays are not shuffled for the
     placement."""
     waves = waves.where(F.size("samples") >= _own_crossfade(crossfade))
     meta = waves.select(KEY, IDX, F.size("samples").cast("long").alias("n"), _own_crossfade(crossfade).alias("_x"))
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    # With the first crossfade counted as well, every start lies that much too early.
-    meta = blocked_scan(meta, KEY, IDX, sums={"_before": (F.col("n") - F.col("_x"), False), "_pos": (one, True)}, totals={"_cnt": one},
-                        keep_block=True)
-    if isinstance(crossfade, str):   # an overlap belongs to the later segment: known before and after it
-        meta = blocked_scan(meta, KEY, IDX, totals={"_first": F.when(F.col("_pos") == 1, F.col("_x"))})
-        back = drop_block(meta).withColumn("_back", -F.col(IDX))
-        meta = blocked_scan(back, KEY, "_back", prev_non_null={"_next": F.col("_x")})
-    else:
-        meta = drop_block(meta).withColumns({"_first": F.col("_x"), "_next": F.col("_x")})
-    meta = meta.select(KEY, IDX, "n", (F.col("_before") - F.col("_x") + F.col("_first")).alias("start"),
-                       F.when(F.col("_pos") > 1, F.col("_x")).otherwise(none).alias("own"),
-                       F.when(F.col("_pos") < F.col("_cnt"), F.col("_next")).otherwise(none).alias("following"))
+    none = F.lit(0).cast("long")
+    advance = F.col("n") - F.col("_x")   # with the first crossfade counted as well
+    local = [lambda w: {"_sum": F.coalesce(F.sum(advance).over(w.before), none), "_rank": F.count(F.lit(1)).over(w.before), "_lead": F.lead("_x").over(w.ordered)}]
+    summary = {"_bs": F.sum(advance), "_bn": F.count(F.lit(1)), "_bx": F.min_by("_x", IDX)}
+    carry = [lambda w: {"_cs": F.coalesce(F.sum("_bs").over(w.before), none), "_cn": F.coalesce(F.sum("_bn").over(w.before), none), "_cx": F.lead("_bx").over(w.ordered),
+                        "_x0": F.first("_bx").over(w.upto), "_all": F.sum("_bs").over(w.whole)}]
+    rows = composite_scan(meta.where(F.col(KEY).isNotNull() & F.col(IDX).isNotNull()), KEY, IDX, local, summary, carry, ["_cs", "_cn", "_cx", "_x0", "_all"])
+    place = F.col("_cn") + F.col("_rank")
+    # The crossfade of the next segment is one of its own: known before and after it.
+    meta = rows.select(KEY, IDX, "n", (F.col("_cs") + F.col("_sum") - F.col("_x") + F.col("_x0")).alias("start"), F.when(place > 0, F.col("_x")).otherwise(none).alias("own"),
+                       F.coalesce("_lead", "_cx", none).alias("following"), (F.col("_all") + F.col("_x0")).alias("total"))
     return join_small(waves, meta, [KEY, IDX])
 
 
+def place_with_gaps(waves: DataFrame, gap: int, crossfade: int = 0, pause: Column | None = None) -> DataFrame:
+    """Segments appended with ``gap`` frames of silence before every one after
+    index 0 (also before failed ones), each fading in over the last
+    ``crossfade`` frames of its gap and followed by ``pause`` frames of silence.
+    A segment without samples, or shorter than its crossfade, fails: it takes
+    its gap and is left out.  Adds start, own, following and total (see
+    :func:`place_segments`) by one scan of the lengths."""
+    if crossfade > gap:
+        raise ValueError("a crossfade longer than the gap would reach the segment before")
+    later, none = F.col(IDX) > 0, F.lit(0).cast("long")
+    only_later = lambda x: F.when(later, x).otherwise(0).cast("long")
+    n = F.coalesce(F.size("samples"), F.lit(0)).cast("long")
+    ok = (n > 0) & (n >= only_later(F.lit(crossfade)))
+    meta = waves.select(KEY, IDX, ok.alias("_ok"), only_later(F.lit(gap - crossfade)).alias("_before"), only_later(F.lit(crossfade)).alias("own"),
+                        (only_later(F.lit(gap)) + F.when(ok, n + only_later((F.lit(0) if pause is None else pause) - F.lit(crossfade))).otherwise(none)).alias("_inc"))
+    rows = composite_scan(meta.where(F.col(KEY).isNotNull() & F.col(IDX).isNotNull()), KEY, IDX,
+                          [lambda w: {"_sum": F.coalesce(F.sum("_inc").over(w.before), none)}], {"_bs": F.sum("_inc")},
+                          [lambda w: {"_cs": F.coalesce(F.sum("_bs").over(w.before), none), "total": F.sum("_bs").over(w.whole)}], ["_cs", "total"])
+    placed = rows.where("_ok").select(KEY, IDX, (F.col("_cs") + F.col("_sum") + F.col("_before")).alias("start"), "own", none.alias("following"), "total")
+    return join_small(waves, placed, [KEY, IDX])
+
+
 def too_short(waves: DataFrame, crossfade: int | str) -> DataFrame:
     """Segments that the mix leaves out: no samples, or fewer than the crossfade."""
     return waves.where(F.coalesce(F.size("samples") < _own_crossfade(crossfade), F.lit(True))).select(KEY, IDX)
@@ -369,40 +337,6 @@ def crossfaded_frames(waves: DataFrame, crossfade: int | str) -> DataFrame:
                     ((F.col("i") < F.col("own")) | (F.col("i") >= F.col("n") - F.col("following"))).alias("_overlap"))
 
 
-def mix(waves: DataFrame, crossfade: int | str) -> DataFrame:
-    """Episode signal ``(episode_id, t, amp)``: overlapping frames summed.
-
-    Only frames inside a crossfade overlap go through the (episode_id, t)
-    aggregation; all other frames are covered by one segment and pass
-    through without a shuffle.
-    """
-    f = crossfaded_frames(waves, crossfade)
-    single = f.where(~F.col("_overlap")).select(KEY, "t", "amp")
-    summed = f.where("_overlap").groupBy(KEY, "t").agg(F.sum("amp").alias("amp"))
-    return single.unionByName(summed)
-
-
-def fade(frames: DataFrame, fade_in: int, fade_out: int, order: str = "t") -> DataFrame:
-    """Linear fade-in over the first and fade-out over the last frames of
-    each episode (the length comes from a grouped max, joined back with a
-    size-checked broadcast)."""
-    total = frames.groupBy(KEY).agg((F.max(order) + 1).alias("_total"))
-    d = join_small(frames, total, KEY)
-    g = F.least(F.lit(1.0), F.col(order) / F.lit(float(fade_in))) if fade_in > 0 else F.lit(1.0)
-    g = g * F.least(F.lit(1.0), (F.col("_total") - F.col(order)) / F.lit(float(fade_out)))
-    return d.withColumn("amp", F.col("amp") * g).drop("_total")
-
-
-def normalise_frames(frames: DataFrame, keys) -> DataFrame:
-    """Peak normalisation in long form: grouped peak (partial aggregation)
-    joined back with a size-checked broadcast."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    pk = frames.groupBy(*keys).agg(F.max(F.abs("amp")).alias("_peak"))
-    d = join_small(frames, pk, keys)
-    return d.withColumn("amp", F.when(F.col("_peak") > 0, (F.col("amp") / F.col("_peak")) * F.lit(HEADROOM))
-                        .otherwise(F.col("amp"))).drop("_peak")
-
-
 def looped_overlay(frames: DataFrame, tone: DataFrame, gain: Column, order: str = "t") -> DataFrame:
     """Add a looped tone under the whole signal: broadcast equi-join on
     ``t % tone_length``; the output keeps the base length."""
@@ -447,71 +381,3 @@ def segment_ambience(samples: Column, tone: list[float], volume_db: float, key:
             out.append(x)
         return pd.Series(out)
     return pandas_udf(run, ArrayType(DoubleType()))(samples, gains)
-
-
-def ambience_bed(base: DataFrame, tone: DataFrame, volume_db: float,
-                 slice_frames: int = FX.ROOM_SLICE_MS, xfade: int = FX.ROOM_SLICE_CROSSFADE_MS,
-                 jitter_db: float = FX.ROOM_JITTER_DB, order: str = "t",
-                 length_col: str | None = None) -> DataFrame:
-    """Room ambience over ``base(episode_id, t, amp)``.
-
-    The tone is looped over the base length and cut into whole slices of
-    ``slice_frames`` (a shorter tail is dropped); slice ``s`` gets gain
-    ``volume_db`` plus a keyed jitter in [-jitter_db, jitter_db) and slices
-    are joined with ``xfade``-frame crossfades, so the bed is
-    ``S*slice - (S-1)*xfade`` frames long and the end of the base gets
-    none.  Each base frame takes at most two slice contributions, looked up
-    with two broadcast joins (no shuffle).  The base length per episode is
-    read from ``length_col`` when the caller knows it (e.g. the timeline
-    end); otherwise it is a grouped max joined back.
-    """
-    n_tone = tone.count()
-    if n_tone == 0:                       # no room tone: nothing to add
-        return base
-    tb = bounded_broadcast(tone)
-    if length_col:
-        d = base.withColumn("_n", F.col(length_col))
-    else:
-        total = base.groupBy(KEY).agg((F.max(order) + 1).alias("_n"))
-        d = join_small(base, total, KEY)
-    d = d.withColumn("_S", F.floor(F.col("_n") / slice_frames))
-    step = slice_frames - xfade
-    d = d.withColumn("_s1", F.floor(F.col(order) / step))
-
-    def part(d, s_col: str, tag: str):
-        s = F.col(s_col)
-        j = F.col(order) - s * step
-        valid = (s >= 0) & (s < F.col("_S")) & (j >= 0) & (j < slice_frames)
-        src = F.pmod(s * slice_frames + j, F.lit(n_tone))
-        gain_db = F.lit(volume_db) + M.keyed_uniform(-jitter_db, jitter_db, F.col(KEY), s, 7, 29)
-        ramp = (F.when((s > 0) & (j < xfade), (j + 1) / F.lit(xfade + 1.0)).otherwise(F.lit(1.0))
-                * F.when((s < F.col("_S") - 1) & (j >= slice_frames - xfade),
-                         (F.lit(slice_frames) - j) / F.lit(xfade + 1.0)).otherwise(F.lit(1.0)))
-        t = tb.select(F.col("t").alias(f"_t{tag}"), F.col("amp").alias(f"_a{tag}"))
-        d = d.withColumn(f"_src{tag}", F.when(valid, src)).join(t, F.col(f"_src{tag}") == F.col(f"_t{tag}"), "left")
-        contrib = F.when(valid, F.col(f"_a{tag}") * M.db_to_gain(gain_db) * ramp).otherwise(F.lit(0.0))
-        return d.withColumn(f"_c{tag}", contrib).drop(f"_src{tag}", f"_t{tag}", f"_a{tag}")
-
-    d = d.withColumn("_s0", F.col("_s1") - 1)
-    d = part(d, "_s1", "1")
-    d = part(d, "_s0", "0")
-    return (d.withColumn("amp", F.col("amp") + F.col("_c1") + F.col("_c0"))
-            .drop("_n", "_S", "_s1", "_s0", "_c1", "_c0"))
-
-
-def master_chain(mixed: DataFrame, frame_rate: float, materialize=None) -> DataFrame:
-    """Episode mastering: fade-out 2 s -> compressor (-15 dB, 1.5:1, 10 ms,
-    100 ms) -> peak normalisation, on ``(episode_id, t, amp)``.
-
-    Fade and normalisation read their input twice (a grouped length / peak
-    joined back) and the compressor is Python, so the inputs of those steps
-    are materialised with ``materialize`` (a reliable checkpoint into the
-    shared checkpoint folder by default) instead of being recomputed.
-    """
-    from parley.session import cut_lineage
-    materialize = materialize or cut_lineage
-    fade_frames = int(FX.OUTRO_FADE_OUT_MS * frame_rate / 1000)
-    m = materialize(mixed)
-    f = fade(m, 0, fade_frames)
-    c = materialize(compress_frames(f, KEY, "t", *FX.MASTER_COMPRESSOR, frame_rate))
-    return normalise_frames(c, KEY)

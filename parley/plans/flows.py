@@ -8,6 +8,8 @@ Flow C: segments + synthesis results -> dynamic timeline -> counters ->
 manifest.
 Flow D: synthesised segments -> voice chain -> room ambience -> dynamic mix
 onto the intro -> master.
+Flows E and F: the assembled signals of the two other variants (gaps,
+crossfades and pauses; gaps only).
 
 Flows end in a written table in the shared checkpoint folder
 (``materialize``), so the next flow starts from stored data, not from the
@@ -19,11 +21,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import fixed as FXV
 from parley.operators import audio as A
+from parley.operators import blocks as B
 from parley.operators import dialogue as D
 from parley.operators import episode as E
 from parley.operators import requests as R
@@ -80,9 +83,9 @@ def flow_c(synth: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def flow_d(waves: DataFrame, tone: list[float], frame_rate: float, materialize=cut_lineage) -> DataFrame:
     """Synthesised segments (episode_id, seg_idx, speaker, samples, ok) -> the
-    mastered episode (episode_id, t, amp): voice chain and room ambience of
-    every segment, appended onto the intro with the crossfades of the dynamic
-    timeline, then the master chain.  Failed segments and audio too short for
+    mastered episode in blocks of a second (:mod:`parley.operators.blocks`): voice
+    chain and room ambience of every segment, appended onto the intro with the
+    crossfades of the dynamic timeline, then the master chain.  Failed segments and audio too short for
     room ambience are left out; an episode without a segment has no audio."""
     ms = F.floor(F.size("samples") * F.lit(1000.0) / frame_rate).cast("long")
     synth = waves.select("episode_id", "seg_idx", "speaker", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce(ms, F.lit(0)).alias("dur_ms"))
@@ -100,7 +103,27 @@ def flow_d(waves: DataFrame, tone: list[float], frame_rate: float, materialize=c
     intro = intro.withColumn("samples", A.segment_ambience(silence, tone, FXV.INTRO_ROOM_VOLUME_DB, F.col("episode_id"), F.lit(-1), frame_rate))
     intro = intro.withColumn("samples", F.transform("samples", lambda x, i: x * F.least(F.lit(1.0), i / F.lit(float(max(first, 1))))))
     whole = seg.unionByName(intro.withColumn("xfade", F.lit(0).cast("long")))
-    return A.master_chain(A.mix(whole, "xfade"), frame_rate)
+    second = int(frame_rate)
+    mixed = B.mix(whole, "xfade", second, B.look_back(FXV.MASTER_COMPRESSOR, frame_rate))
+    return B.master_chain(mixed, frame_rate, second, materialize)
+
+
+def flow_e(waves: DataFrame, pause_ms: Column, frame_rate: float, materialize=cut_lineage) -> DataFrame:
+    """Synthesised segments (episode_id, seg_idx, samples; no samples where
+    synthesis failed) -> the episode in blocks of a second: a gap before every
+    segment after the first, into which it fades, a pause of ``pause_ms`` behind
+    it, and the whole scaled to its peak."""
+    second = int(frame_rate)
+    frames = lambda ms: int(ms * frame_rate / 1000)
+    pause = F.floor(pause_ms * F.lit(frame_rate) / 1000).cast("long")
+    placed = A.place_with_gaps(waves, frames(FXV.GAP_MS), frames(FXV.BASE_CROSSFADE_MS), pause)
+    return B.normalise(materialize(B.assemble(placed, second, gaps=True), "assembled"), second)
+
+
+def flow_f(waves: DataFrame, frame_rate: float) -> DataFrame:
+    """Synthesised segments -> the episode in blocks of a second: a gap before
+    every segment after the first."""
+    return B.assemble(A.place_with_gaps(waves, int(FXV.GAP_MS * frame_rate / 1000)), int(frame_rate), gaps=True)
 
 
 _PLAN_CTES = {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parley.functions import audio_math as M
 from parley.functions import fixed as FXV
 from parley.operators import audio as A
+from parley.operators import blocks as B
 from parley.plans.registry import query
 from parley.sources import fixtures as FX
 
@@ -183,8 +184,15 @@ _XF_SQL = f"""
 _MIX_SQL = f"SELECT episode_id, t, sum(amp) AS amp FROM ({_XF_SQL}) GROUP BY episode_id, t"
 
 
-def _mix(spark, sf_dir):
-    return A.mix(FX.waves(spark, sf_dir), XF)
+BLOCK = int(COMP_RATE)      # a second of the fixture's signals
+
+
+def _mix(spark, sf_dir, halo: int = 0):
+    return B.mix(FX.waves(spark, sf_dir), XF, BLOCK, halo)
+
+
+def _frames(blocks, digits: int = 6, block_frames: int = BLOCK):
+    return B.frames(blocks, block_frames).select("episode_id", "t", F.round("amp", digits).alias("amp"))
 
 
 @query("aud_crossfade", f"SELECT episode_id, seg_idx, i, t, round(amp, 6) AS amp FROM ({_XF_SQL})")
@@ -196,9 +204,8 @@ def aud_crossfade(spark, sf_dir):
 
 @query("agg_mix_frames", f"SELECT episode_id, t, round(amp, 6) AS amp FROM ({_MIX_SQL})")
 def agg_mix_frames(spark, sf_dir):
-    """Episode signal: overlapping frames summed (only overlap frames are
-    aggregated; the rest pass through)."""
-    return _mix(spark, sf_dir).select("episode_id", "t", F.round("amp", 6).alias("amp"))
+    """Episode signal: overlapping frames summed, in blocks of a second."""
+    return _frames(_mix(spark, sf_dir))
 
 
 @query("aud_fade", f"""
@@ -210,8 +217,7 @@ def agg_mix_frames(spark, sf_dir):
 def aud_fade(spark, sf_dir):
     """Fade-in over the first 1,000 frames and fade-out over the last 2,000
     of each mixed episode (1 frame = 1 ms)."""
-    f = A.fade(_mix(spark, sf_dir), FXV.INTRO_FADE_IN_MS, FXV.OUTRO_FADE_OUT_MS)
-    return f.select("episode_id", "t", F.round("amp", 6).alias("amp"))
+    return _frames(B.fade(_mix(spark, sf_dir), FXV.INTRO_FADE_IN_MS, FXV.OUTRO_FADE_OUT_MS, BLOCK))
 
 
 _ROOM_GAIN = repr(10 ** (FXV.ROOM_VOLUME_DB / 20))
@@ -222,7 +228,7 @@ _ROOM_GAIN = repr(10 ** (FXV.ROOM_VOLUME_DB / 20))
     FROM ({_MIX_SQL}) m JOIN f_tone tn ON m.t % 16 = tn.t""")
 def join_looped_overlay(spark, sf_dir):
     """Room tone looped under each mixed episode (-50 dB), joined on t % 16."""
-    o = A.looped_overlay(_mix(spark, sf_dir), FX.tone(spark), F.lit(10 ** (FXV.ROOM_VOLUME_DB / 20)))
+    o = A.looped_overlay(B.frames(_mix(spark, sf_dir), BLOCK), FX.tone(spark), F.lit(10 ** (FXV.ROOM_VOLUME_DB / 20)))
     return o.select("episode_id", "t", F.round("amp", 9).alias("amp"))
 
 
@@ -245,9 +251,13 @@ def aud_ambience(spark, sf_dir):
     """Room-tone intro: 2,000 ms of silence with ambience at -45 dB (two
     1-second slices, per-slice keyed jitter, 50 ms crossfade)."""
     eps = FX.segments(spark, sf_dir).select("episode_id").distinct()
-    base = A.silence_frames(eps, FXV.INTRO_MS)
-    o = A.ambience_bed(base, FX.tone(spark), FXV.INTRO_ROOM_VOLUME_DB, length_col="n").drop("n")
-    return o.select("episode_id", "t", F.round("amp", 9).alias("amp"))
+    base = B.silence(eps, FXV.INTRO_MS, BLOCK)
+    return _frames(B.ambience(base, _tone(), FXV.INTRO_ROOM_VOLUME_DB, block_frames=BLOCK), 9)
+
+
+def _tone() -> list[float]:
+    """The room tone of the fixtures (``f_tone``)."""
+    return [(t - 8) / 80.0 for t in range(16)]
 
 
 _RATE_SQL = "(0.95::DOUBLE + 0.10000000000000009::DOUBLE * (((31 * episode_id + 17 * seg_idx) % 10007) / 10007.0::DOUBLE))"
@@ -375,8 +385,8 @@ def aud_segment_chain(spark, sf_dir):
 def aud_master_chain(spark, sf_dir):
     """Master chain on the mixed episode: fade-out 2 s -> compress (-15 dB,
     1.5:1, 10 ms, 100 ms) -> normalise (1 frame = 1 ms)."""
-    n = A.master_chain(_mix(spark, sf_dir), COMP_RATE)
-    return n.select("episode_id", "t", F.round("amp", 6).alias("amp"))
+    halo = B.look_back(FXV.MASTER_COMPRESSOR, COMP_RATE)
+    return _frames(B.master_chain(_mix(spark, sf_dir, halo), COMP_RATE, BLOCK))
 
 
 # ---- the whole episode at 100 frames a second; the waves are repeated so that they last 0.6 to 2.6 seconds.
@@ -456,5 +466,73 @@ def flow_episode_audio(spark, sf_dir):
     repeat = lambda z: F.transform("samples", lambda x: x * (F.lit(1.0) - z / F.lit(10.0)))
     w = w.withColumn("samples", F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("seg_idx") * 3 % 4), repeat)))
     w = w.withColumn("ok", (F.col("episode_id") * 31 + F.col("seg_idx")) % 11 != 0)
-    tone = [(t - 8) / 80.0 for t in range(16)]
-    return flow_d(w, tone, float(EP_RATE)).select("episode_id", "t", F.round("amp", 6).alias("amp"))
+    return _frames(flow_d(w, _tone(), float(EP_RATE)), block_frames=EP_RATE)
+
+
+def _gaps_sql(crossfade: int, pause: str) -> str:
+    """The assembled episodes, a row a frame: ``episode_id, t, x``."""
+    gap = int(_rate(FXV.GAP_MS))
+    return f"""
+    s AS (
+        SELECT episode_id, seg_idx, samples, len(samples) AS n, (episode_id * 31 + seg_idx) % 11 <> 0 AS ok,
+               CASE WHEN seg_idx > 0 THEN {gap} ELSE 0 END AS gap, CASE WHEN seg_idx > 0 THEN {crossfade} ELSE 0 END AS xf,
+               CASE WHEN seg_idx > 0 THEN {pause} ELSE 0 END AS pause FROM f_wave),
+    p AS (
+        SELECT *, sum(gap + CASE WHEN ok THEN n - xf + pause ELSE 0 END) OVER (PARTITION BY episode_id ORDER BY seg_idx
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM s),
+    x AS (
+        SELECT episode_id, e - pause - n + k AS t, samples[k + 1] * CASE WHEN k < xf THEN (k + 1) / (xf + 1.0::DOUBLE) ELSE 1.0 END AS x
+        FROM (SELECT *, unnest(range(n)) AS k FROM p WHERE ok)),
+    a AS (
+        SELECT f.episode_id, f.t, coalesce(x.x, 0.0) AS x
+        FROM (SELECT episode_id, unnest(range(CAST(max(e) AS BIGINT))) AS t FROM p GROUP BY episode_id HAVING bool_or(ok)) f
+             LEFT JOIN x ON x.episode_id = f.episode_id AND x.t = f.t)"""
+
+
+def _synthesised(spark, sf_dir):
+    ok = (F.col("episode_id") * 31 + F.col("seg_idx")) % 11 != 0
+    return FX.waves(spark, sf_dir).select("episode_id", "seg_idx", F.when(ok, F.col("samples")).alias("samples"))
+
+
+@query("flow_episode_gaps", f"WITH {_gaps_sql(0, '0')} SELECT episode_id, t, round(x, 6) AS amp FROM a")
+def flow_episode_gaps(spark, sf_dir):
+    """Flow F: the assembled episodes of the variant with gaps only, at 100
+    frames a second; every eleventh segment failed."""
+    from parley.plans.flows import flow_f
+    return _frames(flow_f(_synthesised(spark, sf_dir), float(EP_RATE)), block_frames=EP_RATE)
+
+
+_PAUSE_SQL = f"((episode_id * 17 + seg_idx * 13) % 600 + 200) * {EP_RATE} // 1000"
+
+
+@query("flow_episode_pauses", f"""
+    WITH {_gaps_sql(int(_rate(FXV.BASE_CROSSFADE_MS)), _PAUSE_SQL)}
+    SELECT a.episode_id, a.t, round(CASE WHEN p.peak > 0 THEN a.x / p.peak * {H}::DOUBLE ELSE a.x END, 6) AS amp
+    FROM a JOIN (SELECT episode_id, max(abs(x)) AS peak FROM a GROUP BY episode_id) p ON a.episode_id = p.episode_id""")
+def flow_episode_pauses(spark, sf_dir):
+    """Flow E: the assembled episodes of the variant with gaps, crossfades into
+    them, pauses and a final normalisation, at 100 frames a second."""
+    from parley.plans.flows import flow_e
+    pause = (F.col("episode_id") * 17 + F.col("seg_idx") * 13) % 600 + 200
+    return _frames(flow_e(_synthesised(spark, sf_dir), pause, float(EP_RATE)), block_frames=EP_RATE)
+
+
+_EQ_SQL = f"""
+    WITH RECURSIVE eq_in AS (
+        SELECT episode_id, t AS i, CASE WHEN episode_id % 2 = 0 THEN 'Speaker 1' ELSE 'Speaker 2' END AS speaker, amp AS x FROM ({_MIX_SQL})),
+    {_rec_filter("lp", "eq_in", "episode_id", "low", _SR)},
+    hp_in AS (SELECT episode_id, i, speaker, y AS x FROM lp),
+    {_rec_filter("hp", "hp_in", "episode_id", "high", _SR)}
+    SELECT episode_id, i AS t, round(y, 6) AS amp FROM hp"""
+
+
+@query("aud_filter_blocks", _EQ_SQL)
+def aud_filter_blocks(spark, sf_dir):
+    """Both filters over whole mixed episodes in blocks: each block is an affine
+    map of the state before it (4 kHz and 100 Hz for even episodes, 5 kHz and
+    150 Hz for odd ones, at 24 kHz)."""
+    from parley.session import cut_lineage
+    even = F.col("episode_id") % 2 == 0
+    cutoff = lambda of: F.when(even, of["Speaker 1"]).otherwise(of["other"])
+    low = B.low_pass(cut_lineage(_mix(spark, sf_dir), "mixed"), cutoff(FXV.LOW_PASS_HZ), _SR, BLOCK)
+    return _frames(B.high_pass(cut_lineage(low, "low"), cutoff(FXV.HIGH_PASS_HZ), _SR, BLOCK))
