@@ -15,6 +15,7 @@ a function of the whole text alone.  Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -131,7 +132,7 @@ class LanguageModel:
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel:
     """``rows``: language, trigram numbers, frequencies."""
-    rows = sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist()))  # the order rows arrive in must not count
+    rows = sorted(rows, key=lambda r: (r[0], hashlib.blake2b(r[1].tobytes() + r[2].tobytes(), digest_size=16).digest()))  # the order rows arrive in must not count
     langs = sorted({r[0] for r in rows})
     family = {lang: FAMILY_OF.get(lang.lower().split("-")[0], "own " + lang) for lang in langs}
     weights, bias = [], []
@@ -178,9 +179,16 @@ def train(docs: DataFrame, train_per_language: int = 800, train_rows: int = 6000
                 [pa.array([r[0] for r in out], pa.string()), pa.array([r[1].astype(np.int32) for r in out], pa.list_(pa.int32())),
                  pa.array([r[2].astype(np.float32) for r in out], pa.list_(pa.float32()))], names=["lang", "at", "v"])
 
-    sample = labelled.where(fraction(F.col("id")) < rate).select("text", "lang")
-    rows = sample.mapInArrow(features, "lang string, at array<int>, v array<float>").limit(2 * train_rows).toArrow().to_pydict()
-    return fit([(lang, np.array(at, np.int64), np.array(v, np.float64)) for lang, at, v in zip(rows["lang"], rows["at"], rows["v"])])
+    sample = labelled.where(fraction(F.col("id")) < rate).select("text", "lang", fraction(F.col("id")).alias("key"))
+    # About train_rows rows are drawn; were there many more (one id on many rows), the first by key are taken.
+    first = sample.orderBy("key", F.xxhash64("text")).limit(2 * train_rows).select("text", "lang")
+    rows = first.repartition(8, F.xxhash64("text")).mapInArrow(features, "lang string, at array<int>, v array<float>").toArrow().combine_chunks()
+    # The sample stays in two flat arrays, of which each row is a slice.
+    langs = rows.column(0).to_pylist()
+    at, v = (rows.column(k).combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32())) for k in (1, 2))
+    ends = at.offsets.to_numpy() if len(langs) else np.zeros(1, np.int32)
+    at, v = at.values.to_numpy(), v.values.to_numpy()
+    return fit([(lang, at[a:b], v[a:b]) for lang, a, b in zip(langs, ends[:-1], ends[1:])])
 
 
 def held_out(id_col: str) -> Column:
@@ -189,13 +197,14 @@ def held_out(id_col: str) -> Column:
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text",
-                     keep: list[str] | None = None) -> DataFrame:
+                     keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` (the id by default) of every row with ``lang_pred``
-    and ``score`` (0 to 1).  One narrow pass; the model is broadcast and its
-    size depends on the languages alone."""
-    keep = keep or [id_col]
+    and ``score`` (0 to 1), or other ``names``; a column of ``keep`` of such a
+    name is replaced.  One narrow pass; the model is broadcast and its size
+    depends on the languages alone."""
+    keep = [c for c in keep or [id_col] if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text_col).alias("_lid_text"))
+    rows = docs.select(*keep, F.col(text_col).alias("_lid_text"))  # the text comes last
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -203,10 +212,10 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
             out = [own.predict(t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keep)], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
-                names=[*keep, "lang_pred", "score"])
+                names=[*keep, *names])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(predict, f"{schema}, `{names[0]}` string, `{names[1]}` double".removeprefix(", "))
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: int) -> DataFrame:
