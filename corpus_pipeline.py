@@ -22,7 +22,9 @@ from parley.llm.near_dedup import drop_near
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language (null, or without a letter)."""
     model = train(docs.where(~held_out("doc_id") & F.col("doc_id").isNotNull()))
-    return predict_language(docs, model, keep=docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+    name = "_" * max(map(len, docs.columns))  # of no column of the documents
+    out = predict_language(docs, model, keep=docs.columns, names=(f"{name}lang", f"{name}score"))
+    return out.where(F.col(f"{name}lang") != "und").select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
