@@ -1,12 +1,9 @@
-"""Structured Streaming forms.
+"""Incremental ingest: documents arriving as files -> word chunks.
 
-* ``stream_chunks``: incremental ingest -> word chunks, file source to a
-  Parquet sink with a checkpoint; runs with ``availableNow`` so that a
-  scheduled job processes whatever arrived and stops.
-* ``stream_episode_state``: per-episode carried state (previous successful
-  speaker, counters, running end of the dynamic timeline) with
-  ``applyInPandasWithState``; turns are ordered inside each micro-batch and
-  the state carries across batches.
+The jobs run with ``availableNow``, so that a scheduled job processes whatever
+arrived and stops.  ``stream_chunks`` is proof against replays: a document that
+arrives again within ``horizon`` gives no second chunks, and a batch that is run
+again replaces what it wrote.
 
 Checkpoints and outputs live under ``run_dir`` if the caller names one: a later
 run with the same folder reads only what arrived since and appends to the same
@@ -16,188 +13,79 @@ sink.  Otherwise each call takes a new folder under the shared
 
 from __future__ import annotations
 
-import functools
 import uuid
-from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parley.functions import fixed as FX
 from parley.operators import text as X
 from parley.session import checkpoint_dir
 
 DOCS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CONV_SCHEMA = "conv_id long, turn long, role string, text string"
 
 
-def _run_dir(spark: SparkSession, name: str) -> str:
+def run_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def chunk_stream(stream: DataFrame, n: int, partitions: int | None = None) -> DataFrame:
-    """Stateless: the batch chunk operator applied to a streaming frame.
-    ``partitions`` spreads each micro-batch by document before the CPU-heavy
-    splitting (useful when a trigger reads few large files)."""
-    docs = stream.select("doc_id", "text")
-    if partitions:
-        docs = docs.repartition(partitions, "doc_id")
-    return X.word_chunks(docs, n=n)
+def chunk_stream(stream: DataFrame, n: int, horizon: str) -> DataFrame:
+    """The batch chunk operator on a streaming frame, each document once.
 
+    The time of a row is that of its batch, which a batch that is run again
+    keeps; it never lies behind the watermark, so no document is dropped as late.
+    Documents without an id are told apart by their text."""
+    docs = stream.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.sha2("text", 256)).alias("_text"))
+    once = docs.withColumn("_at", F.current_timestamp()).withWatermark("_at", horizon).dropDuplicatesWithinWatermark(["doc_id", "_text"])
+    return X.word_chunks(once.select("doc_id", "text"), n=n)
 
-def run_available(query_df: DataFrame, out: str, ckpt: str, fmt: str = "parquet",
-                  mode: str = "append") -> None:
-    """Process what arrived and stop.  Batches without data are off while it
-    runs: a state with a processing-time timeout would ask for them for ever."""
+
+def write_batch(out: str):
+    """A ``foreachBatch`` sink: each batch owns a folder, named by its number,
+    and replaces it when it is run again."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    return write
+
+
+def run_available(query_df: DataFrame, out: str | None, ckpt: str, each=None) -> None:
+    """Process what arrived and stop, into Parquet or a ``foreachBatch``
+    function.  Batches without data are off while it runs: a state with
+    processing-time timers would ask for them for ever."""
     conf, key = query_df.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
     before = conf.get(key)
     conf.set(key, "false")
     try:
-        q = (query_df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", ckpt)
-             .trigger(availableNow=True).start(out))
+        sink = query_df.writeStream.outputMode("append").option("checkpointLocation", ckpt).trigger(availableNow=True)
+        q = sink.foreachBatch(each).start() if each else sink.format("parquet").start(out)
         q.awaitTermination()
     finally:
         conf.set(key, before)
 
 
-def stream_chunks(spark: SparkSession, source_dir: str, n: int = FX.CHUNK_WORDS,
-                  glob: str = "*.parquet", max_files_per_trigger: int | None = None,
-                  partitions: int | None = None, run_dir: str | None = None) -> DataFrame:
+def stream_chunks(spark: SparkSession, source_dir: str, n: int = FX.CHUNK_WORDS, glob: str = "*.parquet",
+                  max_files_per_trigger: int | None = None, run_dir: str | None = None, horizon: str = "30 days") -> DataFrame:
     """Documents arriving as Parquet files (matching ``glob``) under
     ``source_dir`` -> chunks.  ``max_files_per_trigger`` bounds the size of
-    a micro-batch.  Returns the sink contents after all available input was
-    processed."""
-    base = run_dir or _run_dir(spark, "stream-chunks")
+    a micro-batch.  A document counts once within ``horizon`` (for which its id is
+    kept in the state); the first version stays.  Returns the sink contents after
+    all available input was processed."""
+    base = run_dir or run_folder(spark, "stream-chunks")
     reader = spark.readStream.schema(DOCS_SCHEMA).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.parquet(source_dir)
-    run_available(chunk_stream(src, n, partitions), f"{base}/out", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/out")
+    chunks = chunk_stream(reader.parquet(source_dir), n, horizon)
+    out = f"{base}/out"
+    run_available(chunks, None, f"{base}/ckpt", each=write_batch(out))
+    return spark.read.schema(chunks.schema).parquet(out).select(*chunks.columns)
 
 
 def stream_text_chunks(spark: SparkSession, text_dir: str, n: int = FX.CHUNK_WORDS,
                        run_dir: str | None = None) -> DataFrame:
     """Whole text files arriving under ``text_dir`` -> chunks keyed by path."""
-    base = run_dir or _run_dir(spark, "stream-text")
+    base = run_dir or run_folder(spark, "stream-text")
     src = (spark.readStream.format("text").option("wholetext", True).load(text_dir)
            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
     chunks = X.word_chunks(src, n=n, key="path")
     run_available(chunks, f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")
-
-
-# ------------------------------------------------------------ carried state
-EPISODE_OUT = ("episode_id long, seg_idx long, ok_eff boolean, prev_speaker string, "
-               "xfade_ms long, end_ms long")
-EPISODE_SINK = f"{EPISODE_OUT}, late boolean, speaker string, dur_ms long, ok boolean"
-TURN = ["episode_id", "seg_idx", "speaker", "dur_ms", "ok"]
-EPISODE_STATE = ("prev_speaker string, end_ms long, n_ok long, n_failed long, next_idx long, "
-                 "pend_idx array<long>, pend_speaker array<string>, pend_dur array<long>, pend_ok array<boolean>, "
-                 "skip_from array<long>, skip_to array<long>")
-
-
-def _episode_step(key, batches: Iterator[pd.DataFrame], state: GroupState, max_waiting: int,
-                  wait_ms: int) -> Iterator[pd.DataFrame]:
-    """Dynamic-crossfade timeline with the state carried between batches.
-
-    Turns are applied strictly in index order: a turn that arrives before
-    an earlier one waits in the state (``pend_*``) until the gap is filled,
-    so the result does not depend on how turns are split into batches.  The
-    gap is given up, and the turns behind it are written, when more than
-    ``max_waiting`` turns wait or none arrived for ``wait_ms``.  Turns that
-    were written already (replays) are ignored.  A turn of a gap that was given
-    up (``skip_*``: its ranges) cannot enter the timeline any more; it is
-    written once as a ``late`` row, with its own values and no place in time.
-    """
-    if state.exists:
-        prev, end, n_ok, n_failed, nxt, p_idx, p_sp, p_dur, p_ok, s_from, s_to = state.get
-        pending = list(zip(p_idx or [], p_sp or [], p_dur or [], p_ok or []))
-        skipped = [(int(a), int(b)) for a, b in zip(s_from or [], s_to or [])]
-    else:
-        prev, end, n_ok, n_failed, nxt, pending, skipped = None, FX.INTRO_MS, 0, 0, 0, [], []
-    waiting = 0 if state.hasTimedOut else max_waiting
-    rows_in = {int(r[0]): (int(r[0]), r[1], int(r[2]), bool(r[3])) for r in pending}
-    out = []
-    for pdf in batches:
-        for i, sp, d, o in zip(pdf["seg_idx"], pdf["speaker"], pdf["dur_ms"], pdf["ok"]):
-            if i >= nxt:
-                rows_in.setdefault(int(i), (int(i), sp, int(d), bool(o)))
-                continue
-            gap = next((g for g in skipped if g[0] <= i < g[1]), None)
-            if gap:
-                at = skipped.index(gap)
-                skipped[at:at + 1] = [g for g in ((gap[0], int(i)), (int(i) + 1, gap[1])) if g[0] < g[1]]
-                out.append((int(key[0]), int(i), None, None, None, None, True, sp, int(d), bool(o)))
-    same = int(min(FX.MAX_CROSSFADE_MS, FX.BASE_CROSSFADE_MS * FX.SAME_SPEAKER_FACTOR))
-    while nxt in rows_in or len(rows_in) > waiting:
-        if nxt not in rows_in:
-            skipped.append((int(nxt), min(rows_in)))
-            nxt = min(rows_in)
-        seg_idx, speaker, dur, ok = rows_in.pop(nxt)
-        ok_eff = ok and dur >= FX.MIN_AMBIENCE_MS
-        before = prev
-        if ok_eff:
-            xf = FX.FIRST_CROSSFADE_MS if prev is None else (same if prev == speaker else FX.BASE_CROSSFADE_MS)
-            end = end + dur - xf
-            prev = speaker
-            n_ok += 1
-        else:
-            xf = 0
-            n_failed += 1
-        out.append((int(key[0]), seg_idx, ok_eff, before, int(xf), int(end), False, None, None, None))
-        nxt += 1
-    rest = sorted(rows_in.values())
-    state.update((prev, int(end), int(n_ok), int(n_failed), int(nxt),
-                  [r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], [r[3] for r in rest],
-                  [g[0] for g in skipped], [g[1] for g in skipped]))
-    if rest:
-        state.setTimeoutDuration(wait_ms)
-    made = pd.DataFrame(out, columns=["episode_id", "seg_idx", "ok_eff", "prev_speaker", "xfade_ms", "end_ms", "late", "speaker", "dur_ms", "ok"])
-    yield made.astype({"ok_eff": "boolean", "xfade_ms": "Int64", "end_ms": "Int64", "late": "boolean", "dur_ms": "Int64", "ok": "boolean"})
-
-
-def episode_state_stream(synth_stream: DataFrame, max_waiting: int = 10_000,
-                         wait_ms: int = 3_600_000) -> DataFrame:
-    step = functools.partial(_episode_step, max_waiting=max_waiting, wait_ms=wait_ms)
-    return (synth_stream.groupBy("episode_id")
-            .applyInPandasWithState(step, EPISODE_SINK, EPISODE_STATE, "append",
-                                    GroupStateTimeout.ProcessingTimeTimeout))
-
-
-def stream_episode_state(spark: SparkSession, conversations_dir: str,
-                         to_synth: Callable[[DataFrame], DataFrame], glob: str = "*.parquet",
-                         max_files_per_trigger: int | None = None, run_dir: str | None = None,
-                         max_waiting: int = 10_000, wait_ms: int = 3_600_000) -> DataFrame:
-    """Conversation turns arriving as Parquet -> ``to_synth`` (a stateless
-    mapping to episode_id, seg_idx, speaker, dur_ms, ok) -> stateful
-    per-episode timeline; returns the sink contents.  Timeouts fire in the
-    first batch after ``wait_ms``.  What is not in the timeline after a run is
-    in ``waiting_turns`` and ``late_turns`` of the same ``run_dir``."""
-    base = run_dir or _run_dir(spark, "stream-episode")
-    reader = spark.readStream.schema(CONV_SCHEMA).option("pathGlobFilter", glob)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    synth = to_synth(reader.parquet(conversations_dir)).select("episode_id", "seg_idx", "speaker", "dur_ms", "ok")
-    run_available(episode_state_stream(synth, max_waiting, wait_ms), f"{base}/out", f"{base}/ckpt")
-    return _episode_sink(spark, base).where("not late").select("episode_id", "seg_idx", "ok_eff", "prev_speaker", "xfade_ms", "end_ms")
-
-
-def _episode_sink(spark: SparkSession, run_dir: str) -> DataFrame:
-    return spark.read.schema(EPISODE_SINK).parquet(f"{run_dir}/out").fillna(False, ["late"])
-
-
-def late_turns(spark: SparkSession, run_dir: str) -> DataFrame:
-    """The turns that arrived after their gap was given up, each once."""
-    return _episode_sink(spark, run_dir).where("late").select(*TURN)
-
-
-def waiting_turns(spark: SparkSession, run_dir: str) -> DataFrame:
-    """The turns that still wait behind a gap, read from the state that the
-    last run left in ``run_dir``."""
-    state = spark.read.format("statestore").load(f"{run_dir}/ckpt").select("key.*", "value.groupState.*")
-    pend = F.explode(F.arrays_zip("pend_idx", "pend_speaker", "pend_dur", "pend_ok")).alias("t")
-    return state.select(F.col(state.columns[0]).alias("episode_id"), pend).select(
-        "episode_id", F.col("t.pend_idx").alias("seg_idx"), F.col("t.pend_speaker").alias("speaker"), F.col("t.pend_dur").alias("dur_ms"), F.col("t.pend_ok").alias("ok"))

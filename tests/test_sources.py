@@ -1,5 +1,6 @@
 """Sources: decoding fallback, extension test, stem, streaming ingest."""
 
+import contextlib
 import os
 import tempfile
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import text as X
 from parley.sources import files as S
-from parley.streaming import ingest
+from parley.streaming import ingest, timeline
 
 
 def py_read(b: bytes):
@@ -75,7 +76,7 @@ def test_episode_state_out_of_order_batches(spark):
         os.utime(os.path.join(flat, f"{k:02d}.parquet"), (1_000_000 + k, 1_000_000 + k))
     from parley.sources import fixtures as FX
     to_synth = lambda c: FX.synth_from(FX.segments_from(c))
-    got = ingest.stream_episode_state(spark, flat, to_synth, max_files_per_trigger=1)
+    got = timeline.stream_episode_state(spark, flat, to_synth, max_files_per_trigger=1)
     got = {(r.episode_id, r.seg_idx): (r.ok_eff, r.prev_speaker, r.xfade_ms, r.end_ms) for r in got.collect()}
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     synth = to_synth(conv)
@@ -93,52 +94,96 @@ def _turns(spark, folder, no, rows):
     os.link(glob.glob(d + "/*.parquet")[0], os.path.join(folder, f"{no:02d}.parquet"))
 
 
-def test_stream_resumes_and_gives_up_gaps(spark):
-    """A second run reads only new files and ignores replays; a turn behind a
-    gap waits and is written after the wait has passed."""
-    import time
-    src, run_dir = tempfile.mkdtemp(prefix="parley-resume-in-"), tempfile.mkdtemp(prefix="parley-resume-")
-    to_synth = lambda c: c.select(F.col("conv_id").alias("episode_id"), F.col("turn").alias("seg_idx"),
-                                  F.col("role").alias("speaker"), F.lit(2000).cast("long").alias("dur_ms"),
-                                  F.lit(True).alias("ok"))
+def _to_synth(c):
+    """Turns of 2 seconds; the text holds odd cases."""
+    text = F.col("text")
+    return c.select(F.col("conv_id").alias("episode_id"), F.col("turn").alias("seg_idx"), F.col("role").alias("speaker"),
+                    F.when(text != "no duration", 2000).cast("long").alias("dur_ms"), F.when(text == "not ok", False).when(text != "no ok", True).alias("ok"))
 
-    def run():
-        out = ingest.stream_episode_state(spark, src, to_synth, run_dir=run_dir, wait_ms=1000)
-        return sorted((r.episode_id, r.seg_idx, r.end_ms) for r in out.collect())
-    _turns(spark, src, 0, [(1, t, "a" if t % 2 else "b", "x") for t in (0, 1, 3)])
-    first = [(1, 0, 3500), (1, 1, 5200)]
-    assert run() == first
-    time.sleep(1.5)
-    _turns(spark, src, 1, [(1, 0, "b", "x"), (2, 0, "a", "x")])
-    _turns(spark, src, 2, [(3, 0, "a", "x")])
-    assert [r for r in run() if r[1] < 2] == first + [(2, 0, 3500), (3, 0, 3500)]
-    time.sleep(1.5)
-    _turns(spark, src, 3, [(4, 0, "a", "x")])
-    got = run()
-    assert [r for r in got if r[0] == 1] == first + [(1, 3, 6750)]
-    assert len(got) == len(set(got)) == 6
-
-
-def test_stream_loses_no_turn(spark):
-    """Every turn is in the timeline, waits, or is late; replays count once."""
+
+def _tables(spark, run_dir):
+    return [sorted(((r.episode_id, r.seg_idx) for r in t(spark, run_dir).collect()), key=str)
+            for t in (timeline.placed_turns, timeline.waiting_turns, timeline.late_turns)]
+
+
+def test_stream_resumes_and_loses_no_turn(spark):
+    """Every turn is in the timeline, waits, or is late; replays count once; a
+    gap ends when a turn has waited long enough, for that turn only."""
+    import time
     src, run_dir = tempfile.mkdtemp(prefix="parley-gap-in-"), tempfile.mkdtemp(prefix="parley-gap-")
-    to_synth = lambda c: c.select(F.col("conv_id").alias("episode_id"), F.col("turn").alias("seg_idx"),
-                                  F.col("role").alias("speaker"), F.lit(2000).cast("long").alias("dur_ms"),
-                                  F.lit(True).alias("ok"))
+
+    def run(no, rows):
+        _turns(spark, src, no, rows)
+        timeline.stream_episode_state(spark, src, _to_synth, run_dir=run_dir, wait_ms=30_000)
+        return _tables(spark, run_dir)
+    assert run(0, [(1, t, "a", "x") for t in (0, 1, 3)] + [(2, t, "b", "x") for t in (1, 2)]) == [[(1, 0), (1, 1)], [(1, 3), (2, 1), (2, 2)], []]
+    assert run(1, [(1, 1, "a", "x"), (3, 0, "a", "x"), (1, 3, "a", "other")]) == [[(1, 0), (1, 1), (3, 0)], [(1, 3), (2, 1), (2, 2)], []]
+    time.sleep(31)
+    got = run(2, [(1, t, "a", "x") for t in (6, 7)] + [(2, 3, "b", "x")])   # the timers of 1 and 2 are due
+    assert got == [[(1, 0), (1, 1), (1, 3), (2, 1), (2, 2), (2, 3), (3, 0)], [(1, 6), (1, 7)], []]
+    rows = [(1, 2, "a", "x"), (1, 3, "a", "x"), (2, 0, "b", "x"), (2, 0, "b", "x"), (1, 4, "a", "x")]
+    want = [[(1, 0), (1, 1), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3), (3, 0)], [(1, 6), (1, 7)], [(1, 2), (2, 0)]]
+    assert run(3, rows) == want
+    assert run(4, [(1, 2, "a", "x"), (2, 0, "b", "x")]) == want
+    ends = {(r.episode_id, r.seg_idx): r.end_ms for r in timeline.placed_turns(spark, run_dir).collect()}
+    assert [ends[1, i] for i in (0, 1, 3, 4)] == [3500, 5050, 6600, 8150] and [ends[2, i] for i in (1, 2, 3)] == [3500, 5050, 6600]
+
+
+def test_timer_ends_a_gap_without_new_turns(spark):
+    import time
+    src, run_dir = tempfile.mkdtemp(prefix="parley-timer-in-"), tempfile.mkdtemp(prefix="parley-timer-")
+    _turns(spark, src, 0, [(1, t, "a", "x") for t in (0, 2, 3, 5)])
+    q = timeline.start_episode_state(spark, src, _to_synth, run_dir, wait_ms=1500, every="500 milliseconds")
+    try:
+        end = time.time() + 90
+        while time.time() < end and q.isActive:
+            with contextlib.suppress(Exception):   # before the first batch there is no sink
+                if timeline.placed_turns(spark, run_dir).count() == 4:
+                    break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert [(r.seg_idx, r.end_ms) for r in timeline.placed_turns(spark, run_dir).orderBy("seg_idx").collect()] == [(0, 3500), (2, 5050), (3, 6600), (5, 8150)]
+
+
+def test_stream_side_tables(spark):
+    """Null indexes, episodes, durations and results fail no job."""
+    src, run_dir = tempfile.mkdtemp(prefix="parley-odd-in-"), tempfile.mkdtemp(prefix="parley-odd-")
+    rows = [(1, 0, "a", "no duration"), (1, 1, None, "x"), (1, 2, None, "x"), (1, None, "a", "x"), (None, 0, "a", "x"), (None, None, "a", "x"),
+            (1, 3, "b", "no ok"), (1, 4, "b", "not ok"), (1, 5, "b", "x")]
+    _turns(spark, src, 0, rows)
+    got = timeline.stream_episode_state(spark, src, _to_synth, run_dir=run_dir).collect()
+    from parley.operators import episode as E
+    batch = E.timeline_dynamic(_to_synth(spark.createDataFrame(rows, timeline.CONV_SCHEMA))).where("episode_id is not null and seg_idx is not null").collect()
+    fields = timeline.PLACED
+    assert sorted(tuple(r[c] for c in fields) for r in got) == sorted((tuple(r[c] for c in fields) for r in batch), key=lambda t: t[:2]) and len(got) == 6
+    assert sorted(((r.episode_id, r.seg_idx) for r in timeline.unplaced_turns(spark, run_dir).collect()), key=str) == [(1, None), (None, 0), (None, None)]
+    assert [r.seg_idx for r in timeline.turns_without_duration(spark, run_dir).collect()] == [0]
+
+
+def test_replayed_documents_give_their_chunks_once(spark):
+    """The same document in two files, in one run and in a later one; a batch
+    that is run again adds nothing; documents without an id all stay."""
+    src, run_dir = tempfile.mkdtemp(prefix="parley-replay-in-"), tempfile.mkdtemp(prefix="parley-replay-")
+
+    def put(no, rows):
+        d = tempfile.mkdtemp(prefix="parley-docs-")
+        spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], ingest.DOCS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(d)
+        import glob
+        os.link(glob.glob(d + "/*.parquet")[0], os.path.join(src, f"{no:02d}.parquet"))
 
     def run():
-        out = ingest.stream_episode_state(spark, src, to_synth, run_dir=run_dir, max_waiting=2)
-        return [sorted((r.episode_id, r.seg_idx) for r in t.collect())
-                for t in (out, ingest.waiting_turns(spark, run_dir), ingest.late_turns(spark, run_dir))]
-    _turns(spark, src, 0, [(1, t, "a", "x") for t in (0, 1, 3)] + [(2, t, "b", "x") for t in (1, 2)])
-    assert run() == [[(1, 0), (1, 1)], [(1, 3), (2, 1), (2, 2)], []]
-    _turns(spark, src, 1, [(1, t, "a", "x") for t in (6, 7)] + [(2, 3, "b", "x")])  # more than two wait
-    assert run() == [[(1, 0), (1, 1), (1, 3), (2, 1), (2, 2), (2, 3)], [(1, 6), (1, 7)], []]
-    _turns(spark, src, 2, [(1, 2, "a", "x"), (1, 3, "a", "x"), (2, 0, "b", "x"), (2, 0, "b", "x"), (1, 4, "a", "x")])
-    want = [[(1, 0), (1, 1), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3)], [(1, 6), (1, 7)], [(1, 2), (2, 0)]]
-    assert run() == want
-    _turns(spark, src, 3, [(1, 2, "a", "x"), (2, 0, "b", "x")])
-    assert run() == want
+        out = ingest.stream_chunks(spark, src, n=2, run_dir=run_dir, max_files_per_trigger=1)
+        return sorted(((r.doc_id, r.chunk_idx, r.text) for r in out.collect()), key=str)
+    put(0, [(1, "a b c"), (2, "d"), (None, "e"), (None, "f")])
+    put(1, [(1, "a b c"), (3, "g"), (None, "e")])
+    want = [(1, 0, "a b"), (1, 1, "c"), (2, 0, "d"), (3, 0, "g"), (None, 0, "e"), (None, 0, "f")]
+    assert run() == sorted(want, key=str)
+    put(2, [(2, "changed"), (4, "h")])
+    assert run() == sorted([*want, (4, 0, "h")], key=str)
+    again = spark.createDataFrame([(4, 0, 1, "h")], "doc_id long, chunk_idx int, n_words int, text string")
+    ingest.write_batch(f"{run_dir}/out")(again, 2)
+    assert run() == sorted([*want, (4, 0, "h")], key=str)
 
 
 def test_writers(spark):
