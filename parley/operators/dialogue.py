@@ -1,24 +1,30 @@
 """Dialogue operators: render and parse tuple-list replies, contract checks,
 speaker-labelled transcript lines.
 
-The reply parser is pure column expressions over the reply's line array
-(``filter`` / ``forall`` / ``posexplode``): no shuffle, no Python, and the
-all-or-nothing gate is a per-row ``forall``.  Each reply is one input row,
-so nothing is collected across rows.
+The reply parser is column expressions over the reply's line array
+(``filter`` / ``forall`` / ``posexplode``): no shuffle, and the all-or-nothing
+gate is a per-row ``forall``.  Each reply is one input row, so nothing is
+collected across rows.  Only replies with a line that is not a plain tuple
+(single quotes, several tuples, escapes such as ``\\u00e9``) go to the state
+machine of :mod:`parley.functions.literals`, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from parley.functions import fixed as FX
+from parley.functions import literals
 from parley.functions import text as T
 
 # Head of a tuple line: ("Speaker…", "   (group 1 = the speaker label)
 HEAD = r'^\("(Speaker[^"\\]*)"[ \t]*,[ \t]*"'
 # Escape pairs inside a double-quoted literal body.
 ESCAPE_PAIR = r"\\[\s\S]"
+PLAIN_ESCAPE = r"""\\[\\"'ntr]"""
 FILLER_OR_REACTION = r"(?i)(^|[^\p{L}\p{N}_])(u+m+|h+m+)([^\p{L}\p{N}_]|$)|\[(laughs|sigh)\]"
 DIALOGUE_LINE = r"(?s)^(Speaker [12]):[ \t]*(.*)$"
 
@@ -56,6 +62,11 @@ def tuple_ok(line: Column) -> Column:
             & ~F.contains(bare, F.lit('"')) & ~F.contains(bare, F.lit("\\")))
 
 
+def plain_tuple(line: Column) -> Column:
+    """A valid tuple whose escapes are all among those of ``T.unescape``."""
+    return tuple_ok(line) & ~F.contains(F.regexp_replace(line, PLAIN_ESCAPE, ""), F.lit("\\"))
+
+
 def tuple_speaker(line: Column) -> Column:
     return F.regexp_extract(line, HEAD, 1)
 
@@ -65,30 +76,67 @@ def tuple_text(line: Column) -> Column:
     return T.unescape(F.substring(line, F.length(h) + 1, F.length(line) - F.length(h) - 2))
 
 
+READ = "n_ok int, segs array<struct<speaker:string,text:string>>"
+
+
+def _read_lines(lines: pd.Series) -> pd.DataFrame:
+    out = []
+    for ls in lines:
+        found = [] if ls is None else [literals.tuples(line) for line in ls]
+        good = [t for t in found if t is not None]
+        segs = [{"speaker": s, "text": x} for t in good for s, x in t] if ls is not None and len(good) == len(found) else None
+        out.append((len(good), segs))
+    return pd.DataFrame(out, columns=["n_ok", "segs"])
+
+
+def read_lines(lines: Column) -> Column:
+    """Candidate lines -> struct(n_ok, segs): how many are tuples, and the
+    segments if all are (else null), by the state machine."""
+    return pandas_udf(_read_lines, READ)(lines)
+
+
+def _read_candidates(replies: DataFrame, key: str, reply: str, keep=()) -> DataFrame:
+    """``_c`` candidate lines, ``_plain``, and ``_odd``: what the state machine
+    makes of the lines of a reply that are not all plain."""
+    c = replies.select(key, *keep, candidate_lines(F.col(reply)).alias("_c"))
+    c = c.withColumn("_plain", F.forall("_c", plain_tuple))
+    return c.withColumn("_odd", read_lines(F.when(~F.col("_plain"), F.col("_c"))))
+
+
 def parse_replies(replies: DataFrame, key: str = "episode_id", reply: str = "reply") -> DataFrame:
     """Reply text -> ordered (speaker, text) segments.
 
-    Candidate lines are selected as in the original loop; if any of them is
-    not a valid tuple, or there is none, the whole reply yields nothing.
-    Output: key, seg_idx, speaker, text.
+    Candidate lines are selected as in the original loop; if any of them holds
+    anything but tuples of two strings, or there is none, the whole reply yields
+    nothing.  Output: key, seg_idx, speaker, text.
     """
-    c = replies.select(key, candidate_lines(F.col(reply)).alias("_c"))
-    gated = c.where((F.size("_c") > 0) & F.forall("_c", tuple_ok))
-    return (gated.select(key, F.posexplode_outer("_c").alias("seg_idx", "_l"))
-            .where(F.col("_l").isNotNull())
-            .select(key, "seg_idx", tuple_speaker(F.col("_l")).alias("speaker"),
-                    tuple_text(F.col("_l")).alias("text")))
+    c = _read_candidates(replies, key, reply)
+    plain = F.transform("_c", lambda line: F.struct(tuple_speaker(line).alias("speaker"), tuple_text(line).alias("text")))
+    segs = F.when(F.col("_plain"), plain).otherwise(F.col("_odd.segs"))
+    return (c.select(key, F.posexplode_outer(segs).alias("seg_idx", "_s")).where(F.col("_s").isNotNull())
+            .select(key, "seg_idx", "_s.speaker", "_s.text"))
 
 
 def parse_gate(replies: DataFrame, key: str = "episode_id", reply: str = "reply", keep=()) -> DataFrame:
     """Per reply: candidate count, valid count, accepted (all valid, >= 1);
     ``keep`` names columns to carry along."""
-    c = replies.select(key, *keep, candidate_lines(F.col(reply)).alias("_c"))
-    n_ok = F.size(F.filter("_c", tuple_ok))
+    c = _read_candidates(replies, key, reply, keep)
+    n_ok = F.when(F.col("_plain"), F.size("_c")).otherwise(F.col("_odd.n_ok"))
     return c.select(key, *keep, F.size("_c").alias("n_candidates"), n_ok.alias("n_ok"),
                     ((F.size("_c") > 0) & (n_ok == F.size("_c"))).alias("accepted"))
 
 
+def literal_text(body: Column) -> Column:
+    """The text that the inside of a string literal stands for, null if an
+    escape is broken: by columns, or by the state machine if it has an escape
+    that ``T.unescape`` does not know."""
+    odd = F.contains(F.regexp_replace(body, PLAIN_ESCAPE, ""), F.lit("\\"))
+
+    def read(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda b: None if b is None else literals.unescaped(b))
+    return F.when(odd, pandas_udf(read, "string")(F.when(odd, body))).otherwise(T.unescape(body))
+
+
 def render_tuple(speaker: Column, text: Column) -> Column:
     return F.concat(F.lit('("'), speaker, F.lit('", "'), T.escape(text), F.lit('")'))
 

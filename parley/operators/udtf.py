@@ -1,51 +1,37 @@
 """The reply parser as a Python UDTF (``SELECT … FROM t, LATERAL parse_reply(reply)``).
 
-Same rules as the column-expression parser in ``parley.operators.dialogue``;
-a reply is validated completely before any row is yielded.
+Replies travel in Arrow batches; a reply is read by the state machine of
+:mod:`parley.functions.literals` and validated completely before any row is
+yielded.  The column form in :mod:`parley.operators.dialogue` reads plain lines
+with column expressions and hands the others to the same state machine.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from parley.functions import fixed as FX
-
-_HEAD = re.compile(r'^\("(Speaker[^"\\]*)"[ \t]*,[ \t]*"')
-_PAIR = re.compile(r"\\[\s\S]")
-_VALUES = {"\\\\": "\\", '\\"': '"', "\\'": "'", "\\n": "\n", "\\t": "\t", "\\r": "\r"}
-
-
-def _unescape(body: str) -> str:
-    return _PAIR.sub(lambda m: _VALUES.get(m.group(), m.group()), body)
+from parley.functions.literals import tuples
 
 
 def _is_candidate(line: str) -> bool:
     return line.startswith(FX.CANDIDATE_PREFIX) and line.endswith((FX.CANDIDATE_SUFFIX_COMMA, FX.CANDIDATE_SUFFIX))
 
 
-def parse_reply_rows(reply: str | None):
+def parse_reply_rows(reply: str | None) -> list[tuple[int, str, str]]:
     """List of (seg_idx, speaker, text), or [] when any candidate is invalid."""
-    if reply is None:
-        return []
-    stripped = (ln.strip() for ln in reply.split("\n"))
-    cands = [ln[:-1] if ln.endswith(FX.CANDIDATE_SUFFIX_COMMA) else ln for ln in stripped if _is_candidate(ln)]
+    stripped = (line.strip() for line in (reply or "").split("\n"))
     rows = []
-    for i, line in enumerate(cands):
-        m = _HEAD.match(line)
-        if m is None or not line.endswith('")') or len(line) < m.end() + 2:
-            return []
-        body = line[m.end():len(line) - 2]
-        bare = _PAIR.sub("", body)
-        if '"' in bare or "\\" in bare:
+    for line in filter(_is_candidate, stripped):
+        found = tuples(line[:-1] if line.endswith(FX.CANDIDATE_SUFFIX_COMMA) else line)
+        if found is None:
             return []
-        rows.append((i, m.group(1), _unescape(body)))
-    return rows
+        rows += found
+    return [(i, speaker, text) for i, (speaker, text) in enumerate(rows)]
 
 
-@udtf(returnType="seg_idx int, speaker string, text string")
+@udtf(returnType="seg_idx int, speaker string, text string", useArrow=True)
 class ParseReply:
     def eval(self, reply: str):
         yield from parse_reply_rows(reply)

@@ -74,11 +74,45 @@ def agg_parse_gate(spark, sf_dir):
     return D.parse_gate(FX.replies(spark, sf_dir))
 
 
-@query("str_unescape", f"SELECT episode_id, seg_idx, {unescape(escape('text'))} AS text FROM f_segments")
+# Inside of a literal and the text it stands for, by ``seg_idx % 8`` (behind the escaped text of the segment).
+_ESCAPES = [(r"\u00e9\x41", "éA"), (r"\ud83d\ude00!", "😀!"), (r"\101\60\0608", "A0" + "08"), (r"\t\'\q\v", "\t'\\q\x0b"),
+            (r"\U0001F600\\u00e9", "😀\\u00e9"), (r"\ud83d\n\xe9", "\ufffd\né"), (r"\u12", None), ("", "")]
+
+
+def _sql_text(s: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if s is None else " || ".join([f"chr({ord(ch)})" for ch in s] or ["''"])
+
+
+@query("str_unescape", f"""
+    SELECT episode_id, seg_idx, text || CASE seg_idx % 8 {' '.join(f'WHEN {k} THEN {_sql_text(t)}' for k, (_, t) in enumerate(_ESCAPES))} END AS text
+    FROM f_segments""")
 def str_unescape(spark, sf_dir):
-    """Escape then unescape every segment text (must give the text back)."""
+    """Insides of string literals to text: the escaped segment and, behind it,
+    escapes of every kind, by hex, Unicode and octal number, surrogate pairs, unknown
+    and broken ones (which give null)."""
     s = FX.segments(spark, sf_dir)
-    return s.select("episode_id", "seg_idx", T.unescape(T.escape("text")).alias("text"))
+    more = F.element_at(F.array(*[F.lit(e) for e, _ in _ESCAPES]), (F.col("seg_idx") % 8 + 1).cast("int"))
+    return s.select("episode_id", "seg_idx", D.literal_text(F.concat(T.escape("text"), more)).alias("text"))
+
+
+@query("str_parse_literals", """
+    SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY seg_idx, half) - 1 AS seg_idx,
+           CASE WHEN half = 1 THEN 'Narrator' ELSE speaker END AS speaker,
+           CASE WHEN half = 1 THEN 'é' WHEN seg_idx % 3 = 1 THEN replace(text, chr(39), chr(34)) || chr(233) ELSE text END AS text
+    FROM f_segments, (VALUES (0), (1)) h(half) WHERE episode_id % 7 <> 3 AND (half = 0 OR seg_idx % 3 = 2)""")
+def str_parse_literals(spark, sf_dir):
+    """Replies that need the state machine: single quotes and numeric escapes
+    (seg_idx % 3 = 1), a second tuple on the line (2); a broken escape in turn 0 of
+    every episode with ``episode_id % 7 = 3`` voids its reply."""
+    s, i = FX.segments(spark, sf_dir), F.col("seg_idx") % 3
+    body = T.escape("text")
+    single = F.concat(F.replace(F.replace(body, F.lit("'"), F.lit('\\"')), F.lit('\\"'), F.lit('"')), F.lit("\\xe9"))
+    line = (F.when(i == 1, F.concat(F.lit('("'), F.col("speaker"), F.lit("\", '"), single, F.lit("')")))
+            .otherwise(F.concat(F.lit('("'), F.col("speaker"), F.lit('", "'), body, F.lit('")'), F.when(i == 2, F.lit(", ('Narrator', '\\u00e9',)")).otherwise(F.lit("")))))
+    broken = (F.col("episode_id") % 7 == 3) & (F.col("seg_idx") == 0)
+    line = F.when(broken, F.lit('("Speaker 1", "\\u12")')).otherwise(line)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", line.alias("l")))), lambda x: x["l"]), "\n")
+    return D.parse_replies(s.groupBy("episode_id").agg(lines.alias("reply")))
 
 
 @query("agg_segments_to_reply", f"""
@@ -96,15 +130,13 @@ def agg_segments_to_reply(spark, sf_dir):
            arg_max(text, seg_idx) AS last_text
     FROM f_segments GROUP BY episode_id""")
 def map_segment_struct(spark, sf_dir):
-    """Segments as an ordered ``array<struct<speaker,text>>`` per episode,
-    accessed by field name."""
+    """First and last segment of an episode as ``struct<speaker,text>``,
+    accessed by field name (no episode is gathered)."""
     s = FX.segments(spark, sf_dir)
-    nested = s.groupBy("episode_id").agg(
-        F.array_sort(F.collect_list(F.struct("seg_idx", "speaker", "text"))).alias("segs"))
-    return nested.select("episode_id", F.size("segs").alias("n_segments"),
-                         F.element_at("segs", 1)["speaker"].alias("first_speaker"),
-                         F.element_at("segs", -1)["speaker"].alias("last_speaker"),
-                         F.element_at("segs", -1)["text"].alias("last_text"))
+    seg = F.struct("speaker", "text")
+    ends = s.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_segments"), F.min_by(seg, "seg_idx").alias("first"), F.max_by(seg, "seg_idx").alias("last"))
+    return ends.select("episode_id", "n_segments", F.col("first.speaker").alias("first_speaker"), F.col("last.speaker").alias("last_speaker"),
+                       F.col("last.text").alias("last_text"))
 
 
 # Segments with injected fillers / reactions: Speaker texts with seg_idx % 4 = 1
