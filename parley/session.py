@@ -38,24 +38,34 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_private: dict[str, str] = {}  # folders of local sessions without the setting, by application
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting always wins.  Only when it is unset and the master is
-    local a fresh private folder is created and registered; on several machines
-    such a folder would lose what the others write.
+    local a fresh private folder is created, one for the application; on several
+    machines such a folder would lose what the others write.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="parley-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _private:
+            _private[app] = tempfile.mkdtemp(prefix="parley-ckpt-")
+        path = _private[app]
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared checkpoint folder that nothing uses yet."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/parley-{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder
     and read it back.
@@ -66,7 +76,7 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     the lineage before it.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/parley-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.mode("error").parquet(path)
     # The schema is passed so that an empty result reads back as well.
     return spark.read.schema(df.schema).parquet(path)

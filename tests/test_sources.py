@@ -4,6 +4,7 @@ import contextlib
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import text as X
@@ -186,25 +187,110 @@ def test_replayed_documents_give_their_chunks_once(spark):
     assert run() == sorted([*want, (4, 0, "h")], key=str)
 
 
+def _content(folder):
+    out = {}
+    for name in os.listdir(folder):
+        if name != "_SUCCESS" and not name.endswith(".crc"):
+            with open(os.path.join(folder, name), "rb") as f:
+                out[name] = f.read()
+    return out
+
+
 def test_writers(spark):
     from parley.sinks import writers as W
     out = tempfile.mkdtemp(prefix="parley-sink-")
-    docs = spark.createDataFrame([("in/a.pdf", "first\n\n"), ("in/b.PDF", "second\n\n")], "path string, text string")
-    named = docs.select(W.clean_file_name(F.col("path")).alias("file_name"), "text")
+    texts = {"in/a.pdf": "first\n\n", "in/b.PDF": "sécond \r\n 中\n\n", "else/A.pdf": "third", "in/c": "", "": "none", "x/.pdf": "dot"}
+    docs = spark.createDataFrame([*texts.items(), (None, "null")], "path string, text string")
+    named = W.with_clean_names(docs)
+    got = {r.path: r.file_name for r in named.collect()}
+    assert got["in/b.PDF"] == "clean_b.txt" and got["in/c"] == "clean_c.txt"
+    assert got["in/a.pdf"].startswith("clean_a-") and got["else/A.pdf"].startswith("clean_A-") and got[None].startswith("clean_unnamed-")
+    assert len({n.lower() for n in got.values()}) == len(got) == 7
     W.write_clean_docs(named, out + "/table")
-    assert sorted(r.file_name for r in spark.read.parquet(out + "/table").collect()) == ["clean_a.txt", "clean_b.txt"]
+    assert spark.read.parquet(out + "/table").count() == 7
     W.write_clean_docs(named, out + "/clean", per_file=True)
-    names = sorted(os.listdir(out + "/clean"))
-    assert "file_name=clean_a.txt" in names and "file_name=clean_b.txt" in names
-    import glob
-    files = glob.glob(out + "/clean/file_name=clean_a.txt/*.txt")
-    assert len(files) == 1
-    with open(files[0], encoding="utf-8") as f:
-        assert f.read() == "first\n\n"
+    assert _content(out + "/clean") == {n: (texts.get(p, "null") if p is not None else "null").encode() for p, n in got.items()}
     seg = spark.createDataFrame([(1, 0, "Speaker 1", ""), (1, 1, "Speaker 2", "x")],
                                 "episode_id long, seg_idx long, speaker string, text string")
     W.write_segments(seg, out + "/seg")
     assert spark.read.parquet(out + "/seg").count() == seg.count() == 2
+    t = spark.createDataFrame([(1, "a\nb"), (2, ""), (3, None)], "episode_id long, text string")
+    W.write_transcripts(t, out + "/t", per_file=True)
+    W.write_transcripts(t, out + "/p")
+    assert _content(out + "/t") == {"transcript_1.txt": b"a\nb"} and [r.text for r in spark.read.parquet(out + "/p").collect()] == ["a\nb"]
+
+
+def test_file_sink_joins_the_rows_of_a_name_in_order(spark):
+    from parley.sinks.files import write_files
+    out = tempfile.mkdtemp(prefix="parley-parts-")
+    rows = spark.createDataFrame([(f"f{i % 3}", i, f"{i},") for i in range(30)] + [("g", 0, None)], "name string, k int, content string").repartition(7)
+    write_files(rows, out, order="k")
+    assert _content(out) == {f"f{j}": "".join(f"{i}," for i in range(30) if i % 3 == j).encode() for j in range(3)} | {"g": b""}
+    write_files(rows.limit(0), out + "/none")
+    assert os.listdir(out + "/none") == ["_SUCCESS"]
+
+
+@pytest.mark.parametrize("bad", ["a/b", None, "", "_x", "f0"])
+def test_a_failed_file_job_leaves_no_file(spark, bad):
+    """One task fails on its last row, after other tasks have ended."""
+    from parley.sinks.files import write_files
+    out = tempfile.mkdtemp(prefix="parley-fail-") + "/out"
+    rows = spark.createDataFrame([(f"f{i}", i) for i in range(40)] + [(bad, 100)], "name string, k int")
+    if bad == "f0":   # comes again in the task, behind another name
+        rows = rows.coalesce(1).sortWithinPartitions("k")
+    else:
+        rows = rows.repartitionByRange(4, "k").sortWithinPartitions("k")
+    with pytest.raises(Exception, match="no file name|do not follow"):
+        write_files(rows.withColumn("content", F.col("k").cast("string")), out)
+    assert not os.path.exists(out) or os.listdir(out) == []
+
+
+def test_pcm_files_by_byte_ranges(spark):
+    import numpy as np
+    from parley.operators import blocks as B
+    from parley.sinks import writers as W
+    from parley.sources import pcm
+    out = tempfile.mkdtemp(prefix="parley-pcm-")
+    x = {1: np.arange(-500, 501) / 400.0, 2: np.array([0.5]), 3: np.zeros(0)}
+    raw = {k: np.trunc(np.clip(v * 32767, -32768, 32767)).astype("<i2") for k, v in x.items()}
+    for k, v in raw.items():
+        with open(f"{out}/e{k}.pcm", "wb") as f:
+            f.write(v.tobytes())
+    with open(f"{out}/other.txt", "wb") as f:
+        f.write(b"x")
+    for block, size in ((64, 256), (64, 1), (5000, 10_000), (1, 900)):
+        df = pcm.read_pcm(spark, out, block, size)
+        rows = df.orderBy("path", "block").collect()
+        for k, v in raw.items():
+            own = [r for r in rows if r.path.endswith(f"e{k}.pcm")]
+            assert [r.first for r in own] == [i * block for i in range(-(-len(v) // block))]
+            assert np.array_equal(np.concatenate([r.samples for r in own] or [np.zeros(0)]), v / 32767.0)
+    assert pcm.read_pcm(spark, out, 64, 1024).rdd.getNumPartitions() >= 2      # one file, several tasks
+    assert pcm.read_pcm(spark, f"file:{out}/e1.pcm", 64).count() == 16
+    # The samples of blocks go to files and come back.
+    waves = spark.createDataFrame([(1, 0, [float(a) for a in x[1][:300]]), (2, 0, [0.25])], "episode_id long, seg_idx long, samples array<double>")
+    W.write_episode_audio(B.mix(waves, 0, 37, 5), out + "/episodes")
+    back = {r.path[-13:]: r.samples for r in pcm.read_pcm(spark, out + "/episodes", 1000).collect()}
+    assert np.array_equal(back["episode_1.pcm"], raw[1][:300] / 32767.0) and back["episode_2.pcm"] == [8191 / 32767.0]
+    with open(f"{out}/odd.pcm", "wb") as f:
+        f.write(b"abc")
+    with pytest.raises(Exception, match="ends within a sample"):
+        pcm.read_pcm(spark, out).count()
+
+
+def test_local_session_without_a_checkpoint_folder():
+    """With an empty configuration folder the private folder is used."""
+    import subprocess
+    import sys
+    code = ("from parley.session import local_session, cut_lineage, checkpoint_dir\n"
+            "s = local_session(1, 1)\n"
+            "assert not s.sparkContext.getConf().get('spark.checkpoint.dir', None)\n"
+            "print(cut_lineage(s.range(3)).count(), checkpoint_dir(s) == checkpoint_dir(s))")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"SPARK_CONF_DIR": tempfile.mkdtemp(prefix="parley-conf-"), "PYTHONPATH": root, "PYSPARK_GATEWAY_PORT": ""}
+    env.pop("PYSPARK_GATEWAY_PORT")
+    run = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=180)
+    assert run.stdout.strip().endswith("3 True"), run.stderr[-2000:]
 
 
 def test_read_pdfs_and_text_files(spark):
