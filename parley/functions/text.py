@@ -99,6 +99,73 @@ def speech_text(c) -> Column:
     return F.regexp_replace(t, r"^[ \t]*(•|\d+\.)[ \t]+", "")
 
 
+# Line joins: how a line ends and begins.
+INK = r"[^ \t\r]"
+LINE_TAIL = r"[ \t\r]+$"
+LIST_ITEM = r"^[ \t]*([•‣*–-]|\d{1,3}[.)]|[a-z][)])[ \t]+"
+LABEL_START = r"^[ \t]*[\p{L}\p{N} /&-]{1,30}:([ \t]|$)"
+SENTENCE_END = r"""[.!?:;…]["'”’»)\]]*$"""
+LOWER_START = r"^[ \t]*\p{Ll}"
+TITLE_START = r"^[ \t]*(\p{Lu}|\d+(\.\d+)*[ \t])"
+TITLE_STOP = r"[,-]$"
+HEADING_WORDS = 8
+LONG_LINE = 40                 # a line as long as this was broken by the page, not by its writer
+HYPHEN = r"[-\x{2010}\x{ad}]$"
+CUT_HEAD = r"(\p{L}+)[-\x{2010}\x{ad}]$"
+CUT_TAIL = r"^[ \t]*(\p{Ll}\p{L}*)"
+HYPHENATED = r"\p{L}+-\p{L}+"
+
+
+def line_kinds(lines: Column) -> Column:
+    """For each line a struct: the line without white space at its end, whether it
+    is blank, a list item, a label (``Key: value``), and a heading (a short line
+    behind a blank one or at the start, which begins like a title, ends no
+    sentence and does not go on in lower case)."""
+    def kind(line: Column, i: Column) -> Column:
+        text = F.regexp_replace(line, LINE_TAIL, "")
+        first = F.coalesce(~F.get(lines, i - 1).rlike(INK), F.lit(True))
+        short = F.size(F.split(F.trim(text), r"[ \t]+")) <= HEADING_WORDS
+        item = text.rlike(LIST_ITEM)
+        goes_on = F.coalesce(F.get(lines, i + 1).rlike(LOWER_START), F.lit(False))
+        heading = first & short & ~goes_on & text.rlike(TITLE_START) & ~text.rlike(SENTENCE_END) & ~text.rlike(TITLE_STOP) & ~item
+        return F.struct(text.alias("text"), (~line.rlike(INK)).alias("blank"), item.alias("item"), text.rlike(LABEL_START).alias("label"),
+                        heading.alias("heading"))
+    return F.transform(lines, kind)
+
+
+def cut_words(kinds: Column) -> Column:
+    """For each line the word that its end cuts, with a hyphen (``exam-ple``),
+    else an empty text."""
+    def word(a: Column, b: Column) -> Column:
+        head, tail = F.regexp_extract(a["text"], CUT_HEAD, 1), F.regexp_extract(F.coalesce(b["text"], F.lit("")), CUT_TAIL, 1)
+        return F.when((head != "") & (tail != ""), F.concat(head, F.lit("-"), tail)).otherwise(F.lit(""))
+    return F.zip_with(kinds, F.slice(kinds, 2, F.size(kinds)), word)
+
+
+def line_joints(kinds: Column, cut: Column, hyphenated: Column) -> Column:
+    """What stands between each line and the next: ``line``, ``space`` (a
+    sentence goes on), ``word`` (a word goes on), ``hyphen`` (a word that the
+    document, in ``hyphenated``, writes with its hyphen) or ``end``."""
+    def joint(a: Column, i: Column) -> Column:
+        b, text, word = F.get(kinds, i + 1), a["text"], F.get(cut, i)
+        apart = a["blank"] | a["heading"] | b["blank"] | b["item"] | b["heading"]
+        goes_on = b["text"].rlike(LOWER_START) | text.rlike(",$") | ((F.length(text) >= LONG_LINE) & ~b["label"])
+        return (F.when(b.isNull(), F.lit("end")).when(apart, F.lit("line"))
+                .when(word != "", F.when(F.array_contains(hyphenated, word), F.lit("hyphen")).otherwise(F.lit("word")))
+                .when(goes_on & ~text.rlike(SENTENCE_END), F.lit("space")).otherwise(F.lit("line")))
+    return F.transform(kinds, joint)
+
+
+def lines_joined(kinds: Column, joints: Column) -> Column:
+    def piece(a: Column, i: Column) -> Column:
+        before, behind = F.coalesce(F.get(joints, i - 1), F.lit("line")), F.get(joints, i)
+        text = F.when(before == "line", a["text"]).otherwise(F.regexp_replace(a["text"], r"^[ \t]+", ""))
+        bare = F.regexp_replace(text, HYPHEN, "")
+        return (F.when(behind == "line", F.concat(text, F.lit("\n"))).when(behind == "space", F.concat(text, F.lit(" ")))
+                .when(behind == "word", bare).when(behind == "hyphen", F.concat(bare, F.lit("-"))).otherwise(text))
+    return F.array_join(F.transform(kinds, piece), "")
+
+
 def drop_commentary(c) -> Column:
     """Remove whole lines that are model commentary (``Here's the cleaned text:``)."""
     return F.array_join(

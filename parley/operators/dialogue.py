@@ -27,6 +27,7 @@ ESCAPE_PAIR = r"\\[\s\S]"
 PLAIN_ESCAPE = r"""\\[\\"'ntr]"""
 FILLER_OR_REACTION = r"(?i)(^|[^\p{L}\p{N}_])(u+m+|h+m+)([^\p{L}\p{N}_]|$)|\[(laughs|sigh)\]"
 DIALOGUE_LINE = r"(?s)^(Speaker [12]):[ \t]*(.*)$"
+TURN_LINE = r"^Speaker \d+:"
 
 
 def is_candidate(line: Column) -> Column:
@@ -182,14 +183,48 @@ def format_contract(replies: DataFrame, key: str = "episode_id", reply: str = "r
         "ok", (F.col("n_bad_labels") == 0) & (F.col("n_blank_lines") == 0) & ~F.col("has_fence"))
 
 
+def _turns(transcripts: DataFrame, key: str, text: str) -> DataFrame:
+    """``_lines`` and, in ``_at``, the places of the lines that begin a turn."""
+    d = transcripts.select(key, F.split(F.col(text), "\n").alias("_lines"))
+    return d.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i).rlike(TURN_LINE)))
+
+
 def dialogue_lines(transcripts: DataFrame, key: str = "episode_id", text: str = "text") -> DataFrame:
-    """``Speaker 1: …`` / ``Speaker 2: …`` lines to rows (others skipped)."""
-    d = transcripts.select(key, F.posexplode_outer(F.split(F.col(text), "\n")).alias("line_no", "_l"))
-    m = d.where(F.col("_l").rlike(DIALOGUE_LINE))
-    return m.select(key, "line_no", F.regexp_extract("_l", DIALOGUE_LINE, 1).alias("speaker"),
+    """``Speaker 1: …`` / ``Speaker 2: …`` turns to rows, with the number of their
+    first line; the lines up to the next label belong to the turn (blank ones
+    at its end do not).  Turns with another number and lines before the first
+    label are no rows; :func:`unread_lines` counts them."""
+    d = _turns(transcripts, key, text)
+    turns = F.zip_with("_at", F.slice("_at", 2, F.size("_at")), lambda a, b: F.struct(a.alias("line_no"), F.coalesce(b, F.size("_lines")).alias("end")))
+    d = d.select(key, "_lines", F.explode(turns).alias("_t"))
+    body = F.array_join(F.slice("_lines", F.col("_t.line_no") + 1, F.col("_t.end") - F.col("_t.line_no")), "\n")
+    d = d.select(key, "_t.line_no", F.regexp_replace(body, r"\n\s*$", "").alias("_l")).where(F.col("_l").rlike(DIALOGUE_LINE))
+    return d.select(key, "line_no", F.regexp_extract("_l", DIALOGUE_LINE, 1).alias("speaker"),
                     F.regexp_extract("_l", DIALOGUE_LINE, 2).alias("text"))
 
 
+def unread_lines(transcripts: DataFrame, key: str = "episode_id", text: str = "text") -> DataFrame:
+    """Per transcript: n_lines with text, n_turns (of Speaker 1 and 2), and how
+    many lines with text belong to none of them (n_unread)."""
+    d = _turns(transcripts, key, text)
+    # Whether a line lies in a turn that is read: the label of the last turn at or before it.
+    labels = F.transform("_at", lambda i: F.get("_lines", i).rlike(DIALOGUE_LINE))
+    d = d.withColumn("_read", labels).withColumn("_ends", F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_lines"))))
+    ink = lambda lines: F.size(F.filter(lines, lambda x: x.rlike(r"\S")))
+    part = lambda a, b: ink(F.slice("_lines", a + 1, b - a))
+    unread = F.zip_with(F.arrays_zip("_at", "_ends"), "_read", lambda t, r: F.when(r, F.lit(0)).otherwise(part(t["_at"], t["_ends"])))
+    before = F.when(F.size("_at") > 0, part(F.lit(0), F.get("_at", F.lit(0)))).otherwise(ink(F.col("_lines")))
+    return d.select(key, ink(F.col("_lines")).alias("n_lines"), F.size(F.filter("_read", lambda r: r)).alias("n_turns"),
+                    (before + F.when(F.size("_at") > 0, F.aggregate(unread, F.lit(0), lambda a, x: a + x)).otherwise(0)).alias("n_unread"))
+
+
+def fillers_by_speaker(segments: DataFrame, key: str = "episode_id") -> DataFrame:
+    """Turns, fillers and reactions of each speaker (partial sums; a null
+    speaker is one of its own)."""
+    return segments.groupBy(key, "speaker").agg(F.count(F.lit(1)).alias("n_turns"), F.sum(T.filler_count("text")).alias("n_fillers"),
+                                                F.sum(T.literal_count("text", "[laughs]")).alias("n_laughs"), F.sum(T.literal_count("text", "[sigh]")).alias("n_sighs"))
+
+
 def render_transcripts(segments: DataFrame, key: str = "episode_id", order: str = "seg_idx") -> DataFrame:
     """Segments -> ``Speaker N: text`` lines per episode."""
     parts = F.array_sort(F.collect_list(F.struct(

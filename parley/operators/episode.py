@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import fixed as FX
+from parley.functions import text as T
 from parley.operators.dims import bounded_broadcast
 from parley.operators.scan import Linked, running_sum
 
@@ -261,6 +262,16 @@ def timeline_parts(synth: DataFrame, pauses: DataFrame | Column) -> DataFrame:
             .select(KEY, IDX, "p.part_no", "p.kind", "p.advance_ms", "p.start_ms"))
 
 
+def previews(transcripts: DataFrame, segments: DataFrame) -> DataFrame:
+    """Per segment: previews of its transcript and of its text, and whether it
+    is the first of its episode.  Transcripts without segments have one row."""
+    t = transcripts.select(KEY, T.preview("text", FX.PREVIEW_TRANSCRIPT_CHARS).alias("transcript_preview"))
+    first = segments.groupBy(KEY).agg(F.min(IDX).alias("_first"))
+    s = segments.select(KEY, IDX, T.preview("text", FX.PREVIEW_TEXT_CHARS).alias("segment_preview"))
+    return (t.join(first, KEY, "left").join(s, KEY, "left")
+            .select(KEY, IDX, "transcript_preview", "segment_preview", F.coalesce(F.col(IDX) == F.col("_first"), F.lit(False)).alias("is_first")))
+
+
 def _manifest_entry(provider: str, run_date: Column, ok_col: str) -> Column:
     tagged = provider == "openai"      # only the OpenAI variant writes tags
 

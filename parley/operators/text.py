@@ -110,3 +110,25 @@ def rule_clean(df: DataFrame, text: str = "text") -> DataFrame:
 def nonempty(c: Column) -> Column:
     """Non-empty guard for strings (null counts as empty)."""
     return F.coalesce(F.length(c), F.lit(0)) > 0
+
+
+def join_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Lines that the page broke are joined again, so that a text can be read
+    aloud: a broken sentence by a space, a broken word without its hyphen (with it
+    if the document writes it so elsewhere).  Blank lines, headings, list items and
+    labels stay apart.  Replaces ``text``; adds n_lines_before, n_lines_after,
+    words_before and words_after (a joined word counts once).  Narrow; each step is a
+    column of its own, so no array is computed twice.  A null text stays null."""
+    t = F.col(text)
+    d = docs.withColumn("_lines", F.split(t, "\n"))
+    d = d.withColumn("_kinds", T.line_kinds(F.col("_lines")))
+    d = d.withColumn("_cut", T.cut_words(F.col("_kinds")))
+    wanted = F.array_distinct(F.array_remove("_cut", ""))
+    d = d.withColumn("_known", F.when(F.size(wanted) > 0, F.array_intersect(wanted, F.regexp_extract_all(t, F.lit(T.HYPHENATED), F.lit(0))))
+                     .otherwise(F.array().cast("array<string>")))
+    d = d.withColumn("_joints", T.line_joints(F.col("_kinds"), F.col("_cut"), F.col("_known")))
+    d = d.withColumn("_joined", T.lines_joined(F.col("_kinds"), F.col("_joints")))
+    kept = F.size(F.filter("_joints", lambda j: j.isin("line", "end")))
+    return d.select(*[F.col("_joined").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns],
+                    F.size("_lines").alias("n_lines_before"), kept.alias("n_lines_after"),
+                    T.word_count(t).alias("words_before"), T.word_count("_joined").alias("words_after"))

@@ -197,16 +197,43 @@ def flt_format_contract(spark, sf_dir):
     return D.format_contract(r.withColumn("reply", rep))
 
 
-@query("flt_dialogue_lines", """
-    SELECT episode_id, k AS line_no, regexp_extract(ls[k + 1], '(?s)^(Speaker [12]):[ \\t]*(.*)$', 1) AS speaker,
-           regexp_extract(ls[k + 1], '(?s)^(Speaker [12]):[ \\t]*(.*)$', 2) AS text
-    FROM (SELECT episode_id, ls, unnest(range(len(ls))) AS k
-          FROM (SELECT episode_id, string_split(text, chr(10)) AS ls FROM q_transcripts))
-    WHERE regexp_matches(ls[k + 1], '(?s)^(Speaker [12]):[ \\t]*(.*)$')""", TRANSCRIPTS_CTE)
+_TURNS_SQL = """
+    WITH q_marked_transcripts AS (
+        SELECT episode_id, 'Title of ' || episode_id || chr(10) || chr(10)
+               || string_agg(speaker || ': ' || text || CASE seg_idx % 3 WHEN 1 THEN chr(10) || 'and so on,' || chr(10) || chr(10) || 'Speaker 9' WHEN 2 THEN chr(10) || '  ' ELSE '' END,
+                             chr(10) ORDER BY seg_idx) AS text
+        FROM f_segments GROUP BY episode_id),
+    l AS (SELECT episode_id, k, ls[k + 1] AS l FROM (SELECT episode_id, ls, unnest(range(len(ls))) AS k FROM (SELECT episode_id, string_split(text, chr(10)) AS ls FROM q_marked_transcripts))),
+    t AS (SELECT *, sum(CASE WHEN regexp_matches(l, '^Speaker \\d+:') THEN 1 ELSE 0 END) OVER (PARTITION BY episode_id ORDER BY k) AS turn FROM l),
+    g AS (SELECT episode_id, turn, min(k) AS line_no, regexp_replace(string_agg(l, chr(10) ORDER BY k), '\\n\\s*$', '') AS body,
+                 count_if(regexp_matches(l, '\\S')) AS n FROM t GROUP BY ALL),
+    r AS (SELECT *, turn > 0 AND regexp_matches(body, '^Speaker [12]:') AS read FROM g)"""
+
+
+def _marked_transcripts(spark, sf_dir):
+    """Transcripts with a title; some turns go on over lines."""
+    s, k = FX.segments(spark, sf_dir), F.col("seg_idx") % 3
+    more = F.when(k == 1, F.lit("\nand so on,\n\nSpeaker 9")).when(k == 2, F.lit("\n  ")).otherwise(F.lit(""))
+    t = D.render_transcripts(s.withColumn("text", F.concat("text", more)))
+    return t.select("episode_id", F.concat(F.lit("Title of "), F.col("episode_id").cast("string"), F.lit("\n\n"), F.col("text")).alias("text"))
+
+
+@query("flt_dialogue_lines", _TURNS_SQL + """
+    SELECT episode_id, line_no, regexp_extract(body, '(?s)^(Speaker [12]):[ \\t]*(.*)$', 1) AS speaker,
+           regexp_extract(body, '(?s)^(Speaker [12]):[ \\t]*(.*)$', 2) AS text
+    FROM r WHERE read""")
 def flt_dialogue_lines(spark, sf_dir):
-    """``Speaker N: text`` transcript lines to rows (Speaker 3 lines and
-    continuation lines are skipped)."""
-    return D.dialogue_lines(transcripts(spark, sf_dir))
+    """``Speaker N: text`` turns to rows, the lines that continue a turn joined
+    to it (Speaker 3 turns and the title are not read)."""
+    return D.dialogue_lines(_marked_transcripts(spark, sf_dir))
+
+
+@query("flt_unread_lines", _TURNS_SQL + """
+    SELECT episode_id, CAST(sum(n) AS BIGINT) AS n_lines, count_if(read)::BIGINT AS n_turns, CAST(sum(CASE WHEN read THEN 0 ELSE n END) AS BIGINT) AS n_unread
+    FROM r GROUP BY episode_id""")
+def flt_unread_lines(spark, sf_dir):
+    """Lines of each transcript that are in no turn of Speaker 1 or 2, counted."""
+    return D.unread_lines(_marked_transcripts(spark, sf_dir))
 
 
 @query("win_speaker_runs", """

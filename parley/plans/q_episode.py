@@ -336,18 +336,17 @@ def sink_manifest(spark, sf_dir):
 
 
 @query("sink_preview", """
-    SELECT t.episode_id, substring(t.text, 1, 500) || '...' AS transcript_preview,
-           substring(s.text, 1, 50) || '...' AS first_segment_preview
-    FROM q_transcripts t JOIN f_segments s ON s.episode_id = t.episode_id AND s.seg_idx = 0""", TRANSCRIPTS_CTE)
+    SELECT t.episode_id, s.seg_idx, substring(t.text, 1, 500) || '...' AS transcript_preview,
+           substring(s.text, 1, 50) || '...' AS segment_preview, coalesce(s.seg_idx = min(s.seg_idx) OVER (PARTITION BY t.episode_id), false) AS is_first
+    FROM (SELECT * FROM q_transcripts UNION ALL SELECT -1, 'An episode without segments') t
+    LEFT JOIN f_segments s ON s.episode_id = t.episode_id""", TRANSCRIPTS_CTE)
 def sink_preview(spark, sf_dir):
-    """Console previews as columns: 500 characters of the transcript and 50
-    of the first segment, always followed by ``...``."""
-    t = transcripts(spark, sf_dir).select("episode_id", T.preview("text", FXV.PREVIEW_TRANSCRIPT_CHARS)
-                                          .alias("transcript_preview"))
-    s = FX.segments(spark, sf_dir)
-    first = s.where(F.col("seg_idx") == 0).select(
-        "episode_id", T.preview("text", FXV.PREVIEW_TEXT_CHARS).alias("first_segment_preview"))
-    return t.join(first, "episode_id")
+    """Console previews as columns: 500 characters of the transcript and 50 of
+    each segment, always followed by ``...``; a transcript without segments
+    stays."""
+    t = transcripts(spark, sf_dir).select("episode_id", "text")
+    t = t.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("episode_id"), F.lit("An episode without segments").alias("text")))
+    return E.previews(t, FX.segments(spark, sf_dir))
 
 
 @query("sort_segments", "SELECT episode_id, seg_idx, speaker FROM f_segments ORDER BY episode_id, seg_idx")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.operators import dialogue as D
 from parley.operators import text as X
 from parley.plans.fixture_sql import NL, strip, words
 from parley.plans.registry import query
@@ -110,6 +111,57 @@ def str_speech_text(spark, sf_dir):
                     T.word_count(T.speech_text("text")).alias("words_after"))
 
 
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+# Broken lines behind the text of each document, by ``doc_id % 6``.
+_BROKEN = ["\n\nThe hub is certi-\nfied for outdoor\nuse, as a well-known\nhouse writes. A well-\nknown one.",
+           "\n\nKey Details\nThe device runs on\na system.\n• one item that\n  goes on\n• two",
+           "\n\nDisplay: colour touch screen of the first kind\nMemory: large\nSensors,\nGyroscope",
+           "\n\nThis line is longer than forty characters and\nGoes on. It ends.\nNew one",
+           "\n1. first\n2) second\nthird \t\r\n\n\n  indented\n  again",
+           "\n\nfür die Über-\nführung und die Über-\nFührung\n"]
+_JOIN_SQL = f"""
+    WITH b AS (
+        SELECT doc_id, text || CASE doc_id % 6 {' '.join(f'WHEN {k} THEN ' + ' || chr(10) || '.join(_sql(p) for p in t.split(chr(10))) for k, t in enumerate(_BROKEN))} END AS text
+        FROM documents),
+    l AS (SELECT *, string_split(text, chr(10)) AS ls FROM b),
+    e AS (SELECT doc_id, text, ls, k, ls[k] AS raw, regexp_replace(ls[k], {_sql(T.LINE_TAIL)}, '') AS t FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS k FROM l)),
+    kinds AS (
+        SELECT *, NOT regexp_matches(raw, {_sql(T.INK)}) AS blank, regexp_matches(t, {_sql(T.LIST_ITEM)}) AS item, regexp_matches(t, {_sql(T.LABEL_START)}) AS label,
+               (k = 1 OR NOT regexp_matches(ls[k - 1], {_sql(T.INK)})) AND len(regexp_split_to_array(trim(t), '[ \\t]+')) <= 8
+               AND regexp_matches(t, {_sql(T.TITLE_START)}) AND NOT regexp_matches(t, {_sql(T.SENTENCE_END)}) AND NOT regexp_matches(t, {_sql(T.TITLE_STOP)})
+               AND NOT regexp_matches(t, {_sql(T.LIST_ITEM)}) AND NOT coalesce(regexp_matches(ls[k + 1], {_sql(T.LOWER_START)}), false) AS heading
+        FROM e),
+    pair AS (
+        SELECT *, lead(t) OVER w AS nt, lead(blank) OVER w AS nblank, lead(item) OVER w AS nitem, lead(label) OVER w AS nlabel, lead(heading) OVER w AS nheading,
+               regexp_extract(t, {_sql(T.CUT_HEAD)}, 1) AS head, regexp_extract(coalesce(lead(t) OVER w, ''), {_sql(T.CUT_TAIL)}, 1) AS tail
+        FROM kinds WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+    j AS (
+        SELECT *, CASE WHEN nt IS NULL THEN 'end' WHEN blank OR heading OR nblank OR nitem OR nheading THEN 'line'
+                       WHEN head <> '' AND tail <> '' THEN CASE WHEN list_contains(regexp_extract_all(text, {_sql(T.HYPHENATED)}), head || '-' || tail) THEN 'hyphen' ELSE 'word' END
+                       WHEN (regexp_matches(nt, {_sql(T.LOWER_START)}) OR ends_with(t, ',') OR (length(t) >= 40 AND NOT nlabel))
+                            AND NOT regexp_matches(t, {_sql(T.SENTENCE_END)}) THEN 'space' ELSE 'line' END AS joint FROM pair),
+    p AS (
+        SELECT *, CASE WHEN coalesce(lag(joint) OVER (PARTITION BY doc_id ORDER BY k), 'line') = 'line' THEN t ELSE regexp_replace(t, '^[ \\t]+', '') END AS own FROM j),
+    o AS (
+        SELECT doc_id, any_value(text) AS before,
+               string_agg(CASE joint WHEN 'line' THEN own || chr(10) WHEN 'space' THEN own || ' ' WHEN 'word' THEN regexp_replace(own, {_sql(T.HYPHEN)}, '')
+                               WHEN 'hyphen' THEN regexp_replace(own, {_sql(T.HYPHEN)}, '') || '-' ELSE own END, '' ORDER BY k) AS text,
+               count(*) AS n_lines_before, CAST(count_if(joint IN ('line', 'end')) AS BIGINT) AS n_lines_after
+        FROM p GROUP BY doc_id)
+    SELECT doc_id, text, n_lines_before, n_lines_after, len({words('before')}) AS words_before, len({words('text')}) AS words_after FROM o"""
+
+
+@query("str_join_lines", _JOIN_SQL)
+def str_join_lines(spark, sf_dir):
+    """Line joins: broken sentences, words and list items joined, headings,
+    labels and blank lines kept apart, with the words retained."""
+    broken = F.element_at(F.array(*[F.lit(b) for b in _BROKEN]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return X.join_lines(FX.documents(spark, sf_dir).select("doc_id", F.concat("text", broken).alias("text")))
+
+
 _COMMENT_RE = r"(?is)^[ \t]*((here('s| is) (the )?cleaned text[^:]{0,60}|sure[^a-z0-9:][^:]{0,60}):|sure[!.,]?)[ \t]*$".replace("'", "''")
 
 
@@ -159,6 +211,21 @@ def str_filler_counts(spark, sf_dir):
                     T.literal_count("text", "[sigh]").alias("n_sighs"))
 
 
+@query("agg_filler_by_speaker", """
+    SELECT episode_id, speaker, count(*) AS n_turns,
+           CAST(sum(len(list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+'), lambda t: regexp_matches(t, '(?i)^(u+m+|h+m+)$')))) AS BIGINT) AS n_fillers,
+           CAST(sum((length(text) - length(replace(text, '[laughs]', ''))) / 8) AS BIGINT) AS n_laughs,
+           CAST(sum((length(text) - length(replace(text, '[sigh]', ''))) / 6) AS BIGINT) AS n_sighs
+    FROM (SELECT episode_id, speaker, CASE seg_idx % 4 WHEN 1 THEN 'Hmm, [laughs] ' || text WHEN 3 THEN 'umm... [sigh]' || text ELSE text END AS text FROM f_segments)
+    GROUP BY episode_id, speaker""")
+def agg_filler_by_speaker(spark, sf_dir):
+    """Fillers and reactions of each speaker of an episode (injected into two
+    of four turns)."""
+    s, k = FX.segments(spark, sf_dir), F.col("seg_idx") % 4
+    t = F.when(k == 1, F.concat(F.lit("Hmm, [laughs] "), F.col("text"))).when(k == 3, F.concat(F.lit("umm... [sigh]"), F.col("text"))).otherwise(F.col("text"))
+    return D.fillers_by_speaker(s.withColumn("text", t))
+
+
 @query("agg_chunks_to_doc", """
     SELECT doc_id, string_agg(text || chr(10) || chr(10), '' ORDER BY chunk_idx) AS text FROM f_chunks GROUP BY doc_id""")
 def agg_chunks_to_doc(spark, sf_dir):
