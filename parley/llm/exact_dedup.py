@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 import pickle
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -129,31 +130,43 @@ class PatriciaTrie:
 
     def drain(self) -> Iterator[Entry]:
         """All distinct texts; empties the trie and its files."""
-        yield from self._entries(self.root, b"")
-        self.root = Node(b"")
-        for first, path in sorted(self.spilled.items()):
-            # Below the first byte the texts part again: drop it from the keys.
-            sub = PatriciaTrie(self.budget)
-            ended: Entry | None = None
-            with open(path, "rb") as f:
-                while True:
-                    try:
-                        text, best, rows = pickle.load(f)
-                    except EOFError:
-                        break
-                    if len(text) == 1:
-                        ended = (text, larger(ended[1], best), ended[2] + rows) if ended else (text, best, rows)
-                    else:
-                        sub.insert(text[1:], best, rows)
-            os.unlink(path)
-            if ended:
-                yield ended
-            head = bytes([first])
-            for text, best, rows in sub.drain():
+        todo = [(b"", self)]
+        while todo:
+            head, trie = todo.pop()
+            for text, best, rows in trie._entries(trie.root, b""):
                 yield head + text, best, rows
-        if self.spilled:
-            os.rmdir(self.folder)
-            self.spilled = {}
+            trie.root, trie.held = Node(b""), 0
+            for _, path in sorted(trie.spilled.items()):
+                # The texts of a subtree part at the end of their common prefix: there the next trie begins.
+                prefix = None
+                for text, _, _ in self._read(path):
+                    prefix = text if prefix is None else prefix[:common(prefix, text, 0)]
+                sub = PatriciaTrie(self.budget, self.folder)
+                for text, best, rows in self._read(path):
+                    sub.insert(text[len(prefix):], best, rows)
+                os.unlink(path)
+                if sub.spilled:
+                    todo.append((head + prefix, sub))  # its own files are still to come
+                else:
+                    for text, best, rows in sub._entries(sub.root, b""):
+                        yield head + prefix + text, best, rows
+            trie.spilled = {}
+        self.close()
+
+    @staticmethod
+    def _read(path: str) -> Iterator[Entry]:
+        with open(path, "rb") as f:
+            while True:
+                try:
+                    yield pickle.load(f)
+                except EOFError:
+                    return
+
+    def close(self) -> None:
+        """Remove what lies in the task's folder."""
+        if self.folder:
+            shutil.rmtree(self.folder, ignore_errors=True)
+            self.folder = None
 
 
 def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +187,13 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The owner of a partition."""
     trie = PatriciaTrie()
+    try:
+        yield from _owned(trie, batches)
+    finally:  # also if the task fails
+        trie.close()
+
+
+def _owned(trie: PatriciaTrie, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 4096):
         for text, best, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             trie.insert(text, best, rows)
