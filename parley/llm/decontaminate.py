@@ -13,6 +13,10 @@ blocks, so all of them are found.  Candidates are verified by the exact
 weighted-shingle similarity, the sum of the smaller counts over the sum of the
 larger ones.
 
+Items of fewer than five words have one shingle, all of theirs; so has a window
+of as many words, and the two are as similar as they are equal.  Texts are held
+against such items in windows of that size at every place.
+
 DataFrame functions only.  The shingles of the benchmark are broadcast only
 if they were counted to be few; else they are joined by shuffle.  A common
 passage or many copies of a document cost one fingerprint: windows are folded
@@ -20,7 +24,7 @@ by content before they are compared.
 
 Defined results: null and empty texts and items have no shingles and match
 nothing; a document or item shorter than five words has one shingle of all its
-words; each row of ``docs`` gets a row, repeated rows and null ids too; ties
+words; an item of fewer words is found in texts of any length; each row of ``docs`` gets a row, repeated rows and null ids too; ties
 for the best item go to the smallest item id; empty tables give results
 without matches.  Other columns are ignored by ``decontamination`` and kept by
 ``drop_contaminated``.
@@ -115,6 +119,23 @@ def best_starts(hits: DataFrame, similarity: float) -> DataFrame:
     return rows.select("text_key", "n", F.explode(starts).alias("start"))
 
 
+def short_matches(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame | None:
+    """``text_key, item_id, start, similarity`` for items of fewer than five
+    words; None if there are none.  Only the sizes that occur are looked at."""
+    sizes = sorted(r["n"] for r in items.select("n").distinct().collect())  # four at most
+    if not sizes:
+        return None
+    texts = docs.select(text_key(F.col(text_col)).alias("text_key"), words_of(F.col(text_col)).alias("words"))
+    texts = texts.withColumn("size", F.size("words"))
+    at = lambda k: F.transform(F.sequence(F.lit(0), F.col("size") - k), lambda i: F.struct(F.lit(k).alias("n"), i.alias("start"), F.slice("words", i + 1, k).alias("words")))
+    none = F.array().cast("array<struct<n:int,start:int,words:array<string>>>")
+    windows = F.concat(*[F.when(F.col("size") >= k, at(k)).otherwise(none) for k in sizes])
+    some = items.select("n", "words", "item_id")
+    some = F.broadcast(some) if some.count() <= BROADCAST_SHINGLES // 64 else some  # of up to four words
+    met = texts.select("text_key", F.explode(windows).alias("w")).select("text_key", "w.n", "w.start", "w.words").join(some, ["n", "words"])
+    return met.select("text_key", "item_id", "start", F.lit(1.0).alias("similarity"))
+
+
 def contaminated_texts(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, text_col: str = "text",
                        item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``text_key, item_id, start, similarity``: the windows of a distinct text
@@ -122,7 +143,9 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, similarity: float = SI
     bench = items.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     # Items of equal words are compared once, under their smallest id.
     bench = bench.groupBy("words").agg(F.min("item_id").alias("item_id")).withColumn("n", F.size("words"))
-    bench = stored(bench.withColumn("h", shingle_hashes(F.col("words"))), "items")
+    every = stored(bench, "bench")
+    few = short_matches(docs, every.where(F.col("n") < SHINGLE), text_col)
+    bench = stored(every.where(F.col("n") >= SHINGLE).withColumn("h", shingle_hashes(F.col("words"))), "items")
     places = stored(bench.select("n", F.posexplode("h").alias("at", "h")).distinct(), "places")
     lookup = F.broadcast(places) if places.count() <= BROADCAST_SHINGLES else places
 
@@ -148,7 +171,9 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, similarity: float = SI
     both = near.join(win_w, ["n", "win_key"]).join(item_w.withColumnRenamed("w", "item_w"), ["n", "item_id", "h"])
     same = both.groupBy("n", "win_key", "item_id", "win_total", "item_total").agg(F.sum(F.least("w", "item_w")).alias("shared"))
     match = same.withColumn("similarity", F.col("shared") / (F.col("win_total") + F.col("item_total") - F.col("shared"))).where(F.col("similarity") >= similarity)
-    return windows.select("text_key", "n", "start", "win_key").join(match.select("n", "win_key", "item_id", "similarity"), ["n", "win_key"]).select("text_key", "item_id", "start", "similarity")
+    found = windows.select("text_key", "n", "start", "win_key").join(match.select("n", "win_key", "item_id", "similarity"), ["n", "win_key"])
+    found = found.select("text_key", "item_id", "start", "similarity")
+    return found if few is None else found.unionByName(few)
 
 
 def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
