@@ -2,10 +2,12 @@
 
 The token counts of the cells (source x language x topic) are raked: sweep by
 sweep they are scaled so that the sums by source, by language and by topic
-meet the target shares.  A document is then kept with the calibrated
-probability of its cell, by a keyed draw from its id.  The probabilities are
-scaled so that the largest is 1: the largest sample without replacement whose
-expected token shares are the raked ones.
+meet the target shares.  A document is then taken so often as the raked weight
+of its cell asks for on average, ``p`` times: below 1 this is the calibrated
+probability that it is kept, by a keyed draw from its id; above 1 it is repeated,
+the whole part of ``p`` always and once more by the draw.  The scale is a token
+budget, so the expected token shares are the raked ones whatever the rarest cell
+is.
 
 DataFrame functions only.  Documents are first summed to cells, so a source
 that holds a third of all rows is one partial sum for each task; the cell
@@ -13,8 +15,8 @@ table is joined back by size (a broadcast only if it is small, else by
 shuffle, where skewed keys are split).
 
 Defined results: a null source, language or topic is a value of its own;
-documents without words have no tokens and are kept with the probability of
-their cell, or 0 if no document of the cell has words; a null id draws by its
+documents without words have no tokens and are taken as often as others of
+their cell, or never if no document of the cell has words; a null id draws by its
 text; repeated rows draw alike; an empty table gives an empty result.  Targets
 that a table does not reach (a cell that does not exist) are met as far as
 raking converges within ``max_sweeps``.  Columns of ``docs`` named like a
@@ -83,19 +85,25 @@ def draw(id_col: Column, text: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mixing_probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = 0.8, seed: str = "mix ",
+def mixing_probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = 0.8, budget: float = 1.0, seed: str = "mix ",
                          id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None) -> DataFrame:
-    """All columns of ``docs`` and ``topic``, ``tokens``, ``p`` (the calibrated
-    probability) and ``selected``.  Without ``targets`` the shares by source,
-    language and topic are the present ones to ``power``, made to sum to 1."""
-    docs = docs.drop("tokens", "p", "selected", "weight", "_p", *([] if topic is None and "topic" in docs.columns else ["topic"]))
+    """All columns of ``docs`` and ``topic``, ``tokens``, ``p`` (how often a
+    document is taken on average), ``copies`` (how often it is) and ``selected``
+    (at least once).  The expected tokens are ``budget`` times those of ``docs``.
+    Without ``targets`` the shares by source, language and topic are the present
+    ones to ``power``, made to sum to 1."""
+    docs = docs.drop("tokens", "p", "copies", "selected", "weight", "_p", *([] if topic is None and "topic" in docs.columns else ["topic"]))
     if "topic" not in docs.columns:
         docs = docs.withColumn("topic", F.coalesce(topic if topic is not None else topic_of(F.col(text_col)), F.lit("none")))
     rows = docs.withColumn("tokens", n_words(F.col(text_col)))
     cells = stored(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "sums")
     raked = rake(cells, targets or {d: tempered(cells, d, power) for d in DIMS})
-    factor = raked.withColumn("_g", F.col("weight") / F.col("tokens"))
-    factor = factor.select(*[F.col(d).alias(f"_c_{d}") for d in DIMS], (F.col("_g") / over_all(F.max("_g"))).alias("_p"))
+    whole = cells.agg(F.sum("tokens")).first()[0] or 0  # one number
+    # The raked weights sum to 1 where the targets can be met; else the budget is shared by what they sum to.
+    often = F.lit(budget * whole) * F.col("weight") / over_all(F.sum("weight")) / F.col("tokens")
+    factor = raked.select(*[F.col(d).alias(f"_c_{d}") for d in DIMS], often.alias("_p"))
     same = [F.col(d).eqNullSafe(F.col(f"_c_{d}")) for d in DIMS]
     out = rows.join(stored(factor, "factors"), same, "left").drop(*[f"_c_{d}" for d in DIMS])
-    return out.withColumn("p", F.coalesce("_p", F.lit(0.0))).drop("_p").withColumn("selected", draw(F.col(id_col), F.col(text_col), seed) < F.col("p"))
+    out = out.withColumn("p", F.coalesce("_p", F.lit(0.0))).drop("_p")
+    more = (draw(F.col(id_col), F.col(text_col), seed) < F.col("p") - F.floor("p")).cast("long")
+    return out.withColumn("copies", F.floor("p").cast("long") + more).withColumn("selected", F.col("copies") > 0)

@@ -57,7 +57,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing_probabilities(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("p", 6).alias("p"), "selected")
+    return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("p", 6).alias("p"), "copies", "selected")
 
 
 def vocabulary_path() -> str:
@@ -146,14 +146,14 @@ def mixing_sql(documents: str = "documents", power: float = 0.8, sweeps: int = 4
         for d in dims:
             ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (w * s_{d} / sum(w) OVER (PARTITION BY {d}) AS w) FROM w{k})")
             k += 1
-    ctes.append(f"f AS (SELECT source, lang, topic, (w / tokens) / max(w / tokens) OVER () AS p FROM w{k})")
+    ctes.append(f"f AS (SELECT source, lang, topic, (SELECT sum(tokens) FROM c) * w / sum(w) OVER () / tokens AS p FROM w{k})")
     draw = f"('0x' || substr(md5('{seed}' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 8))::BIGINT / 4294967296.0"
-    ctes.append(f"""m AS (SELECT r.*, coalesce(f.p, 0.0) AS p, {draw} < coalesce(f.p, 0.0) AS selected FROM r LEFT JOIN f
+    ctes.append(f"""m AS (SELECT r.*, coalesce(f.p, 0.0) AS p, (floor(coalesce(f.p, 0.0)) + ({draw} < coalesce(f.p, 0.0) - floor(coalesce(f.p, 0.0)))::INT)::BIGINT AS copies FROM r LEFT JOIN f
   ON r.source IS NOT DISTINCT FROM f.source AND r.lang IS NOT DISTINCT FROM f.lang AND r.topic = f.topic)""")
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-OP8_SQL = mixing_sql() + "SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS p, selected FROM m"
+OP8_SQL = mixing_sql() + "SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS p, copies, copies > 0 AS selected FROM m"
 
 OP10_SQL = r"""
 WITH words AS (
@@ -163,7 +163,11 @@ WITH words AS (
 filled AS (SELECT kind, id, w, len(w) AS n FROM words WHERE w <> ['']),
 sh AS (
   SELECT kind, id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(n - 4, 1) + 1)) AS i FROM filled)),
-item AS (SELECT min(id) AS item, w, n FROM filled WHERE kind = 'i' GROUP BY w, n),
+every_item AS (SELECT min(id) AS item, w, n FROM filled WHERE kind = 'i' GROUP BY w, n),
+item AS (SELECT * FROM every_item WHERE n >= 5),
+few AS (
+  SELECT DISTINCT s.id AS doc_id, item FROM (SELECT id, w[i:i + k - 1] AS w FROM (SELECT id, w, k, unnest(range(1, n - k + 2)) AS i FROM filled, range(1, 5) r(k) WHERE kind = 'd')) s
+  JOIN every_item e ON e.w = s.w WHERE e.n < 5),
 places AS (SELECT DISTINCT item, n, i, s FROM sh JOIN item ON sh.kind = 'i' AND sh.id = item.item),
 starts AS (
   SELECT DISTINCT sh.id AS doc_id, item, places.n, sh.i - places.i AS b FROM sh JOIN places USING (s) WHERE sh.kind = 'd'),
@@ -176,7 +180,9 @@ wt AS (SELECT doc_id, item, b, sum(c) AS t FROM ws GROUP BY ALL),
 its AS (SELECT item, s, count(*) AS c FROM places JOIN item USING (item) GROUP BY ALL),
 it AS (SELECT item, sum(c) AS t FROM its GROUP BY ALL),
 meet AS (SELECT doc_id, item, b, sum(least(ws.c, its.c)) AS m FROM ws JOIN its USING (item, s) GROUP BY ALL),
-sim AS (SELECT doc_id, item, max(m / (wt.t + it.t - m)) AS sim FROM meet JOIN wt USING (doc_id, item, b) JOIN it USING (item) GROUP BY ALL),
+sim AS (
+  SELECT doc_id, item, max(m / (wt.t + it.t - m)) AS sim FROM meet JOIN wt USING (doc_id, item, b) JOIN it USING (item) GROUP BY ALL
+  UNION ALL SELECT doc_id, item, 1.0 FROM few),
 hit AS (
   SELECT doc_id, count(*) AS n_items, max(sim) AS best, arg_min(item, (-sim, item)) AS best_item FROM sim WHERE sim >= 0.8 GROUP BY 1)
 SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, best_item, round(best, 6) AS best_similarity
