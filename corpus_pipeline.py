@@ -2,7 +2,8 @@
 decontamination, mixing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns the documents that stay
-(the last one also their topic, tokens and probability); it is written as
+(the last one also their topic, tokens, how often each is to be taken on
+average, and how often it is); it is written as
 Parquet and read again as the next one's ``docs``.
 """
 
@@ -41,7 +42,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = mixing_probabilities(docs).where("selected")
-    return out.select("doc_id", "text", "lang", "source", "n_chars", "topic", "tokens", F.round("p", 6).alias("p"))
+    return out.select("doc_id", "text", "lang", "source", "n_chars", "topic", "tokens", F.round("p", 6).alias("p"), "copies")
 
 
 STAGES = [("language id", known_language), ("exact dedup", exact_copies), ("near dedup", near_copies),
