@@ -245,14 +245,9 @@ def removed_spans(n_units: int, length: int, packs, gone) -> list[tuple[int, int
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, units: Units, cut: Callable[[bytes, list[tuple[int, int]]], bytes], count: Callable[[bytes], int],
-                   id_col: str, text_col: str) -> DataFrame:
-    """``id, n_units, spans, kept`` of every row: the removed stretches of units
-    and what is left."""
-    rows = keyed(docs, id_col, text_col)
-    own = lists(rows, units)
-    joined = rows.join(own.hint("shuffle_hash"), "key", "left")
-    gone = repeated(suffixes(joined, units), units)
+def finished(joined: DataFrame, gone: DataFrame, units: Units, cut: Callable[[bytes, list[tuple[int, int]]], bytes], count: Callable[[bytes], int]) -> DataFrame:
+    """``id, n_units, spans, kept`` of every row, from the lists of what stays
+    and of the windows that go."""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
@@ -267,3 +262,13 @@ def remove_repeats(docs: DataFrame, units: Units, cut: Callable[[bytes, list[tup
 
     final = joined.join(gone.hint("shuffle_hash"), "key", "left").select("id", "text", "packs", "gone")
     return final.mapInArrow(finish, "id long, n_units long, spans array<struct<start:long,end:long>>, kept binary")
+
+
+def remove_repeats(docs: DataFrame, units: Units, cut: Callable[[bytes, list[tuple[int, int]]], bytes], count: Callable[[bytes], int],
+                   id_col: str, text_col: str) -> DataFrame:
+    """``id, n_units, spans, kept`` of every row: the removed stretches of units
+    and what is left."""
+    rows = keyed(docs, id_col, text_col)
+    own = lists(rows, units)
+    joined = rows.join(own.hint("shuffle_hash"), "key", "left")
+    return finished(joined, repeated(suffixes(joined, units), units), units, cut, count)

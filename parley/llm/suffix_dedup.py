@@ -1,13 +1,26 @@
 """Suffix-array removal of repeated byte strings.
 
-Every byte covered by a ``length``-byte string that also starts anywhere else
-(in the same document too) is removed.  The suffixes that need sorting are
-those at repeated anchors: a window's anchor is its least 128-byte gram, so
-equal windows are reached through equal anchors, and the other suffixes share
-no window.  Sampled splitters deal the suffixes to buckets by their leading
-bytes at the anchor; a bucket sorts them by several keys and compares
-neighbours (see ``repeats``).  Strings are judged on the input and never cross
-documents.
+Every byte covered by a ``length``-byte string (a window) that also starts
+anywhere else, in the same document too, is removed.
+
+The suffix array is sparse.  A window's anchor is the place of its least
+128-byte gram, so equal windows have their anchors at the same place and only
+suffixes at anchors need sorting; windows next to each other mostly share one
+(a run).  A window is repeated if the suffix at its anchor shares enough bytes
+with another one, and so do the bytes before it, read backwards.
+
+1. Runs of equal content (a 128-bit BLAKE2 digest of the bytes) are counted, by
+   partial sums; runs whose anchor gram no other content has need nothing more.
+2. The suffixes at the other anchors are dealt to buckets by sampled splitters
+   on their leading bytes.  A gram with very many contents may be split, by all
+   the bytes behind and before the anchor.
+3. A bucket sorts the suffixes, and the reversed bytes before the anchors, by a
+   multikey quicksort, and takes the common prefixes of neighbours.  From these
+   follow, for each place in the windows, the classes of equal windows.
+4. Where a split gram goes on in the next bucket, the windows that may equal one
+   across the boundary are compared there: their digests are counted.
+
+Strings are judged on the input and never cross documents.
 
 Defined results: a null text is empty; a text shorter than ``length`` stays
 whole; rows of equal id and text are documents of their own, so both lose what
@@ -17,17 +30,23 @@ read whole; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.anchors import least_gram
-from parley.llm.repeats import Units, remove_repeats
+from parley.llm.anchors import least_gram, multikey_order, runs
+from parley.llm.common import as_bytes, pieces, stored
+from parley.llm.repeats import COUNT_BITS, FLAG_BITS, Units, finished, keyed, leads, unpacked
 from parley.llm.words import BYTE
 
 LENGTH, GRAM, LEAD = 400, 128, 16
+HOT = 512        # entries of a gram beyond which its suffixes may be split
+ROWS = 6000      # suffixes sorted at a time, at least a whole gram that is not split
 
 
 def parse(texts: list[bytes]) -> list[np.ndarray]:
@@ -50,8 +69,195 @@ def byte_units(length: int = LENGTH, gram: int = GRAM) -> Units:
     return Units(length, False, parse, piecer, partial(least_gram, length=length, gram=gram), min(LEAD, gram))
 
 
+def digests(parts: list[bytes]) -> np.ndarray:
+    """Two numbers for each, from a digest of 128 bits."""
+    return np.frombuffer(b"".join(blake2b(p, digest_size=16).digest() for p in parts), np.int64).reshape(-1, 2)
+
+
+def occurrences(rows: DataFrame, units: Units) -> DataFrame:
+    """``mark, c1, c2, key, at, n``: the runs, equal ones of a batch folded;
+    ``at`` packs start and count."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            keys, texts = np.array(batch.column(0).to_pylist(), np.int64), as_bytes(batch.column(1))
+            for r in runs(units.parse(texts), units.length, units.anchor):
+                end = r.start + r.count + units.length - 1
+                content = digests([texts[d][a:b] for d, a, b in zip(r.doc.tolist(), r.start.tolist(), end.tolist())])
+                mark, key, at = r.mark.view(np.int64), keys[r.doc], (r.start << COUNT_BITS) | r.count
+                order = np.lexsort((at, key, content[:, 1], content[:, 0]))
+                mark, content, key, at = mark[order], content[order], key[order], at[order]
+                first = np.flatnonzero(np.concatenate([[True], (content[1:] != content[:-1]).any(axis=1)]))
+                n = np.diff(np.append(first, len(mark)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mark[first], content[first, 0], content[first, 1], key[first], at[first], n)],
+                                                 names=["mark", "c1", "c2", "key", "at", "n"])
+
+    return rows.select("key", "text").mapInArrow(emit, "mark long, c1 long, c2 long, key long, at long, n long")
+
+
+def lists(rows: DataFrame, units: Units) -> DataFrame:
+    """``key, packs``: of each document the runs that stay (flag 1), whose
+    suffixes must be sorted (flag 2), with a gram that may be split (flag 4)."""
+    entries = stored(occurrences(rows, units), "entries")
+    contents = entries.groupBy("mark", "c1", "c2").agg(F.min(F.struct("key", "at")).alias("o"), F.sum("n").alias("n"))
+    # Sums of each task: a gram of a third of all documents is no more than a row a task.
+    several = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))
+    marks = entries.groupBy("mark").agg(several.alias("several"), (F.count(F.lit(1)) > HOT).alias("hot")).where("several").select("mark", "hot")
+    joined = contents.join(marks, "mark", "left")
+    flags = F.when(F.col("n") == 1, 1).otherwise(0) + F.when(F.col("hot").isNotNull(), 2).otherwise(0) + F.when(F.col("hot"), 4).otherwise(0)
+    packed = joined.select(F.col("o.key").alias("key"), (F.shiftleft(F.col("o.at"), FLAG_BITS) + flags).alias("pack"), flags.alias("f")).where("f > 0")
+    return stored(packed.groupBy("key").agg(F.collect_list("pack").alias("packs")), "lists")  # at most the runs of one document
+
+
+SUFFIX = "lead binary, mark long, tail binary, hot boolean, key long, start long, stays boolean, at int, body binary"
+
+
+def suffixes(joined: DataFrame, units: Units) -> DataFrame:
+    """The suffixes to sort: the bytes of a run, with the place of its anchor;
+    ``tail``: what a split goes by, empty where there is none."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 256):
+            rows = []
+            for key, text, packs in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                for start, count, flag in zip(*(x.tolist() for x in unpacked(packs))):
+                    if flag & 2:
+                        rows.append((key, start, bool(flag & 1), bool(flag & 4), text[start:start + count + units.length - 1]))
+            out = [(lead, mark, body[at:] + body[:at][::-1] if hot else b"", hot, key, start, stays, at, body)
+                   for (key, start, stays, hot, body), (lead, mark, at) in zip(rows, leads(units, [r[4] for r in rows]))]
+            types = (pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[c.split()[0] for c in SUFFIX.split(", ")])
+
+    some = joined.where(F.exists("packs", lambda p: p.bitwiseAND(F.lit(2)) != 0))
+    return some.select("key", "text", "packs").mapInArrow(emit, SUFFIX)
+
+
+def sorted_strings(strings: list[bytes], group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of strings of at most ``width`` bytes by group and bytes, and the
+    length of the common prefix of each with the one before it in that order
+    (-1 for the first of a group)."""
+    size = np.array([len(s) for s in strings], np.int64)
+    wide = -(-max(width, 1) // 8) * 8
+    table = np.frombuffer(b"".join(s.ljust(wide, b"\0") for s in strings), np.uint8).reshape(len(strings), wide)
+    words = table.view(">u8")
+    # A shorter string comes first where only the padding makes them equal.
+    order, _ = multikey_order([group, *(words[:, i].astype(np.uint64) for i in range(words.shape[1])), size])
+    a, b = table[order[1:]], table[order[:-1]]
+    differs = a != b
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), wide)
+    common = np.minimum(common, np.minimum(size[order[1:]], size[order[:-1]]))
+    common[group[order[1:]] != group[order[:-1]]] = -1
+    return order, np.concatenate([[-1], common])
+
+
+def least_to_end(prefix: np.ndarray, size: np.ndarray, front: bool) -> np.ndarray:
+    """Of each string of a sorted group the bytes shared with its first (or
+    last) one; for that one its length."""
+    if front:
+        return np.minimum.accumulate(np.concatenate([[size[0]], prefix[1:]]))
+    return np.minimum.accumulate(np.concatenate([[size[-1]], prefix[1:][::-1]]))[::-1]
+
+
+FOUND = "key long, start long, count long, c1 long, c2 long, stays boolean"
+
+
+def compared(rows: list[tuple], length: int, gram: int) -> list[tuple]:
+    """What a stretch of the bucket shows, rows of FOUND: windows that go (as
+    start and count), and, with their digests, windows that may equal one beyond
+    the stretch.  ``rows``: of SUFFIX, in their order."""
+    mark = np.array([r[1] for r in rows], np.int64)
+    group = np.cumsum(np.concatenate([[True], mark[1:] != mark[:-1]]))
+    at, bodies = np.array([r[7] for r in rows], np.int64), [r[8] for r in rows]
+    count = np.array([len(b) for b in bodies], np.int64) - length + 1
+    behind = [b[a:a + length] for a, b in zip(at.tolist(), bodies)]
+    before = [b[:a][::-1] for a, b in zip(at.tolist(), bodies)]
+    order_r, shared_r = sorted_strings(behind, group, length)
+    order_l, shared_l = sorted_strings(before, group, length - gram)
+
+    # Bytes shared with the ends of the stretch where a split gram may go on.
+    reach = np.full(len(rows), -1)
+    for end, front in ((0, True), (-1, False)):
+        if rows[end][3]:
+            own = np.flatnonzero(group[order_r] == group[end])
+            size = np.array([len(behind[i]) for i in order_r[own]])
+            got = least_to_end(np.concatenate([[0], shared_r[own[1:]]]), size, front)
+            reach[order_r[own]] = np.maximum(reach[order_r[own]], got)
+
+    n, m = len(rows), length - gram + 1
+    goes, crosses = np.zeros((n, m), bool), np.zeros((n, m), bool)  # by the distance of the window's start to its anchor
+    class_r, class_l = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(m):
+        own = np.flatnonzero((d <= at) & (d > at - count))
+        if not len(own):
+            continue
+        far = reach[own] >= length - d
+        crosses[own[far], d] = True
+        own = own[~far]
+        if len(own) < 2:
+            continue
+        class_r[order_r] = np.cumsum(shared_r < length - d)
+        class_l[order_l] = np.cumsum(shared_l < d)
+        both = class_r[own] * (n + 1) + class_l[own]
+        by = np.argsort(both, kind="stable")
+        same = both[by[1:]] == both[by[:-1]]
+        goes[own[by], d] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+
+    out = []
+    key, start, stays = ([r[i] for r in rows] for i in (4, 5, 6))
+    r, d = np.nonzero(goes & np.array(stays)[:, None])
+    if len(r):
+        i = at[r] - d
+        by = np.lexsort((i, r))
+        r, i = r[by], i[by]
+        new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1] + 1)]))
+        out += [(key[x], start[x] + y, c, None, None, True) for x, y, c in zip(r[new].tolist(), i[new].tolist(), np.diff(np.append(new, len(r))).tolist())]
+    r, d = np.nonzero(crosses)
+    if len(r):
+        i = (at[r] - d).tolist()
+        content = digests([bodies[x][y:y + length] for x, y in zip(r.tolist(), i)]).tolist()
+        out += [(key[x], start[x] + y, 1, *c, stays[x]) for x, y, c in zip(r.tolist(), i, content)]
+    return out
+
+
+def sorted_buckets(edges: DataFrame, units: Units, gram: int) -> DataFrame:
+    """Sort the suffixes bucket by bucket; rows of FOUND."""
+    length, most = units.length, ROWS
+
+    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            out = compared(held, length, gram)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[c.split()[0] for c in FOUND.split(", ")])
+
+        for batch in pieces(batches, 4096):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(held) >= most and (row[3] or row[1] != held[-1][1]):  # a stretch ends between grams, or within one that may be split
+                    yield flush()
+                    held = []
+                held.append(row)
+        if held:
+            yield flush()
+
+    dealt = edges.repartitionByRange("lead", "mark", "tail").sortWithinPartitions("lead", "mark", "tail")
+    return dealt.mapInArrow(bucket, FOUND)
+
+
+def repeated(edges: DataFrame, units: Units, gram: int) -> DataFrame:
+    """``key, gone``: starts and counts of windows that go, by document."""
+    found = stored(sorted_buckets(edges, units, gram), "found")
+    beyond = found.where("c1 is not null")
+    twice = beyond.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("c1", "c2")
+    gone = found.where("c1 is null").select("key", "start", "count").unionByName(beyond.where("stays").join(twice, ["c1", "c2"]).select("key", "start", "count"))
+    return gone.groupBy("key").agg(F.collect_list(F.struct("start", "count")).alias("gone"))  # of one document
+
+
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, spans`` (removed stretches, byte offsets), ``kept``
     (the remaining bytes) of every row of ``docs``."""
-    out = remove_repeats(docs, byte_units(length, gram), cut, len, id_col, text_col)
+    units, gram = byte_units(length, gram), min(gram, length)
+    rows = keyed(docs, id_col, text_col)
+    joined = rows.join(lists(rows, units).hint("shuffle_hash"), "key", "left")
+    out = finished(joined, repeated(suffixes(joined, units), units, gram), units, cut, len)
     return out.select(F.col("id").alias(id_col), F.col("n_units").alias("n_bytes"), "spans", "kept")

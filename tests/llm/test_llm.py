@@ -48,10 +48,12 @@ def windows_removed(units, length, ids, first):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 1])
-def test_repeated_bytes(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
-    rows = ODD[:8] + ODD[9:]
+@pytest.mark.parametrize("hot,rows_at_a_time", [(512, 6000), (1, 6000), (1, 3), (2, 40)])
+def test_repeated_bytes(spark, monkeypatch, hot, rows_at_a_time):
+    """Also where grams are split: every boundary between stretches is compared across."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "ROWS", rows_at_a_time)
+    rows = ODD[:8] + ODD[9:] + [(20 + i, prose(50 + i, 4) + SHARED[200:300 + 7 * i] + prose(70 + i, 4)) for i in range(20)]
     texts = [(t or "").encode() for _, t in rows]
     gone = windows_removed(texts, 60, list(range(len(rows))), False)
     want = sorted((str(i), len(t), bytes(np.frombuffer(t, np.uint8)[~g])) for (i, _), t, g in zip(rows, texts, gone))
@@ -59,6 +61,37 @@ def test_repeated_bytes(spark, monkeypatch, hot):
     assert sorted((str(r.doc_id), r.n_bytes, bytes(r.kept)) for r in got) == want
 
 
+def test_sorted_strings():
+    r = random.Random(8)
+    strings = [bytes(r.choice([0, 0, 1, 97]) for _ in range(r.randint(0, 20))) for _ in range(400)] + [b"", b"\0", b"\0\0", b"\0\0"]
+    group = np.array([r.randrange(3) for _ in strings])
+    order, shared = suffix_dedup.sorted_strings(strings, group, 20)
+    assert [(group[i], strings[i]) for i in order] == sorted(zip(group.tolist(), strings))
+    for k in range(1, len(order)):
+        a, b = strings[order[k - 1]], strings[order[k]]
+        same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert shared[k] == (same if group[order[k]] == group[order[k - 1]] else -1)
+
+
+def test_repeated_bytes_query(spark):
+    """The query, with 400 bytes, against brute force on the smallest tables."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMOKE}/documents.parquet").collect()]
+    texts = [(t or "").encode() for _, t in rows]
+    starts = Counter(t[i:i + 400] for t in texts for i in range(len(t) - 399))
+    want = {}
+    for (d, _), t in zip(rows, texts):
+        gone = np.zeros(len(t) + 2, bool)
+        for i in range(len(t) - 399):
+            if starts[t[i:i + 400]] > 1:
+                gone[i + 1:i + 401] = True
+        n_spans = int((gone[1:] & ~gone[:-1]).sum())
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone[1:-1]])
+        want[d] = (len(t), len(t) - len(kept), n_spans, hashlib.sha256(kept).hexdigest())
+    assert any(w[1] for w in want.values())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.QUERIES["op1_suffix_dedup"](spark, SMOKE).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("hot", [512, 1])
 def test_repeated_passages(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
