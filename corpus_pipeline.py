@@ -48,8 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language id", known_language), ("exact dedup", exact_copies), ("near dedup", near_copies),
           ("decontamination", benchmark_passages), ("mixing", mix)]
 
-# Language identification and near duplicates are not expressible in SQL. The
-# tests compare the operators with brute force on small tables, not the pipeline.
+# Language identification and near duplicates are not expressible in SQL; the tests compare run() with a
+# plain version of all stages on a small table.
 ORACLE_SQL = None
 
 

@@ -11,9 +11,8 @@ onto the intro -> master.
 Flows E and F: the assembled signals of the two other variants (gaps,
 crossfades and pauses; gaps only).
 
-Flows end in a written table in the shared checkpoint folder
-(``materialize``), so the next flow starts from stored data, not from the
-whole lineage.
+What must not be computed twice (replies of a model, signals that are read
+more than once) is written to the shared checkpoint folder (``materialize``).
 """
 
 from __future__ import annotations
@@ -46,7 +45,7 @@ def flow_a(pages: DataFrame, complete: Completion, max_chars: int = FXV.MAX_CHAR
            chunk_words: int = FXV.CHUNK_WORDS, materialize=cut_lineage) -> DataFrame:
     """Pages -> cleaned documents (doc_id, text, n_chunks, n_fallback)."""
     docs = X.cap_document(pages, max_chars)
-    chunks = materialize(X.word_chunks(docs, n=chunk_words), "chunks")
+    chunks = X.word_chunks(docs, n=chunk_words)
     # The chunk text travels with its request and reply, so the fallback is
     # a per-row projection instead of a join of two large tables.  Replies
     # are stored right away: a retried task downstream must not call the
@@ -55,9 +54,8 @@ def flow_a(pages: DataFrame, complete: Completion, max_chars: int = FXV.MAX_CHAR
     responses = materialize(R.complete_batches(requests, complete, ["doc_id", "chunk_idx"], passthrough=["text"]),
                             "clean_responses")
     cleaned = R.apply_fallback(responses)
-    return materialize(X.ordered_concat(cleaned, "doc_id", "chunk_idx", "text", FXV.CHUNK_SEPARATOR, "text",
-                                        F.count("*").alias("n_chunks"),
-                                        F.count_if("used_fallback").alias("n_fallback")), "clean_docs")
+    return X.ordered_concat(cleaned, "doc_id", "chunk_idx", "text", FXV.CHUNK_SEPARATOR, "text",
+                            F.count("*").alias("n_chunks"), F.count_if("used_fallback").alias("n_fallback"))
 
 
 def flow_b(transcripts: DataFrame, complete: Completion, key: str = "episode_id",

@@ -65,8 +65,8 @@ def test_spread_only_when_few_splits(spark):
 
 
 # Shuffles of the final plan, the spread of the single-split input (one for each scan) left out: the rows,
-# the block summaries on their way to the key and back; the sweep deals its intervals once more.
-@pytest.mark.parametrize("name,most", [("win_timeline_dynamic", 3), ("win_speaker_runs", 3), ("agg_episode_duration", 2), ("flow_episode_plan", 2),
+# the block summaries on their way to the key and back; the sweep deals its intervals once more, the plan gathers its replies.
+@pytest.mark.parametrize("name,most", [("win_timeline_dynamic", 3), ("win_speaker_runs", 3), ("agg_episode_duration", 2), ("flow_episode_plan", 3),
                                        ("join_overlap_intervals", 4)])
 def test_composite_scans_shuffle_little(spark, name, most):
     df = E.queries()[name](spark, SMOKE)
