@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
 from parley.llm.common import mix64
 
 CHUNK = 1 << 20
+LONG = 256  # bytes of a word
 _draw = np.random.default_rng(20240501)
 BYTE = np.frombuffer(_draw.bytes(256 * 8), np.uint64)  # a random number for each byte value
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -67,8 +69,11 @@ def words(text: bytes, stop: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray
         n = stop_at - start
         first = np.cumsum(n) - n
         offset = np.arange(int(n.sum())) - np.repeat(first, n)
-        h = np.add.reduceat(BYTE[b[inside]] * power_table(BASE, int(n.max()))[offset], first)
-        out.append((mix64(h + n.astype(np.uint64) * BASE), start + at, stop_at + at))
+        h = mix64(np.add.reduceat(BYTE[b[inside]] * power_table(BASE, int(n.max()))[offset], first) + n.astype(np.uint64) * BASE)
+        # Powers modulo 2^64 fail on some texts of a thousand bytes and more: long words have a digest.
+        for i in np.flatnonzero(n > LONG):
+            h[i] = int.from_bytes(blake2b(b[start[i]:stop_at[i]].tobytes(), digest_size=8).digest(), "little")
+        out.append((h, start + at, stop_at + at))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 

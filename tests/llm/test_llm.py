@@ -103,6 +103,14 @@ def test_repeated_passages(spark, monkeypatch, hot):
     assert sorted((str(r.doc_id), r.n_words, bytes(r.kept)) for r in got) == want
 
 
+def test_long_words_have_hashes_of_their_own():
+    from parley.llm.words import words
+    odd = ["".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(2048)) for flip in (0, 1)]  # alike in all powers modulo 2^64
+    for n in (1024, 2048):
+        h = words(f"{odd[0][:n]} {odd[1][:n]} {odd[0][:n]}".encode())[0]
+        assert h[0] == h[2] != h[1]
+
+
 def test_anchors_depend_on_the_window_alone():
     r = np.random.default_rng(3)
     seq = r.integers(0, 6, 4000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
