@@ -61,9 +61,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_folders: dict[str, list[str]] = {}  # handed out, by application
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared checkpoint folder that nothing uses yet."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/parley-{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/parley-{name}-{uuid.uuid4().hex}"
+    _folders.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_folders(spark: SparkSession) -> int:
+    """Delete what this application has stored in the checkpoint folder so far;
+    returns how many folders there were.  To be called when all results that
+    read them are written."""
+    context, gone = spark.sparkContext, 0
+    for path in _folders.pop(context.applicationId, []):
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True))
+    return gone
 
 
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:

@@ -13,22 +13,16 @@ sink.  Otherwise each call takes a new folder under the shared
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import fixed as FX
 from parley.operators import text as X
-from parley.session import checkpoint_dir
+from parley.session import new_folder
 
 DOCS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def run_folder(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def chunk_stream(stream: DataFrame, n: int, horizon: str) -> DataFrame:
     """The batch chunk operator on a streaming frame, each document once.
 
@@ -70,7 +64,7 @@ def stream_chunks(spark: SparkSession, source_dir: str, n: int = FX.CHUNK_WORDS,
     a micro-batch.  A document counts once within ``horizon`` (for which its id is
     kept in the state); the first version stays.  Returns the sink contents after
     all available input was processed."""
-    base = run_dir or run_folder(spark, "stream-chunks")
+    base = run_dir or new_folder(spark, "stream-chunks")
     reader = spark.readStream.schema(DOCS_SCHEMA).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -83,7 +77,7 @@ def stream_chunks(spark: SparkSession, source_dir: str, n: int = FX.CHUNK_WORDS,
 def stream_text_chunks(spark: SparkSession, text_dir: str, n: int = FX.CHUNK_WORDS,
                        run_dir: str | None = None) -> DataFrame:
     """Whole text files arriving under ``text_dir`` -> chunks keyed by path."""
-    base = run_dir or run_folder(spark, "stream-text")
+    base = run_dir or new_folder(spark, "stream-text")
     src = (spark.readStream.format("text").option("wholetext", True).load(text_dir)
            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
     chunks = X.word_chunks(src, n=n, key="path")

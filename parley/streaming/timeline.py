@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from parley.functions import fixed as FX
-from parley.streaming.ingest import run_available, run_folder
+from parley.session import new_folder
+from parley.streaming.ingest import run_available
 
 CONV_SCHEMA = "conv_id long, turn long, role string, text string"
 TURN = ["episode_id", "seg_idx", "speaker", "dur_ms", "ok"]
@@ -207,7 +208,7 @@ def stream_episode_state(spark: SparkSession, conversations_dir: str, to_synth:
     """Conversation turns that arrived as Parquet -> ``to_synth`` (a stateless
     mapping to episode_id, seg_idx, speaker, dur_ms, ok) -> the timeline, in one
     finite run that resumes from ``run_dir``; returns the placed turns."""
-    base = run_dir or run_folder(spark, "stream-episode")
+    base = run_dir or new_folder(spark, "stream-episode")
     rows = episode_state_stream(_synth(spark, conversations_dir, to_synth, glob, max_files_per_trigger), wait_ms)
     with _rocks(spark):
         run_available(rows, f"{base}/out", f"{base}/ckpt")

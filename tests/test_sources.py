@@ -293,6 +293,20 @@ def test_local_session_without_a_checkpoint_folder():
     assert run.stdout.strip().endswith("3 True"), run.stderr[-2000:]
 
 
+def test_stored_tables_can_be_removed(spark):
+    from parley import session
+    before = dict(session._folders)
+    session._folders.clear()   # those of other tests stay
+    try:
+        table = session.cut_lineage(spark.range(5))
+        path = session._folders[spark.sparkContext.applicationId][0]
+        assert table.count() == 5 and session.new_folder(spark, "unused") != path
+        assert session.remove_folders(spark) == 1 and not os.path.exists(path.removeprefix("file:")) and session.remove_folders(spark) == 0
+    finally:
+        session._folders.clear()
+        session._folders.update(before)
+
+
 def test_read_pdfs_and_text_files(spark):
     d = tempfile.mkdtemp(prefix="parley-files-")
     for name, data in {"a.pdf": b"%PDF-1", "b.PDF": b"%PDF-2", "c.txt": "café\r\nx".encode("latin-1"),
