@@ -1,19 +1,21 @@
 """Personal data: detected entities get keyed surrogates of the same type.
 
-Emails, telephone numbers, IPv4 addresses, payment card numbers, US social
-security numbers, keys and tokens, and names after a title are detected in the
-whole text.  A surrogate is drawn with the key alone from the entity, so the
+Emails, telephone numbers, IP addresses of both versions, payment card numbers
+(15 digits with a valid check digit, or 16), account numbers (IBAN, valid), US
+social security numbers, keys and tokens, and names after a title or an
+introduction ("my name is") are detected in the whole text.  Numbers without a
+form of their own are telephone numbers after a word that says so.  A surrogate is drawn with the key alone from the entity, so the
 same entity gets the same surrogate everywhere (coreference).  It keeps script
 and format: every digit or letter is replaced by one of its kind by a keyed
-permutation of all strings of that format, punctuation stays, a card number
-keeps its check digit, an address stays an address, and a name after a title
+permutation of all strings of that format, punctuation stays, a card or account
+number keeps its check digits right, an address stays an address, and a name after a title
 of a man or woman is replaced by a name of that gender in that script (of any
 gender after a title such as Dr).
 
-A name that stands after a title anywhere in a text is replaced in that text
+A name that stands after a title or introduction anywhere in a text is replaced in that text
 without a title too: the full name by its surrogate, the surname alone by the
 last word of it.  "Mr Smith" beside "Mr John Smith" is the same person.  Names
-that no title introduces in their text and first names alone are not found;
+that neither introduces in their text and first names alone are not found;
 whole surrogates are distinct, their last words need not be.
 
 Distinct entities get distinct surrogates: permutations give that by
@@ -42,7 +44,6 @@ from pyspark.sql import functions as F
 from parley.llm.common import pieces, stored
 
 KEY = b"parley surrogate key"  # a parameter: give your own
-MAX_ATTEMPTS = 64
 
 # Titles by the gender they tell (n: none), and syllables of the names made up.
 TITLES = {"m": "Mr Mister Sir Herr Monsieur Señor Signor Senhor Господин Κύριος", "f": "Mrs Ms Miss Madam Frau Madame Mademoiselle Señora Señorita Signora Senhora Госпожа Κυρία",
@@ -52,6 +53,8 @@ SYLLABLES = {
     "cyrillic": ("ба бе бо да де до ва ве га го ка ки ко ла ле ли ло ма ми мо на не ни но па ра ре ри ро са се та те ти то", "н р с л м", "а ия"),
     "greek": ("βα βε γα γο δα δε κα κε κι κο λα λε λι μα με μι να νε νι νο πα πε ρα ρε ρι σα σε τα τε τι", "ς ν ρ", "α η"),
 }
+INTRODUCTIONS = "my name is|My name is|ich heiße|Ich heiße|mein Name ist|Mein Name ist|je m'appelle|Je m'appelle|me llamo|Me llamo|mi chiamo|Mi chiamo"
+CALLS = "call|phone|telephone|tel|mobile|cell|fax|Call|Phone|Telephone|Tel|Mobile|Cell|Fax|Telefon|Tél|Teléfono"
 GENDER = {t: g for g, names in TITLES.items() for t in names.split()}
 TITLE = r"(?:" + "|".join(GENDER) + r")"
 NAME = r"(?!" + TITLE + r"\b)[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
@@ -59,13 +62,17 @@ PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?:(?<=[\"'=:\s])|\b)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,64}|[0-9A-F]{32,64})\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){3}(?![\d-])",
+    "iban": r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4})(?![\w:])",
+    "card": r"(?<![\d-])(?:\d{4}(?:[ -]?\d{4}){3}|3[47]\d\d[ -]?\d{6}[ -]?\d{5})(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "name": r"\b(?:" + TITLE + r"\.? )+(?P<person>" + NAME + r"(?: " + NAME + r")?)",
+    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+             r"|(?<![\w.-])0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,5}(?![\d-])|\b(?:" + CALLS + r")[.:]? (?:at |on |me at )?(?P<number>\d(?:[ .-]?\d){6,14})(?![\d-])",
+    "name": r"\b(?:(?:" + TITLE + r"\.? )+|(?:" + INTRODUCTIONS + r") )(?P<person>" + NAME + r"(?: " + NAME + r")?)",
 }
+VALID = {"iban": lambda e: iban_ok(e), "ip6": lambda e: ip6_ok(e), "card": lambda e: e[0] != "3" or len(re.sub(r"\D", "", e)) == 16 or luhn(re.sub(r"\D", "", e))}
 FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
-MAYBE = re.compile(r"[0-9@]|\b(?:" + "|".join(GENDER) + r")\b|[0-9A-Fa-f]{32}")
+MAYBE = re.compile(r"[0-9@]|::|\b(?:" + "|".join(GENDER) + "|" + INTRODUCTIONS + r")\b|[0-9A-Fa-f]{32}")
 Entity = tuple[str, str]  # type, canonical form
 
 
@@ -75,10 +82,13 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
         return
     found = []
     for m in FIND.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "person" else "name"
-        kind = next(k for k in PATTERNS if m.group(k) is not None) if kind not in PATTERNS else kind
-        if kind == "name":
-            genders = [GENDER[t] for t in re.findall(r"\w+", text[m.start():m.start("person")])]
+        kind = next(k for k in PATTERNS if m.group(k) is not None) if m.lastgroup not in PATTERNS else m.lastgroup
+        if kind in VALID and not VALID[kind](m.group()):
+            continue
+        if m.group("number") is not None:  # the word before it stays
+            found.append((m.start("number"), m.end("number"), kind, m.group("number")))
+        elif kind == "name":
+            genders = [GENDER[t] for t in re.findall(r"\w+", text[m.start():m.start("person")]) if t in GENDER]
             found.append((m.start("person"), m.end("person"), "name " + next((g for g in genders if g != "n"), "n"), m.group("person")))
         else:
             found.append((m.start(), m.end(), kind, m.group()))
@@ -155,6 +165,21 @@ def luhn(digits: str) -> bool:
     return sum(int(d) if i % 2 == 0 else (int(d) * 2 - 9 * (d > "4")) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def iban_ok(text: str) -> bool:
+    """Whether the check digits (ISO 7064, modulo 97) are right."""
+    t = text.replace(" ", "")
+    return 15 <= len(t) <= 34 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def ip6_ok(text: str) -> bool:
+    """Whether it is an address of version 6; names such as ``a::b`` are none."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return any(c.isdigit() for c in text)
+
+
 def script(name: str) -> str:
     c = name[0].lower()
     return "cyrillic" if "а" <= c <= "я" or c == "ё" else "greek" if "α" <= c <= "ω" else "latin"
@@ -192,14 +217,23 @@ def surrogate(kind: str, text: str, key: bytes = KEY, attempt: int = 0) -> str:
         hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text)
         return reformat(text, key, tweak, ("0123456789abcdef",) if hexadecimal and text.islower() else ("0123456789ABCDEF",) if hexadecimal and text.isupper() else KINDS)
     if kind == "card":
-        valid = luhn(re.sub(r"\D", "", text))
+        digits = re.sub(r"\D", "", text)
+        valid, head = luhn(digits), text[:2] if len(digits) == 15 else ""  # numbers of 15 digits begin alike
         while True:  # walk within the numbers whose check digit is as right or wrong
-            text = reformat(text, key, tweak)
+            text = head + reformat(text[len(head):], key, tweak + head.encode())
             if luhn(re.sub(r"\D", "", text)) == valid:
                 return text
+    if kind == "iban":  # the country stays; the check digits follow from the rest
+        made = text[:4] + reformat(text[4:], key, tweak + text[:2].encode())
+        rest = made[4:].replace(" ", "") + made[:2]
+        return f"{made[:2]}{98 - int(''.join(str(int(c, 36)) for c in rest) + '00') % 97:02d}{made[4:]}"
+    if kind == "ip6":
+        return reformat(text, key, tweak, ("0123456789abcdef",) if text == text.lower() else ("0123456789ABCDEF",) if text == text.upper() else KINDS[:1] + ("abcdef", "ABCDEF"))
     if kind == "phone" and text.startswith("+"):
         country = re.match(r"\+\d{1,3}", text).group()
         return country + reformat(text[len(country):], key, tweak + country.encode())
+    if kind == "phone" and text[0] == "0":  # a national number begins with it
+        return "0" + reformat(text[1:], key, tweak + b"0")
     return reformat(text, key, tweak)
 
 
@@ -228,19 +262,16 @@ def attempts(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataF
     found = stored(draw(distinct_entities(docs, text_col).withColumn("attempt", F.lit(0))), "entities")
     names = found.select("kind", F.col("entity").alias("made"), F.lit(True).alias("real"))
     moved = None
-    for _ in range(MAX_ATTEMPTS):
+    while True:  # each draw is from a set many times larger, so few rounds are needed
         # The group of a surrogate holds the few entities that share it.
         first = Window.partitionBy("kind", "made").orderBy("attempt", "entity")
         taken = found.withColumn("rank", F.row_number().over(first)).join(names, ["kind", "made"], "left").where("rank > 1 or real").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
         taken = stored(taken, "taken")
         if taken.isEmpty():
-            break
+            return moved
         moved = taken if moved is None else moved.join(taken, ["kind", "entity"], "left_anti").unionByName(taken)
         found = found.join(taken, ["kind", "entity"], "left_anti").unionByName(draw(taken))
         found, moved = stored(found, "entities"), stored(moved, "moved")
-    else:
-        raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} draws")
-    return moved
 
 
 def replace_entities(text: str | None, key: bytes, again: dict[Entity, int], made: dict) -> tuple[str | None, list[Entity]]:

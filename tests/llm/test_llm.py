@@ -3,6 +3,7 @@ empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -289,6 +290,28 @@ def test_mentions_without_a_title(spark):
     assert (got[0].n_entities, got[0].n_distinct, got[0].kinds) == (14, 7, "email,name f,name m,name n")
 
 
+FORMS = {"iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"], "ip6": ["2001:db8:85a3:0:0:8a2e:370:7334", "fe80::1", "2001:DB8::A1"],
+         "card": ["378282246310005", "3782 822463 10005", "4111 1111 1111 1111"], "phone": ["0171 234 5678", "+1 (017) 555-7713", "555-123-4567"]}
+
+
+def test_forms_of_numbers(spark):
+    """Each form is found, replaced by another of its form, and stays valid."""
+    for kind, examples in FORMS.items():
+        for e in examples:
+            text = f"see {e}, or {e}."
+            assert [(k, x) for _, _, k, x in pii.entities(text)] == [(kind, e)] * 2, e
+            new = pii.surrogate(kind, e)
+            assert new != e and [(k, x) for _, _, k, x in pii.entities(f"see {new}!")] == [(kind, new)], (e, new)
+            assert [c if not c.isalnum() else "x" for c in new] == [c if not c.isalnum() else "x" for c in e]
+    assert len({pii.surrogate("iban", f"DE{98 - int(f'{b:018d}131400') % 97:02d}{b:018d}") for b in range(500)}) == 500
+    for plain in ("at 12:30:45", "378282246310006", "DE89 3704 0044 0532 0130 01", "in 2024 and 1999", "a::b c", "size 10 x 20", "version 1.2.3", "the 5551234567 grains", "5551234567"):
+        assert not list(pii.entities(plain)), plain
+    got = {k: x for _, _, k, x in pii.entities("Please call 5551234567 or phone: 01712345678. My name is Jane Roe; Roe wrote. Ich heiße Karl.")}
+    assert got == {"phone": "01712345678", "name n": "Karl"}
+    out = pii.pseudonymise(frame(spark, [(1, "Call me at 5551234567. My name is Jane Roe. Roe left.")])).first()
+    assert out.n_entities == 3 and out.text.startswith("Call me at ") and not {"5551234567", "Jane", "Roe"} & set(re.findall(r"\w+", out.text))
+
+
 def test_more_names_than_short_surrogates(spark, monkeypatch):
     def scarce(kind, entity, key=pii.KEY, attempt=0):
         from parley.llm import pii as real  # as the tasks see it
