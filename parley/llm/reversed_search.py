@@ -35,8 +35,8 @@ from parley.llm.common import as_bytes, pieces, stored
 
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")  # of the lower-cased bytes: ASCII letters and digits, and all other characters
 TOP = 10
-POSTINGS = 4_000_000
-CELLS = 1 << 21      # scores held at a time in a task
+POSTINGS = 500_000  # some 100 MB on the driver while an index is built, a third of that when sent
+CELLS = 1 << 21      # scores and summands held at a time in a task, beside those of one document
 LOW = 26             # bits of the lower half of a summand
 
 
@@ -161,16 +161,20 @@ def search_slice(rows: DataFrame, index: Index, k: int) -> DataFrame:
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        heaps, step = Heaps(len(own.items), k), max(1, CELLS // max(len(own.items), 1))
-        for batch in pieces(batches, min(step, 256)):
-            ids, docs = [], []
+        heaps = Heaps(len(own.items), k)
+        ids, docs, load = [], [], 0
+        for batch in pieces(batches):
             for i, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 n, known, counts = own.counts(text)
                 if known:
                     ids.append(i)
                     docs.append((length_part(n_docs, n_terms, n), known, counts))
-            if docs:
-                heaps.push(ids, own.scores(docs))
+                    load += len(own.items) + int(own.count[known].sum())
+                if load >= CELLS:
+                    heaps.push(ids, own.scores(docs))
+                    ids, docs, load = [], [], 0
+        if docs:
+            heaps.push(ids, own.scores(docs))
         out = [(i, s, None if d == -math.inf else -d) for i, heap in zip(own.items.tolist(), heaps.heaps) for s, d in heap]
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], names=["item", "score", "doc"])
 
