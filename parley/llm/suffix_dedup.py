@@ -17,8 +17,9 @@ with another one, and so do the bytes before it, read backwards.
 3. A bucket sorts the suffixes, and the reversed bytes before the anchors, by a
    multikey quicksort, and takes the common prefixes of neighbours.  From these
    follow, for each place in the windows, the classes of equal windows.
-4. Where a split gram goes on in the next bucket, the windows that may equal one
-   across the boundary are compared there: their digests are counted.
+4. Where a split gram goes on in the next bucket, windows may equal one across
+   the boundary.  One of each class of them is sent on, as a digest, packed by
+   the task that compares it with those of the other buckets.
 
 Strings are judged on the input and never cross documents.
 
@@ -158,13 +159,23 @@ def least_to_end(prefix: np.ndarray, size: np.ndarray, front: bool) -> np.ndarra
     return np.minimum.accumulate(np.concatenate([[size[-1]], prefix[1:][::-1]]))[::-1]
 
 
-FOUND = "key long, start long, count long, c1 long, c2 long, stays boolean"
+FOUND = "key long, start long, count long, route int, packed binary"
+BEYOND = np.dtype([("c1", "<i8"), ("c2", "<i8"), ("key", "<i8"), ("start", "<i8"), ("stays", "?")])
 
 
-def compared(rows: list[tuple], length: int, gram: int) -> list[tuple]:
-    """What a stretch of the bucket shows, rows of FOUND: windows that go (as
-    start and count), and, with their digests, windows that may equal one beyond
-    the stretch.  ``rows``: of SUFFIX, in their order."""
+def twice(classes: np.ndarray) -> np.ndarray:
+    """Whether each value is there more than once."""
+    by = np.argsort(classes, kind="stable")
+    same = classes[by[1:]] == classes[by[:-1]]
+    out = np.empty(len(classes), bool)
+    out[by] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    return out
+
+
+def compared(rows: list[tuple], length: int, gram: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """What a stretch of the bucket shows: key, start and count of windows that
+    go; and, of each class of windows that may equal one beyond the stretch, the
+    one to compare there (BEYOND).  ``rows``: of SUFFIX, in their order."""
     mark = np.array([r[1] for r in rows], np.int64)
     group = np.cumsum(np.concatenate([[True], mark[1:] != mark[:-1]]))
     at, bodies = np.array([r[7] for r in rows], np.int64), [r[8] for r in rows]
@@ -184,52 +195,58 @@ def compared(rows: list[tuple], length: int, gram: int) -> list[tuple]:
             reach[order_r[own]] = np.maximum(reach[order_r[own]], got)
 
     n, m = len(rows), length - gram + 1
-    goes, crosses = np.zeros((n, m), bool), np.zeros((n, m), bool)  # by the distance of the window's start to its anchor
+    key, start, stays = (np.array([r[i] for r in rows]) for i in (4, 5, 6))
+    goes, sent = np.zeros((n, m), bool), np.zeros((n, m), bool)  # by the distance of the window's start to its anchor
     class_r, class_l = np.empty(n, np.int64), np.empty(n, np.int64)
     for d in range(m):
         own = np.flatnonzero((d <= at) & (d > at - count))
         if not len(own):
             continue
-        far = reach[own] >= length - d
-        crosses[own[far], d] = True
-        own = own[~far]
-        if len(own) < 2:
-            continue
         class_r[order_r] = np.cumsum(shared_r < length - d)
         class_l[order_l] = np.cumsum(shared_l < d)
         both = class_r[own] * (n + 1) + class_l[own]
-        by = np.argsort(both, kind="stable")
-        same = both[by[1:]] == both[by[:-1]]
-        goes[own[by], d] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        goes[own, d] = twice(both)
+        far = np.flatnonzero(reach[own] >= length - d)  # a class is far as a whole
+        sent[own[far[np.unique(both[far], return_index=True)[1]]], d] = True
 
-    out = []
-    key, start, stays = ([r[i] for r in rows] for i in (4, 5, 6))
-    r, d = np.nonzero(goes & np.array(stays)[:, None])
+    out: list[tuple[int, int, int]] = []
+    r, d = np.nonzero(goes & stays[:, None])
     if len(r):
         i = at[r] - d
         by = np.lexsort((i, r))
         r, i = r[by], i[by]
         new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1] + 1)]))
-        out += [(key[x], start[x] + y, c, None, None, True) for x, y, c in zip(r[new].tolist(), i[new].tolist(), np.diff(np.append(new, len(r))).tolist())]
-    r, d = np.nonzero(crosses)
+        out = list(zip(key[r[new]].tolist(), (start[r[new]] + i[new]).tolist(), np.diff(np.append(new, len(r))).tolist()))
+    r, d = np.nonzero(sent)
+    beyond = np.empty(len(r), BEYOND)
     if len(r):
-        i = (at[r] - d).tolist()
-        content = digests([bodies[x][y:y + length] for x, y in zip(r.tolist(), i)]).tolist()
-        out += [(key[x], start[x] + y, 1, *c, stays[x]) for x, y, c in zip(r.tolist(), i, content)]
-    return out
+        i = at[r] - d
+        content = digests([bodies[x][y:y + length] for x, y in zip(r.tolist(), i.tolist())])
+        beyond["c1"], beyond["c2"], beyond["key"], beyond["start"] = content[:, 0], content[:, 1], key[r], start[r] + i
+        beyond["stays"] = stays[r] & ~goes[r, d]  # else its fate is known, and it speaks for its class only
+    return out, beyond
 
 
-def sorted_buckets(edges: DataFrame, units: Units, gram: int) -> DataFrame:
-    """Sort the suffixes bucket by bucket; rows of FOUND."""
+def sorted_buckets(edges: DataFrame, units: Units, gram: int, routes: int) -> DataFrame:
+    """Sort the suffixes bucket by bucket; rows of FOUND: windows that go, or
+    packed windows for the task that compares those of a route."""
     length, most = units.length, ROWS
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            out = compared(held, length, gram)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[c.split()[0] for c in FOUND.split(", ")])
+            found, beyond = compared(held, length, gram)
+            route = beyond["c1"] % routes
+            beyond = beyond[np.argsort(route, kind="stable")]
+            route = np.sort(route)
+            first = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1]])) if len(route) else np.zeros(0, np.int64)
+            packs = [p.tobytes() for p in np.split(beyond, first[1:])] if len(first) else []
+            k, s, c = zip(*found) if found else ((), (), ())
+            none = [None] * len(packs)
+            cols = ([*k, *none], [*s, *none], [*c, *none], [*[None] * len(k), *route[first].tolist()], [*[None] * len(k), *packs])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+                                              names=[c.split()[0] for c in FOUND.split(", ")])
 
         for batch in pieces(batches, 4096):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -244,13 +261,44 @@ def sorted_buckets(edges: DataFrame, units: Units, gram: int) -> DataFrame:
     return dealt.mapInArrow(bucket, FOUND)
 
 
+GONE = "key long, gone array<struct<start:long,count:long>>"
+
+
+def across_boundaries(packs: DataFrame) -> DataFrame:
+    """``key, gone``: windows that equal one of another stretch."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(parts: list[bytes]) -> pa.RecordBatch:
+            x = np.frombuffer(b"".join(parts), BEYOND)
+            x = x[np.lexsort((x["c2"], x["c1"]))]
+            same = (x["c1"][1:] == x["c1"][:-1]) & (x["c2"][1:] == x["c2"][:-1])
+            x = x[(np.concatenate([[False], same]) | np.concatenate([same, [False]])) & x["stays"]]
+            x = x[np.lexsort((x["start"], x["key"]))]
+            first = np.flatnonzero(np.concatenate([[True], x["key"][1:] != x["key"][:-1]])) if len(x) else np.zeros(0, np.int64)
+            gone = [[{"start": s, "count": 1} for s in p["start"].tolist()] for p in np.split(x, first[1:])] if len(first) else []
+            return pa.RecordBatch.from_arrays([pa.array(x["key"][first]), pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("count", pa.int64())])))], names=["key", "gone"])
+
+        last, parts = None, []
+        for batch in batches:
+            for route, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if route != last and parts:
+                    yield settle(parts)
+                    parts = []
+                last = route
+                parts.append(packed)
+        if parts:
+            yield settle(parts)
+
+    return packs.select("route", "packed").repartition("route").sortWithinPartitions("route").mapInArrow(compare, GONE)
+
+
 def repeated(edges: DataFrame, units: Units, gram: int) -> DataFrame:
     """``key, gone``: starts and counts of windows that go, by document."""
-    found = stored(sorted_buckets(edges, units, gram), "found")
-    beyond = found.where("c1 is not null")
-    twice = beyond.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("c1", "c2")
-    gone = found.where("c1 is null").select("key", "start", "count").unionByName(beyond.where("stays").join(twice, ["c1", "c2"]).select("key", "start", "count"))
-    return gone.groupBy("key").agg(F.collect_list(F.struct("start", "count")).alias("gone"))  # of one document
+    routes = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = stored(sorted_buckets(edges, units, gram, routes), "found")
+    own = found.where("route is null").select("key", F.array(F.struct("start", "count")).alias("gone"))
+    gone = own.unionByName(across_boundaries(found.where("route is not null")))
+    return gone.groupBy("key").agg(F.flatten(F.collect_list("gone")).alias("gone"))  # of one document
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
