@@ -74,7 +74,7 @@ def test_composite_scans_shuffle_little(spark, name, most):
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     stages = len(re.findall(r"\bShuffleQueryStage\b", final)) - len(re.findall(r"Exchange .*REPARTITION_BY_NUM", final))
     assert stages <= most, (name, stages)
-    if most > 2:
+    if name not in ("agg_episode_duration", "flow_episode_plan"):   # their rows are needed for the summaries only
         assert "ReusedExchange" in final, name
 
 
