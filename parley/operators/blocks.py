@@ -143,10 +143,14 @@ def mix(waves: DataFrame, crossfade: int | str, block_frames: int = SECOND, halo
     return assemble(A.place_segments(waves, crossfade), block_frames, halo)
 
 
-def silence(episodes: DataFrame, n_frames: int, block_frames: int = SECOND) -> DataFrame:
-    """``n_frames`` frames of silence for each row of ``episodes``."""
+def silence(episodes: DataFrame, n_frames: int, block_frames: int = SECOND, frames_per_task: int = 4_000_000) -> DataFrame:
+    """``n_frames`` frames of silence for each row of ``episodes``.  The few keys
+    that Spark would leave in one task are dealt out by the frames that come of
+    them (one count of the keys)."""
     long = lambda x: F.lit(x).cast("long")
-    b = episodes.select(KEY, F.explode(F.sequence(long(0), long((n_frames - 1) // block_frames))).alias("block"))
+    keys = episodes.select(KEY)
+    tasks = max(-(-keys.count() * n_frames // frames_per_task), keys.sparkSession.sparkContext.defaultParallelism)
+    b = keys.repartition(tasks, KEY).select(KEY, F.explode(F.sequence(long(0), long((n_frames - 1) // block_frames))).alias("block"))
     size = F.least(long(block_frames), long(n_frames) - F.col("block") * block_frames).cast("int")
     return b.select(KEY, "block", F.lit(0).alias("lead"), long(n_frames).alias("total"), F.lit(0.0).alias("peak"), A.silence(size).alias("samples"))
 
