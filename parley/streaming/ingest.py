@@ -18,11 +18,22 @@ from pyspark.sql import functions as F
 
 from parley.functions import fixed as FX
 from parley.operators import text as X
-from parley.session import new_folder
+from parley.session import make_folder, new_folder
 
 DOCS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def arriving(spark: SparkSession, schema: str, source_dir: str, glob: str, max_files: int | None = None) -> DataFrame:
+    """Parquet files that arrive in ``source_dir`` as a stream.  What ``glob``
+    matches there is a file, or the folder of a table that Spark wrote, whose
+    files are read (a filter by name alone would see neither folder nor files)."""
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    at = glob if any(c in glob for c in "*?[{") else f"{{{glob}}}"  # a pattern in any case: a plain path must be a folder
+    return reader.parquet(f"{source_dir.rstrip('/')}/{at}")
+
+
 def chunk_stream(stream: DataFrame, n: int, horizon: str) -> DataFrame:
     """The batch chunk operator on a streaming frame, each document once.
 
@@ -59,17 +70,15 @@ def run_available(query_df: DataFrame, out: str | None, ckpt: str, each=None) ->
 
 def stream_chunks(spark: SparkSession, source_dir: str, n: int = FX.CHUNK_WORDS, glob: str = "*.parquet",
                   max_files_per_trigger: int | None = None, run_dir: str | None = None, horizon: str = "30 days") -> DataFrame:
-    """Documents arriving as Parquet files (matching ``glob``) under
-    ``source_dir`` -> chunks.  ``max_files_per_trigger`` bounds the size of
+    """Documents arriving as Parquet files, or folders of them, (matching ``glob``)
+    under ``source_dir`` -> chunks.  ``max_files_per_trigger`` bounds the size of
     a micro-batch.  A document counts once within ``horizon`` (for which its id is
     kept in the state); the first version stays.  Returns the sink contents after
     all available input was processed."""
     base = run_dir or new_folder(spark, "stream-chunks")
-    reader = spark.readStream.schema(DOCS_SCHEMA).option("pathGlobFilter", glob)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    chunks = chunk_stream(reader.parquet(source_dir), n, horizon)
+    chunks = chunk_stream(arriving(spark, DOCS_SCHEMA, source_dir, glob, max_files_per_trigger), n, horizon)
     out = f"{base}/out"
+    make_folder(spark, out)  # without input no batch does it
     run_available(chunks, None, f"{base}/ckpt", each=write_batch(out))
     return spark.read.schema(chunks.schema).parquet(out).select(*chunks.columns)
 

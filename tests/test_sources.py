@@ -162,6 +162,23 @@ def test_stream_side_tables(spark):
     assert [r.seg_idx for r in timeline.turns_without_duration(spark, run_dir).collect()] == [0]
 
 
+def test_streams_read_tables_that_are_folders(spark):
+    """Tables as Spark writes them, folders of several files, give all their
+    rows, as single files do; a source without a match is empty."""
+    src = tempfile.mkdtemp(prefix="parley-folders-")
+    docs = [(i, f"a{i} b{i} c{i}", "en", "s", 8) for i in range(20)]
+    turns = [(e, t, "a", "x") for e in range(4) for t in range(5)]
+    spark.createDataFrame(docs, ingest.DOCS_SCHEMA).repartition(3).write.parquet(f"{src}/documents.parquet")
+    spark.createDataFrame(turns, timeline.CONV_SCHEMA).repartition(3).write.parquet(f"{src}/conversations.parquet")
+    want = sorted((i, k, t) for i in range(20) for k, t in enumerate((f"a{i} b{i}", f"c{i}")))
+    for glob in ("documents.parquet", "doc*.parquet"):
+        assert sorted((r.doc_id, r.chunk_idx, r.text) for r in ingest.stream_chunks(spark, src, n=2, glob=glob, max_files_per_trigger=2).collect()) == want
+    got = timeline.stream_episode_state(spark, src, _to_synth, glob="conversations.parquet").collect()
+    assert sorted((r.episode_id, r.seg_idx) for r in got) == [(e, t) for e in range(4) for t in range(5)]
+    assert ingest.stream_chunks(spark, src, n=2, glob="none.parquet").collect() == []
+    assert timeline.stream_episode_state(spark, src, _to_synth, glob="none.parquet").collect() == []
+
+
 def test_replayed_documents_give_their_chunks_once(spark):
     """The same document in two files, in one run and in a later one; a batch
     that is run again adds nothing; documents without an id all stay."""
