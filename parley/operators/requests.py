@@ -2,7 +2,7 @@
 
 Requests are plain columns (``messages`` is ``array<struct<role,content>>``)
 so that any serving system can consume them.  ``complete_batches`` applies a
-user callable to Arrow batches with ``mapInPandas``: parallelism equals the
+user callable to pieces of Arrow batches with ``mapInArrow``: parallelism equals the
 number of partitions and errors become status rows, never a failed job.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,16 +107,19 @@ def strict_responses(responses: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
 
 
 RESPONSE_SCHEMA = "status int, body string"
+PIECE_BYTES = 4 << 20  # of requests that a call gets as a pandas frame
 
 
 def complete_batches(requests: DataFrame, fn: Callable[[pd.DataFrame], pd.Series],
                      keys, *, passthrough=(), out_schema: str | None = None) -> DataFrame:
-    """Apply ``fn`` to Arrow batches of requests and return (keys, status, body).
+    """Apply ``fn`` to pieces of requests (``PIECE_BYTES``, a row at least) and
+    return (keys, status, body).
 
+    A task holds one Arrow batch and the frame, replies and bodies of one piece.
     ``fn`` gets a pandas frame with the request columns and returns the
     reply contents as a Series (None for no reply).  ``passthrough``
     columns are copied to the output, so a caller can keep e.g. the chunk
-    text next to its reply instead of joining it back later.  When a batch raises
+    text next to its reply instead of joining it back later.  When a call raises
     or gets a wrong number of replies, its halves are tried again, down to single
     rows; those that still raise become
     status-599 rows carrying the error text, so one bad request never fails
@@ -144,15 +148,16 @@ def complete_batches(requests: DataFrame, fn: Callable[[pd.DataFrame], pd.Series
             (s, b), (s2, b2) = replies(pdf.iloc[:len(pdf) // 2]), replies(pdf.iloc[len(pdf) // 2:])
             return s + s2, b + b2
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[keep].copy()
-            status, body = replies(pdf)
-            out["status"] = pd.Series(status, index=pdf.index, dtype="int32")
-            out["body"] = pd.Series(body, index=pdf.index, dtype="object")
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = max(1, PIECE_BYTES * batch.num_rows // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, rows):
+                piece = batch.slice(at, rows)
+                status, body = replies(piece.to_pandas())
+                cols = [piece.column(c) for c in keep] + [pa.array(status, pa.int32()), pa.array(body, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "status", "body"])
 
-    return requests.mapInPandas(run, schema)
+    return requests.mapInArrow(run, schema)
 
 
 def prefix_completion(prefix: str) -> Callable[[pd.DataFrame], pd.Series]:

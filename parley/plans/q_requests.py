@@ -154,7 +154,7 @@ def flt_strict_response(spark, sf_dir):
            '{COMPLETION_PREFIX}' || 'Clean this text: ' || text AS content
     FROM f_chunks""")
 def udf_batch_complete(spark, sf_dir):
-    """Batch completion through ``mapInPandas`` with an offline callable."""
+    """Batch completion (``complete_batches``) with an offline callable."""
     req = R.clean_requests(FX.chunks(spark, sf_dir))
     out = R.complete_batches(req, R.prefix_completion(COMPLETION_PREFIX), ["doc_id", "chunk_idx"])
     return out.select("doc_id", "chunk_idx", "status", R.response_content("body").alias("content"))

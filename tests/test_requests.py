@@ -76,6 +76,28 @@ def test_wrong_number_of_replies_is_isolated(spark):
     assert got == {i: 599 if i == 5 else 200 for i in range(8)}
 
 
+def test_a_call_gets_few_megabytes(spark):
+    """One Arrow batch of 24 MB goes to the callable in pieces; passed columns
+    come back as they were, null keys and large ones too."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+    from parley.operators import requests as R
+    top = (1 << 63) - 1
+    k = F.when(F.col("id") == 7, None).otherwise(F.lit(top) - F.col("id"))
+    d = spark.range(300, numPartitions=1).select(k.alias("k"), F.repeat(F.lit("abcdefgh"), 5000).alias("text"))
+    req = R.clean_requests(d, keys=("k",), keep=["text"])
+
+    def sizes(pdf):
+        n = pdf["messages"].map(lambda m: len(m[-1]["content"])).sum()
+        return pd.Series([str(n)] * len(pdf), index=pdf.index)
+
+    got = R.complete_batches(req, sizes, "k", passthrough=["text"]).collect()
+    assert sorted(((r.k for r in got)), key=str) == sorted([None] + [top - i for i in range(300) if i != 7], key=str)
+    assert all(r.status == 200 and len(r.text) == 40_000 for r in got)
+    calls = {int(json.loads(r.body)["choices"][0]["message"]["content"]) for r in got}
+    assert max(calls) <= R.PIECE_BYTES and len(calls) <= 2
+
+
 def test_keyed_uniform_takes_any_key(spark):
     from pyspark.sql import functions as F
     from parley.functions.audio_math import keyed_uniform
