@@ -130,11 +130,12 @@ def sink_transcripts(spark, sf_dir):
     FROM f_frames""")
 def src_pcm_frames(spark, sf_dir):
     """PCM files, one an episode, written by the file sink and read by byte
-    ranges: blocks of 100 frames, two or three to a task."""
+    ranges: blocks of 100 frames, two or three to a task while those are few."""
     w = FX.waves(spark, sf_dir)
     name = F.concat(F.lit("episode_"), F.col("episode_id").cast("string"), F.lit(".pcm"))
     out = new_folder(spark, "pcm")
     write_files(w.select(name.alias("name"), "seg_idx", pcm.pcm_bytes(F.col("samples")).alias("content")), out, order="seg_idx")
     b = pcm.read_pcm(spark, out, block_frames=100, partition_bytes=500)
-    f = b.select(F.regexp_extract("path", r"episode_(\d+)\.pcm$", 1).cast("long").alias("episode_id"), "first", F.posexplode("samples").alias("i", "amp"))
+    b = b.select(F.regexp_extract("path", r"episode_(\d+)\.pcm$", 1).cast("long").alias("episode_id"), "first", "samples")  # once a block
+    f = b.select("episode_id", "first", F.posexplode("samples").alias("i", "amp"))
     return f.select("episode_id", (F.col("first") + F.col("i")).alias("t"), F.round(F.col("amp") * 32767.0).cast("long").alias("pcm"))

@@ -2,7 +2,10 @@
 
 A file is cut into blocks of ``block_frames`` samples and its blocks are dealt to
 tasks by byte ranges of about ``partition_bytes``, so one long recording is read
-by many tasks; many short files share a task.  A task holds one block at a time.
+by many tasks; many short files share a task.  Ranges under ``FULL_BYTES`` grow with
+the input once there are ``MOST_TASKS`` of them: the start of a task takes longer than
+to read a small range.  A task holds the blocks of one Arrow batch (``BATCH_BYTES`` of
+the file, one block at least).
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ from parley.sources.paths import files_below, open_store
 FORMAT = "parley_pcm"
 SCHEMA = "path string, block long, first long, samples array<double>"
 WIDTH = 2  # bytes of a sample
+FULL_BYTES = 32 << 20
+MOST_TASKS = 256
+BATCH_BYTES = 1 << 18
+TYPES = pa.schema([("path", pa.string()), ("block", pa.int64()), ("first", pa.int64()), ("samples", pa.list_(pa.float64()))])
 
 
 class Ranges(InputPartition):
@@ -35,19 +42,21 @@ class PcmReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.frames = int(options.get("block_frames", FX.SAMPLE_RATE))
-        self.bytes = int(options.get("partition_bytes", 32 << 20))
+        self.bytes = int(options.get("partition_bytes", FULL_BYTES))
 
     def partitions(self) -> list[Ranges]:
+        files = files_below(self.path, ".pcm")
+        most = max(self.bytes, min(FULL_BYTES, -(-sum(length for _, length in files) // MOST_TASKS)))
         size, out, own, held = self.frames * WIDTH, [], [], 0
-        for path, length in files_below(self.path, ".pcm"):
+        for path, length in files:
             if length % WIDTH:
                 raise ValueError(f"{path} ends within a sample")
             at, blocks = 0, -(-length // size)
             while at < blocks:
-                take = min(blocks - at, max(1, (self.bytes - held) // size))
+                take = min(blocks - at, max(1, (most - held) // size))
                 own.append((path, at, take))
                 at, held = at + take, held + take * size
-                if held >= self.bytes:
+                if held >= most:
                     out.append(Ranges(own))
                     own, held = [], 0
         return out + ([Ranges(own)] if own or not out else [])
@@ -55,18 +64,26 @@ class PcmReader(DataSourceReader):
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         store, _ = open_store(self.path)
         size = self.frames * WIDTH
+        rows: list[tuple] = []
         for path, first, n in partition.value:
             with store.open_input_file(path) as file:
                 file.seek(first * size)
                 for block in range(first, first + n):
-                    x = np.frombuffer(file.read(size), "<i2") / float(FX.PCM_MAX)
-                    yield pa.RecordBatch.from_pydict({"path": [path], "block": [block], "first": [block * self.frames], "samples": [x]},
-                                                     pa.schema([("path", pa.string()), ("block", pa.int64()), ("first", pa.int64()), ("samples", pa.list_(pa.float64()))]))
+                    rows.append((path, block, block * self.frames, np.frombuffer(file.read(size), "<i2") / float(FX.PCM_MAX)))
+                    if len(rows) * size >= BATCH_BYTES:
+                        yield self._batch(rows)
+                        rows = []
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES.types)], schema=TYPES)
 
 
 class PcmSource(DataSource):
     """Options: path (a file, or a folder of ``.pcm`` files), block_frames,
-    partition_bytes."""
+    partition_bytes (at least; see above)."""
 
     @classmethod
     def name(cls) -> str:

@@ -262,6 +262,28 @@ def test_a_failed_file_job_leaves_no_file(spark, bad):
     assert not os.path.exists(out) or os.listdir(out) == []
 
 
+def test_pcm_ranges_grow_with_the_input(spark):
+    """Many small ranges are not a task each, and the blocks of a task share
+    Arrow batches."""
+    import numpy as np
+    from parley.sources import pcm
+    out = tempfile.mkdtemp(prefix="parley-pcm-many-")
+    x = np.arange(30_000, dtype="<i2")
+    for k in range(30):
+        (x + k).astype("<i2").tofile(f"{out}/e{k:02d}.pcm")
+    reader = pcm.PcmReader({"path": out, "block_frames": "100", "partition_bytes": "500"})
+    parts = reader.partitions()
+    assert len(parts) <= pcm.MOST_TASKS + 1   # 1,800,000 bytes by 500 would be 3,000
+    seen = sorted((p, b) for r in parts for p, at, n in r.value for b in range(at, at + n))
+    assert len(seen) == len(set(seen)) == 30 * 300
+    whole = pcm.PcmReader({"path": out, "block_frames": "100"})
+    assert len(whole.partitions()) == 1 and sum(1 for _ in whole.read(whole.partitions()[0])) <= 8
+    got = pcm.read_pcm(spark, out, 100, 500).orderBy("path", "block").collect()
+    for k in range(30):
+        own = [r for r in got if r.path.endswith(f"e{k:02d}.pcm")]
+        assert np.array_equal(np.concatenate([r.samples for r in own]), (x + k) / 32767.0)
+
+
 def test_pcm_files_by_byte_ranges(spark):
     import numpy as np
     from parley.operators import blocks as B
