@@ -235,7 +235,10 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     names = docs.columns
-    rows = docs.withColumns({"_exact_sha": sha(text_col), "_exact_id": F.col(id_col).cast("long")})
-    stay = classes_by_owner(docs, id_col, text_col).select(F.col("text_sha256").alias("_stay_sha"), F.col("keep_id").alias("_stay_id"))
-    rows = rows.join(stay, (F.col("_exact_sha") == F.col("_stay_sha")) & F.col("_exact_id").eqNullSafe(F.col("_stay_id")), "left_semi")
-    return rows.dropDuplicates(["_exact_sha", "_exact_id"]).select(*names)
+    # Keys without nulls, the same for the join and for what follows it: so the texts are shuffled and sorted once.
+    keys = ["_exact_sha", "_exact_id", "_exact_null"]
+    keyed = lambda at, i: {keys[0]: at, keys[1]: F.coalesce(i, F.lit(0)), keys[2]: i.isNull()}
+    rows = docs.withColumns(keyed(sha(text_col), F.col(id_col).cast("long")))
+    stay = classes_by_owner(docs, id_col, text_col)
+    stay = stay.select(*[c.alias(k) for k, c in keyed(F.col("text_sha256"), F.col("keep_id")).items()])
+    return rows.join(stay, keys, "left_semi").dropDuplicates(keys).select(*names)

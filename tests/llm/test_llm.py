@@ -143,6 +143,21 @@ def test_exact_copies(spark):
     assert stay.columns == frame(spark, rows).columns and stay.count() == len({t for _, t in low})
 
 
+def test_exact_copies_shuffle_the_rows_once(spark):
+    """The rows go through one exchange and one sort; the others carry the
+    entries and the results of the owners.  Ids 0 and null are told apart."""
+    rows = [(None, "a"), (0, "A"), (None, "b"), (None, "B"), (0, "c"), (0, "C"), (None, "c"), (-1, "d"), (None, "D")]
+    stay = exact_dedup.drop_exact(frame(spark, rows).repartition(3))
+    assert sorted(((r.doc_id, r.text.lower()) for r in stay.collect()), key=str) == [(-1, "d"), (0, "a"), (0, "c"), (None, "b")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exact_dedup.drop_exact(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("- Sort [") == 1 and plan.count(":- Sort [") == 1
+
+
 def test_trie_spills_by_subtree():
     r, trie, want = random.Random(5), exact_dedup.PatriciaTrie(budget=4000), {}
     for i in range(2000):
