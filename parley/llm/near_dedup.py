@@ -143,21 +143,20 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root`` of every node of ``links`` (``a, b``): the smallest node
-    that it is linked to, by alternating large and small stars."""
+    """``node, root`` of every node of ``links`` (``a, b``) but the roots: the
+    smallest node that it is linked to, by alternating large and small stars.
+    They end when each node has only larger neighbours or a single smaller one."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        new = stored(small.where("u <> v").distinct(), "edges")
-        same = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = new
-        if same:
-            return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+        least = stored(least.select("u", F.least("m", "u").alias("m"), ((F.col("m") < F.col("u")) & (F.col("m") < F.col("most"))).alias("open")), "least")
+        if least.where("open").isEmpty():
+            return least.where("m < u").select(F.col("u").alias("node"), F.col("m").alias("root"))
+        large = both.join(least.drop("open"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        pairs = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        edges = stored(small.select(pairs.alias("e")).select("e.*").where("u <> v").distinct(), "edges")
 
 
 class Cluster:
@@ -166,43 +165,87 @@ class Cluster:
     def __init__(self, texts: list[str]):
         found = [elements(t)[1:] for t in texts]
         self.s, self.w = [f[0] for f in found], [f[1] for f in found]
-        self.size = np.array([len(x) for x in self.s])
+        self.size, self.total = np.array([len(x) for x in self.s]), np.array([w.sum() for w in self.w], float)
         self.plain = np.array([bool((w == 1).all()) for w in self.w])
         self.first = np.cumsum(self.size) - self.size
         ids, self.flat = np.unique(np.concatenate(self.s), return_inverse=True)
-        self.mark = np.zeros(len(ids), np.int64)
-
-    def similar(self, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
-        """Which of ``others`` are linked to ``i``: the common elements of all
-        texts are counted in one pass."""
-        own = self.flat[self.first[i]:self.first[i] + self.size[i]]
-        self.mark[own] = 1
-        common = np.add.reduceat(self.mark[self.flat], self.first)[others]
-        self.mark[own] = 0
-        yes = common >= similarity * (self.size[others] + self.size[i] - common) - 1e-9
-        for k in np.flatnonzero((common > 0) & ~(self.plain[others] & self.plain[i])):
-            j = others[k]
-            yes[k] = probability_jaccard((self.s[i], self.w[i]), (self.s[j], self.w[j])) >= similarity
+        self.count = np.concatenate(self.w).astype(float)
+        self.mark = np.zeros(len(ids))
+        self.narrow(np.ones(len(texts), bool))
+
+    def narrow(self, open_: np.ndarray) -> None:
+        """From now on only the open texts are looked at."""
+        self.left, inside = np.flatnonzero(open_), np.repeat(open_, self.size)
+        size = self.size[self.left]
+        self.left_first = np.cumsum(size) - size
+        self.left_flat, self.left_share = self.flat[inside], self.count[inside] / np.repeat(self.total[self.left], size)
+
+    def weighted(self, i: int, others: np.ndarray) -> np.ndarray:
+        """``probability_jaccard`` with each of ``others`` (with common
+        elements), up to rounding; ``mark`` has the counts of ``i``."""
+        size = self.size[others]
+        owner = np.repeat(np.arange(len(others)), size)
+        at = np.arange(len(owner)) + np.repeat(self.first[others] - (np.cumsum(size) - size), size)
+        cw, cv = self.mark[self.flat[at]], self.count[at]
+        both = cw > 0
+        owner, cw, cv = owner[both], cw[both], cv[both]
+        ratio = cw / cv
+        order = np.lexsort((ratio, owner))
+        owner, cw, cv, ratio = owner[order], cw[order], cv[order], ratio[order]
+        start = np.flatnonzero(np.diff(owner, prepend=-1))
+        new = (np.diff(owner, prepend=-1) > 0) | (np.diff(ratio, prepend=np.nan) != 0)
+        at = np.maximum.accumulate(np.where(new, np.arange(len(owner)), 0))  # elements of at least this ratio count by w, others by v
+        before_w, before_v = np.cumsum(cw) - cw, np.cumsum(cv) - cv
+        more = self.total[i] - (before_w[at] - before_w[start][owner])
+        less = before_v[at] - before_v[start][owner] + (self.total[others] - np.add.reduceat(cv, start))[owner]
+        return np.add.reduceat(1.0 / (more / cw + less / cv), start)
+
+    def similar(self, i: int, open_: np.ndarray, similarity: float) -> np.ndarray:
+        """Which open texts are linked to ``i``: the common elements of all
+        that are left are counted in one pass.  Where shingles are repeated,
+        the sum s of the lesser shares of both texts bounds the similarity, at
+        most s and at least s / (2 - s); few pairs need more."""
+        own = slice(self.first[i], self.first[i] + self.size[i])
+        self.mark[self.flat[own]] = self.count[own]
+        still = open_[self.left]
+        others, seen = self.left[still], self.mark[self.left_flat]
+        plain = self.plain[others] & self.plain[i]
+        common = np.add.reduceat(seen, self.left_first)[still]
+        yes = plain & (common >= similarity * (self.size[others] + self.size[i] - common) - 1e-9)
+        if not plain.all():
+            s = np.add.reduceat(np.minimum(seen / self.total[i], self.left_share), self.left_first)[still]
+            yes |= ~plain & (s > 0) & (s / (2 - s) > similarity + 1e-9)
+            near = np.flatnonzero(~plain & ~yes & (s > 0) & (s > similarity - 1e-9))
+            if len(near):
+                value = self.weighted(i, others[near])
+                yes[near] = value >= similarity
+                for k in near[np.abs(value - similarity) < 1e-9]:
+                    j = others[k]
+                    yes[k] = probability_jaccard((self.s[i], self.w[i]), (self.s[j], self.w[j])) >= similarity
+        self.mark[self.flat[own]] = 0
         return others[yes]
 
     def classes(self, similarity: float) -> np.ndarray:
         """For each text the number of the first text of its class: what is
-        reached is taken out and looks for others in turn."""
+        reached is taken out and looks for others in turn.  When half of the
+        texts are out, the others close up."""
         label, open_ = np.full(len(self.s), -1), np.ones(len(self.s), bool)
         for i in range(len(self.s)):
             if not open_[i]:
                 continue
             open_[i], label[i], reached = False, i, [i]
-            while reached and open_.any():
-                got = self.similar(reached.pop(), np.flatnonzero(open_), similarity)
+            while reached and (n := np.count_nonzero(open_)):
+                if 2 * n <= len(self.left):
+                    self.narrow(open_)
+                got = self.similar(reached.pop(), open_, similarity)
                 open_[got], label[got] = False, i
                 reached += got.tolist()
         return label
 
 
 def small_clusters(rows: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: links that connect the classes within each ``root`` of
-    ``rows`` (``root, node, text``)."""
+    """``a, b``: within each ``root`` of ``rows`` (``root, node, text``) the
+    least node ``a`` of the class of ``b``, if that is another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(nodes: list[bytes], texts: list[str]) -> pa.RecordBatch:
@@ -256,19 +299,17 @@ def cluster_roots(members: DataFrame) -> DataFrame:
     among these least nodes alone, of which even a very large group has few;
     a node meets at most one for each band."""
     own = stored(members.groupBy("node").agg(F.min("a").alias("m"), F.collect_set("a").alias("as")), "leaders")
-    meet = own.select(F.explode("as").alias("a"), "m").where("a <> m").distinct()
-    chain = own.where("node <> m").select(F.col("node").alias("a"), "m").join(members.select("a").distinct(), "a", "left_semi")
-    root = stored(components(meet.unionByName(chain).select("a", F.col("m").alias("b"))), "leaderroots")
+    # A least node that meets a smaller one has both among its own.
+    root = components(own.select(F.explode("as").alias("a"), F.col("m").alias("b")))
     return stored(own.select("node", "m").join(root.toDF("m", "root"), "m", "left").select("node", F.coalesce("root", "m").alias("root")), "roots")
 
 
-def linked(docs: DataFrame, rows: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Verified links ``a, b`` that connect every class of nodes."""
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct("id", "text_key")).alias("row"))
-    nodes = stored(nodes, "nodes")
+def linked(docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``node, root``: of every node that is linked to a smaller one, directly
+    or through others, the smallest."""
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1").drop("n")
-    members = stored(members.join(shared, ["band", "key"]), "members")
+    members = members.join(shared, ["band", "key"])
     root = cluster_roots(members)
     wanted = nodes.join(root, "node").select("node", "root", F.col("row.id").alias("_id"), F.col("row.text_key").alias("_key"))
     texts = (docs.select(F.col(id_col).cast("long").alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
@@ -276,37 +317,39 @@ def linked(docs: DataFrame, rows: DataFrame, similarity: float, id_col: str, tex
     texts = stored(texts, "texts")
     sizes = texts.groupBy("root").agg(F.sum(F.octet_length("text") + NODE_BYTES).alias("bytes"))
     large = stored(sizes.where(F.col("bytes") > CLUSTER_BYTES).select("root"), "large")
-    links = small_clusters(texts.join(large, "root", "left_anti"), similarity)
+    classes = small_clusters(texts.join(large, "root", "left_anti"), similarity).toDF("root", "node").select("node", "root")
     if not large.isEmpty():
         big = texts.join(large, "root", "left_semi")
-        links = links.unionByName(large_clusters(members.drop("a").join(big.select("node"), "node", "left_semi"), big.select("node", "text"), similarity))
-    return links
+        members = stored(members.drop("a").join(big.select("node"), "node", "left_semi"), "members")
+        classes = classes.unionByName(components(large_clusters(members, big.select("node", "text"), similarity)))
+    return stored(classes, "classes")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text_key, class_id, class_size, first_key``: a row for each row;
-    the class' row that stays is the one of the least id and text key."""
+def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``id, text_key, node`` of each row, ``node, root`` of each node, and
+    ``root, first, class_size`` of each class: ``first`` is the row that stays,
+    the one of the least id and text key."""
     rows = stored(signatures(docs, id_col, text_col), "signatures")
-    root = components(linked(docs, rows, similarity, id_col, text_col))
     # Texts without words are classes of their own, told apart by row id and key.
-    own = F.coalesce("node", F.encode(F.concat(F.lit("empty "), F.coalesce(F.col("id").cast("string"), F.lit("null"))), "utf-8"))
-    rows = rows.drop("bands").withColumn("node", own).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = stored(rows.select("id", "text_key", "root"), "rows")
-    whole = rows.groupBy("root").agg(F.min(F.struct("id", "text_key")).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(whole, "root").select("id", "text_key", F.col("first.id").alias("class_id"), "class_size", F.col("first.text_key").alias("first_key"))
+    rows = rows.withColumn("node", F.coalesce("node", F.encode(F.concat(F.lit("empty "), F.coalesce(F.col("id").cast("string"), F.lit("null"))), "utf-8")))
+    nodes = stored(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct("id", "text_key")).alias("row"), F.count(F.lit(1)).alias("n")), "nodes")
+    root = linked(docs, nodes, similarity, id_col, text_col)
+    nodes = nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "row", "n")
+    whole = nodes.groupBy("root").agg(F.min("row").alias("first"), F.sum("n").alias("class_size"))
+    return rows.drop("bands"), nodes.select("node", "root"), whole
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, class_size, kept`` of every row of ``docs``."""
-    c = classes(docs, similarity, id_col, text_col)
-    kept = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("first_key"))
-    return c.select(F.col("id").alias(id_col), "class_id", "class_size", kept.alias("kept"))
+    rows, nodes, whole = classes(docs, similarity, id_col, text_col)
+    c = rows.join(nodes.join(whole, "root"), "node")
+    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))
+    return c.select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "class_size", kept.alias("kept"))
 
 
 def drop_near(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with their columns."""
-    c = classes(docs, similarity, id_col, text_col)
-    stay = c.where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("first_key"))).select(F.col("id").alias("_near_id"), F.col("text_key").alias("_near_key")).distinct()
+    stay = classes(docs, similarity, id_col, text_col)[2].select(F.col("first.id").alias("_near_id"), F.col("first.text_key").alias("_near_key"))
     names = docs.columns
     rows = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_key": F.md5(F.coalesce(text_col, F.lit("")))})
     rows = rows.join(stored(stay, "stay"), F.col("_own_id").eqNullSafe(F.col("_near_id")) & (F.col("_own_key") == F.col("_near_key")), "left_semi")
