@@ -62,6 +62,20 @@ def test_repeated_bytes(spark, monkeypatch, hot, rows_at_a_time):
     assert sorted((str(r.doc_id), r.n_bytes, bytes(r.kept)) for r in got) == want
 
 
+def test_repeated_bytes_of_split_grams(spark, monkeypatch):
+    """Runs of one gram that end at many distances behind it: the bytes there are in another order than the tails that rows are dealt by."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "ROWS", 3)
+    r = random.Random(11)
+    rows = [(i, "".join(r.choice("aab") for _ in range(r.randint(14, 40)))) for i in range(60)]
+    texts = [t.encode() for _, t in rows]
+    gone = windows_removed(texts, 14, list(range(len(rows))), False)
+    want = {i: bytes(np.frombuffer(t, np.uint8)[~g]) for (i, _), t, g in zip(rows, texts, gone)}
+    assert {bytes(t) for t in want.values()} & set(texts) and want != dict(zip(range(60), texts))
+    got = suffix_dedup.remove_repeated_bytes(frame(spark, rows), 14, 3).collect()
+    assert {r.doc_id: bytes(r.kept) for r in got} == want
+
+
 def test_sorted_strings():
     r = random.Random(8)
     strings = [bytes(r.choice([0, 0, 1, 97]) for _ in range(r.randint(0, 20))) for _ in range(400)] + [b"", b"\0", b"\0\0", b"\0\0"]
