@@ -15,8 +15,10 @@ Texts of equal words are folded first.  No bucket is expanded to pairs: buckets
 that share texts form a cluster, found on ids alone.  A task takes whole
 clusters of bounded size and spreads out from one text: what it is linked to
 is taken out and looks for others in turn, so classes are exact and a group
-around one original costs about two comparisons a text.  A cluster beyond the
-bound does the same by joins, in all its buckets at once, round by round.
+around one original costs about two comparisons a text; a text of which too
+little lies in any other is not compared at all.  Of a cluster beyond the bound
+the tasks take buckets; a bucket beyond the bound is cut to parts, any two of
+which meet in a task.  So every two texts that share a bucket are compared.
 Components are found by alternating large and small stars.  Joins that a hot
 key would slow are split by Spark (skewed joins), and sums start in the tasks.
 
@@ -122,26 +124,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, text_key string, node binary, bands array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, sim`` of the pairs of nodes ``a, b``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple] = {}
-        for batch in pieces(batches):
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            sim = []
-            for i in range(len(a)):
-                if a[i] not in known:
-                    if len(known) > 32:
-                        known.clear()
-                    known[a[i]] = elements(ta[i])[1:]
-                sim.append(probability_jaccard(known[a[i]], elements(tb[i])[1:]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
-
-    one = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-    return one.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, sim double")
-
-
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``links`` (``a, b``) but the roots: the
     smallest node that it is linked to, by alternating large and small stars.
@@ -171,6 +153,8 @@ class Cluster:
         ids, self.flat = np.unique(np.concatenate(self.s), return_inverse=True)
         self.count = np.concatenate(self.w).astype(float)
         self.mark = np.zeros(len(ids))
+        shared = np.bincount(self.flat)[self.flat] > 1
+        self.met = np.add.reduceat(np.where(shared, self.count, 0.0), self.first)  # of the total, what lies in other texts too
         self.narrow(np.ones(len(texts), bool))
 
     def narrow(self, open_: np.ndarray) -> None:
@@ -180,12 +164,16 @@ class Cluster:
         self.left_first = np.cumsum(size) - size
         self.left_flat, self.left_share = self.flat[inside], self.count[inside] / np.repeat(self.total[self.left], size)
 
+    def places(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the elements of ``texts`` lie, and where each text begins among these."""
+        size = self.size[texts]
+        first = np.cumsum(size) - size
+        return np.arange(int(size.sum())) + np.repeat(self.first[texts] - first, size), first
+
     def weighted(self, i: int, others: np.ndarray) -> np.ndarray:
         """``probability_jaccard`` with each of ``others`` (with common
         elements), up to rounding; ``mark`` has the counts of ``i``."""
-        size = self.size[others]
-        owner = np.repeat(np.arange(len(others)), size)
-        at = np.arange(len(owner)) + np.repeat(self.first[others] - (np.cumsum(size) - size), size)
+        owner, at = np.repeat(np.arange(len(others)), self.size[others]), self.places(others)[0]
         cw, cv = self.mark[self.flat[at]], self.count[at]
         both = cw > 0
         owner, cw, cv = owner[both], cw[both], cv[both]
@@ -202,18 +190,29 @@ class Cluster:
 
     def similar(self, i: int, open_: np.ndarray, similarity: float) -> np.ndarray:
         """Which open texts are linked to ``i``: the common elements of all
-        that are left are counted in one pass.  Where shingles are repeated,
-        the sum s of the lesser shares of both texts bounds the similarity, at
-        most s and at least s / (2 - s); few pairs need more."""
-        own = slice(self.first[i], self.first[i] + self.size[i])
-        self.mark[self.flat[own]] = self.count[own]
+        that are left are counted in one pass, or of those few that have enough
+        in other texts.  Where shingles are repeated, the sum s of the lesser
+        shares of both texts bounds the similarity, at most s and at least
+        s / (2 - s); few pairs need more."""
         still = open_[self.left]
-        others, seen = self.left[still], self.mark[self.left_flat]
+        others = self.left[still]
         plain = self.plain[others] & self.plain[i]
-        common = np.add.reduceat(seen, self.left_first)[still]
+        most = np.minimum(self.met[others], self.met[i])  # that two plain texts can have in common
+        may = ~plain | (most >= similarity * (self.size[others] + self.size[i] - most) - 1e-9)
+        if not may.any():
+            return others[:0]
+        still[still], others, plain = may, others[may], plain[may]
+        first, flat, share = self.left_first, self.left_flat, self.left_share
+        if 8 * self.size[others].sum() < len(flat):
+            at, first = self.places(others)
+            flat, share, still = self.flat[at], self.count[at] / np.repeat(self.total[others], self.size[others]), slice(None)
+        own = slice(self.first[i], self.first[i] + self.size[i])
+        self.mark[self.flat[own]] = self.count[own]
+        seen = self.mark[flat]
+        common = np.add.reduceat(seen, first)[still]
         yes = plain & (common >= similarity * (self.size[others] + self.size[i] - common) - 1e-9)
         if not plain.all():
-            s = np.add.reduceat(np.minimum(seen / self.total[i], self.left_share), self.left_first)[still]
+            s = np.add.reduceat(np.minimum(seen / self.total[i], share), first)[still]
             yes |= ~plain & (s > 0) & (s / (2 - s) > similarity + 1e-9)
             near = np.flatnonzero(~plain & ~yes & (s > 0) & (s > similarity - 1e-9))
             if len(near):
@@ -228,24 +227,27 @@ class Cluster:
     def classes(self, similarity: float) -> np.ndarray:
         """For each text the number of the first text of its class: what is
         reached is taken out and looks for others in turn.  When half of the
-        texts are out, the others close up."""
-        label, open_ = np.full(len(self.s), -1), np.ones(len(self.s), bool)
+        texts are out, the others close up.  No similarity is more than the part
+        of a text that lies in others: a text with less of it is alone."""
+        label, open_ = np.arange(len(self.s)), self.met > (similarity - 1e-9) * self.total
+        self.narrow(open_)
         for i in range(len(self.s)):
             if not open_[i]:
                 continue
-            open_[i], label[i], reached = False, i, [i]
-            while reached and (n := np.count_nonzero(open_)):
-                if 2 * n <= len(self.left):
-                    self.narrow(open_)
+            open_[i], reached = False, [i]
+            while reached and open_.any():
                 got = self.similar(reached.pop(), open_, similarity)
                 open_[got], label[got] = False, i
                 reached += got.tolist()
+                if 2 * np.count_nonzero(open_) <= len(self.left):
+                    self.narrow(open_)
         return label
 
 
 def small_clusters(rows: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: within each ``root`` of ``rows`` (``root, node, text``) the
-    least node ``a`` of the class of ``b``, if that is another."""
+    """``a, b``: within each ``root`` of ``rows`` (``root, node, text``; the
+    texts of a root fit a task) the least node ``a`` of the class of ``b``, if
+    that is another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(nodes: list[bytes], texts: list[str]) -> pa.RecordBatch:
@@ -271,26 +273,17 @@ def small_clusters(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def large_clusters(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: the same for clusters that are too large for a task.  In all
-    buckets at once, a leader is compared with the members still open; those
-    reached are compared with the rest in the next round, and a bucket whose
-    reached members are used up elects its next leader."""
-    open_, reached, links = members, None, None
-    while True:
-        lead = open_.groupBy("band", "key").agg(F.min("node").alias("a"))
-        if reached is not None:
-            lead = lead.join(reached.select("band", "key").distinct(), ["band", "key"], "left_anti").unionByName(reached)
-        front = stored(lead.select("band", "key", "a"), "front")
-        rest = stored(open_.join(front.withColumnRenamed("a", "node"), ["band", "key", "node"], "left_anti"), "open")
-        todo = stored(rest.join(front, ["band", "key"]), "todo")
-        if todo.isEmpty():
-            return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        new = verify(todo.select("a", F.col("node").alias("b")).distinct(), texts).where(F.col("sim") >= similarity).select("a", "b")
-        new = stored(new if links is None else new.unionByName(links).distinct(), "links")
-        links = new
-        got = todo.withColumnRenamed("node", "b").join(new, ["a", "b"]).select("band", "key", F.col("b").alias("a")).distinct()
-        reached = stored(got, "reached")
-        open_ = stored(rest.join(reached.withColumnRenamed("a", "node"), ["band", "key", "node"], "left_anti"), "open")
+    """``a, b``: the same for the buckets of clusters that are too large for a
+    task.  A bucket that is too large itself is cut to parts of half the bound,
+    and any two parts are a root."""
+    bytes_ = texts.select("node", (F.octet_length("text") + NODE_BYTES).alias("bytes"))
+    buckets = members.join(bytes_, "node").groupBy("band", "key").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    parts = F.when(F.col("bytes") > CLUSTER_BYTES, F.least(F.ceil(2 * F.col("bytes") / CLUSTER_BYTES), "n")).otherwise(1).cast("long")
+    rows = members.join(buckets.select("band", "key", parts.alias("parts")), ["band", "key"])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("other <> part or parts = 1")
+    rows = rows.select(F.concat_ws(" ", "band", "key", F.least("part", "other"), F.greatest("part", "other")).alias("root"), "node")
+    return small_clusters(rows.join(texts, "node"), similarity)
 
 
 def cluster_roots(members: DataFrame) -> DataFrame:

@@ -264,6 +264,59 @@ def test_a_cluster_closes_up_when_texts_are_out():
     assert len(cluster.left) < 9
 
 
+def brute_classes(sets, similarity):
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and near_dedup.probability_jaccard(sets[i], sets[j]) >= similarity:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+def edited(base, k, n, cut=0):
+    """``base`` without its last ``cut`` words, ``n`` others changed to words of its own."""
+    w = base[:len(base) - cut]
+    for j in np.random.default_rng(k).choice(len(w), n, replace=False):
+        w[j] = f"own{k}x{j}"
+    return " ".join(w)
+
+
+def test_texts_that_share_too_little_are_not_compared(monkeypatch):
+    base, calls, real = prose(24, 200).split(), [], near_dedup.Cluster.similar
+    monkeypatch.setattr(near_dedup.Cluster, "similar", lambda self, *a: calls.append(1) or real(self, *a))
+    far = [edited(base, k, 40) for k in range(60)]
+    cluster = near_dedup.Cluster(far + [edited(base, 70, 1), edited(base, 71, 1)])
+    assert cluster.classes(0.8).tolist() == list(range(60)) + [60, 60]
+    assert len(calls) <= 2  # of 61
+    # All degrees of change, shorter texts and texts with repeated shingles.
+    texts = [edited(base, 100 + k, k % 12, 7 * (k % 5)) for k in range(80)] + [edited(base * 2, 300 + k, k % 9) for k in range(20)]
+    texts += [edited(prose(25 + k % 3, 40).split(), 400 + k, k % 3) for k in range(9)]
+    cluster = near_dedup.Cluster(texts)
+    assert not cluster.plain.all() and cluster.plain.any()
+    for similarity in (0.3, 0.6, 0.8, 0.95):
+        assert near_dedup.Cluster(texts).classes(similarity).tolist() == brute_classes(list(zip(cluster.s, cluster.w)), similarity)
+
+
+def test_a_large_bucket_takes_no_rounds(spark, monkeypatch):
+    """At 6 GB a bucket of 5,000 copies far from each other took as many rounds,
+    and the copies reached met all others in pairs of texts."""
+    base = prose(28, 120).split()
+    texts = [edited(base, k, 14) for k in range(14)] + [edited(base, 50 + k, k % 3) for k in range(10)]
+    nodes = [bytes([k + 1]) for k in range(len(texts))]
+    names, groups, real, small = [], [], near_dedup.stored, near_dedup.small_clusters
+    monkeypatch.setattr(near_dedup, "CLUSTER_BYTES", 12_000)
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: names.append(name) or real(df, name))
+    monkeypatch.setattr(near_dedup, "small_clusters", lambda rows, *a: groups.append(rows) or small(rows, *a))
+    # One bucket holds all, another some of them, a third two.
+    members = [(0, 7, n) for n in nodes] + [(1, 9, n) for n in nodes[::5]] + [(2, 9, n) for n in nodes[:2]]
+    links = near_dedup.large_clusters(spark.createDataFrame(members, "band int, key long, node binary"), spark.createDataFrame(list(zip(nodes, texts)), "node binary, text string"), 0.8)
+    want = brute_classes([near_dedup.elements(t)[1:] for t in texts], 0.8)
+    assert {bytes(r.node): bytes(r.root) for r in near_dedup.components(links).collect()} == {n: nodes[c] for n, c in zip(nodes, want) if nodes[c] != n}
+    assert names.count("edges") <= 4 and set(names) == {"edges", "least"}
+    held = [r.n for r in groups[0].groupBy("root").agg(F.count("node").alias("n")).collect()]
+    assert len(held) > 3 and max(held) < len(nodes)  # no task holds the whole bucket
+
+
 def test_components_stop_at_stars(spark, monkeypatch):
     """A round has some ten stages; a last one, only to find that nothing
     changes, is not run, nor any for classes that tasks have found whole."""
