@@ -208,3 +208,19 @@ def test_ordinal_regression_is_at_its_least_loss():
     for _ in range(300):
         step = r.normal(0, 1, 8) * 10 ** r.uniform(-3, -1)
         assert loss(np.maximum(w + step[:5], 0), np.sort(cut + step[5:])) >= best - 2e-4
+
+
+def test_near_copies_of_a_large_group_take_no_rounds(spark, monkeypatch):
+    """At 6 GB the copies of a hot text are beyond a task, and half of them are far from each other."""
+    base, names, real = sentence(ENGLISH, 7, 120).split(), [], near_dedup.stored
+    rows = []
+    for k in range(24):
+        w = list(base)
+        for j in random.Random(k).sample(range(120), 14 if k < 14 else k % 3):
+            w[j] = f"own{k}x{j}"
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(near_dedup, "CLUSTER_BYTES", 12_000)
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: names.append(name) or real(df, name))
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in got) == [*range(15)]  # of 14 to 23 the least
+    assert names.count("members") == 1 and not {"front", "open", "todo", "reached"} & {*names}
